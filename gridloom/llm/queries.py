@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, jaccard_join, language_id, mixing, packing, warc
+from gridloom.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, licences, mixing, packing, quality, substring_dedup, warc
 from gridloom.session import ship
 
 
@@ -20,20 +20,40 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.train(docs))
+    best = F.expr("array_max(transform(filter(found, x -> x.confirmed), x -> x.probability))")
+    return found.select("doc_id", "n_paragraphs", "licences", F.size("found").alias("n_predicted"), best.alias("probability"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.train(docs))
     return found.select("doc_id", (F.coalesce(language_id.bucket(), F.lit(0)) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "order_key")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_read(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -45,9 +65,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_licences": op2_licences,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_language_id": op5_language_id,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_mixing": op7_mixing,
+        "op8_quality": op8_quality,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_packing": op10_packing,
     }
