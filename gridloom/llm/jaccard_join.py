@@ -36,8 +36,10 @@ from gridloom.session import ship, store
 BLOCK = 256
 #: Ids (8 bytes each) up to which they are broadcast; beyond, texts are shuffled by id.
 BROADCAST_IDS = 1_000_000
-#: Ratio of the largest to the smallest size of a size class, and parts beyond the needed ones.
-CLASS_RATIO, SLACK = 1.5, 3
+#: Ratio of the largest to the smallest size of a size class.
+CLASS_RATIO = 1.5
+#: Sets of an entry beyond which it is common, and members of a region for each copy of its pivot.
+COMMON, COPY_MEMBERS = 64, 1024
 
 
 class Radius:
@@ -61,10 +63,14 @@ class Radius:
             ends.append(max(ends[-1] + 1, int(ends[-1] * CLASS_RATIO)))
         return ends
 
-    def parts(self, end: int) -> tuple[int, int]:
-        """D and the number of parts for pairs whose larger set has at most ``end`` shingles."""
+    def parts(self, end: int) -> tuple[int, int, int, int]:
+        """D, the slack for weak and for common entries, and the number of parts, for pairs whose larger set has at most ``end`` shingles.
+
+        A pair within the radius has at least 1 + both slacks equal parts.
+        """
         differ = 2 * end * (self.den - self.num) // (self.den + self.num)
-        return differ, differ + 1 + SLACK
+        weak, common = 2 + differ // 8, 2 + differ // 6
+        return differ, weak, common, differ + 1 + weak + common
 
 
 def class_hash(h: np.ndarray) -> tuple[int, int]:
@@ -73,78 +79,112 @@ def class_hash(h: np.ndarray) -> tuple[int, int]:
     return int(mixed.sum(dtype=np.uint64)), int((mixed ^ (h * W.MIX_2)).sum(dtype=np.uint64))
 
 
-def entries(h: np.ndarray, radius: Radius) -> np.ndarray:
-    """The parts' entries of a set, for its size class and, where a partner may be there, the next ones."""
+def entries(h: np.ndarray, radius: Radius) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of a set, for its size class and, where a partner may be there, the next ones; for each its class's slack for common ones.
+
+    A set leaves out its smallest parts, as many as the slack for weak entries allows. Of
+    two sets the one that leaves out more still has 1 + common equal parts that it does not
+    leave out, nor does the other.
+    """
     n = len(h)
-    if radius.most(n) == n and (radius.num * (n + 1) > radius.den * n):
-        return np.empty(0, np.uint64)  # only equal sets can link
-    ends = radius.classes(1 << max(4, (radius.most(n)).bit_length()))
-    out = []
-    low = np.searchsorted(ends, n)
-    high = np.searchsorted(ends, radius.most(n))
-    for c in range(low, high + 1):
-        differ, parts = radius.parts(ends[c])
+    none = np.empty(0, np.uint64), np.empty(0, np.int32)
+    if n == 0 or radius.num * (n + 1) > radius.den * n:
+        return none  # only equal sets can link
+    ends = radius.classes(1 << max(4, radius.most(n).bit_length()))
+    keys, allow = [], []
+    mixed = W.mix(h ^ W.GOLDEN)
+    halves = (mixed & np.uint64(0xFFFFFFFF)).astype(float), (mixed >> np.uint64(32)).astype(float)
+    for c in range(np.searchsorted(ends, n), np.searchsorted(ends, radius.most(n)) + 1):
+        differ, weak, common, parts = radius.parts(ends[c])
         if not differ:
             continue
-        mixed = W.mix(h ^ W.GOLDEN)
         part = ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-        lo = np.bincount(part, (mixed & np.uint64(0xFFFFFFFF)).astype(float), parts)
-        hi = np.bincount(part, (mixed >> np.uint64(32)).astype(float), parts)
-        full = np.bincount(part, minlength=parts) > 0
-        key = W.mix(lo.astype(np.uint64) + (hi.astype(np.uint64) << np.uint64(32)) + np.arange(parts, dtype=np.uint64) * W.MIX_1 + np.uint64((c * int(W.GOLDEN)) & 0xFFFFFFFFFFFFFFFF))
-        # Of the parts at least parts - D are equal; empty ones say nothing unless they may be all of these.
-        out.append(key if (~full).sum() >= parts - differ else key[full])
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+        lo, hi = np.bincount(part, halves[0], parts), np.bincount(part, halves[1], parts)
+        sizes = np.bincount(part, minlength=parts)
+        least = np.sort(sizes)[weak]  # fewer than weak + 1 parts are smaller than this
+        key = W.mix(lo.astype(np.uint64) + (hi.astype(np.uint64) << np.uint64(32)) + np.arange(parts, dtype=np.uint64) * W.MIX_1 + np.uint64((int(c) * int(W.GOLDEN)) & 0xFFFFFFFFFFFFFFFF))
+        keys.append(key[sizes >= least])
+        allow.append(np.full(len(keys[-1]), common, np.int32))
+    return (np.concatenate(keys), np.concatenate(allow)) if keys else none
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Parities: bit i tells whether an odd number of shingles hash to i. About one bit a shingle.
+
+    Two sets' sketches differ in no more bits than the sets in shingles.
+    """
+    bits = max(64, 1 << (len(h) - 1).bit_length()) if len(h) else 64
+    place = (W.mix(h + W.MIX_2) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of half as many bits, until they have ``width`` words."""
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def may_link(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray, radius: Radius) -> np.ndarray:
+    """False for pairs (of equal places in a and b) whose sketches or sizes forbid a link."""
+    most = (n + m) * (radius.den - radius.num) // (radius.den + radius.num)
+    maybe = np.abs(n - m) <= most
+    widths = np.array([[len(x) for x in a], [len(x) for x in b]]).reshape(2, -1)
+    for wa, wb in np.unique(widths[:, maybe], axis=1).T.tolist():
+        own = np.flatnonzero(maybe & (widths[0] == wa) & (widths[1] == wb))
+        x, y = (np.frombuffer(b"".join([side[i] for i in own]), np.uint64).reshape(len(own), -1) for side in (a, b))
+        width = min(x.shape[1], y.shape[1])
+        maybe[own] = np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum(axis=1) <= most[own]
+    return maybe
 
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
-            sizes, first, second = [], [], []
+            sizes, first, second, bits = [], [], [], []
             for text in as_bytes(batch["text"]):
                 h = W.shingles(W.hashed((text or b"").lower().split()), n)
                 a, b = class_hash(h)
                 sizes.append(len(h))
                 first.append(a)
                 second.append(b)
+                bits.append(sketch(h))
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(sizes, pa.int64()), pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64))],
-                ["id", "size", "h1", "h2"],
+                [batch["id"], pa.array(sizes, pa.int64()), pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64)), pa.array(bits, pa.binary())],
+                ["id", "size", "h1", "h2", "bits"],
             )
 
     return run
 
 
+_SETS = "id long, size long, h1 long, h2 long, bits binary"
+
+
+_POSTING = ["key", "id", "allow", "behind", "entry"]
+
+
 def _postings(n: int, radius: Radius):
-    """Texts -> rows (key, id, kind, low, entry).
+    """Texts -> rows (key, id, allow, behind, entry).
 
     Of equal sets in a task, the first one speaks. An entry goes out once from a task, for
-    its smallest id there (kind 0, or 1 if others stand behind it); the others go out as
-    kind 2 with that id as ``low``, dealt by a key of their own, so that a common entry sends
-    no more rows to one place than there are tasks.
+    its smallest id there, which says whether others stand behind it; these go out
+    under a key of their own, so that a common entry sends no more rows to one place than
+    there are tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held, seen = [], [], 0, set()
+        held, size, seen = [], 0, set()
 
         def out() -> pa.RecordBatch:
-            key, who = np.concatenate(keys), np.concatenate(ids)
+            key, who, allow = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((who, key))
-            key, who = key[order], who[order]
+            key, who, allow = key[order], who[order], allow[order]
             new = np.concatenate([[True], key[1:] != key[:-1]])
-            behind = np.append(~new[1:], False)[new]
-            rest = ~new
-            low = who[new][np.cumsum(new) - 1][rest]
-            spread = W.mix(who[rest].view(np.uint64) * W.GOLDEN + key[rest])
-            zeros = np.zeros(int(new.sum()), np.int64)
-            columns = [
-                np.concatenate([key[new], spread]).view(np.int64),
-                np.concatenate([who[new], who[rest]]),
-                np.concatenate([behind.astype(np.int32), np.full(len(low), 2, np.int32)]),
-                np.concatenate([zeros, low]),
-                np.concatenate([zeros, key[rest].view(np.int64)]),
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "kind", "low", "entry"])
+            behind = np.append(~new[1:], False)
+            spread = W.mix(who.view(np.uint64) * W.GOLDEN + key)
+            columns = [np.where(new, key, spread).view(np.int64), who, allow, np.where(new, behind, True), np.where(new, np.uint64(0), key).view(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns[:-1]] + [pa.array(columns[-1], mask=new)], _POSTING)
 
         for batch in pieces(batches, 512):
             for who, text in zip(batch["id"].to_pylist(), as_bytes(batch["text"]), strict=True):
@@ -153,57 +193,63 @@ def _postings(n: int, radius: Radius):
                 if whole in seen or not len(h):
                     continue
                 seen.add(whole)
-                e = entries(h, radius)
-                keys.append(e)
-                ids.append(np.full(len(e), who, np.int64))
-                held += len(e)
-                if held > 1 << 21:
+                key, allow = entries(h, radius)
+                held.append((key, np.full(len(key), who, np.int64), allow))
+                size += len(key)
+                if size > 1 << 21:
                     yield out()
-                    keys, ids, held = [], [], 0
-        if held:
+                    held, size = [], 0
+        if size:
             yield out()
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, id) -> rows (kind, pivot, id, entry).
-
-    kind 0: an id and the smallest id of its entry. kind 1: an entry that several tasks
-    sent, with others behind some of these, and its smallest id. kind 2: as it came.
-    """
-    last_key, last_head = None, 0
+    """Rows sorted by (key, id) -> (entry, id, allow) of the entries that several sets have."""
+    last: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, who, kind, low, entry = (batch[c].to_numpy() for c in ("key", "id", "kind", "low", "entry"))
-        pair = kind == 2
-        parts = [(np.full(int(pair.sum()), 2), low[pair], who[pair], entry[pair])]
-        key, who, kind = key[~pair], who[~pair], kind[~pair]
-        if len(key):
-            new = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-            head = np.concatenate([[last_head], who[new]])[np.cumsum(new)]
-            last_key, last_head = key[-1], head[-1]
-            own = ~new & (head != who)
-            parts.append((np.zeros(int(own.sum())), head[own], who[own], np.zeros(int(own.sum()), np.int64)))
-            # Those behind the head itself are in its region already.
-            own &= kind == 1
-            parts.append((np.ones(int(own.sum())), head[own], who[own], key[own]))
+        key, who, allow, behind = (batch[c].to_numpy(zero_copy_only=False) for c in _POSTING[:-1])
+        waits = batch["entry"].is_null().to_numpy(zero_copy_only=False)
+        entry = batch["entry"].fill_null(0).to_numpy(zero_copy_only=False)
+        parts = [[entry[~waits], who[~waits], allow[~waits]]]
+        here = [x[waits] for x in (key, who, allow, behind)]
+        if len(here[0]):
+            if last is not None:
+                here = [np.concatenate([a, b]) for a, b in zip(last, here, strict=True)]
+            same = here[0][1:] == here[0][:-1]
+            shared = here[3].astype(bool) | np.append(same, False) | np.concatenate([[False], same])
+            # The last row waits for the next batch, with what is known of it.
+            last = [x[-1:] for x in here]
+            last[3] = shared[-1:]
+            parts.append([x[:-1][shared[:-1]] for x in here[:3]])
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         if len(columns[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])], ["kind", "pivot", "id", "entry"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["entry", "id", "allow"])
+    if last is not None and last[3][0]:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last[:3]], ["entry", "id", "allow"])
 
 
 def region_members(texts: DataFrame, n: int, radius: Radius) -> DataFrame:
-    """(pivot, id): the members of each region, without the pivot itself."""
-    postings = texts.mapInArrow(_postings(n, radius), "key long, id long, kind int, low long, entry long")
-    met = postings.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meet, "kind int, pivot long, id long, entry long")
-    met = store(met, "met")
-    direct = met.where("kind = 0").select("pivot", "id")
-    heads = met.where("kind = 1").groupBy("entry", F.col("id").alias("low")).agg(F.min("pivot").alias("head"))
-    behind = met.where("kind = 2").select("entry", F.col("pivot").alias("low"), "id")
-    moved = attach(behind, heads, ["entry", "low"], [F.col("id")]).select(F.coalesce("head", "low").alias("pivot"), "id")
-    return store(direct.unionAll(moved).where("pivot <> id").distinct(), "regions")
+    """(pivot, id): the members of each region, without the pivot itself.
+
+    Entries of more than COMMON sets are common (a passage or line that many texts share
+    makes such). A pair within the radius has an entry in common that isn't, unless both sets
+    have more common ones than the slack; only such sets meet in common entries.
+    """
+    postings = texts.mapInArrow(_postings(n, radius), "key long, id long, allow int, behind boolean, entry long")
+    met = store(postings.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meet, "entry long, id long, allow int"), "met")
+    common = small(met.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("entry"), "common", BROADCAST_IDS)
+    usual = met.join(common, "entry", "left_anti").select("entry", "id")
+    hot = met.join(common, "entry", "left_semi")
+    full = hot.groupBy("id", "allow").agg(F.count(F.lit(1)).alias("n")).where("n > allow").select("id", "allow")
+    hot = store(hot.join(full, ["id", "allow"], "left_semi").select("entry", "id"), "common-members")
+    firsts = usual.groupBy("entry").agg(F.min("id").alias("pivot"))
+    hot_firsts = small(hot.groupBy("entry").agg(F.min("id").alias("pivot")), "common-pivots", BROADCAST_IDS)
+    members = usual.join(firsts, "entry").unionByName(hot.join(hot_firsts, "entry"))
+    return store(members.where("pivot <> id").select("pivot", "id").distinct(), "regions")
 
 
 def _hash_sets(n: int):
@@ -229,6 +275,16 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes
 
 
+def _maybe(radius: Radius):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members beside their pivot's sketch -> whether they may link."""
+        for batch in pieces(batches, 4096):
+            got = may_link(batch["bits"].to_pylist(), batch["pivot_bits"].to_pylist(), batch["size"].to_numpy(), batch["pivot_size"].to_numpy(), radius)
+            yield pa.RecordBatch.from_arrays([batch["pivot"], batch["id"], pa.array(got)], ["pivot", "id", "maybe"])
+
+    return run
+
+
 def _to_pivot(radius: Radius):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Members beside their pivot's set -> whether they link, and their distance."""
@@ -241,6 +297,34 @@ def _to_pivot(radius: Radius):
     return run
 
 
+def _near_pairs(radius: Radius):
+    def run(table: pa.Table) -> pa.Table:
+        """A block pair of a region, by sketches -> the members that may link with an open one."""
+        ids, is_open = table["id"].to_numpy(), table["open"].to_numpy(zero_copy_only=False)
+        order = np.lexsort((~is_open, ids))
+        first = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]  # a member of both blocks comes once, open
+        ids, is_open = ids[first], is_open[first]
+        sizes, bits = table["size"].to_numpy()[first], table["bits"].combine_chunks().take(pa.array(first)).to_pylist()
+        use = np.zeros(len(ids), bool)
+        for width in sorted({len(x) for x in bits}):
+            own = np.flatnonzero([len(x) == width for x in bits])
+            mine = np.frombuffer(b"".join([bits[i] for i in own]), np.uint64).reshape(len(own), -1)
+            for i in np.flatnonzero(is_open):
+                low = width if width < len(bits[i]) else len(bits[i])
+                most = (sizes[own] + sizes[i]) * (radius.den - radius.num) // (radius.den + radius.num)
+                pick = np.flatnonzero((np.abs(sizes[own] - sizes[i]) <= most) & (own != i))
+                if len(pick):
+                    one = _folded(np.frombuffer(bits[i], np.uint64)[None, :], low // 8)
+                    near = np.bitwise_count(_folded(mine[pick], low // 8) ^ one).sum(axis=1) <= most[pick]
+                    if near.any():
+                        use[own[pick[near]]] = use[i] = True
+        got = np.flatnonzero(use)
+        place = [pa.array(np.full(len(got), table[c][0].as_py()), t) for c, t in (("pivot", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))]
+        return pa.table([*place, pa.array(ids[got]), pa.array(is_open[got])], names=["pivot", "i", "j", "id", "open"])
+
+    return run
+
+
 def block_links(ids: np.ndarray, sets: list[np.ndarray], dist: np.ndarray, open_: np.ndarray, radius: Radius) -> list[tuple[int, int]]:
     """Links among members of which one is open (not linked to the pivot), by recursion on pivots.
 
@@ -282,34 +366,54 @@ def _within(radius: Radius):
     def run(table: pa.Table) -> pa.Table:
         """A block pair of a region: each open member of the first block against the second."""
         ids, is_open = table["id"].to_numpy(), table["open"].to_numpy(zero_copy_only=False)
-        order = np.lexsort((~is_open, ids))
-        first = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]  # a member of both blocks comes once, open
         hashes = table["hashes"].combine_chunks()
-        links = block_links(ids[first], [hashes[int(i)].values.to_numpy() for i in first], table["distance"].to_numpy()[first], is_open[first], radius)
+        links = block_links(ids, [x.values.to_numpy() for x in hashes], table["distance"].to_numpy(zero_copy_only=False).astype(float), is_open, radius)
         return pa.table({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
 
     return run
 
 
-def region_links(texts: DataFrame, regions: DataFrame, n: int, radius: Radius) -> DataFrame:
-    """(u, v): links, enough of them to connect all that links connect."""
-    members = regions.unionAll(regions.select("pivot", F.col("pivot").alias("id")).distinct())
-    involved = small(members.select("id").distinct(), "involved", BROADCAST_IDS)
-    sets = store(texts.join(involved, "id", "left_semi").mapInArrow(_hash_sets(n), "id long, hashes array<long>"), "shingles")
-    pivots = regions.select(F.col("pivot").alias("id")).distinct().join(sets, "id").select(F.col("id").alias("pivot"), F.col("hashes").alias("pivot_hashes"))
-    beside = attach(regions.join(sets, "id"), pivots, ["pivot"], [F.col("id")], "inner")
-    told = store(beside.select("pivot", "id", "hashes", "pivot_hashes").mapInArrow(_to_pivot(radius), "pivot long, id long, linked boolean, distance double"), "distances")
+def _fetch(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The shingle sets of some documents, stored."""
+    wanted = small(ids.distinct(), "wanted", BROADCAST_IDS)
+    return store(texts.join(wanted, "id", "left_semi").mapInArrow(_hash_sets(n), "id long, hashes array<long>"), "shingles")
+
+
+def region_links(texts: DataFrame, sets: DataFrame, regions: DataFrame, n: int, radius: Radius) -> DataFrame:
+    """(u, v): links, enough of them to connect all that links connect.
+
+    Sketches exclude most pairs before any set is fetched; the rest is decided on sets.
+    """
+    sketches = sets.where("id is not null").select("id", "size", "bits").dropDuplicates(["id"])
+    # A pivot goes along with its members; in a large region it has copies.
+    spread = store(regions.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / COPY_MEMBERS).cast("int").alias("copies")), "copies")
+    large = small(spread.where("copies > 1"), "large", BROADCAST_IDS)
+    copy = F.coalesce(F.pmod(F.xxhash64("id"), F.col("copies")).cast("int"), F.lit(0))
+    copied = spread.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    place = lambda members: members.join(large, "pivot", "left").withColumn("copy", copy).drop("copies")
+    pivots = copied.join(sketches, copied["pivot"] == sketches["id"]).select("pivot", "copy", F.col("bits").alias("pivot_bits"), F.col("size").alias("pivot_size"))
+    beside = place(regions).join(sketches, "id").join(pivots, ["pivot", "copy"])
+    maybe = store(beside.select("pivot", "id", "bits", "size", "pivot_bits", "pivot_size").mapInArrow(_maybe(radius), "pivot long, id long, maybe boolean"), "maybe")
+    near = maybe.where("maybe").select("pivot", "id")
+    hashes = _fetch(texts, near.select("id").unionAll(near.select("pivot")), n)
+    own = copied.join(hashes, copied["pivot"] == hashes["id"]).select("pivot", "copy", F.col("hashes").alias("pivot_hashes"))
+    verified = place(near).join(hashes, "id").join(own, ["pivot", "copy"]).select("pivot", "id", "hashes", "pivot_hashes")
+    told = store(verified.mapInArrow(_to_pivot(radius), "pivot long, id long, linked boolean, distance double"), "distances")
     direct = told.where("linked").select(F.col("id").alias("u"), F.col("pivot").alias("v"))
     # Regions in which some member is open and has another one to be compared with.
-    sizes = told.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("linked")).cast("int")).alias("opened")).where("opened > 0 and n > 1")
+    state = store(maybe.select("pivot", "id").join(told, ["pivot", "id"], "left").select("pivot", "id", (~F.coalesce("linked", F.lit(False))).alias("open"), "distance"), "state")
+    sizes = state.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("int")).alias("opened")).where("opened > 0 and n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = attach(told, sizes.select("pivot", blocks.alias("blocks")), ["pivot"], [F.col("id")], "inner")
+    left = attach(state, sizes.select("pivot", blocks.alias("blocks")), ["pivot"], [F.col("id")], "inner")
     left = left.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    opened = left.where("not linked").select("pivot", "id", "distance", F.lit(True).alias("open"), F.col("own").alias("i"), other.alias("j"))
-    all_ = left.select("pivot", "id", "distance", F.lit(False).alias("open"), other.alias("i"), F.col("own").alias("j"))
-    cells = opened.unionAll(all_).join(sets, "id")
-    within = cells.groupBy("pivot", "i", "j").applyInArrow(_within(radius), "u long, v long")
+    opened = left.where("open").select("pivot", "id", F.lit(True).alias("open"), F.col("own").alias("i"), other.alias("j"))
+    all_ = left.select("pivot", "id", F.lit(False).alias("open"), other.alias("i"), F.col("own").alias("j"))
+    cells = opened.unionAll(all_).join(sketches, "id")
+    rest = store(cells.groupBy("pivot", "i", "j").applyInArrow(_near_pairs(radius), "pivot long, i int, j int, id long, open boolean"), "near")
+    more = _fetch(texts, rest.select("id"), n)
+    held = rest.join(state.select("pivot", "id", "distance"), ["pivot", "id"]).join(more, "id")
+    within = held.groupBy("pivot", "i", "j").applyInArrow(_within(radius), "u long, v long")
     return direct.unionAll(within)
 
 
@@ -327,9 +431,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     ship(docs.sparkSession)
     radius = Radius(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = store(rows.mapInArrow(_sets(n), "id long, size long, h1 long, h2 long"), "sets")
+    sets = store(rows.mapInArrow(_sets(n), _SETS), "sets")
     texts = rows.where("id is not null")
-    links = region_links(texts, region_members(texts, n, radius), n, radius)
+    links = region_links(texts, sets, region_members(texts, n, radius), n, radius)
     full = sets.where("size > 0 and id is not null")
     classes = full.groupBy("h1", "h2", "size").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     same = attach(full, classes, ["h1", "h2", "size"], [F.col("id")], "inner").select(F.col("id").alias("u"), "v")
