@@ -15,6 +15,7 @@ task that tokenised it plus the counts of the tasks before, both stored.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -33,8 +34,12 @@ from gridloom.session import ship, store
 
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
+#: Text that is tokenised together.
+LEARN_BYTES, LEARN_ROWS = 4 << 20, 8192
 #: Words whose ids a worker remembers, and the longest such word in bytes.
 CACHE_ENTRIES, CACHED_BYTES = 700_000, 64
+#: ASCII marks that may follow a word.
+MARKS = b".,;:!?"
 
 
 class WordIds:
@@ -48,19 +53,92 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode, self.seen = Tokenizer.from_file(path).encode_batch_fast, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[ends] = True
+        self.seen: dict[bytes, bytes] = {}  # of late
+        self.old: dict[bytes, bytes] = {}  # before
+        self.long: list[bytes] = []  # words of the batch before that are too long to keep
+
+    def _put(self, words: list[bytes], ids: np.ndarray, cuts: np.ndarray) -> None:
+        data, places, seen = ids.astype("<u4").tobytes(), (4 * cuts).tolist(), self.seen
+        for i, word in enumerate(words):
+            seen[word] = data[places[i] : places[i + 1]]
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Ids of words without white space, many in one text.
+
+        A word of letters only is one piece for the tokenizer, of which the last id alone marks an
+        end; for others the ids' offsets tell the words apart.
+        """
+        plain, rest = [], []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            (plain if text.isalpha() and text.lower().isalpha() else rest).append((word, text))
+        for at in range(0, len(plain), 8192):
+            part = plain[at : at + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1]) if len(ids) else np.zeros(1, np.int64)
+            if len(cuts) == len(part) + 1 and cuts[-1] == len(ids):
+                self._put([w for w, _ in part], ids, cuts)
+            else:
+                rest += part
+        for at in range(0, len(rest), 8192):
+            part = rest[at : at + 8192]
+            got = self.tokenizer.encode(" ".join([t for _, t in part]), add_special_tokens=False)
+            ends = np.cumsum([len(t) + 1 for _, t in part])
+            owner = np.searchsorted(ends, np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids)), "right")
+            self._put([w for w, _ in part], np.array(got.ids, np.int64), np.searchsorted(owner, np.arange(len(part) + 1)))
 
     def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """The ids of all words of these texts, as little-endian uint32."""
-        if len(self.seen) > CACHE_ENTRIES:
-            self.seen.clear()
-        seen, extra = self.seen, {}
-        new = [w for w in set().union(*texts) if w not in seen]
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for word, got in zip(part, self.encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                (seen if len(word) <= CACHED_BYTES else extra)[word] = np.array(got.ids, "<u4").tobytes()
-        return {**seen, **extra} if extra else seen
+        """The ids of all words of these texts, as little-endian uint32.
+
+        A word is looked up by its stem in lower case and by the ASCII marks after it: the
+        tokenizer lowers case itself and never joins a letter with a mark. Words that may
+        hold a special token are left as they are.
+        """
+        for word in self.long:
+            self.seen.pop(word, None)
+        if len(self.seen) > CACHE_ENTRIES // 2:
+            self.old, self.seen = self.seen, {}
+        seen, old = self.seen, self.old
+        here = set().union(*texts)
+        # A small table for these texts: looking up each of their words in the large one is slow.
+        local = dict(zip(here, map(seen.get, here), strict=True))
+        new = [w for w, ids in local.items() if ids is None]
+        wanted: set[bytes] = set()
+        words, stems, marks = [], [], []
+        for word in new:
+            if (known := old.get(word)) is not None:
+                seen[word] = known
+                continue
+            stem, mark = word, b""
+            if not (word.isalpha() and word.islower()) and b"<|" not in word:
+                stem = word.lower()
+                if stem[-1] in MARKS:
+                    bare = stem.rstrip(MARKS)
+                    if bare and (bare[-1:].isalpha() or bare[-4:].decode("utf-8", "ignore")[-1:].lower()[-1:].isalpha()):
+                        mark = stem[len(bare) :]
+                        stem = bare
+                words.append(word)
+                stems.append(stem)
+                marks.append(mark)
+                if mark and mark not in seen:
+                    wanted.add(mark)
+            if stem not in seen:
+                if (known := old.get(stem)) is not None:
+                    seen[stem] = known
+                else:
+                    wanted.add(stem)
+        self._encode(list(wanted))
+        self.long = [w for w in wanted if len(w) > CACHED_BYTES]
+        for word, stem, mark in zip(words, stems, marks, strict=True):
+            seen[word] = seen[stem] + seen[mark] if mark else seen[stem]
+            if len(word) > CACHED_BYTES:
+                self.long.append(word)
+        local.update(zip(new, map(seen.__getitem__, new), strict=True))
+        return local
 
 
 _encoders: dict[str, WordIds] = {}
@@ -78,16 +156,33 @@ def _encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts, LEARN_BYTES at a time: the more words are looked up together, the fewer in all."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch["id"].to_pylist(), as_bytes(batch["text"]), strict=True):
+            keys.append(key)
+            texts.append(text or b"")
+            size += len(texts[-1])
+            if size >= LEARN_BYTES or len(texts) >= LEARN_ROWS:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+    if texts:
+        yield keys, texts
+
+
 def _tokenise(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, ranks, src = _encoder(path), Counter(), partition_id()
-        for batch in pieces(batches, 256):
-            texts = [(t or b"").split() for t in as_bytes(batch["text"])]
+        gc.freeze()  # the tables of words hold no cycles; going through them again and again is slow
+        gc.disable()
+        for keys, raw in by_bytes(batches):
+            texts = [t.split() for t in raw]
             ids = encoder.learn(texts)
             rows = []
-            for key, words in zip(batch["id"].to_pylist(), texts, strict=True):
+            for key, words in zip(keys, texts, strict=True):
                 data = b"".join(map(ids.__getitem__, words)) + end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
