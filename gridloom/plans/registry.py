@@ -1,15 +1,639 @@
-"""The registered queries of the routing engine and their SQL."""
+"""The registered queries of the routing engine and their SQL.
+
+The tables stand in for maps: ``part`` is a grid of 50 columns (row = key div 50, value = size, 46 and more
+forbidden), ``supplier`` and ``customer`` are rectangles that follow from their keys.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions import geometry as G
+from gridloom.functions import grid as X
+from gridloom.functions import neighborhood as N
+from gridloom.operators import costs as C
+from gridloom.operators import edges as E
+from gridloom.operators import metrics as M
+from gridloom.operators import raster as R
+from gridloom.operators import route
+from gridloom.session import ship
+from gridloom.sources import wfs
+
+WIDTH = 50
+#: The raster that rectangles are painted on.
+META = X.RasterMeta(40, 50, 1.0, 0.0, 0.0, 0.0, -1.0, 40.0)
+#: A raster with coordinates as in the field.
+FIELD = X.RasterMeta(4000, 50, 10.0, 0.0, 500000.0, 0.0, -10.0, 5600000.0)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+# Costs of the land uses that part types and brands stand for.
+TYPE_COSTS = {"ECONOMY": 1.5, "STANDARD": 2.5, "PROMO": 4.0, "SMALL": 0.5}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def part_cells(spark: SparkSession, sf: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    value = F.when(size >= 46, F.lit(X.FORBIDDEN)).otherwise(size)
+    return table(spark, sf, "part").select(F.floor(key / WIDTH).cast("int").alias("row"), F.pmod(key, F.lit(WIDTH)).cast("int").alias("col"), value.cast("int").alias("value"))
+
+
+def part_height(spark: SparkSession, sf: str) -> int:
+    return int(table(spark, sf, "part").agg(F.max("p_partkey")).first()[0]) // WIDTH + 1
+
+
+def rectangles(spark: SparkSession, sf: str, name: str = "supplier") -> DataFrame:
+    """feature_id, polygon, kind, cost."""
+    key = {"supplier": "s_suppkey", "customer": "c_custkey"}[name]
+    k = F.col(key)
+    x, y = (k * 7) % 45, (k * 11) % 35
+    polygon = G.rectangle(x, y, x + 3 + k % 5, y + 2 + k % 4)
+    return table(spark, sf, name).select(k.alias("feature_id"), polygon.alias("polygon"), F.concat(F.lit("z"), (k % 4).cast("string")).alias("kind"), (k % 37 + 0.5).alias("cost"))
+
+
+GRID_SQL = "g AS (SELECT p_partkey // 50 AS r, p_partkey % 50 AS c, CASE WHEN p_size >= 46 THEN 65535 ELSE p_size END::BIGINT AS v FROM part)"
+
+
+def box_sql(name: str = "supplier") -> str:
+    """Rectangles f(k, x0, y0, x1, y1, kind, cost) and the raster's cells q(r, c, x, y)."""
+    key = {"supplier": "s_suppkey", "customer": "c_custkey"}[name]
+    return f"""f AS (SELECT {key} AS k, ({key} * 7) % 45 AS x0, ({key} * 11) % 35 AS y0, ({key} * 7) % 45 + 3 + {key} % 5 AS x1, ({key} * 11) % 35 + 2 + {key} % 4 AS y1,
+  'z' || ({key} % 4) AS kind, {key} % 37 + 0.5::DOUBLE AS cost FROM {name}),
+q AS (SELECT r, c, c + 0.5 AS x, 40 - r - 0.5 AS y FROM range(40) a(r), range(50) b(c)),
+h AS (SELECT q.r, q.c, f.* FROM q JOIN f ON x >= x0 AND x < x1 AND y >= y0 AND y < y1)"""
+
+
+def long_cells(cells: DataFrame) -> DataFrame:
+    return cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("long").alias("value"))
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+# Scans and projections.
+
+
+@query("grid_scan", f'WITH {GRID_SQL} SELECT r AS "row", c AS col, v AS value, r * 50 + c AS node FROM g')
+def grid_scan(spark, sf):
+    cells = part_cells(spark, sf)
+    return long_cells(cells).withColumn("node", X.node_id(F.col("row"), F.col("col"), WIDTH))
+
+
+@query("grid_rows", f"WITH {GRID_SQL} SELECT r AS \"row\", string_agg(v::VARCHAR, ',' ORDER BY c) AS vals FROM g GROUP BY r")
+def grid_rows(spark, sf):
+    rows = E.grid_rows(part_cells(spark, sf), WIDTH)
+    return rows.select(F.col("row").cast("long").alias("row"), F.concat_ws(",", F.col("vals").cast("array<string>")).alias("vals"))
+
+
+@query("synthetic_gradient", 'SELECT 1::BIGINT AS band, r AS "row", c AS col, floor((r + c) / 90.0 * 100 + 10)::BIGINT AS value FROM range(40) a(r), range(50) b(c)')
+def synthetic_gradient(spark, sf):
+    cells = R.synthetic(spark, 40, 50, "gradient", 1)
+    return long_cells(cells).withColumn("band", F.lit(1).cast("long")).select("band", "row", "col", "value")
+
+
+@query("synthetic_checker", 'SELECT r AS "row", c AS col, ((r + c) % 2) * 50 + 25 AS value FROM range(40) a(r), range(50) b(c)')
+def synthetic_checker(spark, sf):
+    return long_cells(R.synthetic(spark, 40, 50, "checkerboard"))
+
+
+@query("distinct_values", f"WITH {GRID_SQL} SELECT v AS value, dense_rank() OVER (ORDER BY v) AS rank FROM (SELECT DISTINCT v FROM g)")
+def distinct_values(spark, sf):
+    return R.value_ranks(part_cells(spark, sf)).select(F.col("value").cast("long").alias("value"), F.col("rank").cast("long").alias("rank"))
+
+
+# Costs.
+
+_VALUES = ", ".join(f"('{k}', {v})" for k, v in TYPE_COSTS.items())
+
+
+def _features(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", "p_type", "p_brand", "p_size")
+
+
+@query("cost_simple", f"SELECT p_partkey, t.cost::DOUBLE AS cost FROM part LEFT JOIN (VALUES {_VALUES}) t(k, cost) ON p_type = k")
+def cost_simple(spark, sf):
+    return C.apply_costs(_features(spark, sf), C.CostTable.from_dict(spark, {"p_type": TYPE_COSTS})).select("p_partkey", "cost")
+
+
+@query("cost_tuple_wildcard", """SELECT p_partkey, coalesce(e.cost, w.cost)::DOUBLE AS cost FROM part
+LEFT JOIN (VALUES ('PROMO', 'Brand#11', 7.0), ('PROMO', 'Brand#22', 8.0), ('SMALL', 'Brand#33', 9.0)) e(t, b, cost) ON p_type = e.t AND p_brand = e.b
+LEFT JOIN (VALUES ('PROMO', 2.0), ('ECONOMY', 4.0)) w(t, cost) ON p_type = w.t""")
+def cost_tuple_wildcard(spark, sf):
+    costs = {("PROMO", "Brand#11"): 7.0, ("PROMO", ""): 2.0, ("PROMO", "Brand#22"): 8.0, ("SMALL", "Brand#33"): 9.0, ("ECONOMY", ""): 4.0}
+    return C.apply_costs(_features(spark, sf), C.CostTable.from_dict(spark, {("p_type", "p_brand"): costs})).select("p_partkey", "cost")
+
+
+@query("cost_nested", """SELECT p_partkey, coalesce(e.cost, w.cost)::DOUBLE AS cost FROM part
+LEFT JOIN (VALUES ('PROMO', 'Brand#11', 7.0), ('PROMO', 'Brand#22', 8.0), ('SMALL', 'Brand#33', 9.0)) e(t, b, cost) ON p_type = e.t AND p_brand = e.b
+LEFT JOIN (VALUES ('PROMO', 2.0)) w(t, cost) ON p_type = w.t""")
+def cost_nested(spark, sf):
+    costs = {"PROMO": {"Brand#11": 7.0, "Brand#22": 8.0, "": 2.0}, "SMALL": {"Brand#33": 9.0}}
+    return C.apply_costs(_features(spark, sf), C.CostTable.from_dict(spark, {("p_type", "p_brand"): costs})).select("p_partkey", "cost")
+
+
+@query("cost_zero_template", "SELECT DISTINCT coalesce(p_type, '') AS p_type, coalesce(p_brand, '') AS p_brand, 0.0::DOUBLE AS cost FROM part")
+def cost_zero_template(spark, sf):
+    return C.zero_costs(_features(spark, sf), "p_type", ["p_brand"])
+
+
+@query("cost_from_table", "SELECT coalesce(p_type, '') AS main, coalesce(p_brand, '') AS side1, max_by(p_size, p_partkey)::DOUBLE AS cost FROM part GROUP BY ALL")
+def cost_from_table(spark, sf):
+    rows = _features(spark, sf).select("p_partkey", "p_type", "p_brand", "p_size")
+    return C.table_to_costs(spark, rows, "p_partkey").table.select("main", "side1", "cost")
+
+
+@query("numeric_coercion", "SELECT p_partkey, p_retailprice::DOUBLE AS price FROM part")
+def numeric_coercion(spark, sf):
+    text = table(spark, sf, "part").select("p_partkey", F.regexp_replace(F.col("p_retailprice").cast("string"), r"\.", ",").alias("price"))
+    return C.to_numbers(text, ["price"])
+
+
+_STAT_SQL = """
+WITH l AS (SELECT 'p_type' AS k, p_type AS v, p_size::DOUBLE AS a FROM part UNION ALL SELECT 'p_brand', p_brand, p_size::DOUBLE FROM part),
+c AS (SELECT k, v, count(*) AS n, sum(a) AS a FROM l GROUP BY ALL),
+t AS (SELECT k, sum(n) AS n, sum(a) FILTER (v IS NOT NULL) AS a FROM c GROUP BY k),
+s AS (SELECT c.k, max(t.n)::BIGINT AS n, coalesce(sum(c.n) FILTER (v IS NULL), 0)::BIGINT AS nulls, count(v) AS n_distinct,
+  -sum(c.n / t.n * log2(c.n / t.n)) FILTER (v IS NOT NULL) AS ce, -sum(c.a / t.a * log2(c.a / t.a)) FILTER (v IS NOT NULL AND c.a > 0) AS ae
+  FROM c JOIN t USING (k) GROUP BY c.k)"""
+
+
+@query("column_stats", _STAT_SQL + ' SELECT k AS "column", n, nulls, n_distinct, round(nulls / n, 6) AS null_ratio, n_distinct > 1 AND n_distinct < 0.3 * n AND nulls / n < 0.2 AS is_good, round(ce, 6) AS count_entropy, round(ae, 6) AS area_entropy FROM s')
+def column_stats(spark, sf):
+    rows = C.column_statistics(_features(spark, sf), ["p_type", "p_brand"], F.col("p_size").cast("double"))
+    return rows.select("column", F.col("n").cast("long").alias("n"), F.col("nulls").cast("long").alias("nulls"), "n_distinct", r6("null_ratio").alias("null_ratio"), "is_good", r6("count_entropy").alias("count_entropy"), r6("area_entropy").alias("area_entropy"))
+
+
+@query("pick_main", _STAT_SQL + ', g AS (SELECT *, n_distinct > 1 AND n_distinct < 0.3 * n AND nulls / n < 0.2 AS good FROM s) SELECT k AS "column", round(0.7 * ae + 0.3 * ce, 6) AS score FROM g WHERE good OR NOT (SELECT bool_or(good) FROM g)')
+def pick_main(spark, sf):
+    rows = C.ranked_columns(C.column_statistics(_features(spark, sf), ["p_type", "p_brand"], F.col("p_size").cast("double")))
+    return rows.select("column", r6("score").alias("score"))
+
+
+@query("crosstab_relation", """WITH c AS (SELECT p_type AS m, p_brand AS s, count(*) AS n FROM part WHERE m IS NOT NULL AND s IS NOT NULL GROUP BY ALL), k AS (SELECT m, count(*) AS k FROM c GROUP BY m)
+SELECT (SELECT count(DISTINCT s) FROM c) BETWEEN 1 AND 100 AND ((SELECT count(*) FROM c) / ((SELECT count(*) FROM k) * (SELECT count(DISTINCT s) FROM c)) > 0.05 OR (SELECT max(k) FROM k) > 1) AS related""")
+def crosstab_relation(spark, sf):
+    return spark.createDataFrame([(C.relation(_features(spark, sf), "p_type", "p_brand"),)], "related boolean")
+
+
+@query("polygon_area", f"WITH {box_sql('customer')} SELECT k AS feature_id, ((x1 - x0) * (y1 - y0))::DOUBLE AS area FROM f")
+def polygon_area(spark, sf):
+    return rectangles(spark, sf, "customer").select("feature_id", G.area(F.col("polygon")).alias("area"))
+
+
+@query("total_bounds", f"WITH {box_sql('customer')} SELECT min(x0)::DOUBLE AS minx, min(y0)::DOUBLE AS miny, max(x1)::DOUBLE AS maxx, max(y1)::DOUBLE AS maxy FROM f")
+def total_bounds(spark, sf):
+    return R.total_bounds(rectangles(spark, sf, "customer"))
+
+
+# Rasters.
+
+
+@query("fill_round", "SELECT p_partkey, coalesce(round_even(p_size / 4.0, 0), 65535)::BIGINT AS value FROM part")
+def fill_round(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", R.burn_value(F.col("p_size") / 4.0).cast("long").alias("value"))
+
+
+@query("out_shape", f"""WITH {box_sql()}, b AS (SELECT min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d FROM f),
+n AS (SELECT greatest(1, floor((d - b) / sqrt(2.5)))::BIGINT AS h, greatest(1, floor((c - a) / sqrt(2.5)))::BIGINT AS w, floor((c - a) * (d - b) / 2.5) AS t, d - b >= c - a AS tall FROM b)
+SELECT h + (h * w < t AND tall)::BIGINT AS height, w + (h * w < t AND NOT tall)::BIGINT AS width FROM n""")
+def out_shape(spark, sf):
+    m = R.output_meta(tuple(R.total_bounds(rectangles(spark, sf)).first()), 2.5)
+    return spark.createDataFrame([(m.height, m.width)], "height long, width long")
+
+
+@query("rasterize_max", f'WITH {box_sql()} SELECT q.r AS "row", q.c AS col, coalesce(max(round_even(cost, 0)), 65535)::BIGINT AS value FROM q LEFT JOIN h ON q.r = h.r AND q.c = h.c GROUP BY ALL')
+def rasterize_max(spark, sf):
+    return long_cells(R.rasterize(rectangles(spark, sf), META))
+
+
+def base(spark, sf):
+    return R.synthetic(spark, 40, 50, "checkerboard").select("row", "col", F.when(F.pmod(F.col("row") * 3 + F.col("col"), F.lit(11)) == 0, F.lit(X.FORBIDDEN)).otherwise(F.col("value")).alias("value"))
+
+
+_BASE_SQL = "b AS (SELECT r, c, CASE WHEN (r * 3 + c) % 11 = 0 THEN 65535 ELSE ((r + c) % 2) * 50 + 25 END AS v FROM q), d AS (SELECT DISTINCT r, c FROM h)"
+
+
+@query("overlay_set", f'WITH {box_sql()}, {_BASE_SQL} SELECT b.r AS "row", b.c AS col, CASE WHEN d.r IS NOT NULL AND v <> 65535 THEN 500 ELSE v END::BIGINT AS value FROM b LEFT JOIN d USING (r, c)')
+def overlay_set(spark, sf):
+    return long_cells(R.overlay(base(spark, sf), rectangles(spark, sf), META, 500))
+
+
+@query("overlay_multiply", f'WITH {box_sql()}, {_BASE_SQL} SELECT b.r AS "row", b.c AS col, CASE WHEN d.r IS NOT NULL AND v <> 65535 THEN floor(v * 1.3) ELSE v END::BIGINT AS value FROM b LEFT JOIN d USING (r, c)')
+def overlay_multiply(spark, sf):
+    return long_cells(R.overlay(base(spark, sf), rectangles(spark, sf), META, 1.3, multiply=True))
+
+
+@query("overlay_zone", f"""WITH {box_sql()}, {_BASE_SQL}, z AS (SELECT DISTINCT r, c FROM h WHERE kind = 'z1'), o AS (SELECT DISTINCT r, c FROM h WHERE kind <> 'z1')
+SELECT b.r AS "row", b.c AS col, CASE WHEN v = 65535 THEN v WHEN z.r IS NOT NULL THEN 65535 WHEN o.r IS NOT NULL THEN 300 ELSE v END::BIGINT AS value FROM b LEFT JOIN z USING (r, c) LEFT JOIN o USING (r, c)""")
+def overlay_zone(spark, sf):
+    return long_cells(R.overlay_zones(base(spark, sf), rectangles(spark, sf), META, 300, zone_col="kind", forbidden_zone="z1"))
+
+
+@query("overlay_table_order", f"""WITH {box_sql()}, {_BASE_SQL}, o AS (SELECT cost, min(k) AS ord FROM f GROUP BY cost), w AS (SELECT r, c, max_by(floor(h.cost), ord) AS v FROM h JOIN o ON h.cost = o.cost GROUP BY r, c)
+SELECT b.r AS "row", b.c AS col, CASE WHEN b.v <> 65535 AND w.v IS NOT NULL THEN w.v ELSE b.v END::BIGINT AS value FROM b LEFT JOIN w USING (r, c)""")
+def overlay_table_order(spark, sf):
+    return long_cells(R.overlay_costs(base(spark, sf), rectangles(spark, sf), META))
+
+
+@query("shrink_bounds", f"WITH {GRID_SQL} SELECT min(r) AS row0, max(r) AS row1, min(c) AS col0, max(c) AS col1 FROM g WHERE v <> 65535")
+def shrink_bounds(spark, sf):
+    return R.shrink_bounds(part_cells(spark, sf)).select(*[F.col(c).cast("long").alias(c) for c in ("row0", "row1", "col0", "col1")])
+
+
+@query("window_crop", f'WITH {GRID_SQL} SELECT r - 1 AS "row", c - 10 AS col, v AS value FROM g WHERE r >= 1 AND r < 30 AND c >= 10 AND c < 40')
+def window_crop(spark, sf):
+    return long_cells(R.crop(part_cells(spark, sf), FIELD, 1, 30, 10, 40)[0])
+
+
+@query("buffer_mask", f"""WITH {GRID_SQL}, p AS (SELECT r, c, v, c + 0.5 - 5.0 AS px, 40 - r - 0.5 - 30.0 AS py FROM g), t AS (SELECT *, least(1.0, greatest(0.0, (px * 35.0 + py * -20.0) / (35.0 * 35.0 + 20.0 * 20.0))) AS t FROM p)
+SELECT r AS "row", c AS col, CASE WHEN sqrt((px - t * 35.0) ** 2 + (py + t * 20.0) ** 2) <= 6.3 THEN v ELSE 65535 END::BIGINT AS value FROM t""")
+def buffer_mask(spark, sf):
+    return long_cells(R.mask(part_cells(spark, sf), META, R.hull_of([(5.0, 30.0), (40.0, 10.0)]), 6.3))
+
+
+@query("convex_hull_mask", f"""WITH {GRID_SQL}, p AS (SELECT r, c, v, c + 0.5 AS x, 40 - r - 0.5 AS y FROM g)
+SELECT r AS "row", c AS col, CASE WHEN sqrt(greatest(5.0 - x, 0, x - 41.0) ** 2 + greatest(8.0 - y, 0, y - 33.0) ** 2) <= 2.2 THEN v ELSE 65535 END::BIGINT AS value FROM p""")
+def convex_hull_mask(spark, sf):
+    hull = R.hull_of([(5.0, 8.0), (41.0, 8.0), (41.0, 33.0), (5.0, 33.0), (20.0, 20.0)])
+    return long_cells(R.mask(part_cells(spark, sf), META, hull, 2.2))
+
+
+@query("coords_to_idx", 'SELECT p_partkey, floor((5600000.0 - (5600000.0 - p_partkey * 3.7)) / 10.0)::BIGINT AS "row", floor((500000.0 + p_partkey % 499 - 500000.0) / 10.0)::BIGINT AS col FROM part')
+def coords_to_idx(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", (500000.0 + F.col("p_partkey") % 499).alias("x"), (5600000.0 - F.col("p_partkey") * 3.7).alias("y"))
+    return p.select("p_partkey", X.row_of(F.col("x"), F.col("y"), FIELD).cast("long").alias("row"), X.col_of(F.col("x"), F.col("y"), FIELD).cast("long").alias("col"))
+
+
+@query("idx_to_coords", "SELECT p_partkey, (500000.0 + (p_partkey % 50) * 10.0)::DOUBLE AS x, (5600000.0 - (p_partkey // 50) * 10.0)::DOUBLE AS y FROM part")
+def idx_to_coords(spark, sf):
+    n = F.col("p_partkey")
+    row, col = X.node_row(n, WIDTH), X.node_col(n, WIDTH)
+    return table(spark, sf, "part").select("p_partkey", X.x_of(row, col, FIELD).alias("x"), X.y_of(row, col, FIELD).alias("y"))
+
+
+@query("node_ids", f'WITH {GRID_SQL} SELECT r * 50 + c AS node, r AS "row", c AS col FROM g')
+def node_ids(spark, sf):
+    node = part_cells(spark, sf).select(X.node_id(F.col("row"), F.col("col"), WIDTH).alias("node"))
+    return node.select("node", X.node_row(F.col("node"), WIDTH).cast("long").alias("row"), X.node_col(F.col("node"), WIDTH).cast("long").alias("col"))
+
+
+# Neighbourhoods.
+
+
+@query("steps_rk", "SELECT k, r AS dr, c AS dc FROM range(1, 6) t(k), range(-5, 6) a(r), range(-5, 6) b(c) WHERE greatest(abs(r), abs(c)) <= k AND gcd(r, c) = 1")
+def steps_rk(spark, sf):
+    return spark.createDataFrame([(k, r, c) for k in range(1, 6) for r, c in N.steps(k)], "k long, dr long, dc long")
+
+
+@query("step_intermediates", """WITH s AS (SELECT r, c, greatest(abs(r), abs(c)) AS k FROM range(-4, 5) a(r), range(-4, 5) b(c) WHERE gcd(r, c) = 1),
+i AS (SELECT r, c, i, k, floor(i * r / k) AS f1, floor(i * c / k) AS f2, ceil(i * r / k) AS c1, ceil(i * c / k) AS c2 FROM s, range(1, 4) t(i) WHERE i < k),
+u AS (SELECT r, c, f1 AS ir, f2 AS ic FROM i UNION ALL SELECT r, c, c1, c2 FROM i UNION ALL SELECT r, c, r, 0 FROM s WHERE k = 1 AND r <> 0 AND c <> 0 UNION ALL SELECT r, c, 0, c FROM s WHERE k = 1 AND r <> 0 AND c <> 0)
+SELECT r AS dr, c AS dc, ir::BIGINT AS ir, ic::BIGINT AS ic, count(*) AS n FROM u GROUP BY ALL""")
+def step_intermediates(spark, sf):
+    rows = [(*s, *b) for s in N.steps(4) for b in N.between(*s)]
+    return spark.createDataFrame(rows, "dr long, dc long, ir long, ic long").groupBy("dr", "dc", "ir", "ic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("max_edges", "WITH s AS (SELECT k, r, c FROM range(1, 5) t(k), range(-4, 5) a(r), range(-4, 5) b(c) WHERE greatest(abs(r), abs(c)) <= k AND gcd(r, c) = 1 AND (r > 0 OR r = 0 AND c > 0)) SELECT k, sum((40 - abs(r)) * (50 - abs(c)))::BIGINT AS n FROM s GROUP BY k")
+def max_edges(spark, sf):
+    return spark.createDataFrame([(k, N.most_edges(40, 50, N.steps(k, False))) for k in range(1, 5)], "k long, n long")
+
+
+@query("lattice_errors", """WITH s AS (SELECT k, r, c FROM range(1, 5) t(k), range(-4, 5) a(r), range(-4, 5) b(c) WHERE greatest(abs(r), abs(c)) <= k AND gcd(r, c) = 1),
+d AS (SELECT k, atan2(c, r) AS a FROM s), n AS (SELECT k, a, coalesce(lead(a) OVER (PARTITION BY k ORDER BY a), min(a) OVER (PARTITION BY k) + 2 * pi()) - a AS g FROM d)
+SELECT k, round(max(2 * sin(g / 2) / sin(g)), 6) AS elongation, round(max(abs(sin(g / 2) ** 2 / sin(g))), 6) AS deviation FROM n GROUP BY k""")
+def lattice_errors(spark, sf):
+    return spark.createDataFrame([(k, *(round(e, 6) for e in N.largest_errors(k))) for k in range(1, 5)], "k long, elongation double, deviation double")
+
+
+# Graphs.
+
+
+def edges_sql(k: int, ignore: bool = True) -> str:
+    """CTE e(u, w, x): each edge once."""
+    parts = []
+    for dr, dc in N.steps(k, False):
+        over = [(dr, dc), *N.between(dr, dc)]
+        joins = " ".join(f"JOIN g c{i} ON c{i}.r = a.r + ({r}) AND c{i}.c = a.c + ({c})" + (f" AND c{i}.v <> 65535" if ignore else "") for i, (r, c) in enumerate(over))
+        total = " + ".join(["a.v", *(f"c{i}.v" for i in range(len(over)))])
+        parts.append(f"SELECT a.r * 50 + a.c AS u, c0.r * 50 + c0.c AS w, ({total}) * {N.factor(dr, dc)!r}::DOUBLE AS x FROM g a {joins}" + (" WHERE a.v <> 65535" if ignore else ""))
+    return "e AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def _edges_query(k: int) -> None:
+    @query(f"edges_r{k}", f"WITH {GRID_SQL}, {edges_sql(k)} SELECT u, w AS v, round(x, 6) AS w FROM e")
+    def run(spark, sf):
+        found = E.edges(part_cells(spark, sf), WIDTH, k)
+        # The same representative of each edge as in SQL: from the start of its undirected step.
+        return found.select("u", "v", r6("w").alias("w"))
+
+
+for _k in range(4):
+    _edges_query(_k)
+
+
+@query("edges_by_cells", f"WITH {GRID_SQL}, {edges_sql(2)} SELECT u, w AS v, round(x, 6) AS w FROM e")
+def edges_by_cells(spark, sf):
+    return E.edges_by_cells(part_cells(spark, sf), WIDTH, 2).select("u", "v", r6("w").alias("w"))
+
+
+@query("edges_keep_max", f"WITH {GRID_SQL}, {edges_sql(1, False)} SELECT u, w AS v, round(x, 6) AS w FROM e")
+def edges_keep_max(spark, sf):
+    return E.edges(part_cells(spark, sf), WIDTH, 1, ignore_max=False).select("u", "v", r6("w").alias("w"))
+
+
+@query("outgoing_edges", f"WITH {GRID_SQL}, {edges_sql(1)}, b AS (SELECT u, w, x FROM e UNION ALL SELECT w, u, x FROM e) SELECT u, w AS v, round(x, 6) AS w FROM b WHERE u = 75")
+def outgoing_edges(spark, sf):
+    return E.outgoing(part_cells(spark, sf), WIDTH, 1, 25, 1).select("u", "v", r6("w").alias("w"))
+
+
+@query("isolates", f"WITH {GRID_SQL}, {edges_sql(0)} SELECT r * 50 + c AS node FROM g WHERE r * 50 + c NOT IN (SELECT u FROM e UNION SELECT w FROM e)")
+def isolates(spark, sf):
+    cells = part_cells(spark, sf)
+    return E.isolated(cells, E.edges(cells, WIDTH, 0), WIDTH)
+
+
+@query("graph_counts", f"WITH {GRID_SQL}, {edges_sql(1)} SELECT count(*) AS n_edges, max(greatest(u, w)) + 1 AS n_nodes FROM e")
+def graph_counts(spark, sf):
+    return E.counts(E.edges(part_cells(spark, sf), WIDTH, 1))
+
+
+def dist_sql(k: int, start: str = "(SELECT min(r * 50 + c) FROM g WHERE v <> 65535)") -> str:
+    """Recursive CTEs up to d(n, dist)."""
+    return f"""WITH RECURSIVE {GRID_SQL}, {edges_sql(k)}, b AS (SELECT u, w, x FROM e UNION ALL SELECT w, u, x FROM e),
+d(n, dist) USING KEY (n) AS (SELECT {start}, 0.0::DOUBLE
+  UNION SELECT b.w, min(d.dist + b.x) FROM d JOIN b ON d.n = b.u LEFT JOIN recurring.d rd ON rd.n = b.w
+  GROUP BY b.w, rd.dist HAVING rd.dist IS NULL OR min(d.dist + b.x) < rd.dist)"""
+
+
+def ends(spark, sf) -> tuple[int, int]:
+    """The first and the last free node."""
+    node = X.node_id(F.col("row"), F.col("col"), WIDTH)
+    return tuple(part_cells(spark, sf).where(F.col("value") != X.FORBIDDEN).agg(F.min(node), F.max(node)).first())
+
+
+def _sssp_query(k: int) -> None:
+    @query(f"sssp_r{k}", dist_sql(k) + " SELECT n AS node, round(dist, 6) AS dist FROM d")
+    def run(spark, sf):
+        source = spark.createDataFrame([(ends(spark, sf)[0],)], "source long")
+        return route.distances(part_cells(spark, sf), part_height(spark, sf), WIDTH, source, k).select("node", r6("dist").alias("dist"))
+
+
+for _k in range(3):
+    _sssp_query(_k)
+
+
+@query("sssp_tiled", dist_sql(2) + " SELECT n AS node, round(dist, 6) AS dist FROM d")
+def sssp_tiled(spark, sf):
+    found = route.tiled_distances(part_cells(spark, sf), part_height(spark, sf), WIDTH, ends(spark, sf)[0], 2, side=32)
+    return found.select("node", r6("dist").alias("dist"))
+
+
+def _routes(spark, sf, sources, targets, pairwise=False, algorithm="dijkstra", k=1):
+    wanted = route.requests(spark, sources, targets, pairwise)
+    found = route.solve(part_cells(spark, sf), part_height(spark, sf), WIDTH, wanted, k, algorithm)
+    cost = F.when(F.col("cost") < math.inf, r6("cost"))
+    return found.select("ord", "source", "target", cost.alias("cost"))
+
+
+def _free(spark, sf, n: int) -> list[int]:
+    """n free nodes spread over the grid."""
+    node = X.node_id(F.col("row"), F.col("col"), WIDTH)
+    rows = part_cells(spark, sf).where((F.col("value") != X.FORBIDDEN) & (node % 23 == 0)).select(node.alias("n")).orderBy("n").limit(n).collect()
+    return [r[0] for r in rows]
+
+
+_FREE_SQL = "(SELECT n, row_number() OVER (ORDER BY n) - 1 AS i FROM (SELECT r * 50 + c AS n FROM g WHERE v <> 65535 AND (r * 50 + c) % 23 = 0))"
+_PICK = "(SELECT n FROM {f} WHERE i = {i})"
+
+
+def _pick(i: int) -> str:
+    return _PICK.format(f=_FREE_SQL, i=i)
+
+
+def _one_to_many_sql(start: int, n: int, swap: bool = False) -> str:
+    a, b = ("t.n", _pick(start)) if swap else (_pick(start), "t.n")
+    return dist_sql(1, _pick(start)) + f" SELECT t.i - {start + 1} AS ord, {a} AS source, {b} AS target, round(d.dist, 6) AS cost FROM {_FREE_SQL} t LEFT JOIN d ON d.n = t.n WHERE t.i > {start} AND t.i <= {start + n}"
+
+
+def _algorithm_query(name: str, algorithm: str) -> None:
+    sql = dist_sql(1) + ", z AS (SELECT max(r * 50 + c) AS t FROM g WHERE v <> 65535) SELECT 0::BIGINT AS ord, (SELECT min(r * 50 + c) FROM g WHERE v <> 65535) AS source, t AS target, round(dist, 6) AS cost FROM z LEFT JOIN d ON n = t"
+
+    @query(name, sql)
+    def run(spark, sf):
+        return _routes(spark, sf, *ends(spark, sf), algorithm=algorithm)
+
+
+for _name in route.ALGORITHMS:
+    _algorithm_query("route_1to1" if _name == "dijkstra" else f"route_{_name}", _name)
+
+
+@query("route_1toN", _one_to_many_sql(0, 3))
+def route_1_to_n(spark, sf):
+    a = _free(spark, sf, 4)
+    return _routes(spark, sf, a[0], a[1:])
+
+
+@query("route_Nto1", _one_to_many_sql(0, 3, swap=True))
+def route_n_to_1(spark, sf):
+    a = _free(spark, sf, 4)
+    return _routes(spark, sf, a[1:], a[0])
+
+
+def _several_sql(pairs: list[tuple[int, int]]) -> str:
+    """Requests between numbered free nodes: distances from all their sources at once."""
+    starts = sorted({a for a, _ in pairs})
+    seeds = " UNION ALL ".join(f"SELECT {_pick(a)} AS s, {_pick(a)} AS n, 0.0::DOUBLE AS dist" for a in starts)
+    wanted = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(pairs))
+    return f"""WITH RECURSIVE {GRID_SQL}, {edges_sql(1)}, b AS (SELECT u, w, x FROM e UNION ALL SELECT w, u, x FROM e),
+d(s, n, dist) USING KEY (s, n) AS ({seeds}
+  UNION SELECT d.s, b.w, min(d.dist + b.x) FROM d JOIN b ON d.n = b.u LEFT JOIN recurring.d rd ON rd.n = b.w AND rd.s = d.s
+  GROUP BY d.s, b.w, rd.dist HAVING rd.dist IS NULL OR min(d.dist + b.x) < rd.dist)
+SELECT q.o::BIGINT AS ord, a.n AS source, t.n AS target, round(d.dist, 6) AS cost FROM (VALUES {wanted}) q(o, x, y) JOIN {_FREE_SQL} a ON a.i = q.x JOIN {_FREE_SQL} t ON t.i = q.y LEFT JOIN d ON d.s = a.n AND d.n = t.n"""
+
+
+@query("route_pairwise", _several_sql([(0, 2), (1, 3)]))
+def route_pairwise(spark, sf):
+    a = _free(spark, sf, 4)
+    return _routes(spark, sf, a[:2], a[2:], pairwise=True)
+
+
+@query("route_allpairs", _several_sql([(0, 2), (0, 3), (1, 2), (1, 3)]))
+def route_allpairs(spark, sf):
+    a = _free(spark, sf, 4)
+    return _routes(spark, sf, a[:2], a[2:])
+
+
+@query("unreachable", f"WITH {GRID_SQL} SELECT 0::BIGINT AS ord, (SELECT min(r * 50 + c) FROM g WHERE v <> 65535) AS source, (SELECT min(r * 50 + c) FROM g WHERE v = 65535) AS target, NULL::DOUBLE AS cost")
+def unreachable(spark, sf):
+    node = X.node_id(F.col("row"), F.col("col"), WIDTH)
+    walled = part_cells(spark, sf).where(F.col("value") == X.FORBIDDEN).agg(F.min(node)).first()[0]
+    return _routes(spark, sf, ends(spark, sf)[0], walled)
+
+
+# Metrics, on paths that are the same everywhere.
+
+
+def fixed_paths(spark) -> DataFrame:
+    """Two paths through the first four rows: along a row, and by long steps."""
+    return spark.createDataFrame([(0, list(range(0, 30))), (1, [0, 51, 52, 103, 154, 105, 56, 57])], "path_id long, node_ids array<long>")
+
+
+_PATH_SQL = f"""WITH {GRID_SQL}, p AS (SELECT 0 AS id, unnest(range(0, 29)) AS a, unnest(range(1, 30)) AS b UNION ALL SELECT 1, unnest([0, 51, 52, 103, 154, 105, 56]), unnest([51, 52, 103, 154, 105, 56, 57])),
+s AS (SELECT id, a // 50 AS r, a % 50 AS c, b // 50 - a // 50 AS dr, b % 50 - a % 50 AS dc FROM p),
+o AS (SELECT id, r, c, sqrt(dr * dr + dc * dc) / CASE WHEN dr <> 0 AND dc <> 0 THEN 4 ELSE 2 END AS x, dr, dc FROM s),
+t AS (SELECT id, r, c, x FROM o UNION ALL SELECT id, r + dr, c + dc, x FROM o UNION ALL SELECT id, r + dr, c, x FROM o WHERE dr <> 0 AND dc <> 0 UNION ALL SELECT id, r, c + dc, x FROM o WHERE dr <> 0 AND dc <> 0),
+m AS (SELECT i.id, k.v AS category, coalesce(sum(x), 0) AS length FROM (SELECT DISTINCT id FROM p) i CROSS JOIN (SELECT DISTINCT v FROM g) k LEFT JOIN (SELECT id, x, v FROM t JOIN g USING (r, c)) l ON l.id = i.id AND l.v = k.v GROUP BY ALL)"""
+
+
+def _lengths(spark, sf):
+    return M.length_by_category(fixed_paths(spark), part_cells(spark, sf), WIDTH)
+
+
+@query("length_by_category", _PATH_SQL + " SELECT id::BIGINT AS path_id, category, round(length, 6) AS length FROM m")
+def length_by_category(spark, sf):
+    return _lengths(spark, sf).select("path_id", F.col("category").cast("long").alias("category"), r6("length").alias("length"))
+
+
+@query("path_percent", _PATH_SQL + ", z AS (SELECT id, sum(length) AS total FROM m GROUP BY id) SELECT m.id::BIGINT AS path_id, category, round(length / total * 100, 6) AS percent FROM m JOIN z ON m.id = z.id")
+def path_percent(spark, sf):
+    return M.shares(_lengths(spark, sf)).select("path_id", F.col("category").cast("long").alias("category"), r6("percent").alias("percent"))
+
+
+@query("path_cost_consistency", _PATH_SQL + " SELECT id::BIGINT AS path_id, round(sum(length), 6) AS total_length, round(sum(length * category), 6) AS total_cost FROM m GROUP BY id")
+def path_cost_consistency(spark, sf):
+    return M.totals(_lengths(spark, sf)).select("path_id", r6("total_length").alias("total_length"), r6("total_cost").alias("total_cost"))
+
+
+@query("path_export_records", _PATH_SQL + ", n AS (SELECT * FROM (VALUES (0, 29 * 10.0, 29 * 10.0), (1, sqrt(2) * 50 + 20.0, sqrt(70.0 ** 2 + 10.0 ** 2))) v(id, len, far)) SELECT m.id::BIGINT AS path_id, round(sum(length), 6) AS total_length, round(max(n.len), 6)::DOUBLE AS length_m, round(max(far), 6)::DOUBLE AS euclidean_distance, round(sum(length) FILTER (category = 65535), 6) AS length_cost_65535 FROM m JOIN n ON m.id = n.id GROUP BY m.id")
+def path_export_records(spark, sf):
+    rows = M.wide(M.records(fixed_paths(spark), _lengths(spark, sf), FIELD), [X.FORBIDDEN])
+    return rows.select("path_id", r6("total_length").alias("total_length"), r6("length_m").alias("length_m"), r6("euclidean_distance").alias("euclidean_distance"), r6("length_cost_65535").alias("length_cost_65535"))
+
+
+# Heuristics and lines.
+
+
+@query("astar_heuristic", f"WITH {GRID_SQL} SELECT r * 50 + c AS node, round(sqrt(((r - 2) * (r - 2) + (c - 40) * (c - 40))::DOUBLE) * (SELECT min(v) FROM g WHERE v <> 65535) * 0.8, 6) AS h FROM g")
+def astar_heuristic(spark, sf):
+    cells = part_cells(spark, sf)
+    least = F.broadcast(route.least_value(cells))  # one row
+    h = route.heuristic(F.col("row"), F.col("col"), F.lit(2), F.lit(40), F.col("least"), 0.8)
+    return cells.crossJoin(least).select(X.node_id(F.col("row"), F.col("col"), WIDTH).alias("node"), r6(h).alias("h"))
+
+
+_LINE_SQL = "l AS (SELECT floor((2 * 3 * c + 47) / 94)::BIGINT AS r, c + 1 AS c FROM range(0, 48) t(c))"
+
+
+@query("bresenham", f'WITH {_LINE_SQL} SELECT r AS "row", c AS col FROM l')
+def bresenham(spark, sf):
+    line = spark.range(1).select(F.explode(X.line_cells(*map(F.lit, (3, 48, 0, 1)))).alias("p"))
+    back = spark.range(1).select(F.explode(X.line_cells(*map(F.lit, (0, 1, 3, 48)))).alias("p"))
+    return line.intersect(back).select(F.col("p.row").cast("long").alias("row"), F.col("p.col").cast("long").alias("col"))
+
+
+@query("advanced_heuristic", f"WITH {GRID_SQL}, {_LINE_SQL} SELECT min(v)::DOUBLE AS least FROM g JOIN l ON abs(g.r - l.r) <= 1 AND abs(g.c - l.c) <= 1 WHERE v <> 65535")
+def advanced_heuristic(spark, sf):
+    return route.least_near_line(part_cells(spark, sf), (0, 1), (3, 48), 1)
+
+
+def _ends_table(spark, sf, name: str) -> DataFrame:
+    k = F.col({"supplier": "s_suppkey", "customer": "c_custkey"}[name])
+    # Coordinates that no two rows share, spread by a multiplier.
+    return table(spark, sf, name).select(k.alias("id"), ((k * 7919) % 10007).cast("double").alias("x"), ((k * 104729) % 10009).cast("double").alias("y"))
+
+
+_ENDS_SQL = "a AS (SELECT s_suppkey AS id, ((s_suppkey * 7919) % 10007)::DOUBLE AS x, ((s_suppkey * 104729) % 10009)::DOUBLE AS y FROM supplier), b AS (SELECT c_custkey AS id, ((c_custkey * 7919) % 10007)::DOUBLE AS x, ((c_custkey * 104729) % 10009)::DOUBLE AS y FROM customer)"
+_D = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)"
+
+
+@query("knn_targets", f"WITH {_ENDS_SQL}, r AS (SELECT a.id AS id, b.id AS other, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS n FROM a, b) SELECT id, other, round(d, 6) AS distance, n AS rank FROM r WHERE n <= 3")
+def knn_targets(spark, sf):
+    found = R.nearest(_ends_table(spark, sf, "supplier"), _ends_table(spark, sf, "customer"), 3, 1000.0)
+    return found.select("id", "other", r6("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("nearest", f"WITH {_ENDS_SQL}, r AS (SELECT a.id AS id, b.id AS other, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS n FROM a, b) SELECT id, other, round(d, 6) AS distance FROM r WHERE n = 1")
+def nearest(spark, sf):
+    found = R.nearest(_ends_table(spark, sf, "supplier"), _ends_table(spark, sf, "customer"), 1, 500.0)
+    return found.select("id", "other", r6("distance").alias("distance"))
+
+
+@query("farthest_pair", f"WITH {_ENDS_SQL} SELECT round(max({_D}), 6) AS distance FROM a, b")
+def farthest_pair(spark, sf):
+    return R.farthest_pair(_ends_table(spark, sf, "supplier"), _ends_table(spark, sf, "customer")).select(r6("distance").alias("distance"))
+
+
+@query("buffer_estimate", f"""WITH {GRID_SQL}, {_LINE_SQL}, x AS (SELECT avg((v = 65535)::INT) AS ratio FROM g JOIN l USING (r, c)),
+w AS (SELECT l.c AS at, stddev_pop(v) / avg(v) AS cv FROM l JOIN g ON abs(g.r - l.r) <= 3 AND abs(g.c - l.c) <= 3 WHERE v <> 65535 GROUP BY l.c)
+SELECT round(max(ratio), 6) AS obstacle_ratio, round(avg(cv), 6) AS variation FROM x, w""")
+def buffer_estimate(spark, sf):
+    cells = part_cells(spark, sf)
+    got = R.buffer_statistics(cells, X.RasterMeta(40, 50, 1.0, 0.0, 0.0, 0.0, -1.0, 40.0), (1.5, 39.5), (48.5, 36.5), box=3)
+    return got.select(r6("obstacle_ratio").alias("obstacle_ratio"), r6("variation").alias("variation"))
+
+
+# Services and collections.
+
+
+@query("wfs_grid", f"WITH {box_sql('customer')}, b AS (SELECT min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d FROM f) SELECT round(a + i * (c - a) / 4, 6)::DOUBLE AS minx, round(b + j * (d - b) / 3, 6)::DOUBLE AS miny FROM b, range(4) x(i), range(3) y(j)")
+def wfs_grid(spark, sf):
+    b = R.total_bounds(rectangles(spark, sf, "customer"))
+    cells = b.select(F.explode(wfs.grid_columns(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), 4, 3)).alias("c"))
+    return cells.select(r6("c.minx").alias("minx"), r6("c.miny").alias("miny"))
+
+
+@query("bbox_expand", f"WITH {box_sql('customer')} SELECT round(min(x0) - 0.1 * (max(x1) - min(x0)), 6)::DOUBLE AS minx, round(max(y1) + 0.1 * (max(y1) - min(y0)), 6)::DOUBLE AS maxy FROM f")
+def bbox_expand(spark, sf):
+    b = wfs.expand(tuple(R.total_bounds(rectangles(spark, sf, "customer")).first()))
+    return spark.createDataFrame([(round(b[0], 6), round(b[3], 6))], "minx double, maxy double")
+
+
+@query("dedupe_union", f"WITH {box_sql('customer')}, n AS (SELECT s_suppkey AS k, (s_suppkey * 7) % 45 AS x0, (s_suppkey * 11) % 35 AS y0, (s_suppkey * 7) % 45 + 3 + s_suppkey % 5 AS x1, (s_suppkey * 11) % 35 + 2 + s_suppkey % 4 AS y1 FROM supplier) SELECT DISTINCT ((x1 - x0) * (y1 - y0))::DOUBLE AS area, x0::DOUBLE AS x, y0::DOUBLE AS y FROM (SELECT x0, y0, x1, y1 FROM f UNION SELECT x0, y0, x1, y1 FROM n)")
+def dedupe_union(spark, sf):
+    rows = wfs.union([rectangles(spark, sf, n).select("polygon", "kind") for n in ("customer", "supplier")])
+    box = G.bbox(F.col("polygon"))
+    return rows.select(G.area(F.col("polygon")).alias("area"), box["minx"].alias("x"), box["miny"].alias("y"))
+
+
+@query("fuzzy_layer")
+def fuzzy_layer(spark, sf):
+    names = [r[0] for r in table(spark, sf, "nation").select("n_name").orderBy("n_name").collect()]
+    wanted = [n.lower()[:-1] + "x" for n in names]
+    return spark.createDataFrame([(w, wfs.best_layer(w, names)) for w in wanted], "wanted string, layer string")
+
+
+@query("reproject_round_trip", "SELECT p_partkey, 6.0 + (p_partkey % 600) / 100.0 AS lon, 45.0 + (p_partkey % 1000) / 100.0 AS lat FROM part")
+def reproject_round_trip(spark, sf):
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").select("p_partkey", (6.0 + (k % 600) / 100.0).alias("lon"), (45.0 + (k % 1000) / 100.0).alias("lat"))
+    x, y = G.reproject(F.col("lon"), F.col("lat"), 4326, 25832)
+    p = p.select("p_partkey", x.alias("x"), y.alias("y"))
+    lon, lat = G.reproject(F.col("x"), F.col("y"), 25832, 4326)
+    return p.select("p_partkey", F.round(lon, 2).alias("lon"), F.round(lat, 2).alias("lat"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
