@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -15,6 +15,19 @@ from gridloom.session import store
 SALTS = 16
 
 
+_clear: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Say that an operator now fills this worker's memory of words; the other ones' is cleared.
+
+    Workers outlive stages, so what several operators remember would add up.
+    """
+    for other in [x for x in _clear if x != name]:
+        _clear.pop(other)()
+    _clear[name] = clear
+
+
 def partition_id() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0

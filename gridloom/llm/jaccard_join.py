@@ -255,7 +255,7 @@ def region_members(texts: DataFrame, n: int, radius: Radius) -> DataFrame:
 def _hash_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 128):
-            sets = [W.signed(W.shingles(W.hashed((t or b"").lower().split()), n)) for t in as_bytes(batch["text"])]
+            sets = [np.sort(W.signed(W.shingles(W.hashed((t or b"").lower().split()), n))) for t in as_bytes(batch["text"])]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "hashes"])

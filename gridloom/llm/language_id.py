@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.frames import as_bytes, pieces
+from gridloom.llm.frames import as_bytes, claim, pieces
 from gridloom.session import ship
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -225,6 +225,7 @@ _scorers: dict[int, Scorer] = {}
 
 
 def _scorer(shared) -> Scorer:
+    claim("language_id", _scorers.clear)
     if shared.id not in _scorers:
         _scorers.clear()
         _scorers[shared.id] = Scorer(shared.value)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.frames import as_bytes, partition_id, pieces
+from gridloom.llm.frames import as_bytes, claim, partition_id, pieces
 from gridloom.session import ship, store
 
 CAPACITY, END_ID = 4096, 1
@@ -151,6 +151,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def _encoder(path: str) -> WordIds:
+    claim("packing", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordIds(path if os.path.isabs(path) else tokenizer_path(path))
     return _encoders[path]
@@ -176,21 +177,23 @@ def _tokenise(path: str, capacity: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, ranks, src = _encoder(path), Counter(), partition_id()
-        gc.freeze()  # the tables of words hold no cycles; going through them again and again is slow
-        gc.disable()
-        for keys, raw in by_bytes(batches):
-            texts = [t.split() for t in raw]
-            ids = encoder.learn(texts)
-            rows = []
-            for key, words in zip(keys, texts, strict=True):
-                data = b"".join(map(ids.__getitem__, words)) + end
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    length = len(part) // 4
-                    rows.append((key, piece, at // 4, length, zlib.crc32(part), src, ranks[length]))
-                    ranks[length] += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "src", "local"])
+        gc.disable()  # the tables of words hold no cycles; going through them again and again is slow
+        try:
+            for keys, raw in by_bytes(batches):
+                texts = [t.split() for t in raw]
+                ids = encoder.learn(texts)
+                rows = []
+                for key, words in zip(keys, texts, strict=True):
+                    data = b"".join(map(ids.__getitem__, words)) + end
+                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        length = len(part) // 4
+                        rows.append((key, piece, at // 4, length, zlib.crc32(part), src, ranks[length]))
+                        ranks[length] += 1
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "src", "local"])
+        finally:
+            gc.enable()
 
     return run
 
@@ -209,8 +212,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     sequences = 0
 
     def put(size: int, number: int, first: int, each: int, offset: int) -> None:
-        runs.append((size, given[size], first, each, offset))
-        given[size] += number
+        if number:
+            runs.append((size, given[size], first, each, offset))
+            given[size] += number
 
     def keep(room: int, first: int, number: int) -> None:
         if room and number:
@@ -220,42 +224,33 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
             free[room].append((first, number))
 
     large = sorted(s for s in left if 3 * s > capacity)
+    def take(size: int, number: int) -> None:
+        left[size] -= number
+        if not left[size]:
+            large.remove(size)
+
     while large:
         a = large[-1]
         at = bisect_left(large, capacity - a + 1) - 1
-        if at < 0:  # nothing fits beside it
+        if at >= 0 and large[at] == a and left[a] > 1:
+            n = left[a] // 2
+            put(a, 2 * n, sequences, 2, 0)
+            keep(capacity - 2 * a, sequences, n)
+            take(a, 2 * n)
+        elif (at := at - (at >= 0 and large[at] == a)) < 0:  # nothing fits beside it
             n = left[a]
             put(a, n, sequences, 1, 0)
             keep(capacity - a, sequences, n)
-        elif (b := large[at]) == a:
-            n = left[a] // 2 + left[a] % 2
-            put(a, left[a] // 2 * 2, sequences, 2, 0)
-            keep(capacity - 2 * a, sequences, left[a] // 2)
-            if left[a] % 2:
-                last = sequences + left[a] // 2
-                put(a, 1, last, 1, 0)
-                rest = large[:-1]
-                if rest and (fit := bisect_left(rest, capacity - a + 1) - 1) >= 0:
-                    b = rest[fit]
-                    put(b, 1, last, 1, a)
-                    keep(capacity - a - b, last, 1)
-                    left[b] -= 1
-                    if not left[b]:
-                        large.remove(b)
-                else:
-                    keep(capacity - a, last, 1)
+            take(a, n)
         else:
+            b = large[at]
             n = min(left[a], left[b])
             put(a, n, sequences, 1, 0)
             put(b, n, sequences, 1, a)
             keep(capacity - a - b, sequences, n)
-            left[b] -= n
-            if not left[b]:
-                large.remove(b)
+            take(a, n)
+            take(b, n)
         sequences += n
-        left[a] -= n if at < 0 or b != a else left[a]
-        if a in large and not left[a]:
-            large.remove(a)
     for size in sorted((s for s in left if 3 * s <= capacity), reverse=True):
         n = left[size]
         while n:

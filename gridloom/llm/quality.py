@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.frames import as_bytes, pieces
+from gridloom.llm.frames import as_bytes, claim, pieces
 from gridloom.session import ship
 
 #: Hashed word features; the shape features follow them.
@@ -58,6 +58,7 @@ class Features:
             self.word[at], self.bits[at] = token_traits(token)
 
     def of(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        claim("quality", self.clear)
         split = [(t or b"").split() for t in texts]
         if len(self.place) > CACHE_ENTRIES:
             self.clear()

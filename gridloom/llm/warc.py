@@ -23,6 +23,7 @@ from gridloom.session import new_path, ship
 
 VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
+_CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 _END = b"\r\n\r\n"
 _MAGIC = b"\x1f\x8b\x08"
 #: A gzip member of nothing. The text sink puts it between rows, which keeps the file a sequence of members.
@@ -68,15 +69,18 @@ def _parse(data: bytes, at: int) -> Found | tuple[str, int]:
     cut = data.find(_END, line.end() - 2, line.end() + HEADER_LIMIT)
     if cut < 0:
         return "header without end", -1
+    head = data[line.end() : cut]
+    if _VERSION_LINE.search(head) or _CONTROL.search(head):
+        return "damaged header", -1
     headers = {}
-    for row in data[line.end() : cut].split(b"\r\n"):
+    for row in head.split(b"\r\n"):
         name, colon, value = row.partition(b":")
         if not colon and row.strip():
             return "damaged header", -1
         if colon:
             headers[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
-    if not (length.isascii() and length.isdigit()) or "warc-type" not in headers:
+    if not (length.isascii() and length.isdigit()) or not {"warc-type", "warc-record-id"} <= headers.keys():
         return "damaged header", -1
     start = cut + 4
     end = start + int(length)

@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from gridloom.llm.frames import claim
+
 #: Odd multipliers (the golden-ratio constant of splitmix64 and two of its mixers).
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -37,6 +39,7 @@ def split(text: str | None, lower: bool = False) -> list[bytes]:
 
 def hashed(words: list[bytes]) -> np.ndarray:
     """uint64 hash of each word."""
+    claim("words", _cache.clear)
     if len(_cache) > CACHE_ENTRIES:
         _cache.clear()
     return np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
