@@ -19,8 +19,11 @@ __all__ = ["FORBIDDEN", "edges", "edges_by_cells", "grid_rows", "isolated", "mos
 
 def grid_rows(cells: DataFrame, width: int) -> DataFrame:
     """(row, vals): a raster's rows as arrays by column; null where there is no cell."""
-    pairs = F.map_from_entries(F.collect_list(F.struct("col", "value")))
-    return cells.groupBy("row").agg(pairs.alias("m")).select("row", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.col("m")[c]).alias("vals"))
+    rows = cells.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("s"))
+    full = F.transform("s", lambda x: x["value"])
+    # Columns without a cell need a look-up for each place; most rows have none.
+    some = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.map_from_entries("s")[c])
+    return rows.select("row", F.when(F.size("s") == width, full).otherwise(some).alias("vals"))
 
 
 def edges(cells: DataFrame, width: int, of: Sequence[Step] | int | str = 1, ignore_max: bool = True) -> DataFrame:

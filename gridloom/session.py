@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
+#: Rows and bytes that go to Python workers at once, where the session sets neither: texts can be long.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
 _stored: dict[str, list[str]] = {}
@@ -38,8 +40,11 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors, once for each application, and bound what workers get at once."""
     app = spark.sparkContext.applicationId
+    for key, value in ARROW.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     if app in _shipped:
         return
     folder = tempfile.mkdtemp(prefix="gridloom-ship-")
