@@ -1 +1 @@
-
+"""Cells, neighbourhoods and geometry."""

@@ -1 +1 @@
-
+"""Costs, rasters, edges, routes and metrics."""

@@ -1 +1 @@
-
+"""Files and services, in and out."""

@@ -1 +1 @@
-
+"""Nothing yet: the routing engine has no streams; overlays are pure functions and can run in foreachBatch."""
