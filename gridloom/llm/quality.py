@@ -25,8 +25,8 @@ SPACE = 1 << 18
 SHAPES, STEPS = 5, 8
 #: Labelled rows to fit on, chosen by a hash of the id; texts that a word feature must be in.
 TRAIN_ROWS, MIN_TEXTS = 8_000, 3
-ROUNDS, PENALTY = 150, 0.3
-CACHE_ENTRIES = 1_000_000
+ROUNDS, PENALTY = 300, 1.0
+CACHE_ENTRIES = 500_000
 GRADES = 3
 _EDGE = b" \t\r\n.,;:!?\"'()[]{}<>|*#$%&@=+~^_-/\\`"
 
