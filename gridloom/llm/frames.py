@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import threading
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -15,17 +20,51 @@ from gridloom.session import store
 SALTS = 16
 
 
+#: Seconds without use after which a worker forgets its words; idle workers live on for a minute or more.
+FORGET_AFTER = 4.0
 _clear: dict[str, Callable[[], None]] = {}
+_lock = threading.RLock()
+_state = {"used": 0.0, "keeper": None}
 
 
-def claim(name: str, clear: Callable[[], None]) -> None:
-    """Say that an operator now fills this worker's memory of words; the other ones' is cleared.
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
-    Workers outlive stages, so what several operators remember would add up.
+
+def _forget() -> None:
+    for name in list(_clear):
+        _clear.pop(name)()
+    _trim()
+
+
+def _keep() -> None:
+    while True:
+        time.sleep(1)
+        with _lock:
+            if _clear and time.monotonic() - _state["used"] > FORGET_AFTER:
+                _forget()
+
+
+@contextlib.contextmanager
+def memory(name: str, clear: Callable[[], None]) -> Iterator[None]:
+    """Use what this worker remembers for an operator; what it remembers for others is cleared.
+
+    Workers outlive stages, and several wait idle on an executor, so what each remembers would
+    add up. ``clear`` is called when another operator begins, or when nothing was used for a while.
     """
-    for other in [x for x in _clear if x != name]:
-        _clear.pop(other)()
-    _clear[name] = clear
+    with _lock:
+        if name not in _clear:
+            _forget()
+            _clear[name] = clear
+            pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back
+            if _state["keeper"] is None:
+                _state["keeper"] = threading.Thread(target=_keep, daemon=True)
+                _state["keeper"].start()
+        yield
+        _state["used"] = time.monotonic()
 
 
 def partition_id() -> int:

@@ -40,6 +40,8 @@ BROADCAST_IDS = 1_000_000
 CLASS_RATIO = 1.5
 #: Sets of an entry beyond which it is common, and members of a region for each copy of its pivot.
 COMMON, COPY_MEMBERS = 64, 1024
+#: Entries that a task gathers before it sends them.
+GATHER = 1 << 19
 
 
 class Radius:
@@ -196,7 +198,7 @@ def _postings(n: int, radius: Radius):
                 key, allow = entries(h, radius)
                 held.append((key, np.full(len(key), who, np.int64), allow))
                 size += len(key)
-                if size > 1 << 21:
+                if size > GATHER:
                     yield out()
                     held, size = [], 0
         if size:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.frames import as_bytes, claim, pieces
+from gridloom.llm.frames import as_bytes, memory, pieces
 from gridloom.session import ship
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -27,7 +27,7 @@ TRAIN_ROWS = 2_000
 ROUNDS, SMOOTHING = 4, 0.02
 #: Letters of the longest piece; longer words are scored in parts of PART letters.
 LONGEST, PART = 10, 32
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
@@ -224,8 +224,12 @@ class Scorer:
 _scorers: dict[int, Scorer] = {}
 
 
+def forget() -> None:
+    """Drop this worker's scorers; a function, as a closure would carry a copy of the table."""
+    _scorers.clear()
+
+
 def _scorer(shared) -> Scorer:
-    claim("language_id", _scorers.clear)
     if shared.id not in _scorers:
         _scorers.clear()
         _scorers[shared.id] = Scorer(shared.value)
@@ -252,9 +256,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = _Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
         for batch in pieces(batches, 256):
-            names, scores = scorer.predict(as_bytes(batch["text"]))
+            with memory("language_id", forget):
+                names, scores = _scorer(shared).predict(as_bytes(batch["text"]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -266,9 +270,9 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_s
     shared = _Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
         for batch in pieces(batches, 256):
-            names, scores = scorer.predict(as_bytes(batch[text_col]))
+            with memory("language_id", forget):
+                names, scores = _scorer(shared).predict(as_bytes(batch[text_col]))
             yield batch.filter(pa.array([n != UNDETERMINED and s >= min_score for n, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

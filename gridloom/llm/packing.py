@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.frames import as_bytes, claim, partition_id, pieces
+from gridloom.llm.frames import as_bytes, memory, partition_id, pieces
 from gridloom.session import ship, store
 
 CAPACITY, END_ID = 4096, 1
@@ -37,7 +37,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Text that is tokenised together.
 LEARN_BYTES, LEARN_ROWS = 4 << 20, 8192
 #: Words whose ids a worker remembers, and the longest such word in bytes.
-CACHE_ENTRIES, CACHED_BYTES = 700_000, 64
+CACHE_ENTRIES, CACHED_BYTES = 500_000, 64
 #: ASCII marks that may follow a word.
 MARKS = b".,;:!?"
 
@@ -150,8 +150,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def forget() -> None:
+    """Drop this worker's encoders; a function, as a closure would carry a copy of the table."""
+    _encoders.clear()
+
+
 def _encoder(path: str) -> WordIds:
-    claim("packing", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordIds(path if os.path.isabs(path) else tokenizer_path(path))
     return _encoders[path]
@@ -176,12 +180,13 @@ def _tokenise(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ranks, src = _encoder(path), Counter(), partition_id()
+        ranks, src = Counter(), partition_id()
         gc.disable()  # the tables of words hold no cycles; going through them again and again is slow
         try:
             for keys, raw in by_bytes(batches):
                 texts = [t.split() for t in raw]
-                ids = encoder.learn(texts)
+                with memory("packing", forget):
+                    ids = _encoder(path).learn(texts)
                 rows = []
                 for key, words in zip(keys, texts, strict=True):
                     data = b"".join(map(ids.__getitem__, words)) + end
@@ -330,10 +335,10 @@ def sequences(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_c
     end = [end_id]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
         for batch in pieces(batches, 64):
             texts = [(t or b"").split() for t in as_bytes(batch["text"])]
-            ids = encoder.learn(texts)
+            with memory("packing", forget):
+                ids = _encoder(tokenizer).learn(texts)
             rows = []
             for key, words in zip(batch["id"].to_pylist(), texts, strict=True):
                 data = np.concatenate([np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4"), np.array(end, "<u4")]).astype(np.int32)

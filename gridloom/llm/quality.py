@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.frames import as_bytes, claim, pieces
+from gridloom.llm.frames import as_bytes, memory, pieces
 from gridloom.session import ship
 
 #: Hashed word features; the shape features follow them.
@@ -58,7 +58,10 @@ class Features:
             self.word[at], self.bits[at] = token_traits(token)
 
     def of(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        claim("quality", self.clear)
+        with memory("quality", self.clear):
+            return self._of(texts)
+
+    def _of(self, texts: list[bytes | None]) -> list[np.ndarray]:
         split = [(t or b"").split() for t in texts]
         if len(self.place) > CACHE_ENTRIES:
             self.clear()
@@ -143,6 +146,11 @@ def fit(features: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS, pe
 _features = Features()
 
 
+def features_of(texts: list[bytes | None]) -> list[np.ndarray]:
+    """By this worker's own table; a closure would carry a copy of it."""
+    return _features.of(texts)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most about ``train_rows`` labelled documents (labels: id, quality, toxic).
 
@@ -161,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["grade"], pa.array(_features.of(as_bytes(batch["text"])), pa.list_(pa.int32()))], ["id", "grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["grade"], pa.array(features_of(as_bytes(batch["text"])), pa.list_(pa.int32()))], ["id", "grade", "features"])
 
     table = rows.mapInArrow(featured, "id long, grade int, features array<int>").toArrow().sort_by("id")
     return fit([np.array(f, np.int32) for f in table["features"].to_pylist()], table["grade"].to_numpy())
@@ -178,7 +186,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
-            tail = shared.value.at_least(shared.value.scores(_features.of(as_bytes(batch["text"]))))
+            tail = shared.value.at_least(shared.value.scores(features_of(as_bytes(batch["text"]))))
             columns = [tail.sum(axis=1), tail[:, 0], tail[:, 1]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, columns), pa.array(tail[:, 1] >= min_good)], ["doc_id", "expected_grade", "p_not_toxic", "p_good", "kept"])
 

@@ -9,14 +9,14 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from gridloom.llm.frames import claim
+from gridloom.llm.frames import memory
 
 #: Odd multipliers (the golden-ratio constant of splitmix64 and two of its mixers).
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 #: Entries of a worker's word cache before it starts anew; about 150 bytes each.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 200_000
 
 
 class WordHashes(dict):
@@ -39,10 +39,10 @@ def split(text: str | None, lower: bool = False) -> list[bytes]:
 
 def hashed(words: list[bytes]) -> np.ndarray:
     """uint64 hash of each word."""
-    claim("words", _cache.clear)
-    if len(_cache) > CACHE_ENTRIES:
-        _cache.clear()
-    return np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
+    with memory("words", _cache.clear):
+        if len(_cache) > CACHE_ENTRIES:
+            _cache.clear()
+        return np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
