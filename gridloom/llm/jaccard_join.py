@@ -71,7 +71,7 @@ class Radius:
         A pair within the radius has at least 1 + both slacks equal parts.
         """
         differ = 2 * end * (self.den - self.num) // (self.den + self.num)
-        weak, common = 2 + differ // 8, 2 + differ // 6
+        weak, common = 2 + differ // 8, 2 + differ // 3
         return differ, weak, common, differ + 1 + weak + common
 
 
