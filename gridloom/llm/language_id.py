@@ -27,7 +27,7 @@ TRAIN_ROWS = 2_000
 ROUNDS, SMOOTHING = 4, 0.02
 #: Letters of the longest piece; longer words are scored in parts of PART letters.
 LONGEST, PART = 10, 32
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 700_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
