@@ -6,6 +6,10 @@ and an unknown class is trained on altered templates and on paragraphs of a boun
 sample of the corpus; a logistic fit on held-out examples calibrates the probability
 that a paragraph is a licence at all. A prediction is confirmed if enough of a template of that
 family is in the paragraph.
+
+Notices that are wrapped over lines, or share a line with others, are found by their words: wherever
+enough of a template's word pairs lie close together, line ends and comment marks left out, these
+words are classified as a paragraph of their own, as are the lines between blank lines.
 """
 
 from __future__ import annotations
@@ -81,6 +85,8 @@ ALTERED, ROUNDS, PENALTY = 60, 120, 1e-4
 CONFIRM = 0.6
 #: Probability of being a licence from which a prediction is looked at.
 MIN_PROBABILITY = 0.5
+#: A template of n words is looked for among n + max(n, SLACK) consecutive words.
+SLACK = 16
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c in b"\n" or 97 <= c <= 122 or 48 <= c <= 57 or c in b".-" else 32 for c in range(256))
 
 
@@ -112,6 +118,8 @@ class Model:
     slope: float
     offset: float
     templates: list[tuple[int, np.ndarray]]  # family, sorted hashes of its word pairs
+    holds: np.ndarray  # [feature, template]: 1 for a word pair of the template
+    spans: list[int]  # words among which a template is looked for
 
     def probabilities(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Family and calibrated probability of being a licence, from sums of weights."""
@@ -182,7 +190,8 @@ def fit(negatives: list[list[bytes]], seed: int = 7) -> Model:
         q = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -40, 40)))
         slope -= 0.02 * ((q - smooth) * margin).mean()
         offset -= 0.02 * (q - smooth).mean()
-    return Model(families, features, w, float(slope), float(offset), shapes)
+    holds = np.stack([np.isin(features, pairs) for _, pairs in shapes], axis=1).astype(float)
+    return Model(families, features, w, float(slope), float(offset), shapes, holds, [len(x) + max(len(x), SLACK) for _, x in templates()])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Model:
@@ -198,35 +207,125 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     return fit([words for line in table["line"].to_pylist() for words in paragraphs(line)])
 
 
-def _classify(model: Model, texts: list[bytes | None]) -> list[list[tuple[int, int, float, float]]]:
-    """For each text: (paragraph, family, probability, share of the best template) of likely licences."""
-    out: list[list[tuple[int, int, float, float]]] = []
+def _windows(pairs: list[int], places: list[int], span: int, need: float) -> list[tuple[int, int]]:
+    """The best of each cluster of windows of ``span`` words with ``need`` distinct pairs: first and last of ``places``."""
+    out: list[tuple[int, int]] = []
+    held: dict[int, int] = {}
+    left, best = 0, None
+    for right, pair in enumerate(pairs):
+        held[pair] = held.get(pair, 0) + 1
+        while places[right] + 2 - places[left] > span or held[pairs[left]] > 1:
+            held[pairs[left]] -= 1
+            if not held[pairs[left]]:
+                del held[pairs[left]]
+            left += 1
+        if len(held) < need:
+            continue
+        if best and places[left] > places[best[2]]:
+            out.append(best[1:])
+            best = None
+        if best is None or (len(held), places[best[2]] - places[best[1]]) > (best[0], places[right] - places[left]):
+            best = (len(held), left, right)
+    return [*out, best[1:]] if best else out
+
+
+def _classify(model: Model, texts: list[bytes | None], confirm: float = CONFIRM) -> list[list[tuple[int, int, float, float, bool]]]:
+    """For each text: (paragraph, family, probability, share of the best template, confirmed) of likely licences."""
+    sizes_of = model.holds.sum(axis=0)
+    family_of = np.array([k for k, _ in model.templates])
+    out: list[list[tuple[int, int, float, float, bool]]] = []
     for text in texts:
         lines = paragraphs(text)
         sizes = np.array([len(x) for x in lines])
         h = W.hashed([w for line in lines for w in line])
         line = np.repeat(np.arange(len(lines)), sizes)
         found, where = [], []
-        for n, g in enumerate(grams(h)):
+        for g in grams(h):
             at = np.searchsorted(model.features, g)
             at[at == len(model.features)] = 0
             hit = np.flatnonzero(model.features[at] == g)
-            hit = hit[line[hit] == line[hit + n]]  # not across lines
             found.append(at[hit])
-            where.append(line[hit])
-        f, owner = np.concatenate(found), np.concatenate(where)
-        got: list[tuple[int, int, float, float]] = []
-        if len(f):
-            both = np.unique(np.stack([owner, f]), axis=1)
-            some, index = np.unique(both[0], return_inverse=True)
-            sums = np.tile(model.weights[-1], (len(some), 1))
-            np.add.at(sums, index, model.weights[both[1]])
-            family, p = model.probabilities(sums)
-            for i in np.flatnonzero(p >= MIN_PROBABILITY):
-                own = _pairs(lines[some[i]])
-                share = max(len(np.intersect1d(pairs, own)) / len(pairs) for k, pairs in model.templates if k == family[i])
-                got.append((int(some[i]), int(family[i]), float(p[i]), float(share)))
-        out.append(got)
+            where.append(hit)
+        f, first = np.concatenate(found), np.concatenate(where)
+        if not len(f):
+            out.append([])
+            continue
+        last = first + np.repeat([0, 1, 2], [len(x) for x in found])
+        inside = line[first] == line[last]
+        both = np.unique(np.stack([line[first[inside]], f[inside]]), axis=1)
+        some, index = np.unique(both[0], return_inverse=True)
+        sums = np.tile(model.weights[-1], (len(some), 1))
+        np.add.at(sums, index, model.weights[both[1]])
+        family, p = model.probabilities(sums)
+        got: list[tuple[int, int, float, float, bool]] = []
+        # Candidates: kind (0 line, 1 lines between blank lines, 2 window), family, probability, share, whether
+        # the classifier's family, first and last word, places of its template's word pairs.
+        candidates: list[tuple[int, int, float, float, bool, int, int, np.ndarray]] = []
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        pairs, places = found[1], where[1]
+
+        def compare(k: int, start: int, end: int, pairs=pairs, places=places) -> tuple[float, np.ndarray]:
+            """The share of the family's best template in the words from start to end, and its places."""
+            own = slice(*np.searchsorted(places, [start, end]))
+            seen = np.zeros(len(model.features))
+            seen[pairs[own]] = 1
+            shares = np.where(family_of == k, seen @ model.holds / sizes_of, -1.0)
+            return float(shares.max()), places[own][model.holds[pairs[own], shares.argmax()] > 0]
+
+        def judge(start: int, end: int, but: np.ndarray | None = None, f=f, first=first, last=last) -> tuple[int, float]:
+            """The classifier's family and probability of some words, those sequences left out that are all of ``but``."""
+            own = (first >= start) & (last <= end)
+            if but is not None:
+                free = np.concatenate([[0], np.cumsum(~but)])
+                own &= free[last + 1] > free[first]
+            family, p = model.probabilities((model.weights[np.unique(f[own])].sum(axis=0) + model.weights[-1])[None, :])
+            return int(family[0]), float(p[0])
+
+        for i in np.flatnonzero(p >= MIN_PROBABILITY):
+            start, end = int(starts[some[i]]), int(starts[some[i] + 1]) - 1
+            share, own = compare(family[i], start, end)
+            if share >= confirm:
+                candidates.append((0, int(family[i]), float(p[i]), share, True, start, end, own))
+            else:
+                got.append((int(some[i]), int(family[i]), float(p[i]), max(share, 0.0), False))
+        seen = np.zeros(len(model.features))
+        seen[pairs] = 1
+        near = np.flatnonzero(seen @ model.holds / sizes_of >= confirm)
+        for t in near if len(lines) > 1 or len(near) > 1 or not candidates else ():
+            k = int(family_of[t])
+            own = np.flatnonzero(model.holds[pairs, t])
+            at = places[own]
+            for i, j in _windows(pairs[own].tolist(), at.tolist(), model.spans[t], max(1.0, confirm * sizes_of[t] - 1e-6)):
+                start, end = int(at[i]), int(at[j]) + 1
+                own_family, likely = judge(start, end)
+                share = len(np.unique(pairs[own[i : j + 1]])) / float(sizes_of[t])
+                candidates.append((2, k, likely, share, own_family == k, start, end, at[i : j + 1]))
+        if len(near):
+            blank = np.concatenate([[-1], np.flatnonzero(sizes == 0), [len(lines)]])
+            for a, b in zip(blank[:-1] + 1, blank[1:], strict=True):
+                start, end = int(starts[a]), int(starts[b]) - 1
+                if b - a > 1:
+                    k, likely = judge(start, end)
+                    share, own = compare(k, start, end)
+                    if share >= confirm and likely >= MIN_PROBABILITY:
+                        candidates.append((1, k, likely, share, True, start, end, own))
+        # The surest first. What shares most of its words with a family that is there already is that family's.
+        taken, words = np.full(len(h), -1), np.zeros(len(h), bool)
+        for kind, k, likely, share, sure, start, end, own in sorted(candidates, key=lambda c: (not c[4], -c[3], -len(c[7]), c[0], c[5])):
+            by = taken[own]
+            if kind and 2 * (by == k).sum() > len(own):
+                continue
+            right = 2 * ((by >= 0) & (by != k)).sum() <= len(own)
+            if right and not sure:
+                other, likely = judge(start, end, words)
+                right = other == k
+            right = bool(right and likely >= MIN_PROBABILITY)
+            if right:
+                taken[own[by < 0]] = k
+                words[own] = words[own + 1] = True
+            if right or not kind:
+                got.append((int(line[start]), k, likely, share, right))
+        out.append(sorted(got))
     return out
 
 
@@ -234,7 +333,8 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per document: doc_id, n_paragraphs, licences, and array ``found`` of structs.
 
     ``found``: paragraph (line, from 0), family, probability, similarity, confirmed; one for each
-    paragraph that the classifier takes for a licence. ``licences``: the confirmed families,
+    line that the classifier takes for a licence, and one, with its first line, for each confirmed notice
+    that is not one whole line. ``n_paragraphs`` counts lines. ``licences``: the confirmed families,
     sorted, joined by commas ('' if none). Null counts as empty, with one empty paragraph.
     Rows with repeated or null ids are scanned one by one. Other columns are not read. An
     empty table gives no rows.
@@ -246,7 +346,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         names = shared.value.families
         for batch in pieces(batches, 256):
             texts = as_bytes(batch["text"])
-            found = [[{"paragraph": a, "family": names[f], "probability": p, "similarity": s, "confirmed": s >= confirm} for a, f, p, s in x] for x in _classify(shared.value, texts)]
+            found = [[{"paragraph": a, "family": names[f], "probability": p, "similarity": s, "confirmed": c} for a, f, p, s, c in x] for x in _classify(shared.value, texts, confirm)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 from collections import defaultdict
 
 import numpy as np
@@ -426,3 +427,30 @@ def test_licences(spark):
     assert rows[0].found[0].paragraph == 1 and rows[0].n_paragraphs == 3 and rows[3].n_paragraphs == 1
     held = [words for t in plain["text"] for words in licences.paragraphs(t)]
     assert licences.fit(held[:500]).families == list(licences.TEMPLATES)
+
+
+WRAPPED = {
+    "MIT": (78, "MIT License\n\nCopyright (c) 2020 A. Name\n\n", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
+    "BSD": (72, "", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    "GPL": (70, "", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "LGPL": (70, "", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    "CC-BY-SA": (46, "", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+}
+
+
+def test_licences_over_lines(spark):
+    plain = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pydict()["text"]]
+    want = []
+    for family, (width, head, notice) in WRAPPED.items():
+        for mark in ("", "# ", " * ", "// "):
+            wrapped = "\n".join(mark + row for row in (head + textwrap.fill(notice, width)).split("\n"))
+            want += [(t, family) for t in (wrapped, f"def f():\n{wrapped}\nreturn 1", wrapped.replace("\n", "\r\n"), wrapped.replace("\n", "\n\n"))]
+    prose = max((t for t in plain if "licen" not in t.lower() and "rights" not in t.lower()), key=len).replace("\n", " ")
+    want += [(prose, ""), ("Licensed under the Mozilla Public\nLicense, version 2.0", "MPL-2.0")]
+    # Two in one line, two in a document of one line, two wrapped into each other.
+    want.append(("Licensed under the Apache License, Version 2.0 or the MIT License.", "Apache-2.0,MIT"))
+    want.append((f"{prose} {WRAPPED['MIT'][2]} {prose} {WRAPPED['GPL'][2]} {prose}", "GPL,MIT"))
+    want.append((textwrap.fill(f"{WRAPPED['BSD'][2]} {WRAPPED['LGPL'][2]}", 60), "BSD,LGPL"))
+    rows = licences.scan(docs(spark, [t for t, _ in want]), licences.train(docs(spark, plain))).collect()
+    got = {r.doc_id: r.licences for r in rows}
+    assert [(t, got[i]) for i, (t, _) in enumerate(want)] == want
