@@ -3,7 +3,8 @@
 A source's mean repetition rate is its target share of the output over its share of
 the input. Each document draws its number of copies from a Poisson distribution with
 that mean: a uniform number from a hash of seed and id is put through the inverse
-distribution, so draws need no state and repeat exactly. Copies are then shuffled
+distribution, so draws need no state and repeat exactly. A large mean is drawn as the sum of
+several draws of smaller means, which has the same distribution. Copies are then shuffled
 globally by a second hash.
 """
 
@@ -19,8 +20,11 @@ SEED = "mix-1"
 BROADCAST_SOURCES = 20_000
 #: Sources weigh as this power of their size unless weights are given.
 TEMPERATURE = 0.5
-#: The highest mean repetition rate; a source that is smaller still is repeated this often.
+#: The highest mean of one draw (exp(-mean) underflows from about 745); larger rates are drawn in equal
+#: parts. The SQL draws once and holds rates at this, so it tells the same only for rates up to it.
 MAX_RATE = 500.0
+#: Copies of a row that are made at a time.
+COPIES = 4096
 
 
 def uniform(seed: str, *columns: Column) -> Column:
@@ -34,8 +38,7 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", w
 
     The output holds ``size`` times the input's characters, shared by ``weights``
     (any positive scale; sources without one get none), or by each source's characters
-    to the power TEMPERATURE. Sources without characters get the rate 0, and no rate is
-    above MAX_RATE.
+    to the power TEMPERATURE. Sources without characters get the rate 0.
     """
     chars = F.coalesce(F.length(text_col), F.lit(0)).cast("long")
     sums = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(chars).alias("chars"))
@@ -49,7 +52,7 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", w
     sums = sums.withColumn("weight", weight)
     totals = sums.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
     rate = F.col("weight") / F.col("all_weight") * F.col("all_chars") * F.lit(float(size)) / F.col("chars")
-    return sums.crossJoin(F.broadcast(totals)).select("source", "chars", F.coalesce(F.when(F.col("chars") > 0, F.least(rate, F.lit(MAX_RATE))), F.lit(0.0)).alias("rate"))
+    return sums.crossJoin(F.broadcast(totals)).select("source", "chars", F.coalesce(F.when(F.col("chars") > 0, rate), F.lit(0.0)).alias("rate"))
 
 
 def distribution(rate: Column) -> Column:
@@ -72,14 +75,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     empty texts count no characters but are drawn at their source's rate. Columns named
     copy or order_key are replaced. An empty table stays empty.
     """
-    steps = rates(docs, source_col, text_col, weights, size).select(F.col("source").alias("_source"), distribution(F.col("rate")).alias("_steps"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE).cast("int"))
+    steps = rates(docs, source_col, text_col, weights, size).withColumn("_parts", parts)
+    steps = steps.select(F.col("source").alias("_source"), "_parts", distribution(F.col("rate") / F.col("_parts")).alias("_steps"))
     steps = small(steps, "rates", BROADCAST_SOURCES)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     names = [c for c in docs.columns if c not in ("copy", "order_key")]
     rows = docs.select(F.col(source_col).alias("source"), key.alias("key"), uniform(seed, key).alias("draw"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     drawn = rows.join(steps, F.col("source").eqNullSafe(F.col("_source")))
-    drawn = drawn.withColumn("n", F.expr("size(filter(_steps, s -> draw >= s))")).where("n > 0")
-    out = drawn.select("row", "key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    count = lambda draw: F.size(F.filter("_steps", lambda s: draw >= s))
+    more = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: uniform(f"{seed}-part", i, F.col("key")))
+    more = F.when(F.col("_parts") > 1, F.aggregate(more, F.lit(0), lambda n, draw: n + count(draw))).otherwise(0)
+    drawn = drawn.withColumn("n", count(F.col("draw")) + more).where("n > 0")
+    drawn = drawn.select("row", "key", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(COPIES))).alias("first"))
+    last = F.least(F.col("n"), F.col("first") + COPIES) - 1
+    out = drawn.select("row", "key", F.explode(F.sequence(F.col("first"), last)).alias("copy"))
     out = out.withColumn("order_key", F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.col("key"), F.col("copy").cast("string"))))
     out = out.repartitionByRange("order_key").sortWithinPartitions("order_key", "key")
     return out.select("row.*", "copy", "order_key")

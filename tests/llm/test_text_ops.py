@@ -291,6 +291,19 @@ def test_poisson_steps(spark):
         assert mean == pytest.approx(rate, abs=1e-6)
 
 
+@pytest.mark.parametrize("n_big", [5_000, 30_000])
+def test_mixing_large_rates(spark, n_big):
+    df = spark.range(n_big + 3).select(F.col("id").alias("doc_id"), F.lit("abcdefgh").alias("text"), F.when(F.col("id") < 3, "tiny").otherwise("big").alias("source"))
+    rate = (n_big + 3) / 6
+    got = mixing.rates(df, weights={"big": 1.0, "tiny": 1.0}).where("source = 'tiny'").first().rate
+    assert got == pytest.approx(rate) and rate > 500
+    rows = mixing.mix(df, weights={"big": 1.0, "tiny": 1.0}).where("source = 'tiny'").groupBy("doc_id").agg(F.collect_list("copy").alias("copies"), F.countDistinct("order_key").alias("keys")).collect()
+    assert len(rows) == 3 and len({len(r.copies) for r in rows}) > 1
+    for r in rows:
+        assert abs(len(r.copies) - rate) < 5 * rate**0.5
+        assert sorted(r.copies) == list(range(len(r.copies))) and r["keys"] == len(r.copies)
+
+
 def test_mixing_odd_rows(spark):
     df = docs(spark, [None, "", "a", LONG]).unionByName(docs(spark, ["b"]).withColumn("doc_id", F.lit(None).cast("long")))
     df = df.withColumn("source", F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("text").substr(1, 1), F.lit("e"))))
