@@ -13,24 +13,29 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.frames import attach, as_bytes, pieces
-from gridloom.session import new_path, ship
+from gridloom.session import new_path, ship, store
 
 VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
+_VERSION_ROW = re.compile(rb"(?m)^WARC/1\.[01]\r?$")
+#: What is percent-encoded in a written URI: white space and controls.
+_ODD = re.compile(r"[\s\x00-\x1f\x7f-\x9f]")
 _CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_ONCE = {"warc-type", "warc-record-id", "content-length"}
 _END = b"\r\n\r\n"
 _MAGIC = b"\x1f\x8b\x08"
 #: A gzip member of nothing. The text sink puts it between rows, which keeps the file a sequence of members.
 _NOTHING = bytes.fromhex("1f8b080000000000000303000000000000000000")
 #: Compressed bytes of a row of the sink, and rows of a file: archives of about 32 MB.
 BLOCK_BYTES, BLOCKS_IN_FILE = 1 << 20, 32
-#: A header longer than this is damage.
+#: Bytes in which a header's end is looked for at once; that of a longer one before the next version line.
 HEADER_LIMIT = 1 << 16
 PREFIX = "urn:x-record:"
 
@@ -67,10 +72,13 @@ def _parse(data: bytes, at: int) -> Found | tuple[str, int]:
     if not (line := _VERSION_LINE.match(data, at)):
         return "no version line", -1
     cut = data.find(_END, line.end() - 2, line.end() + HEADER_LIMIT)
+    if cut < 0:
+        later = _VERSION_ROW.search(data, line.end())
+        cut = data.find(_END, line.end() - 2, later.start() if later else len(data))
     if cut < 0:
         return "header without end", -1
     head = data[line.end() : cut]
-    if _VERSION_LINE.search(head) or _CONTROL.search(head):
+    if _VERSION_ROW.search(head) or _CONTROL.search(head):
         return "damaged header", -1
     headers = {}
     for row in head.split(b"\r\n"):
@@ -78,7 +86,10 @@ def _parse(data: bytes, at: int) -> Found | tuple[str, int]:
         if not colon and row.strip():
             return "damaged header", -1
         if colon:
-            headers[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+            key = name.strip().decode("utf-8", "replace").lower()
+            if key in headers and key in _ONCE:  # two headers run together
+                return "damaged header", -1
+            headers[key] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()) or not {"warc-type", "warc-record-id"} <= headers.keys():
         return "damaged header", -1
@@ -169,7 +180,7 @@ def _writer(date: str, compressed: bool):
                 headers = {
                     "WARC-Record-ID": f"<{PREFIX}{'null' if key is None else key}>",
                     "WARC-Date": date,
-                    **({"WARC-Target-URI": re.sub(r"\s", "%20", uri)} if uri else {}),
+                    **({"WARC-Target-URI": _ODD.sub(lambda m: quote(m[0]), uri)} if uri else {}),
                     "Content-Type": "application/http; msgtype=response",
                     "WARC-Payload-Digest": f"sha1:{digest(payload)}",
                 }
@@ -279,11 +290,18 @@ def gaps(found: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Pages -> archives in the shared folder -> a row per page, from the archives."""
+    """Pages -> archives in the shared folder -> a row per page, from the archives.
+
+    RuntimeError if the archives don't give back as many records as there are pages.
+    """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path)
+    found = store(read_archives(spark, path, with_payload=False).drop("payload"), "records")
+    written, read = pages.count(), records(found).count()
+    if read != written:
+        raise RuntimeError(f"{written} pages written, {read} records read; {gaps(found).take(3)}")
     number = lambda c: F.expr(f"try_cast({c} as bigint)")
-    return records(read_archives(spark, path, with_payload=False)).select(
+    return records(found).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), number("refers_to").alias("refers_to")
     )
