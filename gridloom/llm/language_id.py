@@ -24,6 +24,8 @@ from gridloom.session import ship
 VOCABULARY = "piece_bpe_32k.model"
 #: Training rows to fit on; chosen by a hash of the id from all training rows.
 TRAIN_ROWS = 2_000
+#: Rows that a language gets at least, if it has as many.
+LANGUAGE_ROWS = 30
 ROUNDS, SMOOTHING = 4, 0.02
 #: Letters of the longest piece; longer words are scored in parts of PART letters.
 LONGEST, PART = 10, 32
@@ -136,19 +138,32 @@ def bucket(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
+def quotas(sizes: dict[str, int], train_rows: int) -> dict[str, float]:
+    """Rows for each language: equal parts of ``train_rows``; what small languages leave goes to larger ones."""
+    out, left = {}, float(train_rows)
+    for n, (lang, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(float(size), max(LANGUAGE_ROWS, left / (len(sizes) - n)))
+        left -= out[lang]
+    return out
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, vocabulary_name: str = VOCABULARY) -> Model:
     """Fit on at most about ``train_rows`` rows with a language, outside the held-out fold.
 
-    The sample is a fixed share of a hash of the id, so its words, summed in Spark, are
-    bounded too. Rows without id, text or language teach nothing; without any training row the
+    The sample is, for each language, a fixed share of a hash of the id, so its words, summed in Spark,
+    are bounded too. Every language with a training row is in it; with many languages LANGUAGE_ROWS
+    of each may be more than ``train_rows``. Rows without id, text or language teach nothing; without any training row the
     model knows no language.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (bucket("id") != 0))
-    total = rows.select("id", "lang").count()
-    if total > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * train_rows / total))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    langs = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).collect()}
+    if sum(r["n"] for r in langs.values()) > train_rows:
+        # The row of the least hash is always in, as rows of one id share their hash.
+        limits = [(lang, max(int((1 << 30) * rows_of / langs[lang]["n"]), langs[lang]["least"] + 1)) for lang, rows_of in quotas({k: r["n"] for k, r in langs.items()}, train_rows).items()]
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, _limit long")), "lang").where(place < F.col("_limit"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

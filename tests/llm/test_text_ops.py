@@ -416,6 +416,20 @@ def test_language_id_held_out(spark):
     assert kept.columns == df.columns and kept.count() >= df.count() - 2
 
 
+def test_language_sample_holds_every_language(spark):
+    common = docs(spark, [f"the house of number w{i}" for i in range(4000)])
+    rare = [docs(spark, [f"{word} {word}{word}"] * 5, 10_000 + 5 * n).withColumn("lang", F.lit(lang)) for n, (lang, word) in enumerate([("xa", "zugzwang"), ("xb", "pomlad"), ("xc", "kivi"), ("xd", "haruspex")])]
+    one_id = docs(spark, ["bonjour monsieur"] * 400).withColumn("doc_id", F.lit(77).cast("long")).withColumn("lang", F.lit("xe"))
+    df = common.unionByName(one_id)
+    for part in rare:
+        df = df.unionByName(part)
+    model = language_id.train(df, train_rows=100)
+    assert model.langs == ["en", "xa", "xb", "xc", "xd", "xe"]
+    got = language_id.predict(docs(spark, ["pomlad", "kivi", "the house of"]), model).collect()
+    assert [r.lang_pred for r in sorted(got)] == ["xb", "xc", "en"]
+    assert language_id.quotas({"a": 3, "b": 1000, "c": 10**6}, 2000) == {"a": 3.0, "b": 998.5, "c": 998.5}
+
+
 def test_quality_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
