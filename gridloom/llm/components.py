@@ -79,10 +79,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = mark
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: neighbours above u go to u's smallest neighbour (or u).
-        lows = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        large = attach(both.where("v > u"), lows, ["u"], [F.col("v")], "inner").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        lows = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count(F.lit(1)).alias("n"))
+        large = attach(both.where("v > u"), lows, ["u"], [F.col("v")], "inner", "n").select(F.col("v").alias("u"), F.col("low").alias("v"))
         # Small star: u and its smaller neighbours go to the smallest of them.
-        mins = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(mins, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").unionAll(mins.select("u", F.col("low").alias("v")))
+        mins = large.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n"))
+        small = attach(large, mins, ["u"], [F.col("v")], "inner", "n").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").unionAll(mins.select("u", F.col("low").alias("v")))
         now = store(small.distinct().mapInArrow(_contract, "u long, v long"), "edges")
     raise RuntimeError("components did not settle")

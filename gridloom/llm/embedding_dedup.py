@@ -215,7 +215,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     forest = components(found.where("v is not null").select("u", "v")).select(F.col("node").alias("rep"), "component")
     facts = copies.select("label", "vector", "rep", "n").join(linked, "rep", "left").join(forest, "rep", "left")
     facts = facts.select("label", "vector", "rep", "n", "links", "component").where("n > 1 or links is not null")
-    members = attach(usable, facts, ["label", "vector"], [F.col("id")], "inner")
+    members = attach(usable, facts.withColumn("_n", F.col("n")), ["label", "vector"], [F.col("id")], "inner", "_n")
     members = members.groupBy("id").agg((F.sum(F.coalesce("links", F.lit(0)) + F.col("n") - 1)).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component"))
     out = rows.select("id").join(members, "id", "left")
     low = F.coalesce("component", "id")

@@ -158,7 +158,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     verified = verified.select(F.xxhash64("_text").alias("fp"), F.unhex(F.sha2("_text", 256)).alias("sha"), "group_size")
     tops = found.groupBy("fp", "sha").agg(F.max(F.struct("id", "src", "pos")).alias("top"))
     groups = verified.join(tops, ["fp", "sha"])
-    marked = attach(rows, groups, ["fp", "sha"], [F.col("src"), F.col("pos")])
+    marked = attach(rows, groups, ["fp", "sha"], [F.col("src"), F.col("pos")], "left", "group_size")
     alone = F.col("top").isNull()
     return marked.select(
         F.col("id").alias("doc_id"),

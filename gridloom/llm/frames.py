@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from gridloom.session import store
 
-#: Replicas of a small side that joins rows of which one key may hold a third.
-SALTS = 16
+#: Members beyond which a group is dealt over several tasks, and how many groups may be so at most.
+HOT_ROWS, HOT_KEYS = 2048, 1_000_000
 
 
 #: Seconds without use after which a worker forgets its words; idle workers live on for a minute or more.
@@ -84,15 +84,29 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
-def attach(left: DataFrame, right: DataFrame, keys: list[str], spread: list[Column], how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Join group facts to the members of groups, the members of a group dealt over ``salts`` tasks.
+def attach(left: DataFrame, right: DataFrame, keys: list[str], spread: list[Column], how: str, rows: str, broadcast: int = 0) -> DataFrame:
+    """Join facts of groups to the members of groups, the members of a large group dealt over several tasks.
 
-    ``right`` holds one row for each key, and only keys of groups; it is copied
-    ``salts`` times. ``spread``: what tells the members of a group apart.
+    ``right`` holds one row for each key; its column ``rows`` tells how many members a group has.
+    A group of more than HOT_ROWS is dealt over as many parts as that goes into it, and only its
+    facts are copied. The table of such groups is broadcast: if there are very many members, HOT_ROWS
+    rises so that no more than HOT_KEYS groups can be large. ``spread``: what tells the members
+    of a group apart. Facts of up to ``broadcast`` groups are broadcast as a whole.
     """
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    right = store(right, "facts")
+    groups, members = right.agg(F.count(F.lit(1)), F.sum(rows)).first()
+    if groups <= broadcast:
+        return left.join(F.broadcast(right), keys, how)
+    limit = max(HOT_ROWS, (members or 0) // HOT_KEYS)
+    hot = right.where(F.col(rows) > limit).select(*keys, F.ceil(F.col(rows) / limit).cast("int").alias("_parts"))
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    hot = F.broadcast(store(hot, "hot"))
+    part = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int"), F.lit(0))
+    left = left.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    right = right.join(hot, keys, "left").withColumn("_part", F.explode(copies)).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
 
 
 def small(df: DataFrame, label: str, rows: int) -> DataFrame:

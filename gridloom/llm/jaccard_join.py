@@ -6,11 +6,17 @@
    has equal parts. A part's members are one entry; of all sets with an equal entry the
    one with the smallest id is the pivot and every other joins the pivot's region. A set
    belongs to all regions whose pivot it may share a cell with: the boundary copies.
-3. In a region, distances to the pivot are taken in blocks. Members within the radius link
-   to the pivot. Any other member is compared with those members that the triangle
-   inequality leaves open: |d(a, pivot) - d(b, pivot)| within the radius. Blocks of such
-   members join recursively: one more pivot, its distances, narrower windows.
-4. Links make components. Two members that both link to a pivot are connected already.
+3. In a region, members within the radius link to the pivot; the others are open. Blocks of
+   members join exactly: each open member is a further pivot whose distances, with the triangle
+   inequality, say who is left to be compared.
+4. A region of several blocks goes on with the labels of the components found so far, as only
+   members with different labels need comparing. Further pivots cut it into Voronoi
+   regions: a member's home is its nearest pivot, and it is also put, as a boundary copy, into every
+   region whose pivot is at most two radii farther. These join in the same way, recursively. Distances
+   here are those between sketches, a metric that never exceeds the difference of the sets.
+   Where pivots do not separate the members, pairs of blocks are compared; members with
+   a common label are gathered in blocks of their own, which never meet.
+5. Links make components. A block sends no more links than it has members.
 
 Global Voronoi regions over corpus pivots would not prune here: distances between
 unrelated texts crowd at 1, so every window would hold every document. Routing by equal
@@ -24,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as W
@@ -32,8 +38,10 @@ from gridloom.llm.components import components
 from gridloom.llm.frames import as_bytes, attach, pieces, small
 from gridloom.session import ship, store
 
-#: Members of a block of a region.
-BLOCK = 256
+#: Members, and shingles, of a block of a region.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Further pivots of a region, and the bytes of all their sketches up to which these are broadcast.
+PIVOTS, BROADCAST_BYTES = 16, 32 << 20
 #: Ids (8 bytes each) up to which they are broadcast; beyond, texts are shuffled by id.
 BROADCAST_IDS = 1_000_000
 #: Ratio of the largest to the smallest size of a size class.
@@ -65,14 +73,27 @@ class Radius:
             ends.append(max(ends[-1] + 1, int(ends[-1] * CLASS_RATIO)))
         return ends
 
-    def parts(self, end: int) -> tuple[int, int, int, int]:
-        """D, the slack for weak and for common entries, and the number of parts, for pairs whose larger set has at most ``end`` shingles.
+    def difference(self, size):
+        """The most shingles in which two sets within the radius differ, by the sum of their sizes."""
+        return size * (self.den - self.num) // (self.den + self.num)
 
-        A pair within the radius has at least 1 + both slacks equal parts.
+    @lru_cache(maxsize=None)
+    def parts(self, end: int) -> tuple[int, int, int]:
+        """D, the slack for common entries, and the number of parts, for pairs whose larger set has at most ``end`` shingles.
+
+        There are enough parts that even the class's smallest sets have D + 1 + slack parts that
+        are not empty, but for rare cases.
         """
-        differ = 2 * end * (self.den - self.num) // (self.den + self.num)
-        weak, common = 2 + differ // 8, 2 + differ // 3
-        return differ, weak, common, differ + 1 + weak + common
+        differ = self.difference(2 * end)
+        least = max(1, int(end / CLASS_RATIO))
+        common = min(2 + differ // 3, max(0, least - differ - 2))
+        need = parts = differ + 1 + common
+        while parts < 16 * least:
+            empty = (1 - 1 / parts) ** least
+            if parts * (1 - empty) - 2 * (parts * empty * (1 - empty)) ** 0.5 >= need:
+                break
+            parts += 1 + parts // 16
+        return differ, common, parts
 
 
 def class_hash(h: np.ndarray) -> tuple[int, int]:
@@ -84,9 +105,9 @@ def class_hash(h: np.ndarray) -> tuple[int, int]:
 def entries(h: np.ndarray, radius: Radius) -> tuple[np.ndarray, np.ndarray]:
     """Entries of a set, for its size class and, where a partner may be there, the next ones; for each its class's slack for common ones.
 
-    A set leaves out its smallest parts, as many as the slack for weak entries allows. Of
-    two sets the one that leaves out more still has 1 + common equal parts that it does not
-    leave out, nor does the other.
+    A set sends its D + 1 + slack largest parts (of equally large ones those with the largest keys).
+    Of two sets, the one whose smallest part sent is larger differs from the other in at
+    most D of those, and the other one sends all that are equal: 1 + slack at least.
     """
     n = len(h)
     none = np.empty(0, np.uint64), np.empty(0, np.int32)
@@ -97,15 +118,17 @@ def entries(h: np.ndarray, radius: Radius) -> tuple[np.ndarray, np.ndarray]:
     mixed = W.mix(h ^ W.GOLDEN)
     halves = (mixed & np.uint64(0xFFFFFFFF)).astype(float), (mixed >> np.uint64(32)).astype(float)
     for c in range(np.searchsorted(ends, n), np.searchsorted(ends, radius.most(n)) + 1):
-        differ, weak, common, parts = radius.parts(ends[c])
+        differ, common, parts = radius.parts(ends[c])
         if not differ:
             continue
         part = ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
         lo, hi = np.bincount(part, halves[0], parts), np.bincount(part, halves[1], parts)
         sizes = np.bincount(part, minlength=parts)
-        least = np.sort(sizes)[weak]  # fewer than weak + 1 parts are smaller than this
-        key = W.mix(lo.astype(np.uint64) + (hi.astype(np.uint64) << np.uint64(32)) + np.arange(parts, dtype=np.uint64) * W.MIX_1 + np.uint64((int(c) * int(W.GOLDEN)) & 0xFFFFFFFFFFFFFFFF))
-        keys.append(key[sizes >= least])
+        salt = np.arange(parts, dtype=np.uint64) * W.MIX_1 + np.uint64((int(c) * int(W.GOLDEN)) & 0xFFFFFFFFFFFFFFFF)
+        key = W.mix(lo.astype(np.uint64) + (hi.astype(np.uint64) << np.uint64(32)) + salt)
+        order = (sizes.astype(np.uint64) << np.uint64(40)) | (key >> np.uint64(24))
+        out = parts - (differ + 1 + common)
+        keys.append(key[order >= np.partition(order, out)[out]] if out > 0 else key)
         allow.append(np.full(len(keys[-1]), common, np.int32))
     return (np.concatenate(keys), np.concatenate(allow)) if keys else none
 
@@ -130,7 +153,7 @@ def _folded(rows: np.ndarray, width: int) -> np.ndarray:
 
 def may_link(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray, radius: Radius) -> np.ndarray:
     """False for pairs (of equal places in a and b) whose sketches or sizes forbid a link."""
-    most = (n + m) * (radius.den - radius.num) // (radius.den + radius.num)
+    most = radius.difference(n + m)
     maybe = np.abs(n - m) <= most
     widths = np.array([[len(x) for x in a], [len(x) for x in b]]).reshape(2, -1)
     for wa, wb in np.unique(widths[:, maybe], axis=1).T.tolist():
@@ -241,16 +264,22 @@ def region_members(texts: DataFrame, n: int, radius: Radius) -> DataFrame:
     makes such). A pair within the radius has an entry in common that isn't, unless both sets
     have more common ones than the slack; only such sets meet in common entries.
     """
+    def meeting(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+        """Rows joined to facts of common entries; a common entry's rows never go to one task."""
+        if facts.count() <= BROADCAST_IDS:
+            return rows.join(F.broadcast(facts), "entry", how)
+        return attach(rows, facts, ["entry"], [F.col("id")], how, "n")
+
     postings = texts.mapInArrow(_postings(n, radius), "key long, id long, allow int, behind boolean, entry long")
     met = store(postings.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meet, "entry long, id long, allow int"), "met")
-    common = small(met.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("entry"), "common", BROADCAST_IDS)
-    usual = met.join(common, "entry", "left_anti").select("entry", "id")
-    hot = met.join(common, "entry", "left_semi")
+    common = store(met.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON), "common")
+    usual = meeting(met, common, "left_anti").select("entry", "id")
+    hot = meeting(met, common, "left_semi")
     full = hot.groupBy("id", "allow").agg(F.count(F.lit(1)).alias("n")).where("n > allow").select("id", "allow")
     hot = store(hot.join(full, ["id", "allow"], "left_semi").select("entry", "id"), "common-members")
     firsts = usual.groupBy("entry").agg(F.min("id").alias("pivot"))
-    hot_firsts = small(hot.groupBy("entry").agg(F.min("id").alias("pivot")), "common-pivots", BROADCAST_IDS)
-    members = usual.join(firsts, "entry").unionByName(hot.join(hot_firsts, "entry"))
+    hot_firsts = store(hot.groupBy("entry").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")), "common-pivots")
+    members = usual.join(firsts, "entry").unionByName(meeting(hot, hot_firsts, "inner").drop("n"))
     return store(members.where("pivot <> id").select("pivot", "id").distinct(), "regions")
 
 
@@ -299,46 +328,51 @@ def _to_pivot(radius: Radius):
     return run
 
 
-def _near_pairs(radius: Radius):
+_CELL = ["region", "i", "j"]
+_CELL_TYPES = [pa.int64(), pa.int64(), pa.int64()]
+
+
+def _near(radius: Radius):
     def run(table: pa.Table) -> pa.Table:
-        """A block pair of a region, by sketches -> the members that may link with an open one."""
-        ids, is_open = table["id"].to_numpy(), table["open"].to_numpy(zero_copy_only=False)
-        order = np.lexsort((~is_open, ids))
-        first = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]  # a member of both blocks comes once, open
-        ids, is_open = ids[first], is_open[first]
-        sizes, bits = table["size"].to_numpy()[first], table["bits"].combine_chunks().take(pa.array(first)).to_pylist()
+        """The members of a block or two, by sketches -> those that may link with one of another label."""
+        ids, home, label = (table[c].to_numpy(zero_copy_only=False) for c in ("id", "home", "label"))
+        sizes, bits = table["size"].to_numpy(), table["bits"].to_pylist()
+        lengths = np.array([len(x) for x in bits])
         use = np.zeros(len(ids), bool)
-        for width in sorted({len(x) for x in bits}):
-            own = np.flatnonzero([len(x) == width for x in bits])
-            mine = np.frombuffer(b"".join([bits[i] for i in own]), np.uint64).reshape(len(own), -1)
-            for i in np.flatnonzero(is_open):
-                low = width if width < len(bits[i]) else len(bits[i])
-                most = (sizes[own] + sizes[i]) * (radius.den - radius.num) // (radius.den + radius.num)
-                pick = np.flatnonzero((np.abs(sizes[own] - sizes[i]) <= most) & (own != i))
+        for width in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == width)
+            rows = {}  # the sketches of this width, folded
+            rows[width] = np.frombuffer(b"".join([bits[i] for i in own]), np.uint64).reshape(len(own), -1)
+            for i in np.flatnonzero(home):
+                low = min(width, lengths[i])
+                if low not in rows:
+                    rows[low] = _folded(rows[width], low // 8)
+                most = radius.difference(sizes[own] + sizes[i])
+                pick = np.flatnonzero((np.abs(sizes[own] - sizes[i]) <= most) & (label[own] != label[i]))
                 if len(pick):
                     one = _folded(np.frombuffer(bits[i], np.uint64)[None, :], low // 8)
-                    near = np.bitwise_count(_folded(mine[pick], low // 8) ^ one).sum(axis=1) <= most[pick]
+                    near = np.bitwise_count(rows[low][pick] ^ one).sum(axis=1) <= most[pick]
                     if near.any():
                         use[own[pick[near]]] = use[i] = True
-        got = np.flatnonzero(use)
-        place = [pa.array(np.full(len(got), table[c][0].as_py()), t) for c, t in (("pivot", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))]
-        return pa.table([*place, pa.array(ids[got]), pa.array(is_open[got])], names=["pivot", "i", "j", "id", "open"])
+        got = pa.array(np.flatnonzero(use))
+        return table.select([*_CELL, "id", "home", "label", "distance"]).take(got)
 
     return run
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], dist: np.ndarray, open_: np.ndarray, radius: Radius) -> list[tuple[int, int]]:
+def block_links(ids: np.ndarray, sets: list[np.ndarray], dist: np.ndarray, open_: np.ndarray, label: np.ndarray, radius: Radius) -> list[tuple[int, int]]:
     """Links among members of which one is open (not linked to the pivot), by recursion on pivots.
 
     ``dist``: distances to the region's pivot. Takes an open member as the next pivot,
     finds its distances inside the triangle window, links those within the radius, and
-    goes on with the rest of the open members.
+    goes on with the rest of the open members. Members with one ``label`` are connected
+    already, so there are fewer links than labels.
     """
     r = 1 - radius.num / radius.den + 1e-9
     flat, owner, sizes = _flat(sets)
     known = [dist]
     links: list[tuple[int, int]] = []
-    root = np.arange(len(ids))
+    root = np.unique(label, return_inverse=True)[1]
     for i in np.flatnonzero(open_):
         window = np.ones(len(ids), bool)
         for d in known:
@@ -358,23 +392,61 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], dist: np.ndarray, open_
             d[i] = 0
             known.append(d)
         for j in hit:
-            links.append((int(ids[i]), int(ids[j])))
             if root[j] != root[i]:
+                links.append((int(ids[i]), int(ids[j])))
                 root[root == root[j]] = root[i]
     return links
 
 
 def _within(radius: Radius):
     def run(table: pa.Table) -> pa.Table:
-        """A block pair of a region: each open member of the first block against the second."""
-        ids, is_open = table["id"].to_numpy(), table["open"].to_numpy(zero_copy_only=False)
+        """The members of a block or two -> links that connect what is linked there."""
+        ids, home, label = (table[c].to_numpy(zero_copy_only=False) for c in ("id", "home", "label"))
         hashes = table["hashes"].combine_chunks()
-        links = block_links(ids, [x.values.to_numpy() for x in hashes], table["distance"].to_numpy(zero_copy_only=False).astype(float), is_open, radius)
+        dist = table["distance"].to_numpy(zero_copy_only=False).astype(float)
+        links = block_links(ids, [x.values.to_numpy() for x in hashes], dist, home, label, radius)
         return pa.table({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
 
     return run
 
 
+def _homes(radius: Radius, level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members beside their region's further pivots -> the smaller regions they belong to.
+
+        Let a's nearest pivot be p, and b within the radius of a, so that their sketches differ in at
+        most r. Then d(b, p) <= d(a, p) + r <= d(a, q) + r <= d(b, q) + 2r for each pivot q.
+        """
+        for batch in pieces(batches, 1024):
+            region = batch["region"].to_numpy()
+            rows = []
+            for one in np.unique(region).tolist():
+                own = np.flatnonzero(region == one)
+                pivots = batch["pivots"][int(own[0])].as_py()
+                bits = [batch["bits"][int(i)].as_py() for i in own]
+                width = batch["width"][int(own[0])].as_py() // 8
+                fold = lambda x, width=width: _folded(np.frombuffer(x, np.uint64)[None, :], width)
+                mine, theirs = np.concatenate([fold(x) for x in bits]), np.concatenate([fold(x) for x in pivots])
+                far = np.stack([np.bitwise_count(mine ^ p).sum(axis=1, dtype=np.int64) for p in theirs], axis=1)
+                size = batch["size"].to_numpy()[own]
+                # The largest partner has size * den / num shingles.
+                reach = size * (radius.den - radius.num) // radius.num
+                nearest = far.argmin(axis=1)
+                member, cell = np.nonzero(far <= (far.min(axis=1) + 2 * reach)[:, None])
+                name = W.mix(np.full(len(cell), one, np.int64).view(np.uint64) * W.GOLDEN + (cell + (level << 16)).astype(np.uint64))
+                rows.append((own[member], W.signed(name), cell == nearest[member]))
+            at, name, nearest = (np.concatenate(x) for x in zip(*rows, strict=True))
+            part = batch.take(pa.array(at))
+            home = part["home"].to_numpy(zero_copy_only=False) & nearest
+            yield pa.RecordBatch.from_arrays([part["region"], pa.array(name), part["id"], pa.array(home), part["label"], part["distance"]], ["parent", *_MEMBER])
+
+    return run
+
+
+_MEMBER = ["region", "id", "home", "label", "distance"]
+_MEMBER_TYPES = "region long, id long, home boolean, label long, distance double"
+
+
 def _fetch(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """The shingle sets of some documents, stored."""
     wanted = small(ids.distinct(), "wanted", BROADCAST_IDS)
@@ -403,20 +475,106 @@ def region_links(texts: DataFrame, sets: DataFrame, regions: DataFrame, n: int,
     told = store(verified.mapInArrow(_to_pivot(radius), "pivot long, id long, linked boolean, distance double"), "distances")
     direct = told.where("linked").select(F.col("id").alias("u"), F.col("pivot").alias("v"))
     # Regions in which some member is open and has another one to be compared with.
-    state = store(maybe.select("pivot", "id").join(told, ["pivot", "id"], "left").select("pivot", "id", (~F.coalesce("linked", F.lit(False))).alias("open"), "distance"), "state")
-    sizes = state.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("int")).alias("opened")).where("opened > 0 and n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = attach(state, sizes.select("pivot", blocks.alias("blocks")), ["pivot"], [F.col("id")], "inner")
-    left = left.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    opened = left.where("open").select("pivot", "id", F.lit(True).alias("open"), F.col("own").alias("i"), other.alias("j"))
-    all_ = left.select("pivot", "id", F.lit(False).alias("open"), other.alias("i"), F.col("own").alias("j"))
-    cells = opened.unionAll(all_).join(sketches, "id")
-    rest = store(cells.groupBy("pivot", "i", "j").applyInArrow(_near_pairs(radius), "pivot long, i int, j int, id long, open boolean"), "near")
-    more = _fetch(texts, rest.select("id"), n)
-    held = rest.join(state.select("pivot", "id", "distance"), ["pivot", "id"]).join(more, "id")
-    within = held.groupBy("pivot", "i", "j").applyInArrow(_within(radius), "u long, v long")
-    return direct.unionAll(within)
+    opened = ~F.coalesce("linked", F.lit(False))
+    state = maybe.select("pivot", "id").join(told, ["pivot", "id"], "left")
+    state = state.select(F.col("pivot").alias("region"), "id", opened.alias("home"), F.when(opened, F.col("id")).otherwise(F.col("pivot")).alias("label"), "distance")
+    return direct.unionAll(_recurse(texts, sketches, direct, store(state, "state"), n, radius))
+
+
+def _cells(texts: DataFrame, sketches: DataFrame, cells: DataFrame, n: int, radius: Radius) -> DataFrame:
+    """(u, v): links between members (region, i, j, id, home, label, distance) that share region, i and j."""
+    types = "region long, i long, j long, id long, home boolean, label long, distance double"
+    near = store(cells.join(sketches, "id").groupBy(*_CELL).applyInArrow(_near(radius), types), "near")
+    held = near.join(_fetch(texts, near.select("id"), n), "id")
+    return store(held.groupBy(*_CELL).applyInArrow(_within(radius), "u long, v long"), "block-links")
+
+
+def _sizes(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """region, n, blocks, width: regions in which something is left to compare."""
+    held = members.join(sketches.select("id", "size", F.length("bits").alias("bytes")), "id")
+    sums = held.groupBy("region").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("home").alias("home"),
+        F.sum("size").alias("shingles"),
+        F.min("bytes").alias("width"),
+        (F.min("label") != F.max("label")).alias("mixed"),
+    )
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return store(sums.where("home and mixed").select("region", "n", blocks.alias("blocks"), "width"), "sizes")
+
+
+def _block(blocks: str, level: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(level)), F.col(blocks)).cast("long")
+
+
+def _recurse(texts: DataFrame, sketches: DataFrame, links: DataFrame, members: DataFrame, n: int, radius: Radius) -> DataFrame:
+    """(u, v): links in regions (region, id, home, label, distance); one of two members must be at home."""
+    out = links.limit(0)
+    level = 0
+    while True:
+        sizes = _sizes(members, sketches)
+        if not sizes.count():
+            return out
+        held = attach(members, sizes, ["region"], [F.col("id")], "inner", "n")
+        own = _block("blocks", level)
+        out = out.unionAll(_cells(texts, sketches, held.withColumn("i", own).withColumn("j", own).select(*_CELL, "id", "home", "label", "distance"), n, radius))
+        large = sizes.where("blocks > 1")
+        if not large.count():
+            return out
+        # Only members of different components need comparing now.
+        held = attach(members, large.drop("blocks", "width"), ["region"], [F.col("id")], "inner", "n")
+        label = components(links.unionAll(out)).withColumnRenamed("node", "id")
+        held = held.select("region", "id", "home", "distance").join(label, "id", "left")
+        members = store(held.select("region", "id", "home", F.coalesce("component", "id").alias("label"), "distance"), "labelled")
+        sizes = _sizes(members, sketches)
+        parts = _voronoi(sketches, members, sizes, radius, level)
+        # Further pivots help where they halve the pairs; elsewhere pairs of blocks are compared.
+        square = parts.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("m")).groupBy("parent").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+        helped = square.join(sizes, square["parent"] == sizes["region"]).where(F.col("pairs") * 2 < F.col("n") * F.col("n")).select("region", "n")
+        helped = store(helped, "split")
+        rest = sizes.join(helped, "region", "left_anti")
+        if rest.count():
+            out = out.unionAll(_cells(texts, sketches, _grid(members, rest), n, radius))
+        if not helped.count():
+            return out
+        chosen = helped.select(F.col("region").alias("parent"), "n")
+        members = store(attach(parts, chosen, ["parent"], [F.col("id")], "inner", "n").select(*_MEMBER), "members")
+        level += 1
+
+
+def _voronoi(sketches: DataFrame, members: DataFrame, sizes: DataFrame, radius: Radius, level: int) -> DataFrame:
+    """(parent, region, id, home, label, distance): members in the Voronoi regions of further pivots."""
+    held = attach(members, sizes.drop("blocks"), ["region"], [F.col("id")], "inner", "n").join(sketches, "id")
+    slot = F.pmod(F.xxhash64("id", F.lit(level + 1)), F.lit(PIVOTS))
+    picked = held.where("home").groupBy("region", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(-1 - level)), "bits")).alias("first"))
+    pivots = store(picked.groupBy("region").agg(F.collect_list("first.bits").alias("pivots")).join(sizes.select("region", "n"), "region"), "pivots")
+    whole = pivots.agg(F.sum(F.expr("aggregate(pivots, 0L, (s, x) -> s + length(x))"))).first()[0] or 0
+    if whole <= BROADCAST_BYTES:
+        beside = held.drop("n").join(F.broadcast(pivots), "region")
+    else:
+        beside = attach(held.drop("n"), pivots, ["region"], [F.col("id")], "inner", "n")
+    beside = beside.select(*_MEMBER, "size", "bits", "width", "pivots")
+    return store(beside.mapInArrow(_homes(radius, level), f"parent long, {_MEMBER_TYPES}"), "voronoi")
+
+
+def _grid(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members (region, i, j, id, home, label, distance) in pairs of blocks i <= j, but where both hold one and the same label."""
+    held = attach(members, sizes.select("region", "n", (F.col("n") / F.col("blocks")).alias("each")), ["region"], [F.col("id")], "inner", "n")
+    labels = store(held.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"), F.first("each").alias("each")), "labels")
+    # A label of a block or more has blocks of its own, the others share blocks.
+    alone = labels.where("n >= each").select("region", "label", F.ceil(F.col("n") / F.col("each")).cast("int").alias("own"), "n")
+    shared = labels.where("n < each").groupBy("region").agg(F.ceil(F.sum("n") / F.first("each")).cast("int").alias("shared"), F.sum("n").alias("n"))
+    held = attach(held.drop("n"), alone, ["region", "label"], [F.col("id")], "left", "n").drop("n")
+    held = attach(held, shared, ["region"], [F.col("id")], "left", "n")
+    single = F.col("own").isNotNull()
+    block = F.when(single, F.xxhash64("label", _block("own", -2))).otherwise(_block("shared", -2))
+    held = store(held.select(*_MEMBER, F.when(single, F.col("label")).alias("only"), block.alias("block")), "blocks")
+    blocks = store(held.groupBy("region", "only", "block").agg(F.count(F.lit(1)).alias("n")).drop("n"), "block-names")
+    a, b = blocks.select("region", F.col("only").alias("p"), F.col("block").alias("i")), blocks.select("region", F.col("only").alias("q"), F.col("block").alias("j"))
+    pairs = store(a.join(b, "region").where("i < j or (i = j and p is null)").where("p is null or q is null or p <> q").select(*_CELL), "block-pairs")
+    first = pairs.join(held.withColumnRenamed("block", "i"), ["region", "i"])
+    second = pairs.where("i < j").join(held.withColumnRenamed("block", "j"), ["region", "j"])
+    return first.select(*_CELL, "id", "home", "label", "distance").unionAll(second.select(*_CELL, "id", "home", "label", "distance"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -437,8 +595,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     texts = rows.where("id is not null")
     links = region_links(texts, sets, region_members(texts, n, radius), n, radius)
     full = sets.where("size > 0 and id is not null")
-    classes = full.groupBy("h1", "h2", "size").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    same = attach(full, classes, ["h1", "h2", "size"], [F.col("id")], "inner").select(F.col("id").alias("u"), "v")
+    classes = full.groupBy("h1", "h2", "size").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = attach(full, classes, ["h1", "h2", "size"], [F.col("id")], "inner", "n").select(F.col("id").alias("u"), "v")
     found = components(links.unionAll(same)).withColumnRenamed("node", "id")
     low = F.coalesce(F.col("component"), F.col("id"))
     out = sets.join(found, "id", "left")

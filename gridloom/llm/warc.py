@@ -35,6 +35,8 @@ _MAGIC = b"\x1f\x8b\x08"
 _NOTHING = bytes.fromhex("1f8b080000000000000303000000000000000000")
 #: Compressed bytes of a row of the sink, and rows of a file: archives of about 32 MB.
 BLOCK_BYTES, BLOCKS_IN_FILE = 1 << 20, 32
+#: Groups of equal payloads (under 100 bytes each) up to which they are broadcast.
+BROADCAST_GROUPS = 500_000
 #: Bytes in which a header's end is looked for at once; that of a longer one before the next version line.
 HEADER_LIMIT = 1 << 16
 PREFIX = "urn:x-record:"
@@ -217,8 +219,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("bytes", F.length("payload").cast("long"))
     groups = rows.where(F.col("bytes") >= min_revisit_bytes).groupBy("sha", "bytes").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
-    groups = groups.where("n > 1 and top is not null").drop("n")
-    rows = attach(rows, groups, ["sha", "bytes"], [F.col("id"), F.col("uri")])
+    groups = groups.where("n > 1 and top is not null")
+    # Where the groups are few, the payloads stay where they are.
+    rows = attach(rows, groups, ["sha", "bytes"], [F.col("id"), F.col("uri")], "left", "n", BROADCAST_GROUPS)
     refers = F.when(~F.col("top").eqNullSafe(F.col("id")), F.col("top"))
     blocks = rows.select("id", "uri", "payload", refers.alias("refers_to")).mapInArrow(_writer(date, compressed), "value binary")
     sink = blocks.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", BLOCKS_IN_FILE)
