@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, deque
@@ -24,29 +25,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.frames import as_bytes, memory, partition_id, pieces
+from gridloom.llm.frames import memory, partition_id
 from gridloom.session import ship, store
 
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Text that is tokenised together.
-LEARN_BYTES, LEARN_ROWS = 4 << 20, 8192
+#: Text that is tokenised together; longer texts are tokenised in parts of this.
+LEARN_BYTES, LEARN_ROWS = 8 << 20, 8192
 #: Words whose ids a worker remembers, and the longest such word in bytes.
-CACHE_ENTRIES, CACHED_BYTES = 700_000, 64
-#: ASCII marks that may follow a word.
-MARKS = b".,;:!?"
+CACHE_ENTRIES, CACHED_BYTES = 900_000, 64
+#: The ASCII marks, of which up to MARK_BYTES may follow a word, and the ends and whole words they may follow.
+MARKS, MARK_BYTES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 8
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_LETTER_LAST, _LETTERS = r"[\p{Ll}\p{Lo}]\z", r"\A[\p{Ll}\p{Lo}]+\z"
+
+
+def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """pool[start : start + length] of each pair, end to end."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
 class WordIds:
     """Ids of texts for tokenizers that drop white space: a text's ids are those of its words.
 
     Words are cut at ASCII white space only, which the tokenizer's pattern also never
-    crosses; everything else is left to the tokenizer.
+    crosses; everything else is left to the tokenizer. Arrow splits the texts and numbers their
+    distinct words; Python sees only these.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,86 +71,98 @@ class WordIds:
         self.ends[ends] = True
         self.seen: dict[bytes, bytes] = {}  # of late
         self.old: dict[bytes, bytes] = {}  # before
-        self.long: list[bytes] = []  # words of the batch before that are too long to keep
 
-    def _put(self, words: list[bytes], ids: np.ndarray, cuts: np.ndarray) -> None:
-        data, places, seen = ids.astype("<u4").tobytes(), (4 * cuts).tolist(), self.seen
-        for i, word in enumerate(words):
-            seen[word] = data[places[i] : places[i + 1]]
-
-    def _encode(self, words: list[bytes]) -> None:
-        """Ids of words without white space, many in one text.
+    def _encode(self, words: pa.Array) -> list[bytes]:
+        """The ids of each of some words without white space, many in one text.
 
         A word of letters only is one piece for the tokenizer, of which the last id alone marks an
         end; for others the ids' offsets tell the words apart.
         """
-        plain, rest = [], []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            (plain if text.isalpha() and text.lower().isalpha() else rest).append((word, text))
+        texts, out = words.to_pylist(), [b""] * len(words)
+        letters = pc.match_substring_regex(words, _LETTERS).to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(letters).tolist(), np.flatnonzero(~letters).tolist()
+
+        def put(part: list[int], ids: np.ndarray, cuts: np.ndarray) -> None:
+            data, places = ids.astype("<u4").tobytes(), (4 * cuts).tolist()
+            for i, a, b in zip(part, places, places[1:], strict=False):
+                out[i] = data[a:b]
+
         for at in range(0, len(plain), 8192):
             part = plain[at : at + 8192]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1]) if len(ids) else np.zeros(1, np.int64)
             if len(cuts) == len(part) + 1 and cuts[-1] == len(ids):
-                self._put([w for w, _ in part], ids, cuts)
+                put(part, ids, cuts)
             else:
                 rest += part
         for at in range(0, len(rest), 8192):
             part = rest[at : at + 8192]
-            got = self.tokenizer.encode(" ".join([t for _, t in part]), add_special_tokens=False)
-            ends = np.cumsum([len(t) + 1 for _, t in part])
+            got = self.tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False)
+            ends = np.cumsum([len(texts[i]) + 1 for i in part])
             owner = np.searchsorted(ends, np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids)), "right")
-            self._put([w for w, _ in part], np.array(got.ids, np.int64), np.searchsorted(owner, np.arange(len(part) + 1)))
-
-    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """The ids of all words of these texts, as little-endian uint32.
+            put(part, np.array(got.ids, np.int64), np.searchsorted(owner, np.arange(len(part) + 1)))
+        return out
 
-        A word is looked up by its stem in lower case and by the ASCII marks after it: the
-        tokenizer lowers case itself and never joins a letter with a mark. Words that may
-        hold a special token are left as they are.
-        """
-        for word in self.long:
-            self.seen.pop(word, None)
+    def known(self, words: pa.Array) -> list[bytes]:
+        """The ids of distinct words, as little-endian uint32."""
         if len(self.seen) > CACHE_ENTRIES // 2:
             self.old, self.seen = self.seen, {}
-        seen, old = self.seen, self.old
-        here = set().union(*texts)
-        # A small table for these texts: looking up each of their words in the large one is slow.
-        local = dict(zip(here, map(seen.get, here), strict=True))
-        new = [w for w, ids in local.items() if ids is None]
-        wanted: set[bytes] = set()
-        words, stems, marks = [], [], []
-        for word in new:
-            if (known := old.get(word)) is not None:
-                seen[word] = known
-                continue
-            stem, mark = word, b""
-            if not (word.isalpha() and word.islower()) and b"<|" not in word:
-                stem = word.lower()
-                if stem[-1] in MARKS:
-                    bare = stem.rstrip(MARKS)
-                    if bare and (bare[-1:].isalpha() or bare[-4:].decode("utf-8", "ignore")[-1:].lower()[-1:].isalpha()):
-                        mark = stem[len(bare) :]
-                        stem = bare
-                words.append(word)
-                stems.append(stem)
-                marks.append(mark)
-                if mark and mark not in seen:
-                    wanted.add(mark)
-            if stem not in seen:
-                if (known := old.get(stem)) is not None:
-                    seen[stem] = known
-                else:
-                    wanted.add(stem)
-        self._encode(list(wanted))
-        self.long = [w for w in wanted if len(w) > CACHED_BYTES]
-        for word, stem, mark in zip(words, stems, marks, strict=True):
-            seen[word] = seen[stem] + seen[mark] if mark else seen[stem]
-            if len(word) > CACHED_BYTES:
-                self.long.append(word)
-        local.update(zip(new, map(seen.__getitem__, new), strict=True))
-        return local
+        seen = self.seen
+        keys = words.cast(pa.binary()).to_pylist()
+        ids = list(map(seen.get, keys))
+        new = [i for i, x in enumerate(ids) if x is None]
+        if new and self.old:
+            for i in new:
+                if (x := self.old.get(keys[i])) is not None:
+                    ids[i] = seen[keys[i]] = x
+            new = [i for i in new if ids[i] is None]
+        if new:
+            for i, x in zip(new, self._encode(words.take(pa.array(new, pa.int32()))), strict=True):
+                ids[i] = x
+                if len(keys[i]) <= CACHED_BYTES:
+                    seen[keys[i]] = x
+        return ids
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin (and the last one's end).
+
+        A word is looked up by its stem in ASCII lower case and by the ASCII marks after it: the
+        tokenizer lowers case itself, and marks that end a word are a piece of their own after
+        a letter. Words that may hold a special token are left as they are.
+        """
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        at = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        whole = coded.dictionary
+        if not len(whole):
+            return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        low = pc.ascii_lower(whole)
+        bare = pc.ascii_rtrim(low, characters=MARKS)
+        tail = pc.subtract(pc.binary_length(low), pc.binary_length(bare))
+        special = pc.match_substring(whole, "<|")
+        cut = pc.and_(pc.and_(pc.greater(tail, 0), pc.less_equal(tail, MARK_BYTES)), pc.and_(pc.match_substring_regex(bare, _LETTER_LAST), pc.invert(special)))
+        stems = pc.if_else(cut, bare, pc.if_else(special, whole, low)).dictionary_encode()
+        # The marks as numbers of MARK_BYTES bytes.
+        tails = np.where(cut.to_numpy(zero_copy_only=False), tail.to_numpy(), 0)
+        _, offsets, data = low.buffers()
+        last = np.frombuffer(offsets, np.int32)[low.offset + 1 : low.offset + 1 + len(low)].astype(np.int64)
+        raw = np.frombuffer(data, np.uint8) if data else np.zeros(1, np.uint8)
+        back = np.arange(MARK_BYTES)
+        marks = np.where(back < tails[:, None], raw[np.maximum(last[:, None] - 1 - back, 0)], 0).astype(np.uint8)
+        names, mark = np.unique(marks.view(np.uint64)[:, 0], return_inverse=True)
+        spelled = [int(x).to_bytes(MARK_BYTES, "little").rstrip(b"\0")[::-1] for x in names.tolist()]
+        ids = self.known(stems.dictionary) + self.known(pa.array(spelled, pa.binary()).cast(pa.string()))
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(lengths) - lengths
+        # A word's ids are its stem's and its marks'; then a text's are those of its words.
+        both = np.stack([stems.indices.to_numpy(), len(stems.dictionary) + mark], axis=1).reshape(-1)
+        pool = gather(pool, starts[both], lengths[both])
+        lengths = lengths[both].reshape(-1, 2).sum(axis=1)
+        starts = np.cumsum(lengths) - lengths
+        use = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(lengths[use])])
+        return gather(pool, starts[use], lengths[use]), ends[at]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -161,48 +185,85 @@ def _encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts, LEARN_BYTES at a time: the more words are looked up together, the fewer in all."""
+def _parts(text: bytes) -> Iterator[bytes]:
+    """A long text cut after white space, into parts of about LEARN_BYTES."""
+    at = 0
+    while len(text) - at > LEARN_BYTES:
+        space = _SPACE.search(text, at + LEARN_BYTES)
+        stop = space.end() if space else len(text)
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
+def tokenised(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int | None, np.ndarray]]:
+    """The id and the token ids of each row; LEARN_BYTES at a time, as the more words are looked up together, the fewer in all."""
+
+    def ids(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+        gc.disable()  # the tables of words hold no cycles; going through them again and again is slow
+        try:
+            with memory("packing", forget):
+                return _encoder(path).ids(pa.concat_arrays(texts))
+        finally:
+            gc.enable()
+
+    def out(keys: list, texts: list[pa.Array]) -> Iterator[tuple[int | None, np.ndarray]]:
+        got, at = ids(texts)
+        yield from ((key, got[a:b]) for key, a, b in zip(keys, at, at[1:], strict=False))
+
     keys, texts, size = [], [], 0
     for batch in batches:
-        for key, text in zip(batch["id"].to_pylist(), as_bytes(batch["text"]), strict=True):
-            keys.append(key)
-            texts.append(text or b"")
-            size += len(texts[-1])
-            if size >= LEARN_BYTES or len(texts) >= LEARN_ROWS:
-                yield keys, texts
-                keys, texts, size = [], [], 0
-    if texts:
-        yield keys, texts
+        column = batch["text"].cast(pa.string())
+        long = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+        first = 0
+        for i in range(batch.num_rows):
+            if long[i] > LEARN_BYTES:
+                if i > first:
+                    texts.append(column.slice(first, i - first))
+                if texts:
+                    yield from out(keys, texts)
+                yield batch["id"][i].as_py(), np.concatenate([ids([pa.array([x], pa.binary()).cast(pa.string())])[0] for x in _parts(column[i].as_py().encode())])
+                keys, texts, size, first = [], [], 0, i + 1
+                continue
+            keys.append(batch["id"][i].as_py())
+            size += int(long[i])
+            if size >= LEARN_BYTES or len(keys) >= LEARN_ROWS:
+                yield from out(keys, [*texts, column.slice(first, i + 1 - first)])
+                keys, texts, size, first = [], [], 0, i + 1
+        if first < batch.num_rows:
+            texts.append(column.slice(first))
+    if keys:
+        yield from out(keys, texts)
+
+
+_PIECE = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "src": pa.int64(), "local": pa.int64()}
 
 
 def _tokenise(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, src = Counter(), partition_id()
-        gc.disable()  # the tables of words hold no cycles; going through them again and again is slow
-        try:
-            for keys, raw in by_bytes(batches):
-                texts = [t.split() for t in raw]
-                with memory("packing", forget):
-                    ids = _encoder(path).learn(texts)
+        ranks, src, rows = Counter(), partition_id(), []
+        for key, ids in tokenised(batches, path):
+            data = ids.astype("<u4").tobytes() + end
+            for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                part = data[at : at + 4 * capacity]
+                length = len(part) // 4
+                rows.append((key, piece, at // 4, length, zlib.crc32(part), src, ranks[length]))
+                ranks[length] += 1
+            if len(rows) >= LEARN_ROWS:
+                yield _rows(rows, _PIECE)
                 rows = []
-                for key, words in zip(keys, texts, strict=True):
-                    data = b"".join(map(ids.__getitem__, words)) + end
-                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at : at + 4 * capacity]
-                        length = len(part) // 4
-                        rows.append((key, piece, at // 4, length, zlib.crc32(part), src, ranks[length]))
-                        ranks[length] += 1
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "src", "local"])
-        finally:
-            gc.enable()
+        if rows:
+            yield _rows(rows, _PIECE)
 
     return run
 
 
+def _rows(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields.values(), strict=True)], list(fields))
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, first sequence, pieces in each sequence, offset).
 
@@ -322,7 +383,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = by_task.select("src", "length", before.alias("first"))
     total = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("count").alias("n")).toLocalIterator()}  # at most ``capacity`` rows
-    ranked = cut.join(firsts, ["src", "length"]).withColumn("rank", F.col("first") + F.col("local"))
+    # The table of firsts grows with tasks times lengths, so it is never broadcast.
+    ranked = cut.join(firsts.hint("merge"), ["src", "length"]).withColumn("rank", F.col("first") + F.col("local"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInArrow(_placer(plan(total, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
@@ -332,19 +394,12 @@ def sequences(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_c
 
     ``docs`` must have one row for each id that ``packed`` names.
     """
-    end = [end_id]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 64):
-            texts = [(t or b"").split() for t in as_bytes(batch["text"])]
-            with memory("packing", forget):
-                ids = _encoder(tokenizer).learn(texts)
-            rows = []
-            for key, words in zip(batch["id"].to_pylist(), texts, strict=True):
-                data = np.concatenate([np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4"), np.array(end, "<u4")]).astype(np.int32)
-                rows += [(key, n, data[at : at + capacity]) for n, at in enumerate(range(0, len(data), capacity))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)], ["doc_id", "piece", "ids"])
+        fields = {"doc_id": pa.int64(), "piece": pa.int32(), "ids": pa.list_(pa.int32())}
+        for key, ids in tokenised(batches, tokenizer):
+            data = np.append(ids, end_id).astype(np.int32)
+            yield _rows([(key, n, data[at : at + capacity]) for n, at in enumerate(range(0, len(data), capacity))], fields)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])

@@ -2,6 +2,8 @@
 
 import time
 
+import pyarrow as pa
+
 from gridloom.llm import frames, language_id, packing, words
 
 
@@ -9,8 +11,8 @@ def test_another_operator_clears(monkeypatch):
     words.hashed([b"a", b"b"])
     assert len(words._cache) >= 2
     with frames.memory("packing", packing.forget):
-        ids = packing._encoder(packing.TOKENIZER).learn([[b"one", b"Two."]])
-    assert not words._cache and len(ids) == 2 and packing._encoders
+        packing._encoder(packing.TOKENIZER).ids(pa.array(["one Two."]))
+    assert not words._cache and packing._encoders
     words.hashed([b"c"])
     assert not packing._encoders and len(words._cache) == 1
 
@@ -30,10 +32,8 @@ def test_a_small_table_forgets_nothing_that_is_used(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_ENTRIES", 4)
     encoder = packing.WordIds(packing.tokenizer_path())
     for n in range(30):
-        texts = [[f"w{n}".encode(), b"The", b"the,", f"w{n % 3}!".encode()]]
-        ids = encoder.learn(texts)
-        for w in texts[0]:
-            assert list(memoryview(ids[w]).cast("I")) == encoder.tokenizer.encode(w.decode(), add_special_tokens=False).ids
+        text = f"w{n} The the, w{n % 3}!"
+        assert encoder.ids(pa.array([text]))[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert len(encoder.seen) + len(encoder.old) < 40
 
 

@@ -1,11 +1,13 @@
 """Text operators against brute force, and their edge cases."""
 
+import bisect
 import hashlib
 import random
 import textwrap
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -370,15 +372,36 @@ def test_plan_places_each_piece_once(counts):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("abcXYZé'ÀÑ \n\t.,;:!?\"<|>1２ ́İςß…🙂-_*#\x1c中ŉǰ"), max_size=40))
-def test_words_give_the_tokenizers_ids(text):
-    from tokenizers import Tokenizer
+@given(st.lists(st.text(st.sampled_from("abcXYZé'ÀÑ \n\t.,;:!?\"<|>1２ ́İςß…🙂-_*#$%&\x1c\x00中ŉǰ\u0338\u00a0\u3000ａＡ가ㄱ"), max_size=40), max_size=4))
+def test_words_give_the_tokenizers_ids(texts):
+    got, at = packing._encoder(packing.TOKENIZER).ids(pa.array([*texts, None, ""], pa.string()))
+    assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [_reference().encode(x, add_special_tokens=False).ids for x in [*texts, "", ""]]
+
+
+def test_long_texts_are_tokenised_in_parts(monkeypatch):
+    monkeypatch.setattr(packing, "LEARN_BYTES", 50)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the", "naïve", "3.14", "日本", "don't!", "x" * 60]) for _ in range(n)) for n in (0, 2, 300, 1, 9, 400, 3)] + [None, "y" * 400]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
+    got = {k: ids.tolist() for k, ids in packing.tokenised(iter([batch.slice(0, 4), batch.slice(4, 0), batch.slice(4)]), packing.TOKENIZER)}
+    assert got == {i: _reference().encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
 
-    words = text.encode().split()
-    ids = packing._encoder(packing.TOKENIZER).learn([words])
-    got = np.frombuffer(b"".join(ids[w] for w in words), "<u4").tolist()
-    assert got == _reference().encode(text, add_special_tokens=False).ids
-    del Tokenizer
+
+@pytest.mark.parametrize("seed", range(8))
+def test_plan_needs_no_more_sequences_than_best_fit_decreasing(seed):
+    rng = random.Random(seed)
+    sizes = sorted((min(4096, int(rng.lognormvariate(5.5, 1.5)) + 1) for _ in range(4000)), reverse=True)
+    rooms = []
+    for size in sizes:
+        at = bisect.bisect_left(rooms, size)
+        room = rooms.pop(at) if at < len(rooms) else 4096
+        bisect.insort(rooms, room - size)
+    runs = packing.plan(Counter(sizes), 4096)
+    used = set()
+    for size, first, sequence, each, _ in runs:
+        later = min([f for s, f, *_ in runs if s == size and f > first], default=sizes.count(size))
+        used |= {sequence + n // each for n in range(later - first)}
+    assert len(used) <= len(rooms)
 
 
 def _reference(cache=[]):  # noqa: B006
