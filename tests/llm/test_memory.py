@@ -42,4 +42,4 @@ def test_language_cache_restarts(monkeypatch):
     model = language_id.fit({"a": language_id.Counter({"▁ab": 5}), "b": language_id.Counter({"▁xy": 5})}, {"▁ab": 0, "▁xy": 1})
     scorer = language_id.Scorer(model)
     for _ in range(3):
-        assert scorer.predict([b"ab ab q", b"xy r s", None, b"12"])[0] == ["a", "b", "und", "und"]
+        assert scorer.predict(pa.array(["ab ab q", "xy r s", None, "12"]))[0] == ["a", "b", "und", "und"]

@@ -504,3 +504,63 @@ def test_licences_over_lines(spark):
     rows = licences.scan(docs(spark, [t for t, _ in want]), licences.train(docs(spark, plain))).collect()
     got = {r.doc_id: r.licences for r in rows}
     assert [(t, got[i]) for i, (t, _) in enumerate(want)] == want
+
+
+def plain_log_probs(word, model):
+    """The forward algorithm, one number at a time, in exact integers' logarithms."""
+    from fractions import Fraction
+
+    out = []
+    for lang in range(len(model.langs)):
+        alpha = [Fraction(1)] + [Fraction(0)] * len(word)
+        for start in range(len(word)):
+            for stop in range(start + 1, len(word) + 1):
+                piece = model.pieces.get(word[start:stop], -2 if stop == start + 1 else None)
+                if piece is not None:
+                    alpha[stop] += alpha[start] * Fraction(float(model.probs[piece, lang]))
+        top = alpha[-1]
+        out.append(np.log(float(top.numerator >> max(0, top.numerator.bit_length() - 60))) + max(0, top.numerator.bit_length() - 60) * np.log(2) - (np.log(float(top.denominator >> max(0, top.denominator.bit_length() - 60))) + max(0, top.denominator.bit_length() - 60) * np.log(2)))
+    return out
+
+
+def test_words_of_any_length_sum_all_segmentations(monkeypatch):
+    monkeypatch.setattr(language_id, "LONG_STEP", 50)
+    rng = random.Random(8)
+    pieces = {p: i for i, p in enumerate(dict.fromkeys(["▁a", "a", "b", "ab", "▁ab", "ba", "aba", "▁abab", "ababababab", "中", "▁中", "bé", "é"]))}
+    probs = np.array([[rng.random() * 1e-5, rng.random()] for _ in range(len(pieces) + 2)])
+    probs[-1] = 0
+    model = language_id.Model(["x", "y"], pieces, probs)
+    words = ["▁" + "".join(rng.choice("aabbé中z") for _ in range(n)) for n in (1, 2, 5, 30, 63, 64, 120, 160)] + ["▁" + "ab" * 70]
+    got = language_id.log_probs(words, model)
+    for word, row in zip(words, got):
+        assert row == pytest.approx(plain_log_probs(word, model), rel=1e-9)
+
+
+def test_language_of_odd_texts(spark):
+    model = language_id.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = ["½ ² 12", "Ⅷ ①", "٣ __ -", "1½the", "the" * 5000, "x" * 100_000, "ª", None, "İ and the"]
+    rows = {r.doc_id: r for r in language_id.predict(clashing(docs(spark, texts)), model).collect()}
+    assert [rows[i].lang_pred == "und" for i in range(len(texts))] == [True, True, True, False, False, False, False, True, False]
+    assert all((r.score == 0) == (r.lang_pred == "und") and 0 <= r.score <= 1 for r in rows.values())
+    assert language_id.letter_runs("a½bⅧc1d_e中f") == ["a", "b", "c", "d", "e中f"]
+
+
+def test_language_query_by_force(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    df = spark.read.parquet(path)
+    model = language_id.train(df)
+    rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: len(r.text or ""))[:40]
+    got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
+    seen = {}
+    for row in rows:
+        words = [w for t in (row.text or "").split() for w in language_id.marked_words(t)]
+        sums = np.zeros(len(model.langs))
+        for w in words:
+            if w not in seen:
+                seen[w] = np.array(plain_log_probs(w, model))
+            sums += seen[w]
+        if not words:
+            assert (got[row.doc_id].lang_pred, got[row.doc_id].score) == ("und", 0.0)
+            continue
+        assert got[row.doc_id].lang_pred == model.langs[int(sums.argmax())]
+        assert got[row.doc_id].score == pytest.approx(1 / np.exp(sums - sums.max()).sum(), rel=1e-6)
