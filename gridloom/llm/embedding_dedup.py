@@ -189,7 +189,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors are compared only when their labels are equal and not null and their lengths agree.
     Vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing. Links are the pairs found with a cosine of ``threshold`` or more; equal
+    nothing; all others are compared, however large or small their components. Links are the pairs found with a cosine of ``threshold`` or more; equal
     vectors always link. Rows that repeat an id are one vector with their links together;
     a null id links with nothing and is kept. Other columns are not read. An empty
     table gives no rows.
@@ -198,7 +198,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.xxhash64(F.col(label_col)).alias("label"), F.col(label_col).isNotNull().alias("known"))
     norm = F.expr("aggregate(vector, 0D, (s, x) -> s + cast(x as double) * cast(x as double))")
     fit = F.col("known") & F.col("id").isNotNull() & F.expr("vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
-    usable = rows.where(fit).where(norm > 0).where(norm < float("inf"))
+    # Where squares would over- or underflow, the largest component becomes 1.
+    most = F.expr("array_max(transform(vector, x -> abs(x)))")
+    scaled = F.when(norm.between(1e-200, 1e200), F.col("vector")).otherwise(F.transform("vector", lambda x: x / most))
+    usable = rows.where(fit).where(most > 0).withColumn("vector", scaled)
     copies = usable.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("n"))
     classes = store(copies.select(F.col("rep").alias("id"), "n", "label", "vector", F.size("vector").alias("dims")), "classes")
     hashes = {r["dims"]: hashes_for(r["count"], r["dims"]) for r in classes.groupBy("dims").count().collect()}  # a row for each vector length

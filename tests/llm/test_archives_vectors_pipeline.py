@@ -223,3 +223,16 @@ def test_pipeline(spark, sf, tmp_path):
     assert docs.select("sequence_id").distinct().count() <= 1.05 * total / packing.CAPACITY + 1
     ends = docs.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert ends.where("n <> end or n > 4096").count() == 0
+
+
+def test_vectors_of_any_size(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [2e200, 2e200], 0), (3, [1e-200, 1e-200], 0), (4, [5e-324, 5e-324], 0), (5, [1.7e308, -1.7e308], 0), (6, [3.0, 3.0], 0), (7, [1e-200, -1e-200], 0), (8, [0.0, -0.0], 0), (8, [1.0, 1.0], 1), (9, [1e300, 1e300], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {(1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 4, 1), (6, 4, 1), (5, 1, 5), (7, 1, 5), (8, 1, 8), (9, 1, 8)}
+
+
+def test_vectors_with_repeated_ids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.001], 0), (2, [0.0, 1.0], 0), (3, [0.001, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    got = sorted({(r.vec_id, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()})
+    assert [x[0] for x in got] == [1, 2, 3]
