@@ -20,8 +20,7 @@ SEED = "mix-1"
 BROADCAST_SOURCES = 20_000
 #: Sources weigh as this power of their size unless weights are given.
 TEMPERATURE = 0.5
-#: The highest mean of one draw (exp(-mean) underflows from about 745); larger rates are drawn in equal
-#: parts. The SQL draws once and holds rates at this, so it tells the same only for rates up to it.
+#: The highest mean of one draw (exp(-mean) underflows from about 745); larger rates are drawn in equal parts.
 MAX_RATE = 500.0
 #: Copies of a row that are made at a time.
 COPIES = 4096
@@ -101,11 +100,18 @@ def mix_sql(seed: str = SEED, table: str = "documents") -> str:
 WITH RECURSIVE sums AS (SELECT source, sum(coalesce(length(text), 0))::BIGINT AS chars FROM {table} GROUP BY source),
 weighted AS (SELECT source, chars, pow(chars::DOUBLE, {TEMPERATURE}) AS weight FROM sums),
 totals AS (SELECT sum(chars)::DOUBLE AS all_chars, sum(weight) AS all_weight FROM weighted),
-by_source AS (SELECT source, CASE WHEN chars > 0 THEN least(weight / all_weight * all_chars * 1.0 / chars, {MAX_RATE}) ELSE 0.0 END AS rate FROM weighted, totals),
+by_source AS (SELECT source, rate, greatest(1, ceil(rate / {MAX_RATE}))::INTEGER AS parts FROM (
+  SELECT source, CASE WHEN chars > 0 THEN weight / all_weight * all_chars * 1.0 / chars ELSE 0.0 END AS rate FROM weighted, totals)),
+means AS (SELECT source, rate / parts AS rate FROM by_source),
 steps(source, rate, k, term, total) AS (
-  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM by_source
+  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM means
   UNION ALL SELECT source, rate, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
-draws AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, 'null') AS key,
-  ('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / {1 << 52} AS u FROM {table}),
-counted AS (SELECT d.doc_id, d.source, d.key, s.k AS copy FROM draws d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND d.u >= s.total)
+keyed AS (SELECT row_number() OVER () AS row_id, doc_id, source, coalesce(doc_id::VARCHAR, 'null') AS key FROM {table}),
+draws AS (
+  SELECT k.*, ('0x' || substr(md5('{seed}|' || key), 1, 13))::BIGINT::DOUBLE / {1 << 52} AS u FROM keyed k
+  UNION ALL SELECT k.*, ('0x' || substr(md5('{seed}-part|' || i::VARCHAR || '|' || key), 1, 13))::BIGINT::DOUBLE / {1 << 52}
+  FROM keyed k JOIN by_source b ON k.source IS NOT DISTINCT FROM b.source, LATERAL (SELECT unnest(range(1, b.parts)) AS i)),
+numbers AS (SELECT d.row_id, any_value(d.doc_id) AS doc_id, any_value(d.source) AS source, any_value(d.key) AS key, count(*) AS n
+  FROM draws d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND d.u >= s.total GROUP BY d.row_id),
+counted AS (SELECT doc_id, source, key, unnest(range(0, n)) AS copy FROM numbers)
 SELECT doc_id, source, copy::INTEGER AS copy, md5('{seed}-order|' || key || '|' || copy::VARCHAR) AS order_key FROM counted"""
