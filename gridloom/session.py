@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +20,8 @@ _PACKAGE = Path(__file__).resolve().parent
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
-_stored: dict[str, list[str]] = {}
+_stored: dict[tuple[str, str], list[str]] = {}
+_scope: ContextVar[str] = ContextVar("scope", default="")
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "gridloom", **conf) -> SparkSession:
@@ -60,12 +64,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share.
 
-    A folder of this process is made only where that setting is absent, as in
-    local tests.
+    Where that setting is absent, a local session gets a folder of this process; on a
+    cluster other machines would not see such a folder, so RuntimeError.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="gridloom-shared-")
@@ -73,10 +79,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[app]
 
 
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables stored here belong to ``name``; ``release`` of that name deletes them and no others."""
+    before = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     path = f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
-    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _stored.setdefault((spark.sparkContext.applicationId, _scope.get()), []).append(path)
     return path
 
 
@@ -98,7 +114,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``store`` made so far; nothing may read them any more."""
-    for path in _stored.pop(spark.sparkContext.applicationId, []):
+def release(spark: SparkSession, name: str) -> None:
+    """Delete the tables stored in a scope so far; nothing may read them any more."""
+    for path in _stored.pop((spark.sparkContext.applicationId, name), []):
         delete_path(spark, path)

@@ -1,6 +1,7 @@
 import importlib.util
 import os
 import sys
+from types import SimpleNamespace
 
 import pytest
 
@@ -16,14 +17,27 @@ def entry_module():
     return module
 
 
-def test_store_and_release(spark):
-    kept = session.store(spark.range(5), "numbers")
+def test_release_deletes_the_tables_of_a_scope(spark):
+    other = session.store(spark.range(7), "numbers")
+    with session.scope("mine"):
+        kept = session.store(spark.range(5), "numbers")
+    later = session.store(spark.range(3), "numbers")
     assert kept.count() == 5 and kept.inputFiles()
-    session.release(spark)
+    session.release(spark, "mine")
+    assert other.count() == 7 and later.count() == 3
     with pytest.raises(Exception, match="(?i)exist|not found"):
         spark.read.parquet(os.path.dirname(kept.inputFiles()[0])).count()
 
 
+def test_a_cluster_needs_a_shared_folder():
+    conf = {}
+    fake = SimpleNamespace(conf=SimpleNamespace(get=conf.get), sparkContext=SimpleNamespace(master="spark://head:7077", applicationId="app-fake"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(fake)
+    conf["spark.checkpoint.dir"] = "hdfs://head/work/"
+    assert session.shared_dir(fake) == "hdfs://head/work"
+
+
 def test_stored_empty_table_keeps_its_schema(spark):
     empty = spark.range(5).where("id > 9").selectExpr("id", "array(id) as list")
     assert session.store(empty, "empty").schema.simpleString() == empty.schema.simpleString()
