@@ -136,12 +136,49 @@ def templates() -> list[tuple[int, list[bytes]]]:
     return [(f, [w for line in paragraphs(t) for w in line]) for f, name in enumerate(TEMPLATES) for t in TEMPLATES[name]]
 
 
+def presence(rows: list[list[bytes]], features: np.ndarray) -> np.ndarray:
+    """[row, feature]: 1 where a row of words has a gram."""
+    out = np.zeros((len(rows), len(features)))
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    h = W.hashed([w for row in rows for w in row])
+    for size, g in enumerate(grams(h)):
+        own = owner[: len(g)]
+        whole = np.flatnonzero(own == owner[size : size + len(g)])
+        at = np.searchsorted(features, g[whole])
+        at[at == len(features)] = 0
+        hit = features[at] == g[whole]
+        out[own[whole[hit]], at[hit]] = 1
+    return out
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def loss(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted negative log likelihood with the penalty, and its gradient by the weights [feature + 1, class]."""
+    p = _softmax(x @ w[:-1] + w[-1])
+    value = -float(weight @ np.log(p[np.arange(len(y)), y])) + PENALTY / 2 * float((w * w).sum())
+    p[np.arange(len(y)), y] -= 1
+    p *= weight[:, None]
+    return value, np.concatenate([x.T @ p, p.sum(axis=0)[None]]) + PENALTY * w
+
+
 def fit(negatives: list[list[bytes]], seed: int = 7) -> Model:
     """Train on altered templates against ``negatives`` (those that hold a template are left out)."""
     rng = np.random.default_rng(seed)
     families = list(TEMPLATES)
     shapes = [(f, _pairs(w)) for f, w in templates()]
-    plain = [w for w in negatives if w and all(len(np.intersect1d(p, _pairs(w))) < 0.5 * len(p) for _, p in shapes)] or [[b"the"], [b"of", b"the"]]
+    features = np.unique(np.concatenate([g for _, w in templates() for g in grams(W.hashed(w))]))
+    holds = np.stack([np.isin(features, pairs) for _, pairs in shapes], axis=1).astype(float)
+    own = [w for w in negatives if w]
+    x = presence(own, features)
+    apart = (x @ holds < 0.5 * holds.sum(axis=0)).all(axis=1)
+    plain, x = [w for w, ok in zip(own, apart.tolist(), strict=True) if ok], x[apart]
+    if not plain:
+        plain = [[b"the"], [b"of", b"the"]]
+        x = presence(plain, features)
     rows, labels = [], []
     for f, words in templates():
         for n in range(ALTERED):
@@ -151,47 +188,31 @@ def fit(negatives: list[list[bytes]], seed: int = 7) -> Model:
                 kept = extra + kept if n % 2 else kept + extra
             rows.append(kept)
             labels.append(f)
-    rows += plain
-    labels += [len(families)] * len(plain)
-    features = np.unique(np.concatenate([g for _, w in templates() for g in grams(W.hashed(w))]))
-    y = np.array(labels)
-    flat, owner = [], []
-    for i, words in enumerate(rows):
-        g = np.unique(np.concatenate(grams(W.hashed(words)))) if words else np.empty(0, np.uint64)
-        at = np.searchsorted(features, g)
-        at[at == len(features)] = 0
-        own = at[features[at] == g] if len(g) else at
-        flat.append(np.append(own, len(features)))
-        owner.append(np.full(len(own) + 1, i))
-    held = np.arange(len(rows)) % 4 == 3
-    col, row = np.concatenate(flat), np.concatenate(owner)
-    classes = len(families) + 1
-    w = np.zeros((len(features) + 1, classes))
+    unknown = len(families)
+    x = np.concatenate([presence(rows, features), x])
+    y = np.array(labels + [unknown] * len(plain))
+    held = np.arange(len(y)) % 4 == 3
+    # Rows with the same grams, label and use are one with a weight.
+    key = np.concatenate([np.packbits(x.astype(bool), axis=1), y[:, None].astype(np.uint8), held[:, None].astype(np.uint8)], axis=1)
+    _, first, n = np.unique(key, axis=0, return_index=True, return_counts=True)
+    weight = n / np.where(y[first] == unknown, max(1, (y == unknown).sum()), max(1, (y < unknown).sum()))
+    x, y, held = x[first], y[first], held[first]
+    w = np.zeros((len(features) + 1, unknown + 1))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    use = ~held[row]
-    c, r = col[use], row[use]
-    weight = np.where(y == classes - 1, 1.0 / max(1, (y == classes - 1).sum()), 1.0 / max(1, (y < classes - 1).sum()))[:, None]
     for t in range(1, ROUNDS + 1):
-        logits = np.stack([np.bincount(r, w[c, k], len(rows)) for k in range(classes)], axis=1)
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(rows)), y] -= 1
-        p *= weight * ~held[:, None]
-        g = np.stack([np.bincount(c, p[r, k], len(w)) for k in range(classes)], axis=1) + PENALTY * w
+        _, g = loss(w, x[~held], y[~held], weight[~held])
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    logits = np.stack([np.bincount(row, w[col, k], len(rows)) for k in range(classes)], axis=1)[held]
-    known = (y[held] < classes - 1).astype(float)
+    logits, n, known = x[held] @ w[:-1] + w[-1], n[held], (y[held] < unknown).astype(float)
     margin = logits[:, :-1].max(axis=1) - logits[:, -1]
     slope, offset = 1.0, 0.0
-    smooth = np.where(known > 0, (known.sum() + 1) / (known.sum() + 2), 1 / ((1 - known).sum() + 2))
+    smooth = np.where(known > 0, (n @ known + 1) / (n @ known + 2), 1 / (n @ (1 - known) + 2))
     for _ in range(400):  # Platt's fit
         q = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -40, 40)))
-        slope -= 0.02 * ((q - smooth) * margin).mean()
-        offset -= 0.02 * (q - smooth).mean()
-    holds = np.stack([np.isin(features, pairs) for _, pairs in shapes], axis=1).astype(float)
-    return Model(families, features, w, float(slope), float(offset), shapes, holds, [len(x) + max(len(x), SLACK) for _, x in templates()])
+        slope -= 0.02 * (n @ ((q - smooth) * margin)) / n.sum()
+        offset -= 0.02 * (n @ (q - smooth)) / n.sum()
+    return Model(families, features, w, float(slope), float(offset), shapes, holds, [len(words) + max(len(words), SLACK) for _, words in templates()])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Model:

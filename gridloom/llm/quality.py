@@ -96,6 +96,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def thresholds_of(step: np.ndarray) -> np.ndarray:
+    """Thresholds from the first one and the logarithms of the steps, which keeps them in order."""
+    return np.cumsum([step[0], *np.exp(step[1:])])
+
+
+def loss(w: np.ndarray, step: np.ndarray, flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, penalty: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log likelihood with the penalty, and its gradients by weights and steps.
+
+    ``flat`` and ``owner``: the features, by their places in ``w``, of all texts.
+    """
+    theta = thresholds_of(step)
+    s = np.bincount(owner, w[flat], len(grades))
+    fu, fl = _sigmoid(np.append(theta, 40.0)[grades] - s), _sigmoid(np.concatenate([[-40.0], theta])[grades] - s)
+    fu[grades == GRADES - 1], fl[grades == 0] = 1.0, 0.0
+    p = np.maximum(fu - fl, 1e-9)
+    gu, gl = fu * (1 - fu) / p, fl * (1 - fl) / p
+    dtheta = np.array([-gu[grades == k].sum() + gl[grades == k + 1].sum() for k in range(GRADES - 1)])
+    dstep = np.array([dtheta.sum(), *(dtheta[k:].sum() * np.exp(step[k]) for k in range(1, GRADES - 1))])
+    dw = np.bincount(flat, (gu - gl)[owner], len(w)) + penalty * w
+    return -float(np.log(p).sum()) + penalty / 2 * float(w @ w), dw, dstep
+
+
 def fit(features: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> Model:
     """Maximum likelihood with a quadratic penalty, by Adam over all rows at once.
 
@@ -112,26 +134,12 @@ def fit(features: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS, pe
     used, flat = np.unique(flat, return_inverse=True)
     w = np.zeros(len(used))
     share = np.array([(np.sum(grades <= k) + 0.5) / (len(grades) + 1) for k in range(GRADES - 1)])
-    # Thresholds: the first and the logarithms of the steps, so that they stay in order.
     theta = np.log(share / (1 - share))
     step = np.array([theta[0], *np.log(np.maximum(np.diff(theta), 0.1))])
     n = len(grades)
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(step), np.zeros_like(step)]
     for t in range(1, rounds + 1):
-        theta = np.cumsum([step[0], *np.exp(step[1:])])
-        s = np.bincount(owner, w[flat], n)
-        upper = np.append(theta, 40.0)[grades] - s
-        lower = np.concatenate([[-40.0], theta])[grades] - s
-        fu, fl = _sigmoid(upper), _sigmoid(lower)
-        fu[grades == GRADES - 1], fl[grades == 0] = 1.0, 0.0
-        p = np.maximum(fu - fl, 1e-9)
-        gu, gl = fu * (1 - fu) / p, fl * (1 - fl) / p
-        ds = gu - gl  # d(-log p)/ds
-        dtheta = np.zeros(GRADES - 1)
-        for k in range(GRADES - 1):
-            dtheta[k] = -gu[grades == k].sum() + gl[grades == k + 1].sum()
-        dstep = np.array([dtheta.sum(), *(dtheta[k:].sum() * np.exp(step[k]) for k in range(1, GRADES - 1))])
-        dw = np.bincount(flat, ds[owner], len(w)) + penalty * w
+        _, dw, dstep = loss(w, step, flat, owner, grades, penalty)
         for x, g, m, v in ((w, dw / n, state[0], state[1]), (step, dstep / n, state[2], state[3])):
             m *= 0.9
             m += 0.1 * g
@@ -140,7 +148,7 @@ def fit(features: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS, pe
             x -= 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     weights = np.zeros(size, np.float32)
     weights[used] = w
-    return Model(weights, np.cumsum([step[0], *np.exp(step[1:])]))
+    return Model(weights, thresholds_of(step))
 
 
 _features = Features()

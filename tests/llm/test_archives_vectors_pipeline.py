@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import embedding_dedup, packing, queries, warc
+from gridloom.llm import embedding_dedup, jaccard_join, packing, queries, warc
 
 FIELDS = "page_id long, url string, html string, other int"
 
@@ -225,6 +225,31 @@ def test_pipeline(spark, sf, tmp_path):
     assert ends.where("n <> end or n > 4096").count() == 0
 
 
+def odd_documents(spark, path, rows):
+    """A folder with a table of documents that has more columns, some of names that operators use."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("id", "key", "n", "copy", "row", "size", "region"):
+        df = df.withColumn(name, F.lit("x"))
+    df.write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, odd_documents(spark, tmp_path, [])).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    words = {"en": "the house and the river of the old town", "de": "das Haus und der Fluss von der alten Stadt"}
+    rows = [(i, f"{words[lang]} w{i % 7}", lang, "s", 10) for i in range(40) for lang in words]
+    rows += [(None, "the house and the garden", "en", None, None), (90, None, "en", "s", 0), (91, "", None, None, 0), (92, "½ 12", "en", "s", 4), (93, "the river " * 3000, "en", "t", 9), (93, "the river " * 3000, "en", "t", 9)]
+    sf = odd_documents(spark, tmp_path, rows)
+    before = jaccard_join.join(spark.read.parquet(f"{sf}/documents.parquet"))  # lazy, of this session
+    out = corpus_pipeline.run(spark, sf)
+    ids = {r.doc_id for r in out.collect()}
+    assert {93, None} <= ids and not ids & {90, 91, 92}
+    assert before.count() == len(rows)
+
+
 def test_vectors_of_any_size(spark):
     rows = [(1, [1e200, 1e200], 0), (2, [2e200, 2e200], 0), (3, [1e-200, 1e-200], 0), (4, [5e-324, 5e-324], 0), (5, [1.7e308, -1.7e308], 0), (6, [3.0, 3.0], 0), (7, [1e-200, -1e-200], 0), (8, [0.0, -0.0], 0), (8, [1.0, 1.0], 1), (9, [1e300, 1e300], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")

@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import math
 import random
 import textwrap
 from collections import Counter, defaultdict
@@ -564,3 +565,90 @@ def test_language_query_by_force(spark):
             continue
         assert got[row.doc_id].lang_pred == model.langs[int(sums.argmax())]
         assert got[row.doc_id].score == pytest.approx(1 / np.exp(sums - sums.max()).sum(), rel=1e-6)
+
+
+def slopes(value, x, at, eps=1e-5):
+    """Differences of ``value`` for small changes of some numbers of ``x``."""
+    out = []
+    for i in at:
+        up, down = x.copy(), x.copy()
+        up.flat[i] += eps
+        down.flat[i] -= eps
+        out.append((value(up) - value(down)) / (2 * eps))
+    return out
+
+
+def test_quality_gradient_and_likelihood():
+    rng = np.random.default_rng(4)
+    grades = rng.integers(0, 3, 40)
+    features = [np.unique(rng.integers(0, 12, 6)) for _ in grades]
+    flat, owner = np.concatenate(features), np.repeat(np.arange(40), [len(f) for f in features])
+    w, step = rng.normal(size=12), np.array([-0.7, 0.3])
+    value, dw, dstep = quality.loss(w, step, flat, owner, grades, 0.5)
+    theta = [-0.7, -0.7 + math.exp(0.3)]
+    plain = 0.0
+    for f, grade in zip(features, grades):
+        below = [0.0, *(1 / (1 + math.exp(-(t - w[f].sum()))) for t in theta), 1.0]
+        plain -= math.log(below[grade + 1] - below[grade])
+    assert value == pytest.approx(plain + 0.25 * (w @ w))
+    assert dw == pytest.approx(slopes(lambda x: quality.loss(x, step, flat, owner, grades, 0.5)[0], w, range(12)), rel=1e-4, abs=1e-6)
+    assert dstep == pytest.approx(slopes(lambda x: quality.loss(w, x, flat, owner, grades, 0.5)[0], step, range(2)), rel=1e-4, abs=1e-6)
+
+
+def test_quality_query_by_force(spark):
+    sf = "/root/testdata/sf0.01"
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(df, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r for r in quality.score(df, model).collect()}
+    for row in df.where("doc_id % 20 = 0").select("doc_id", "text").collect():
+        tokens = (row.text or "").encode().split()
+        traits = [quality.token_traits(t) for t in tokens]
+        words = {w for w, _ in traits if w >= 0}
+        n = max(1, len(tokens))
+        shares = [sum(b >> k & 1 for _, b in traits) / n for k in range(4)] + [1 - len(words) / n]
+        steps = [quality.SPACE + k * quality.STEPS + min(quality.STEPS - 1, math.ceil(x * 20) if x < 0.2 else 4 + int(x * 4)) for k, x in enumerate(shares)]
+        score = sum(float(model.weights[f]) for f in [*words, *steps])
+        tails = [1 / (1 + math.exp(-(score - t))) for t in model.thresholds]
+        r = got[row.doc_id]
+        assert (r.expected_grade, r.p_not_toxic, r.p_good) == pytest.approx((sum(tails), *tails), abs=1e-4)
+        assert r.kept == (r.p_good >= 0.5)
+
+
+def test_licence_gradient():
+    rng = np.random.default_rng(6)
+    x, y, weight = (rng.random((30, 9)) < 0.4).astype(float), rng.integers(0, 4, 30), rng.random(30)
+    w = rng.normal(size=(10, 4))
+    _, g = licences.loss(w, x, y, weight)
+    assert g.ravel() == pytest.approx(slopes(lambda v: licences.loss(v, x, y, weight)[0], w, range(40)), rel=1e-4, abs=1e-6)
+
+
+def test_licence_lines_by_force(spark):
+    """Every line that the classifier takes for a licence, by plain sums over its word sequences."""
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pydict()["text"]]
+    model = licences.train(docs(spark, texts))
+    place = {int(f): i for i, f in enumerate(model.features)}
+    rows = licences.scan(docs(spark, texts), model).collect()
+    hits = 0
+    for r in rows:
+        found = {f.paragraph: f for f in r.found}
+        for i, line in enumerate(licences.paragraphs(texts[r.doc_id])):
+            seen = {place[int(g)] for part in licences.grams(jaccard_join.W.hashed(line)) for g in part if int(g) in place}
+            if not seen:
+                continue
+            sums = [sum(model.weights[f, k] for f in seen) + model.weights[-1, k] for k in range(len(model.families) + 1)]
+            top = max(range(len(model.families)), key=sums.__getitem__)
+            p = 1 / (1 + math.exp(-(model.slope * (sums[top] - sums[-1]) + model.offset)))
+            if p >= licences.MIN_PROBABILITY and abs(p - 0.5) > 1e-9:
+                hits += 1
+                assert i in found and (found[i].family == model.families[top] or found[i].confirmed)
+                if found[i].family == model.families[top]:
+                    assert found[i].probability == pytest.approx(p, abs=1e-6)
+    assert hits > 10
+
+
+def test_licences_of_odd_rows(spark):
+    notice = "Released under the MIT License."
+    df = docs(spark, [notice, notice, f"{'word ' * 200_000}\n{notice}"]).unionByName(docs(spark, [notice]).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs(spark, [notice]))
+    model = licences.train(docs(spark, ["a plain line of words"] * 30))
+    rows = licences.scan(clashing(df), model).collect()
+    assert len(rows) == 5 and all(r.licences == "MIT" for r in rows)
