@@ -45,6 +45,13 @@ class LayerNotFoundError(FeatureServiceError):
     """The service has no such layer."""
 
 
+class SystemMismatchError(ValueError):
+    """A box or mask is in another coordinate system than the file it is to be laid on."""
+
+    def __init__(self, what: str, given: int | None = None, there: int | None = None) -> None:
+        super().__init__(f"the {what} is in EPSG:{given}, the file in EPSG:{there}")
+
+
 class RasterShapeError(Exception):
     """A raster has neither two nor three dimensions."""
 

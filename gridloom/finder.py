@@ -17,6 +17,7 @@ from gridloom.operators import costs as C
 from gridloom.operators import metrics as M
 from gridloom.operators import raster as R
 from gridloom.operators import route
+from gridloom.operators.search import Heuristic
 from gridloom.sources import costs as cost_files
 from gridloom.sources import export
 from gridloom.sources.detect import Raster, Vector, load
@@ -64,18 +65,21 @@ class PathFinder:
         self.runtimes: dict[str, float] = {}
         data = self._timed("loading", lambda: load(spark, dataset, **options))
         if isinstance(data, Vector):
+            began = time.perf_counter()
             if costs is None and "cost" not in data.features.columns:
                 raise ValueError("features need costs")
             rows = C.apply_costs(data.features, cost_files.load(spark, costs)) if costs is not None else data.features
             b = R.total_bounds(rows).first()
             meta = R.output_meta(tuple(b), pixel_area, data.srid)
             data = Raster(R.rasterize(rows, meta).withColumn("band", F.lit(0)), meta)
+            self.runtimes["rasterizing"] = time.perf_counter() - began
         self.raster = data
         self.cells = R.overlays(data.cells.where(F.col("band") == band).select("row", "col", "value"), data.meta, overlays)
         ends = _list(self.sources) + _list(self.targets)
         self.buffer = buffer if buffer is not None else R.estimate_buffer(self.cells, data.meta, _list(self.sources), _list(self.targets))
         self.window, self.meta = R.search_space(self.cells, data.meta, ends, self.buffer)
         self.window = self.window.persist()
+        self._timed("search_space", self.window.count)
         self.paths: DataFrame | None = None
 
     def _timed(self, name: str, what: Callable[[], Any]) -> Any:
@@ -84,18 +88,18 @@ class PathFinder:
         self.runtimes[name] = time.perf_counter() - start
         return out
 
-    def find(self, sources: Any = None, targets: Any = None, algorithm: str = "dijkstra", pairwise: bool = False, heuristic_weight: float = 1.0, metrics: bool = True) -> DataFrame:
+    def find(self, sources: Any = None, targets: Any = None, algorithm: str = "dijkstra", pairwise: bool = False, heuristic_weight: float = 1.0, metrics: bool = True, heuristic: Heuristic | None = None, heuristic_radius: int | None = None) -> DataFrame:
         """Path records; pairs without a path are left out, but a single one raises NoPathFoundError."""
         a = points(sources) if sources is not None else self.sources
         b = points(targets) if targets is not None else self.targets
         wanted = route.requests(self.spark, [self.meta.node(*p) for p in _list(a)], [self.meta.node(*p) for p in _list(b)], pairwise)
-        found = route.solve(self.window, self.meta.height, self.meta.width, wanted, self.steps, algorithm, self.ignore_max, heuristic_weight).persist()
+        found = route.solve(self.window, self.meta.height, self.meta.width, wanted, self.steps, algorithm, self.ignore_max, heuristic_weight, heuristic, heuristic_radius).persist()
         self._timed("shortest_path", found.count)
-        hits = route.reached(found).select(F.col("ord").alias("path_id"), F.lit(algorithm).alias("algorithm"), "source", "target", "cost", "node_ids")
+        hits = route.reached(found).select(F.col("ord").alias("path_id"), F.lit(getattr(algorithm, "__name__", algorithm)).alias("algorithm"), "source", "target", "cost", "node_ids")
         if isinstance(a, tuple) and isinstance(b, tuple) and hits.isEmpty():
             raise NoPathFoundError(a, b)
         if metrics:
-            hits = M.records(hits, M.length_by_category(hits, self.window, self.meta.width), self.meta)
+            hits = self._timed("metrics", lambda: M.records(hits, M.length_by_category(hits, self.window, self.meta.width), self.meta).persist())
         self.runtimes["total"] = sum(v for k, v in self.runtimes.items() if k != "total")
         self.paths = hits.withColumn("runtimes", F.create_map(*[F.lit(x) for kv in self.runtimes.items() for x in kv]))
         return self.paths

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.grid import RasterMeta, node_col, node_row, segment_length, x_of, y_of
+from gridloom.functions.grid import FORBIDDEN, RasterMeta, node_col, node_row, segment_length, x_of, y_of
 from gridloom.functions.neighborhood import LARGEST, between
 
 
@@ -52,6 +54,23 @@ def totals(by_category: DataFrame) -> DataFrame:
     return by_category.groupBy("path_id").agg(F.sum("length").alias("total_length"), F.sum(F.col("length") * F.col("category")).alias("total_cost"))
 
 
+def path_costs(by_category: DataFrame, ignore: Sequence[int] = (FORBIDDEN,)) -> DataFrame:
+    """(path_id, cost): the sum of length times category, without some categories and without missing lengths."""
+    counts = ~F.col("category").isin(list(ignore)) if ignore else F.lit(True)
+    part = F.when(counts & F.col("length").isNotNull(), F.col("length") * F.col("category")).otherwise(F.lit(0.0))
+    return by_category.groupBy("path_id").agg(F.sum(part).alias("cost"))
+
+
+def cheapest_valid(options: DataFrame, valid: Column, group: str, cost: str, tie: str) -> DataFrame:
+    """Of each group's options that are valid the cheapest one, of equally cheap ones that with the smallest ``tie``.
+
+    Groups without a valid option are left out; so are options without a cost.
+    """
+    rows = options.where(valid & F.col(cost).isNotNull())
+    best = rows.groupBy(F.col(group).alias("_group")).agg(F.min_by(F.struct(*options.columns), F.struct(cost, tie)).alias("_best"))
+    return best.select("_best.*")
+
+
 def shares(by_category: DataFrame) -> DataFrame:
     """(path_id, category, length, percent); 0 percent on a path without length."""
     total = by_category.groupBy("path_id").agg(F.sum("length").alias("total"))

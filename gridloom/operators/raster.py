@@ -313,7 +313,8 @@ def buffer_statistics(cells: DataFrame, meta: RasterMeta, source: G.Point, targe
 
 def estimate_buffer(cells: DataFrame, meta: RasterMeta, points: Sequence[G.Point], targets: Sequence[G.Point]) -> int:
     """The buffer for the farthest pair of route ends; 200 if they coincide."""
-    a, b = max(((s, t) for s in points for t in targets), key=lambda p: math.dist(*p))
+    # Both ends of the farthest pair are corners of hulls.
+    a, b = max(((s, t) for s in G.convex_hull(points) for t in G.convex_hull(targets)), key=lambda p: math.dist(*p))
     if math.dist(a, b) < 1:
         return 200
     got = buffer_statistics(cells, meta, a, b).first()
@@ -329,3 +330,13 @@ def value_ranks(cells: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     return distinct_values(cells).select("value", F.dense_rank().over(Window.orderBy("value")).alias("rank"))  # at most 65,536 values
+
+
+def legend_sample(cells: DataFrame, most: int = 12) -> DataFrame:
+    """(value, rank) of at most ``most`` distinct values, evenly spaced by rank, the lowest and the highest included."""
+    ranks = value_ranks(cells)  # at most 65,536 rows
+    n = ranks.count()
+    if n <= most:
+        return ranks
+    places = sorted({int(i * ((n - 1) / (most - 1))) if i < most - 1 else n - 1 for i in range(most)})
+    return ranks.where((F.col("rank") - 1).isin(places))

@@ -2,14 +2,15 @@
 
 A request table has (ord, source, target) node ids. Requests are grouped by source, or by
 target if these are fewer, as the graph is undirected; one search answers a group. The window is
-broadcast if it has at most WINDOW_CELLS cells; above that, ``tiled_distances`` keeps the raster in
-tiles and exchanges border distances until nothing improves.
+broadcast if it has at most WINDOW_CELLS cells. Above that the raster stays in tiles: tasks search groups of tiles and
+exchange border distances until nothing improves, and paths are walked back from tile to tile.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,12 +21,14 @@ from gridloom.errors import AlgorithmNotImplementedError, NoPathFoundError, Pair
 from gridloom.functions.grid import FORBIDDEN, line_cells
 from gridloom.functions.neighborhood import Step, steps
 from gridloom.operators.edges import grid_rows
-from gridloom.operators.search import ALGORITHMS, Search, Window, routes
+from gridloom.operators.search import ALGORITHMS, Heuristic, Search, Window, predecessor, routes
 from gridloom.session import ship, store
 
-#: Cells up to which a window is broadcast (4 bytes each), and the side of a tile.
+#: Cells up to which a window is broadcast (4 bytes each), the side of a tile, and tiles to a side of a group.
 WINDOW_CELLS = 1 << 26
-TILE = 512
+TILE, GROUP = 512, 4
+#: Rounds after which changed tiles are merged into the state.
+MERGE = 8
 
 
 def directed(of: Sequence[Step] | int | str) -> list[Step]:
@@ -37,7 +40,7 @@ def directed(of: Sequence[Step] | int | str) -> list[Step]:
 def load_window(cells: DataFrame, height: int, width: int) -> np.ndarray:
     """The cells (row, col, value) of a window as an array; -1 where there is none."""
     if height * width > WINDOW_CELLS:
-        raise ValueError(f"a window of {height} x {width} cells is too large to broadcast; use tiled_distances")
+        raise ValueError(f"a window of {height} x {width} cells is too large to broadcast")
     out = np.full((height, width), -1, np.int32)
     table = grid_rows(cells.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)), width).toArrow()
     for row, vals in zip(table["row"].to_pylist(), table["vals"], strict=True):
@@ -45,30 +48,56 @@ def load_window(cells: DataFrame, height: int, width: int) -> np.ndarray:
     return out
 
 
+#: A search of one's own: a window, a start and ends -> (cost, nodes) for each end.
+Backend = Callable[[Window, int, list[int]], list[tuple[float, list[int]]]]
 RESULT = "ord long, source long, target long, cost double, node_ids array<long>"
 
 
-def solve(cells: DataFrame, height: int, width: int, requests: DataFrame, of: Sequence[Step] | int | str = 1, algorithm: str = "dijkstra", ignore_max: bool = True, heuristic_weight: float = 1.0) -> DataFrame:
-    """A row for each request: ord, source, target, cost, node_ids (inf and empty if there is no path)."""
-    if algorithm not in ALGORITHMS:
+def solve(
+    cells: DataFrame,
+    height: int,
+    width: int,
+    requests: DataFrame,
+    of: Sequence[Step] | int | str = 1,
+    algorithm: str | Backend = "dijkstra",
+    ignore_max: bool = True,
+    heuristic_weight: float = 1.0,
+    heuristic: Heuristic | None = None,
+    heuristic_radius: int | None = None,
+    window_cells: int | None = None,
+    side: int = TILE,
+) -> DataFrame:
+    """A row for each request: ord, source, target, cost, node_ids (inf and empty if there is no path).
+
+    ``algorithm``: a name, or a function from a Window, a start and ends to their (cost, nodes). For ``heuristic`` and
+    ``heuristic_radius`` see ``search.routes``. Windows of more than ``window_cells`` cells (WINDOW_CELLS) are searched in tiles of ``side``
+    cells, always for least costs; algorithm and heuristic don't count there.
+    """
+    if not callable(algorithm) and algorithm not in ALGORITHMS:
         raise AlgorithmNotImplementedError(algorithm)
     spark = cells.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(load_window(cells, height, width))
     wanted = directed(of)
     sides = requests.agg(F.countDistinct("source").alias("s"), F.countDistinct("target").alias("t")).first()
     turned = sides["t"] < sides["s"]
     start, end = ("target", "source") if turned else ("source", "target")
+    asked = requests.select(F.col("ord").cast("long"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"))
+    if height * width > (WINDOW_CELLS if window_cells is None else window_cells):
+        found = tiled_routes(cells, height, width, asked, wanted, side, ignore_max)
+        nodes = F.reverse("node_ids") if turned else F.col("node_ids")
+        a, b = ("end", "start") if turned else ("start", "end")
+        return found.select("ord", F.col(a).alias("source"), F.col(b).alias("target"), "cost", nodes.alias("node_ids"))
+    shared = spark.sparkContext.broadcast(load_window(cells, height, width))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         window = _window(shared, wanted, ignore_max)
-        found = routes(window, int(pdf["start"].iloc[0]), pdf["end"].tolist(), algorithm, heuristic_weight)
+        first, ends = int(pdf["start"].iloc[0]), pdf["end"].tolist()
+        found = algorithm(window, first, ends) if callable(algorithm) else routes(window, first, ends, algorithm, heuristic_weight, heuristic, heuristic_radius)
         nodes = [(n[::-1] if turned else n) for _, n in found]
         a, b = ("end", "start") if turned else ("start", "end")
         return pd.DataFrame({"ord": pdf["ord"], "source": pdf[a], "target": pdf[b], "cost": [c for c, _ in found], "node_ids": nodes})
 
-    grouped = requests.select(F.col("ord").cast("long"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end")).groupBy("start")
-    return grouped.applyInPandas(run, RESULT)
+    return asked.groupBy("start").applyInPandas(run, RESULT)
 
 
 _windows: dict[tuple, Window] = {}
@@ -86,6 +115,9 @@ def _window(shared, wanted: list[Step], ignore_max: bool) -> Window:
 def distances(cells: DataFrame, height: int, width: int, sources: DataFrame, of: Sequence[Step] | int | str = 1, ignore_max: bool = True) -> DataFrame:
     """(source, node, dist): least costs from each source to every node it reaches."""
     ship(cells.sparkSession)
+    if height * width > WINDOW_CELLS:
+        starts = sources.select(F.col("source").cast("long").alias("start")).distinct()
+        return Tiled(cells, height, width, directed(of), ignore_max=ignore_max).search(starts).distances().withColumnRenamed("start", "source")
     shared = cells.sparkSession.sparkContext.broadcast(load_window(cells, height, width))
     wanted = directed(of)
 
@@ -166,65 +198,193 @@ def tiles(cells: DataFrame, height: int, width: int, halo: int, side: int = TILE
     return placed.select("tr", "tc", place.alias("place"), "value").groupBy("tr", "tc").applyInPandas(build, "tr int, tc int, values binary")
 
 
-def tiled_distances(cells: DataFrame, height: int, width: int, source: int, of: Sequence[Step] | int | str = 1, side: int = TILE, ignore_max: bool = True) -> DataFrame:
-    """(node, dist) for every node that ``source`` reaches, exactly, with one tile in memory at a time.
+class Tiled:
+    """Searches on a raster in tiles; a task holds one group of tiles.
 
-    In each round the tiles that got better border distances search again from these and send on
-    what improved within reach of their borders. Rounds end when nothing does.
+    In each round the groups that got better border distances search again from these, tile by
+    tile until nothing improves inside the group, and send on what improved within reach of
+    their borders. Rounds end when nothing does. Only tiles that changed are written.
     """
-    spark = cells.sparkSession
-    ship(spark)
-    wanted = directed(of)
-    halo = max(max(abs(r), abs(c)) for r, c in wanted)
-    if side < halo:
-        raise ValueError("a tile must be at least as wide as a step")
+
+    def __init__(self, cells: DataFrame, height: int, width: int, wanted: list[Step], side: int = TILE, ignore_max: bool = True, group: int = GROUP) -> None:
+        self.spark, self.width, self.wanted, self.side, self.ignore_max, self.group = cells.sparkSession, width, wanted, side, ignore_max, group
+        ship(self.spark)
+        self.halo = max((max(abs(r), abs(c)) for r, c in wanted), default=1)
+        if side < self.halo:
+            raise ValueError("a tile must be at least as wide as a step")
+        self.span = side + 2 * self.halo
+        held = tiles(cells, height, width, self.halo, side)
+        self.tiles = store(held.select(*self._groups("tr", "tc"), "tr", "tc", "values"), "tiles")
+
+    def _groups(self, tr: str, tc: str) -> list[Column]:
+        return [F.floor(F.col(c) / self.group).cast("int").alias(name) for c, name in ((tr, "gr"), (tc, "gc"))]
+
+    def _tile_of(self, node: str) -> list[Column]:
+        return [F.floor(F.floor(F.col(node) / self.width) / self.side).cast("int").alias("tr"), F.floor(F.pmod(F.col(node), F.lit(self.width)) / self.side).cast("int").alias("tc")]
+
+    def search(self, starts: DataFrame) -> Tiled:
+        """Find the distances from each of ``starts`` (start); they are in ``state`` (start, tr, tc, dist)."""
+        news = starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"))
+        news = store(news.select("start", *self._tile_of("node"), F.array("node").alias("nodes"), F.array("cost").alias("costs")), "news")
+        state = store(news.select("start", "tr", "tc", F.lit(None).cast("binary").alias("dist"), F.lit(-1).alias("round")).limit(0), "state")
+        parts, number = [state], 0
+        improve = _improver(self.wanted, self.ignore_max, self.side, self.halo, self.width, self.group)
+        while not news.isEmpty():
+            told = news.groupBy("start", "tr", "tc").agg(F.flatten(F.collect_list("nodes")).alias("nodes"), F.flatten(F.collect_list("costs")).alias("costs"))
+            keys = told.select("start", *self._groups("tr", "tc")).distinct()
+            held = keys.join(self.tiles, ["gr", "gc"]).join(self._latest(parts), ["start", "tr", "tc"], "left").join(told, ["start", "tr", "tc"], "left")
+            got = held.groupBy("start", "gr", "gc").applyInPandas(improve, "start long, tr int, tc int, dist binary, nodes array<long>, costs array<double>")
+            got = store(got, "round")
+            parts.append(got.where("dist is not null").select("start", "tr", "tc", "dist", F.lit(number).alias("round")))
+            news = got.where("dist is null").select("start", "tr", "tc", "nodes", "costs")
+            number += 1
+            if len(parts) > MERGE:
+                parts = [store(self._latest(parts, number), "state")]
+        self.state = store(self._latest(parts).select("start", "tr", "tc", "dist"), "state")
+        return self
+
+    def _latest(self, parts: list[DataFrame], number: int = 0) -> DataFrame:
+        every = reduce(DataFrame.unionByName, parts)
+        return every.groupBy("start", "tr", "tc").agg(F.max_by("dist", "round").alias("dist"), F.lit(number - 1).alias("round"))
+
+    def distances(self) -> DataFrame:
+        """(start, node, dist) for every node reached."""
+        side, halo, span, width = self.side, self.halo, self.span, self.width
+
+        def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for start, tr, tc, data in zip(pdf["start"], pdf["tr"], pdf["tc"], pdf["dist"], strict=True):
+                    dist = np.frombuffer(data, np.float64).reshape(span, span)[halo : halo + side, halo : halo + side]
+                    r, c = np.nonzero(np.isfinite(dist))
+                    yield pd.DataFrame({"start": start, "node": (r + tr * side) * width + c + tc * side, "dist": dist[r, c]})
+
+        return self.state.mapInPandas(unfold, "start long, node long, dist double")
+
+    def paths(self, requests: DataFrame) -> DataFrame:
+        """(ord, start, end, cost, node_ids) for requests (ord, start, end): ends are walked back tile by tile."""
+        walk = _walker(self.wanted, self.ignore_max, self.side, self.halo, self.width)
+        now = requests.select("ord", "start", F.col("end").alias("node"), F.lit(0).alias("part"))
+        parts: list[DataFrame] = []
+        held = self.tiles.drop("gr", "gc")
+        while not now.isEmpty():
+            at = now.select("*", *self._tile_of("node")).join(self.state, ["start", "tr", "tc"]).join(held, ["tr", "tc"])
+            got = store(at.mapInPandas(walk, "ord long, start long, part int, nodes array<long>, cost double, next long"), "walked")
+            parts.append(got)
+            now = got.where("next is not null").select("ord", "start", F.col("next").alias("node"), (F.col("part") + 1).alias("part"))
+        if not parts:
+            return requests.select("ord", "start", "end", F.lit(math.inf).alias("cost"), F.array().cast("array<long>").alias("node_ids"))
+        every = reduce(DataFrame.unionByName, parts).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("part", "nodes"))).alias("parts"), F.min_by("cost", "part").alias("cost"))
+        nodes = F.reverse(F.flatten(F.col("parts.nodes")))
+        out = requests.join(every, "ord", "left")
+        return out.select("ord", "start", "end", F.coalesce("cost", F.lit(math.inf)).alias("cost"), F.coalesce(nodes, F.array().cast("array<long>")).alias("node_ids"))
+
+
+def _improver(wanted: list[Step], ignore_max: bool, side: int, halo: int, width: int, group: int):
+    span = side + 2 * halo
+
+    def improve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """A group's tiles, with what is new for them -> the tiles that changed, and what is new for other groups' tiles."""
+        rows = {(r, c): i for i, (r, c) in enumerate(zip(pdf["tr"], pdf["tc"], strict=True))}
+        dist: dict[tuple[int, int], np.ndarray] = {}
+        waiting = {}
+        for place, i in rows.items():
+            if pdf["nodes"].iloc[i] is not None:
+                waiting[place] = [(np.asarray(pdf["nodes"].iloc[i], np.int64), np.asarray(pdf["costs"].iloc[i], float))]
+        changed, outside = set(), {}
+        while waiting:
+            place = min(waiting, key=lambda p: min(c.min() for _, c in waiting[p]))
+            nodes, costs = (np.concatenate(x) for x in zip(*waiting.pop(place), strict=True))
+            if place not in rows:
+                continue
+            i = rows[place]
+            window = Window(np.frombuffer(pdf["values"].iloc[i], np.int32).reshape(span, span), wanted, ignore_max)
+            if place not in dist:
+                known = pdf["dist"].iloc[i]
+                dist[place] = np.full(span * span, np.inf) if known is None else np.frombuffer(known, np.float64).copy()
+            old = dist[place]
+            top, left = place[0] * side - halo, place[1] * side - halo
+            r, c = np.divmod(nodes, width)
+            best = np.full(span * span, np.inf)
+            np.minimum.at(best, (r - top) * span + c - left, costs)
+            new = np.flatnonzero((best < old) & window.open.ravel())
+            if not len(new):
+                continue
+            search = Search(window, {})
+            search.dist, search.pending = old.copy(), new
+            search.dist[new] = best[new]
+            while search.step():
+                pass
+            better = np.flatnonzero(search.dist < old)
+            dist[place] = search.dist
+            changed.add(place)
+            r, c = np.divmod(better, span)
+            edge = (r < 2 * halo) | (r >= side) | (c < 2 * halo) | (c >= side)
+            send, r, c = better[edge], r[edge] + top, c[edge] + left
+            nodes, costs = r * width + c, search.dist[send]
+            for dr in (-1, 0, 1):
+                for dc in (-1, 0, 1):
+                    there = place[0] + dr, place[1] + dc
+                    near = (r >= there[0] * side - halo) & (r < (there[0] + 1) * side + halo) & (c >= there[1] * side - halo) & (c < (there[1] + 1) * side + halo)
+                    if there != place and min(there) >= 0 and near.any():
+                        inside = (there[0] // group, there[1] // group) == (key[1], key[2])
+                        (waiting if inside else outside).setdefault(there, []).append((nodes[near], costs[near]))
+        out = [(key[0], *place, dist[place].tobytes(), None, None) for place in sorted(changed)]
+        for place, told in sorted(outside.items()):
+            nodes, costs = (np.concatenate(x) for x in zip(*told, strict=True))
+            order = np.lexsort((costs, nodes))
+            first = order[np.concatenate([[True], nodes[order][1:] != nodes[order][:-1]])]
+            out.append((key[0], *place, None, nodes[first], costs[first]))
+        return pd.DataFrame(out, columns=["start", "tr", "tc", "dist", "nodes", "costs"])
+
+    return improve
+
+
+def _walker(wanted: list[Step], ignore_max: bool, side: int, halo: int, width: int):
     span = side + 2 * halo
-    state = store(tiles(cells, height, width, halo, side).withColumn("dist", F.lit(None).cast("binary")), "tiles")
-    row, col = divmod(source, width)
-    news = spark.createDataFrame([(row // side, col // side, source, 0.0)], "tr int, tc int, node long, cost double")
-
-    def improve(key: tuple, held: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        tr, tc = key
-        if held.empty or got.empty:
-            return pd.DataFrame([], columns=["tr", "tc", "values", "dist", "nodes", "costs"], dtype=object)
-        window = Window(np.frombuffer(held["values"].iloc[0], np.int32).reshape(span, span), wanted, ignore_max)
-        old = held["dist"].iloc[0]
-        old = np.full(span * span, np.inf) if old is None else np.frombuffer(old, np.float64).copy()
-        top, left = tr * side - halo, tc * side - halo
-        r, c = np.divmod(got["node"].to_numpy(), width)
-        place, cost = (r - top) * span + c - left, got["cost"].to_numpy()
-        np.minimum.at(best := np.full(span * span, np.inf), place, cost)
-        new = np.flatnonzero((best < old) & window.open.ravel())
-        search = Search(window, {})
-        search.dist, search.pending = old.copy(), new
-        search.dist[new] = best[new]
-        while search.step():
-            pass
-        better = np.flatnonzero(search.dist < old)
-        r, c = np.divmod(better, span)
-        send = better[(r < 2 * halo) | (r >= side) | (c < 2 * halo) | (c >= side)]
-        nodes = (send // span + top) * width + send % span + left
-        return pd.DataFrame({"tr": [tr], "tc": [tc], "values": [held["values"].iloc[0]], "dist": [search.dist.tobytes()], "nodes": [nodes], "costs": [search.dist[send]]})
-
-    while True:
-        changed = state.groupBy("tr", "tc").cogroup(news.groupBy("tr", "tc")).applyInPandas(improve, "tr int, tc int, values binary, dist binary, nodes array<long>, costs array<double>")
-        changed = store(changed, "changed")
-        state = store(state.join(changed.select("tr", "tc"), ["tr", "tc"], "left_anti").unionByName(changed.select("tr", "tc", "values", "dist")), "tiles")
-        sent = changed.select(F.col("tr").alias("fr"), F.col("tc").alias("fc"), F.explode(F.arrays_zip("nodes", "costs")).alias("x")).select("fr", "fc", F.col("x.nodes").alias("node"), F.col("x.costs").alias("cost"))
-        near = lambda c: F.explode(F.sequence(F.floor((c - halo) / side).cast("int"), F.floor((c + halo) / side).cast("int")))
-        sent = sent.withColumn("tr", near(F.floor(F.col("node") / width))).withColumn("tc", near(F.pmod("node", F.lit(width)))).where("tr <> fr or tc <> fc")
-        news = store(sent.groupBy("tr", "tc", "node").agg(F.min("cost").alias("cost")), "news")
-        if news.isEmpty():
-            break
-
-    def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Nodes beside their tiles -> the nodes back to the tile's border, and the first one beyond."""
         for pdf in batches:
-            for tr, tc, data in zip(pdf["tr"], pdf["tc"], pdf["dist"], strict=True):
-                dist = np.frombuffer(data, np.float64).reshape(span, span)[halo : halo + side, halo : halo + side]
-                r, c = np.nonzero(np.isfinite(dist))
-                yield pd.DataFrame({"node": (r + tr * side) * width + c + tc * side, "dist": dist[r, c]})
+            out = []
+            for row in pdf.itertuples(index=False):
+                window = Window(np.frombuffer(row.values, np.int32).reshape(span, span), wanted, ignore_max)
+                dist = np.frombuffer(row.dist, np.float64)
+                top, left = row.tr * side - halo, row.tc * side - halo
+                at = (row.node // width - top) * span + row.node % width - left
+                cost = float(dist[at])
+                if not math.isfinite(cost):
+                    continue
+                nodes, beyond = [], None
+                while True:
+                    r, c = divmod(at, span)
+                    node = (r + top) * width + c + left
+                    if not (halo <= r < halo + side and halo <= c < halo + side):
+                        beyond = node
+                        break
+                    nodes.append(node)
+                    if dist[at] == 0:
+                        break
+                    at = predecessor(window, dist, at)
+                out.append((row.ord, row.start, row.part, nodes, cost, beyond))
+            yield pd.DataFrame(out, columns=["ord", "start", "part", "nodes", "cost", "next"]).astype({"next": "Int64"})
+
+    return walk
+
 
-    return state.where("dist is not null").select("tr", "tc", "dist").mapInPandas(unfold, "node long, dist double")
+def tiled_distances(cells: DataFrame, height: int, width: int, source: int, of: Sequence[Step] | int | str = 1, side: int = TILE, ignore_max: bool = True) -> DataFrame:
+    """(node, dist) for every node that ``source`` reaches, exactly, with one group of tiles in memory at a time."""
+    found = Tiled(cells, height, width, directed(of), side, ignore_max).search(cells.sparkSession.createDataFrame([(source,)], "start long"))
+    return found.distances().drop("start")
+
+
+def tiled_routes(cells: DataFrame, height: int, width: int, requests: DataFrame, wanted: list[Step], side: int = TILE, ignore_max: bool = True) -> DataFrame:
+    """(ord, start, end, cost, node_ids) for requests (ord, start, end)."""
+    inside = lambda c: (F.col(c) >= 0) & (F.col(c) < height * width)
+    valid = requests.where(inside("start") & inside("end"))
+    found = Tiled(cells, height, width, wanted, side, ignore_max).search(valid.select("start").distinct())
+    got = found.paths(valid).select("ord", "cost", "node_ids")
+    out = requests.join(got, "ord", "left")
+    return out.select("ord", "start", "end", F.coalesce("cost", F.lit(math.inf)).alias("cost"), F.coalesce("node_ids", F.array().cast("array<long>")).alias("node_ids"))
 
 
 def reached(found: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 import numpy as np
@@ -11,6 +11,8 @@ import numpy as np
 from gridloom.functions.grid import FORBIDDEN
 from gridloom.functions.neighborhood import Step, between, factor
 
+#: Bytes up to which a window's weights are all kept.
+WEIGHT_BYTES = 1 << 29
 ALGORITHMS = ("dijkstra", "bidirectional_dijkstra", "astar", "bellman_ford")
 
 
@@ -23,9 +25,28 @@ class Window:
         self.open = (values >= 0) & ((values != FORBIDDEN) if ignore_max else True)
         self.jumps = [r * self.width + c for r, c in self.steps]
 
+    def weight(self, step: int, nodes: np.ndarray) -> np.ndarray:
+        """The weights of a step's edges from some nodes; inf where there is none.
+
+        Small windows keep all weights; in large ones they are worked out where they are needed.
+        """
+        if 8 * len(self.steps) * self.values.size <= WEIGHT_BYTES:
+            return self.weights[step][nodes]
+        dr, dc = self.steps[step]
+        r, c = np.divmod(nodes, self.width)
+        out = np.full(len(nodes), np.inf)
+        own = np.flatnonzero((r + dr >= 0) & (r + dr < self.height) & (c + dc >= 0) & (c + dc < self.width))
+        total, ok = np.zeros(len(own)), np.ones(len(own), bool)
+        for x, y in [(0, 0), (dr, dc), *between(dr, dc)]:
+            at = nodes[own] + x * self.width + y
+            total += self.values.flat[at]
+            ok &= self.open.flat[at]
+        out[own] = np.where(ok, total * factor(dr, dc), np.inf)
+        return out
+
     @cached_property
     def weights(self) -> list[np.ndarray]:
-        """For each step the weight of its edge from every node; inf where there is none."""
+        """For each step the weight of its edge from every node."""
         out = []
         for dr, dc in self.steps:
             w = np.full((self.height, self.width), np.inf)
@@ -43,12 +64,24 @@ class Window:
     @cached_property
     def bucket(self) -> float:
         """The width of a bucket: about the median edge."""
-        finite = np.concatenate([w[np.isfinite(w)][:100_000] for w in self.weights])
-        return float(np.median(finite)) + 1e-9 if len(finite) else 1.0
-
-    def heuristic(self, target: int, weight: float = 1.0) -> np.ndarray:
-        """A lower bound of the costs to the target (for weight 1): the distance in cells times the least cost."""
-        least = float(self.values[self.open].min()) if self.open.any() else 0.0
+        nodes = np.flatnonzero(self.open.ravel())
+        nodes = nodes[:: max(1, len(nodes) // 10_000)]
+        some = np.concatenate([self.weight(k, nodes) for k in range(len(self.steps))]) if self.steps else np.empty(0)
+        some = some[np.isfinite(some)]
+        return float(np.median(some)) + 1e-9 if len(some) else 1.0
+
+    def heuristic(self, target: int, weight: float = 1.0, source: int | None = None, radius: int | None = None) -> np.ndarray:
+        """The distance in cells to the target times the least cost times a weight.
+
+        For weight 1 this is a lower bound. With ``radius`` only costs in the box of source and target,
+        that much wider on each side, count; then it may be none, and paths may be longer.
+        """
+        values, free = self.values, self.open
+        if radius is not None and source is not None:
+            (r, c), (tr, tc) = divmod(source, self.width), divmod(target, self.width)
+            box = slice(max(0, min(r, tr) - radius), max(r, tr) + radius + 1), slice(max(0, min(c, tc) - radius), max(c, tc) + radius + 1)
+            values, free = values[box], free[box]
+        least = float(values[free].min()) if free.any() else 0.0
         r, c = np.divmod(np.arange(self.height * self.width), self.width)
         return np.hypot(r - target // self.width, c - target % self.width) * least * weight
 
@@ -66,8 +99,9 @@ class Search:
         self.best = math.inf  # nodes that can't do better are left out
 
     def step(self) -> bool:
-        """Settle one more bucket; False if nothing is left."""
+        """Settle one more bucket; False if nothing is left. ``changed``: the nodes that got better."""
         dist, w = self.dist, self.window
+        self.changed: list[np.ndarray] = []
         if self.bound is not None and len(self.pending):
             self.pending = self.pending[dist[self.pending] + self.bound[self.pending] < self.best * (1 + 1e-12)]
         if not len(self.pending):
@@ -80,71 +114,90 @@ class Search:
             if not len(front):
                 break
             rest = [self.pending[~now]]
-            for jump, weight in zip(w.jumps, w.weights, strict=True):
-                cost = dist[front] + weight[front]
+            for step, jump in enumerate(w.jumps):
+                cost = dist[front] + w.weight(step, front)
                 ok = np.isfinite(cost)
                 to, cost = front[ok] + jump, cost[ok]
                 better = cost < dist[to]
                 to, cost = to[better], cost[better]  # a step leads each node elsewhere
                 dist[to] = cost
                 rest.append(to)
+                self.changed.append(to)
             self.pending = np.unique(np.concatenate(rest))
         self.settled = limit
         return True
 
 
+def predecessor(window: Window, dist: np.ndarray, node: int) -> int:
+    """The node before on a shortest path; of several the smallest."""
+    r, c = divmod(node, window.width)
+    options = []
+    for step, ((dr, dc), jump) in enumerate(zip(window.steps, window.jumps, strict=True)):
+        if 0 <= r - dr < window.height and 0 <= c - dc < window.width and np.isfinite(dist[node - jump]):
+            if dist[node - jump] + window.weight(step, np.array([node - jump]))[0] == dist[node]:
+                options.append(node - jump)
+    if not options:
+        raise AssertionError("a distance without a predecessor")
+    return min(options)
+
+
 def path_to(window: Window, dist: np.ndarray, target: int) -> list[int]:
-    """Nodes from the start to the target; of equal predecessors the smallest."""
+    """Nodes from the start to the target."""
     path = [target]
     while dist[path[-1]] > 0:
-        node = path[-1]
-        r, c = divmod(node, window.width)
-        options = []
-        for (dr, dc), jump, weight in zip(window.steps, window.jumps, window.weights, strict=True):
-            if 0 <= r - dr < window.height and 0 <= c - dc < window.width and dist[node - jump] + weight[node - jump] == dist[node]:
-                options.append(node - jump)
-        if not options:
-            raise AssertionError("a distance without a predecessor")
-        path.append(min(options))
+        path.append(predecessor(window, dist, path[-1]))
     return path[::-1]
 
 
-def routes(window: Window, source: int, targets: Sequence[int], algorithm: str = "dijkstra", heuristic_weight: float = 1.0) -> list[tuple[float, list[int]]]:
+Heuristic = Callable[[np.ndarray, np.ndarray, int, int], np.ndarray]
+
+
+def routes(window: Window, source: int, targets: Sequence[int], algorithm: str = "dijkstra", heuristic_weight: float = 1.0, heuristic: Heuristic | None = None, heuristic_radius: int | None = None) -> list[tuple[float, list[int]]]:
     """(cost, nodes) for each target from one search; (inf, []) if it can't be reached.
 
-    A heuristic weight above 1 may give longer paths.
+    ``heuristic``: rows and columns of nodes, row and column of the target -> bounds of the costs between them, for
+    A*. One that is no lower bound, like a weight above 1, may give longer paths.
     """
     size = window.height * window.width
     valid = [0 <= t < size and bool(window.open.flat[t]) for t in targets]
     if not (0 <= source < size and window.open.flat[source]) or not any(valid):
         return [(math.inf, [])] * len(targets)
     wanted = [t for t, ok in zip(targets, valid, strict=True) if ok]
-    if algorithm == "bidirectional_dijkstra" and len(set(wanted)) == 1 and wanted[0] != source:
-        dist = _two_sided(window, source, wanted[0])
-    else:
-        aim = algorithm == "astar" and len(set(wanted)) == 1
-        search = Search(window, {source: 0.0}, algorithm != "bellman_ford", window.heuristic(wanted[0], heuristic_weight) if aim else None)
-        while search.settled <= search.dist[wanted].max() and search.step():
-            search.best = search.dist[wanted[0]] if aim else math.inf
-        dist = search.dist
+    single = len(set(wanted)) == 1
+    if algorithm == "bidirectional_dijkstra" and single and wanted[0] != source:
+        found = _two_sided(window, source, wanted[0])
+        return [found if ok else (math.inf, []) for ok in valid]
+    bound = None
+    if algorithm == "astar" and single:
+        if heuristic is None:
+            bound = window.heuristic(wanted[0], heuristic_weight, source, heuristic_radius)
+        else:
+            bound = heuristic(*np.divmod(np.arange(size), window.width), *divmod(wanted[0], window.width)) * heuristic_weight
+    search = Search(window, {source: 0.0}, algorithm != "bellman_ford", bound)
+    while search.settled <= search.dist[wanted].max() and search.step():
+        search.best = search.dist[wanted[0]] if bound is not None else math.inf
+    dist = search.dist
     return [(float(dist[t]), path_to(window, dist, t)) if ok and np.isfinite(dist[t]) else (math.inf, []) for t, ok in zip(targets, valid, strict=True)]
 
 
-def _two_sided(window: Window, source: int, target: int) -> np.ndarray:
-    """Distances that hold along the best path, from searches that meet; the graph is undirected."""
+def _two_sided(window: Window, source: int, target: int) -> tuple[float, list[int]]:
+    """The path from searches that meet; the graph is undirected."""
     ahead, back = Search(window, {source: 0.0}), Search(window, {target: 0.0})
-    best = math.inf
+    best, meet = math.inf, -1
     while ahead.settled + back.settled < best:
-        side = ahead if ahead.settled <= back.settled else back
+        side, other = (ahead, back) if ahead.settled <= back.settled else (back, ahead)
         if not side.step():
             break
-        best = min(best, float((ahead.dist + back.dist).min()))
-    if not math.isfinite(best):
-        return np.full_like(ahead.dist, np.inf)
-    # One more search in the corridor of nodes that lie on some path as short.
-    corridor = ahead.dist + back.dist <= best * (1 + 1e-9)
-    reach = (ahead.dist <= best) | (back.dist <= best) | corridor
-    final = Search(window, {source: 0.0}, bound=np.where(reach, 0.0, math.inf))
-    while final.settled <= final.dist[target] and final.step():
-        final.best = min(best * (1 + 1e-9), final.dist[target])
-    return final.dist
+        if side.changed:
+            nodes = np.concatenate(side.changed)
+            both = side.dist[nodes] + other.dist[nodes]
+            if len(both) and both.min() < best:
+                best, meet = float(both.min()), int(nodes[both.argmin()])
+    if meet < 0:
+        return math.inf, []
+    path = path_to(window, ahead.dist, meet) + path_to(window, back.dist, meet)[-2::-1]
+    # Weights are summed from the source on, as the other algorithms do.
+    cost, steps = 0.0, {jump: i for i, jump in enumerate(window.jumps)}
+    for a, b in zip(path, path[1:], strict=False):
+        cost += float(window.weight(steps[b - a], np.array([a]))[0])
+    return cost, path

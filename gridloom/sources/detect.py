@@ -11,12 +11,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.errors import SystemMismatchError
 from gridloom.functions import geometry as G
 from gridloom.functions.grid import RasterMeta
 
 # File name endings by kind.
 VECTOR_FILES = (".shp", ".geojson", ".json", ".gpkg", ".gml", ".kml")
 RASTER_FILES = (".tif", ".tiff", ".jp2", ".img", ".bil", ".dem")
+Box = tuple[float, float, float, float]
+Rings = list[list[G.Point]]
 
 
 @dataclass
@@ -74,11 +77,28 @@ def array_cells(spark: SparkSession, values: np.ndarray, meta: RasterMeta | None
     return Raster(spark.createDataFrame(table), meta, len(bands))
 
 
-def load(spark: SparkSession, source: Any, srid: int | None = None, bbox: tuple[float, float, float, float] | None = None, mask: list[list[G.Point]] | None = None, meta: RasterMeta | None = None, **options: Any) -> Vector | Raster:
+def _moved_rings(spark: SparkSession, rings: Rings, from_srid: int | None, to_srid: int | None) -> Rings:
+    """Rings in another system."""
+    if from_srid is None or to_srid is None or from_srid == to_srid:
+        return rings
+    points = spark.createDataFrame([(i, j, float(x), float(y)) for i, ring in enumerate(rings) for j, (x, y) in enumerate(ring)], "i int, j int, x double, y double")
+    moved = {(r[0], r[1]): (r[2], r[3]) for r in points.select("i", "j", *G.reproject(F.col("x"), F.col("y"), from_srid, to_srid)).collect()}
+    return [[moved[i, j] for j in range(len(ring))] for i, ring in enumerate(rings)]
+
+
+def box_rings(bbox: Box) -> Rings:
+    x0, y0, x1, y1 = bbox
+    return [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]
+
+
+def load(spark: SparkSession, source: Any, srid: int | None = None, bbox: Box | None = None, mask: Rings | None = None, meta: RasterMeta | None = None, bbox_srid: int | None = None, mask_srid: int | None = None, **options: Any) -> Vector | Raster:
     """A dataset from a file, a service's mapping, an array or a DataFrame.
 
-    ``bbox`` and ``mask`` (rings of a polygon) keep the vector features that meet them;
-    for rasters they don't count. ``srid``: the system to reproject features to.
+    ``srid``: the system to reproject features to. Features from memory and from services
+    are cut to ``bbox`` and ``mask`` (rings of a polygon), which are reprojected if their systems are told and differ. From files, features
+    that meet ``bbox`` are read whole, or without one those that meet ``mask``; with both, what was read is cut to
+    ``mask``. There a box, or a mask alone, in another system is a SystemMismatchError, as it would find nothing. For rasters
+    none of them counts.
     """
     from gridloom.sources import vectors, wfs
     from gridloom.sources.tiff import read_raster
@@ -87,30 +107,57 @@ def load(spark: SparkSession, source: Any, srid: int | None = None, bbox: tuple[
     if what == "raster_array":
         return array_cells(spark, source, meta)
     if what == "raster":
-        return read_raster(spark, os.fspath(source))
+        name = os.fspath(source)
+        if not name.lower().endswith((".tif", ".tiff")):
+            raise ValueError(f"{name}: of raster files only GeoTIFF can be read; convert it first")
+        return read_raster(spark, name)
     if what == "raster_frame":
         if isinstance(source, Raster):
             return source
         if meta is None:
             raise ValueError("cells need their RasterMeta")
         return Raster(source if "band" in source.columns else source.withColumn("band", F.lit(0)), meta)
+    if what == "vector":
+        near = bbox or (G.bounds_of(mask) if mask else None)
+        found = vectors.read(spark, os.fspath(source), bbox=near, **options)
+        if bbox and _differ(bbox_srid, found.srid):
+            raise SystemMismatchError("box", bbox_srid, found.srid)
+        if mask and not bbox and _differ(mask_srid, found.srid):
+            raise SystemMismatchError("mask", mask_srid, found.srid)
+        rows = found.features
+        if bbox:
+            rows = meets(rows, box_rings(bbox))
+        if mask:
+            rows = clipped(rows, _moved_rings(spark, mask, mask_srid, found.srid)) if bbox else meets(rows, mask)
+        return _in_system(Vector(rows, found.srid), srid)
     if what == "wfs":
         missing = [k for k in ("url", "layer") if not source.get(k)]
         if missing:
             raise ValueError(f"a service needs {' and '.join(missing)}")
-        found = wfs.load(spark, **{k: source[k] for k in ("url", "layer", "filter_params", "auto_match") if k in source}, bbox=bbox)
-    elif what == "vector":
-        found = vectors.read(spark, os.fspath(source), **options)
+        asked = {k: source[k] for k in ("url", "layer", "filter_params", "auto_match") if k in source}
+        there = lambda rings, known: _moved_rings(spark, rings, known, wfs.SRID)
+        box = G.bounds_of(there(box_rings(bbox), bbox_srid or srid)) if bbox else None
+        found = wfs.load(spark, **asked, bbox=box, mask=there(mask, mask_srid or srid) if mask else None)
     else:
         found = source if isinstance(source, Vector) else Vector(source)
-    if srid is not None and found.srid is not None and found.srid != srid:
-        found = Vector(reprojected(found.features, found.srid, srid), srid)
+    found = _in_system(found, srid)
     rows = found.features
     if bbox:
-        rows = within_box(rows, bbox)
+        rows = clipped(rows, _moved_rings(spark, box_rings(bbox), bbox_srid, found.srid))
     if mask:
-        rows = meets(rows, mask)
-    return Vector(rows, found.srid if found.srid is not None else srid)
+        rows = clipped(rows, _moved_rings(spark, mask, mask_srid, found.srid))
+    return Vector(rows, found.srid)
+
+
+def _differ(a: int | None, b: int | None) -> bool:
+    return a is not None and b is not None and a != b
+
+
+def _in_system(found: Vector, srid: int | None) -> Vector:
+    """Features in the wanted system; where theirs is not known it is taken to be that."""
+    if _differ(srid, found.srid):
+        return Vector(reprojected(found.features, found.srid, srid), srid)
+    return Vector(found.features, found.srid if found.srid is not None else srid)
 
 
 def reprojected(features: DataFrame, from_srid: int, to_srid: int) -> DataFrame:
@@ -121,16 +168,15 @@ def reprojected(features: DataFrame, from_srid: int, to_srid: int) -> DataFrame:
     return features.withColumn("polygon", F.transform("polygon", lambda ring: F.transform(ring, moved)))
 
 
-def within_box(features: DataFrame, bbox: tuple[float, float, float, float]) -> DataFrame:
+def within_box(features: DataFrame, bbox: Box) -> DataFrame:
     """Features whose box meets a box."""
     b = G.bbox(F.col("polygon"))
     return features.where((b["minx"] <= bbox[2]) & (b["maxx"] >= bbox[0]) & (b["miny"] <= bbox[3]) & (b["maxy"] >= bbox[1]))
 
 
-def meets(features: DataFrame, mask: list[list[G.Point]]) -> DataFrame:
+def meets(features: DataFrame, mask: Rings) -> DataFrame:
     """Features that meet a polygon: a corner of one in the other, or crossing sides."""
-    xs, ys = [p[0] for r in mask for p in r], [p[1] for r in mask for p in r]
-    near = within_box(features, (min(xs), min(ys), max(xs), max(ys)))
+    near = within_box(features, G.bounds_of(mask))
     other = G.sides_of(G.literal_polygon(mask))
     own = G.sides_of(F.col("polygon"))
     side = lambda s, p: (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])
@@ -142,15 +188,22 @@ def meets(features: DataFrame, mask: list[list[G.Point]]) -> DataFrame:
     return near.where(corner_in | holds | crossing)
 
 
-def clipped(features: DataFrame, convex: list[G.Point]) -> DataFrame:
-    """Features cut to a convex polygon; those outside it go."""
-    hull = G.convex_hull(convex)
+def clipped(features: DataFrame, mask: Rings) -> DataFrame:
+    """Features cut to a polygon of any shape, by the even-odd rule; those outside it go.
 
-    @F.udf(G.POLYGON)
-    def cut(polygon):
-        rings = [G.clip_ring([(p["x"], p["y"]) for p in ring], hull) for ring in polygon or []]
-        return [[{"x": x, "y": y} for x, y in ring] for ring in rings if len(ring) > 2]
-
-    xs, ys = zip(*hull, strict=True)
-    near = within_box(features, (min(xs), min(ys), max(xs), max(ys)))
-    return near.withColumn("polygon", cut("polygon")).where(F.size("polygon") > 0)
+    Areas become the areas in the polygon's convex pieces, lines the lines in these, and points
+    stay if they are inside. A feature without ``geometry_type`` is an area.
+    """
+    spark = features.sparkSession
+    pieces = [[{"a": {"x": float(a[0]), "y": float(a[1])}, "b": {"x": float(b[0]), "y": float(b[1])}} for a, b in zip(p, [*p[1:], p[0]], strict=True)] for p in G.trapezoids(mask)]
+    row = spark.createDataFrame([(pieces,)], "_pieces array<array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>>")
+    near = within_box(features, G.bounds_of(mask)).crossJoin(F.broadcast(row))  # one row, as large as the mask
+    cut = lambda of: F.flatten(F.transform("_pieces", lambda sides: of(F.col("polygon"), sides)))
+    area = F.filter(cut(lambda rings, sides: F.transform(rings, lambda ring: G.clipped_ring(ring, sides))), lambda ring: F.size(ring) > 2)
+    if "geometry_type" in features.columns:
+        lines = cut(lambda rings, sides: F.flatten(F.transform(rings, lambda line: G.clipped_line(line, sides))))
+        inside = G.sides_of(G.literal_polygon(mask))
+        points = F.filter(F.transform("polygon", lambda ring: F.filter(ring, lambda p: G.inside(inside, p["x"], p["y"]))), lambda ring: F.size(ring) > 0)
+        kind = F.col("geometry_type")
+        area = F.when(kind.endswith("LineString"), lines).when(kind.endswith("Point"), points).otherwise(area)
+    return near.withColumn("polygon", area).where(F.size("polygon") > 0).drop("_pieces")

@@ -19,19 +19,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.geometry import POLYGON
-from gridloom.session import ship
+from gridloom.session import ship, store
 from gridloom.sources.detect import Vector
 
 Ring = list[dict[str, float]]
 RAW = f"geometry_type string, polygon {POLYGON}, attributes map<string,string>, srid int"
 
 
-def read(spark: SparkSession, path: str, layer: str | None = None) -> Vector:
-    """The features of a file (of a layer, where a file holds several)."""
+def read(spark: SparkSession, path: str, layer: str | None = None, bbox: tuple[float, float, float, float] | None = None) -> Vector:
+    """The features of a file (of a layer, where a file holds several); with ``bbox`` those whose box meets it.
+
+    Tasks that decode a file leave out the others before anything is sent on.
+    """
     ship(spark)
     name = path.lower()
     if name.endswith((".geojson", ".json")):
-        return geojson(spark, path)
+        found = geojson(spark, path)
+        if bbox:
+            from gridloom.sources.detect import within_box
+
+            found.features = within_box(found.features, bbox)
+        return found
     decode = {".gpkg": _gpkg, ".shp": _shp, ".gml": _gml, ".kml": _kml}[os.path.splitext(name)[1]]
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     if name.endswith(".shp"):
@@ -43,19 +51,30 @@ def read(spark: SparkSession, path: str, layer: str | None = None) -> Vector:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content, side in zip(pdf["content"], pdf["side"], strict=True):
-                rows = list(decode(content, side, layer))
+                rows = []
+                for row in decode(content, side, layer):
+                    if bbox is None or _meets_box(row[1], bbox):
+                        rows.append(row)
+                    if len(rows) == 4096:
+                        yield pd.DataFrame(rows, columns=["geometry_type", "polygon", "attributes", "srid"])
+                        rows = []
                 yield pd.DataFrame(rows, columns=["geometry_type", "polygon", "attributes", "srid"])
 
     return _features(files.mapInPandas(run, RAW))
 
 
+def _meets_box(polygon: list[Ring], bbox: tuple[float, float, float, float]) -> bool:
+    xs, ys = [p["x"] for r in polygon for p in r], [p["y"] for r in polygon for p in r]
+    return bool(xs) and min(xs) <= bbox[2] and max(xs) >= bbox[0] and min(ys) <= bbox[3] and max(ys) >= bbox[1]
+
+
 def _features(raw: DataFrame) -> Vector:
-    """Attributes as columns; their names come from one pass over the features."""
-    raw = raw.cache()
+    """Attributes as columns; their names come from one pass over the features, whose ids are stored with them."""
+    raw = store(raw.withColumn("feature_id", F.monotonically_increasing_id()), "features")
     names = raw.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("attributes")))))).first()[0] or []
     srid = raw.agg(F.max("srid")).first()[0]
     columns = [F.col("attributes")[n].alias(n) for n in names if n not in ("feature_id", "polygon", "geometry_type")]
-    return Vector(raw.select(F.monotonically_increasing_id().alias("feature_id"), "geometry_type", "polygon", *columns), srid)
+    return Vector(raw.select("feature_id", "geometry_type", "polygon", *columns), srid)
 
 
 _RINGS = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))

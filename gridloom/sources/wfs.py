@@ -1,7 +1,8 @@
 """Web feature services: layers, extents, and features by chunks that tasks fetch.
 
-The driver asks for the capabilities and for everything at once; if the answer looks cut off, the
-extent is dealt into chunks, and chunks whose answers look cut off into four, level by level.
+The driver asks for the capabilities and, if the service can tell, for the number of features. A few are fetched
+at once. If there are many, or the answer looks cut off, the extent is dealt into chunks that tasks fetch, and chunks
+that hold many, fail or look cut off into four, level by level. Chunks outside a mask are left out.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Mapping
 from difflib import SequenceMatcher
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import FeatureServiceError, LayerNotFoundError, ResponseParsingError, ServiceConnectionError
-from gridloom.functions.geometry import POLYGON
+from gridloom.functions.geometry import POLYGON, Point, bounds_of, box_meets
 from gridloom.session import ship, store
 from gridloom.sources.detect import Vector
 from gridloom.sources.vectors import _gml, parse_geojson
@@ -28,6 +30,9 @@ VERSIONS = ("2.0.0", "1.1.0", "1.0.0")
 CUT_OFF = (1000, 5000, 10000, 50000, 100000)
 SRID = 25832
 TIMEOUT, CLOSE_ENOUGH, DEEPEST = 30, 0.3, 8
+NAMESPACE_BASE = "https://www.adv-online.de/namespaces/adv/gid"
+#: Features that are asked for at once, where a service can tell their number.
+AT_ONCE = 10_000
 Box = tuple[float, float, float, float]
 
 
@@ -119,13 +124,36 @@ def extent(root: ET.Element, layer: str) -> Box | None:
     return None
 
 
+def _params(version: str, layer: str, bbox: Box | None, filters: Mapping[str, str] | None) -> dict[str, str]:
+    """A request's parameters; a layer's prefix is explained where the protocol asks for it."""
+    found = {"SERVICE": "WFS", "VERSION": version, "REQUEST": "GetFeature", "TYPENAMES" if version == "2.0.0" else "TYPENAME": layer, "SRSNAME": f"EPSG:{SRID}"}
+    prefix = layer.partition(":")[0] if ":" in layer else ""
+    if prefix and version == "2.0.0":
+        found["NAMESPACES"] = f"xmlns({prefix}={NAMESPACE_BASE}/{prefix})"
+    found |= filters or {}
+    if bbox:
+        found["BBOX"] = ",".join(map(str, bbox)) + f",EPSG:{SRID}"
+    return found
+
+
+def count(url: str, layer: str, bbox: Box | None = None, filters: Mapping[str, str] | None = None) -> int | None:
+    """How many features a layer has in a box; None if the service does not tell."""
+    for version in VERSIONS[:2]:
+        try:
+            root = ET.fromstring(_get(url, {**_params(version, layer, bbox, filters), "RESULTTYPE": "hits"}))
+        except (ServiceConnectionError, ET.ParseError):
+            continue
+        told = root.get("numberMatched") or root.get("numberOfFeatures") or ""
+        if told.isdigit():
+            return int(told)
+    return None
+
+
 def fetch(url: str, layer: str, bbox: Box | None = None, filters: Mapping[str, str] | None = None) -> list[dict]:
     """Features of a layer in a box; GeoJSON, else GML, by the first version that answers."""
     why: Exception | None = None
     for version in VERSIONS:
-        params = {"SERVICE": "WFS", "VERSION": version, "REQUEST": "GetFeature", "TYPENAMES" if version == "2.0.0" else "TYPENAME": layer, "SRSNAME": f"EPSG:{SRID}", "OUTPUTFORMAT": "application/json", **(filters or {})}
-        if bbox:
-            params["BBOX"] = ",".join(map(str, bbox)) + f",EPSG:{SRID}"
+        params = {"OUTPUTFORMAT": "application/json"} | _params(version, layer, bbox, filters)
         try:
             data = _get(url, params)
             text = data.decode("utf-8", "replace")
@@ -146,28 +174,40 @@ def fetch(url: str, layer: str, bbox: Box | None = None, filters: Mapping[str, s
 _ROWS = f"geometry_type string, polygon {POLYGON}, attributes map<string,string>"
 
 
-def load(spark: SparkSession, url: str, layer: str, bbox: Box | None = None, filter_params: Mapping[str, str] | None = None, auto_match: bool = True) -> Vector:
-    """A layer's features, at once or by chunks of its extent."""
+def load(spark: SparkSession, url: str, layer: str, bbox: Box | None = None, filter_params: Mapping[str, str] | None = None, auto_match: bool = True, mask: list[list[Point]] | None = None) -> Vector:
+    """A layer's features, at once or by chunks of its extent.
+
+    ``mask``: rings of a polygon. Without ``bbox`` its box is asked for, chunks that it does not meet are not, and features that it
+    does not meet go.
+    """
+    from gridloom.sources.detect import meets
+
     ship(spark)
     root = capabilities(url)
     known = layers(root)
     name = best_layer(layer, known) if auto_match else layer
     if name not in known:
         raise LayerNotFoundError(layer)
+    if mask and bbox is None:
+        bbox = bounds_of(mask)
     rows = None
-    try:
-        rows = fetch(url, name, bbox, filter_params)
-    except FeatureServiceError:
-        pass
+    many = (count(url, name, bbox, filter_params) or 0) > AT_ONCE
+    if not many:
+        try:
+            rows = fetch(url, name, bbox, filter_params)
+        except FeatureServiceError:
+            pass
     if rows is not None and len(rows) not in CUT_OFF:
-        return _vector(spark.createDataFrame(rows, _ROWS))
-    area = bbox or _extent_metres(spark, root, name)
-    if area is None and rows:
-        xs, ys = zip(*[(p["x"], p["y"]) for r in rows for ring in r["polygon"] for p in ring], strict=True)
-        area = expand((min(xs), min(ys), max(xs), max(ys)))
-    if area is None:
-        raise FeatureServiceError(f"{url} tells no extent of {name}")
-    return _vector(by_chunks(spark, url, name, area, filter_params))
+        found = _vector(spark.createDataFrame(rows, _ROWS))
+    else:
+        area = bbox or _extent_metres(spark, root, name)
+        if area is None and rows:
+            xs, ys = zip(*[(p["x"], p["y"]) for r in rows for ring in r["polygon"] for p in ring], strict=True)
+            area = expand((min(xs), min(ys), max(xs), max(ys)))
+        if area is None:
+            raise FeatureServiceError(f"{url} tells no extent of {name}")
+        found = _vector(by_chunks(spark, url, name, area, filter_params, mask=mask))
+    return Vector(meets(found.features, mask), found.srid) if mask else found
 
 
 def _extent_metres(spark: SparkSession, root: ET.Element, layer: str) -> Box | None:
@@ -181,15 +221,17 @@ def _extent_metres(spark: SparkSession, root: ET.Element, layer: str) -> Box | N
     return min(p[0] for p in moved), min(p[1] for p in moved), max(p[0] for p in moved), max(p[1] for p in moved)
 
 
-def by_chunks(spark: SparkSession, url: str, layer: str, area: Box, filters: Mapping[str, str] | None = None, deepest: int = DEEPEST) -> DataFrame:
+def by_chunks(spark: SparkSession, url: str, layer: str, area: Box, filters: Mapping[str, str] | None = None, deepest: int = DEEPEST, mask: list[list[Point]] | None = None) -> DataFrame:
     """Chunks in parallel, those that fail or look cut off in four again; a chunk that still does at the last level is an error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame], last: bool) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for box in pdf[["minx", "miny", "maxx", "maxy"]].itertuples(index=False):
                 try:
-                    found = fetch(url, layer, tuple(box), filters)
-                    cut = len(found) in CUT_OFF
+                    # At the last level a chunk is fetched however many it holds.
+                    cut = not last and (count(url, layer, tuple(box), filters) or 0) > AT_ONCE
+                    found = [] if cut else fetch(url, layer, tuple(box), filters)
+                    cut = cut or len(found) in CUT_OFF
                 except FeatureServiceError:
                     found, cut = [], True
                 rows = [] if cut else found
@@ -198,12 +240,15 @@ def by_chunks(spark: SparkSession, url: str, layer: str, area: Box, filters: Map
                 if cut:
                     yield pd.DataFrame([(None, None, None, *box)], columns=["geometry_type", "polygon", "attributes", "minx", "miny", "maxx", "maxy"])
 
-    parts, chunks = [], grid(area, 2, 2)
-    for _ in range(deepest):
+    inside = lambda boxes: [b for b in boxes if mask is None or box_meets(b, mask)]
+    parts, chunks = [], inside(grid(area, 2, 2))
+    if not chunks:
+        return spark.createDataFrame([], _ROWS)
+    for level in range(deepest):
         boxes = spark.createDataFrame(chunks, "minx double, miny double, maxx double, maxy double").repartition(len(chunks))
-        got = store(boxes.mapInPandas(run, _ROWS + ", minx double, miny double, maxx double, maxy double"), "chunks")
+        got = store(boxes.mapInPandas(partial(run, last=level == deepest - 1), _ROWS + ", minx double, miny double, maxx double, maxy double"), "chunks")
         parts.append(got.where("minx is null").select("geometry_type", "polygon", "attributes"))
-        chunks = [q for r in got.where("minx is not null").select("minx", "miny", "maxx", "maxy").collect() for q in grid(tuple(r), 2, 2)]
+        chunks = [q for r in got.where("minx is not null").select("minx", "miny", "maxx", "maxy").collect() for q in inside(grid(tuple(r), 2, 2))]
         if not chunks:
             return union(parts)
     raise FeatureServiceError(f"{len(chunks)} chunks of {layer} fail or are cut off")

@@ -10,6 +10,9 @@ from gridloom.functions import neighborhood as N
 from gridloom.functions.grid import RasterMeta, line_cells
 
 
+# Known sizes, cells and distances that the functions must give.
+
+
 def test_sizes_of_neighborhoods():
     assert [len(N.steps(k)) for k in range(6)] == [4, 8, 16, 32, 48, 80]
     assert [len(N.steps(k, False)) for k in range(6)] == [2, 4, 8, 16, 24, 40]

@@ -16,6 +16,7 @@ from gridloom.operators import route
 from gridloom.operators.search import ALGORITHMS, Window, routes
 from gridloom.sources.detect import array_cells
 
+# Example grids whose edge counts, sums of weights and least costs are known, as given below.
 R5 = [[1, 1, 1, 1, 1], [1, 2, 2, 2, 1], [1, 2, 3, 2, 1], [1, 2, 2, 2, 1], [1, 1, 1, 1, 1]]
 R3 = [[1, 2, 3], [2, 3, 4], [3, 4, 5]]
 
@@ -149,3 +150,54 @@ def test_no_path(spark):
     finder = PathFinder(spark, wall, (1.5, 4.5), (7.5, 4.5), neighborhood=1, buffer=50, meta=m)
     with pytest.raises(NoPathFoundError):
         finder.find()
+
+
+@pytest.mark.parametrize("k, side", [(1, 6), (2, 7), (3, 5)])
+def test_routes_by_tiles(spark, k, side):
+    rng = np.random.default_rng(k)
+    values = np.where(rng.random((31, 43)) < 0.2, FORBIDDEN, rng.integers(1, 30, (31, 43)))
+    values[0, 0] = values[30, 42] = values[3, 40] = values[20, 2] = 1
+    values[10:13, 10:13] = FORBIDDEN
+    values[11, 11] = 1  # walled in
+    ends = [0, 30 * 43 + 42, 3 * 43 + 40, 20 * 43 + 2, 11 * 43 + 11]
+    for wanted in (route.requests(spark, ends[0], ends[1:] + [-1, 5000]), route.requests(spark, ends[1:3], ends[3]), route.requests(spark, ends[0], ends[0])):
+        whole, tiled = (sorted((r.ord, r.source, r.target, r.cost, list(r.node_ids)) for r in route.solve(cells(spark, values), 31, 43, wanted, k, window_cells=n, side=side).collect()) for n in (None, 0))
+        assert whole == tiled
+
+
+def test_weights_by_need(monkeypatch):
+    rng = np.random.default_rng(2)
+    values = np.where(rng.random((20, 30)) < 0.1, FORBIDDEN, rng.integers(0, 50, (20, 30)))
+    for ignore in (True, False):
+        kept = Window(values, route.directed(3), ignore)
+        nodes = np.arange(600)
+        by_need = Window(values, route.directed(3), ignore)
+        monkeypatch.setattr("gridloom.operators.search.WEIGHT_BYTES", 1 << 29)
+        want = [kept.weight(i, nodes) for i in range(len(kept.steps))]
+        monkeypatch.setattr("gridloom.operators.search.WEIGHT_BYTES", 0)
+        assert all(np.array_equal(w, by_need.weight(i, nodes)) for i, w in enumerate(want))
+
+
+def test_own_heuristics_and_searches(spark):
+    rng = np.random.default_rng(5)
+    values = rng.integers(3, 60, (25, 40))
+    wanted = route.requests(spark, 0, 999)
+    solve = lambda **how: route.solve(cells(spark, values), 25, 40, wanted, 2, **how).first()
+    best = solve()
+    none = lambda r, c, tr, tc: np.zeros(len(r))
+    assert solve(algorithm="astar", heuristic=none).cost == best.cost
+    assert solve(algorithm="astar", heuristic_radius=1000).cost == best.cost <= solve(algorithm="astar", heuristic_radius=0, heuristic_weight=3.0).cost
+    row = solve(algorithm=lambda window, start, ends: [(float(len(ends)), [start, *ends]) for _ in ends])
+    assert (row.cost, list(row.node_ids)) == (1.0, [0, 999])
+    window = Window(np.where(np.arange(1000).reshape(25, 40) < 500, 9, 2), route.directed(1))
+    assert window.heuristic(0, 1.0, 39, 3)[39] == 39 * 9 and window.heuristic(0)[39] == 39 * 2
+
+
+def test_two_sided_paths_are_paths():
+    rng = np.random.default_rng(9)
+    values = np.where(rng.random((30, 30)) < 0.15, FORBIDDEN, rng.integers(1, 90, (30, 30)))
+    window = Window(values, route.directed(2))
+    free = np.flatnonzero(window.open.ravel())
+    for a, b in rng.choice(free, (25, 2)).tolist():
+        (cost, nodes), (other, _) = routes(window, a, [b], "bidirectional_dijkstra")[0], routes(window, a, [b])[0]
+        assert cost == pytest.approx(other) and (not nodes or (nodes[0], nodes[-1]) == (a, b))
