@@ -173,7 +173,9 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without the rows that ``mark_duplicates`` would drop; the same columns.
 
     Rows that aren't suspects pass as they are. Of the suspects, grouped by bytes,
-    the row with the largest id stays (of several such rows any one).
+    the row with the largest id stays (of several such rows any one). Null text counts as empty and
+    stays null; a null id is smaller than any other. Other columns may have any names. An empty table stays
+    empty.
     """
     names = docs.columns
     keys = small(suspects(docs, id_col, text_col).where("suspect").select("fp").distinct(), "suspect-fps", BROADCAST_FPS)

@@ -27,6 +27,17 @@ _lock = threading.RLock()
 _state = {"used": 0.0, "keeper": None}
 
 
+def _give_back() -> None:
+    """Let this process return freed memory at once: several workers wait idle on an executor, each with what it once needed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        for option in (-3, -1):  # M_MMAP_THRESHOLD and M_TRIM_THRESHOLD, which otherwise rise by themselves
+            ctypes.CDLL(None).mallopt(option, 1 << 20)
+
+
+_give_back()
+
+
 def _trim() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -59,7 +70,6 @@ def memory(name: str, clear: Callable[[], None]) -> Iterator[None]:
         if name not in _clear:
             _forget()
             _clear[name] = clear
-            pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back
             if _state["keeper"] is None:
                 _state["keeper"] = threading.Thread(target=_keep, daemon=True)
                 _state["keeper"].start()

@@ -39,7 +39,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Text that is tokenised together; longer texts are tokenised in parts of this.
 LEARN_BYTES, LEARN_ROWS = 8 << 20, 8192
 #: Words whose ids a worker remembers, and the longest such word in bytes.
-CACHE_ENTRIES, CACHED_BYTES = 900_000, 64
+CACHE_ENTRIES, CACHED_BYTES = 800_000, 64
 #: The ASCII marks, of which up to MARK_BYTES may follow a word, and the ends and whole words they may follow.
 MARKS, MARK_BYTES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 8
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")

@@ -339,8 +339,10 @@ def _spans(rows: DataFrame, base: DataFrame, window: int, gram: int) -> tuple[Da
     clean = base.where(F.size("anchors") > 0)
     mixed = clean.groupBy("id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").select("id")
     named = clean.join(mixed, "id", "left_anti").select("id", F.explode("anchors").alias("anchor"))
-    repeated = store(named.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"), "repeated")
-    wanted = store(named.join(repeated, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "wanted")
+    repeated = named.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
+    # A passage that very many documents share has as many rows of its anchors.
+    shared = attach(named, repeated.select("anchor", "n"), ["anchor"], [F.col("id")], "left_semi", "n")
+    wanted = store(shared.groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "wanted")
     some = rows.join(small(wanted.select("id"), "candidates", BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"])
     texts = store(some.join(wanted, "id"), "candidate-texts")
     sent = texts.mapInArrow(_windows(window, gram), "k1 long, k2 long, doc long, start long, count long, owner long, owner_start long")

@@ -276,7 +276,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     ``kind`` is the record's type, or ``gap`` for bytes from ``start`` to ``end`` that
     failed for ``reason``. A file is one row for Spark, so archives go up to 2 GB;
-    a task holds one file at a time.
+    a task holds one file at a time. Empty files and an empty folder give no rows; headers that a
+    record lacks are null; records that repeat an id come one by one, however long their payloads.
     """
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -295,7 +296,10 @@ def gaps(found: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Pages -> archives in the shared folder -> a row per page, from the archives.
 
-    RuntimeError if the archives don't give back as many records as there are pages.
+    Null html is an empty payload, a null url leaves the header out, and a null id is smaller than any other
+    and comes back null. Rows that repeat an id come back each; of equal payloads those with the largest id
+    are responses. Payloads and urls may be of any length. Other columns are not read, whatever their names. An empty table gives
+    no rows. RuntimeError if the archives don't give back as many records as there are pages.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import exact_dedup, exchange, jaccard_join, language_id, licences, mixing, packing, quality, substring_dedup
 from gridloom.llm.components import components, local_stars
+from gridloom.session import store
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -151,6 +152,52 @@ def test_jaccard_join_by_force(spark, monkeypatch, n, num, seed):
     assert all(r.kept == (r.component_id == r.doc_id) for r in rows)
 
 
+def one_large_group(n, words, edits, seed=1):
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for k in range(edits):
+            copy[rng.randrange(words)] = f"x{i}_{k}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("edits", [2, 4])
+def test_large_group_sends_few_links(spark, edits):
+    """Beyond some blocks: links by members, not by pairs, and the components of brute force."""
+    texts = one_large_group(5000, 60, edits)
+    df = docs(spark, texts).repartition(8).select(F.col("doc_id").alias("id"), "text")
+    radius = jaccard_join.Radius(80, 100)
+    sets = store(df.mapInArrow(jaccard_join._sets(3), jaccard_join._SETS), "test-sets")
+    regions = jaccard_join.region_members(df, 3, radius)
+    links = jaccard_join.region_links(df, sets, regions, 3, radius)
+    pairs = [(r.u, r.v) for r in links.collect()]
+    assert len(pairs) <= regions.count()
+    own = texts[:1200]
+    columns = {sh: i for i, sh in enumerate(sorted({sh for x in sets_of(own, 3) for sh in x}))}
+    held = np.zeros((len(own), len(columns)), np.float32)
+    for i, x in enumerate(sets_of(own, 3)):
+        held[i, [columns[sh] for sh in x]] = 1
+    inter, size = held @ held.T, held.sum(axis=1)
+    a, b = np.nonzero(np.triu(100 * inter >= 80 * (size[:, None] + size[None, :] - inter), 1))
+    root = union_find(len(texts), pairs)
+    assert all(root[x] == root[y] for x, y in zip(a.tolist(), b.tolist()))
+    shingles = sets_of(texts, 3)
+    assert all(100 * len(shingles[u] & shingles[v]) >= 80 * len(shingles[u] | shingles[v]) for u, v in pairs)
+
+
+def test_unrelated_sets_share_no_entry():
+    rng = np.random.default_rng(1)
+    radius = jaccard_join.Radius(80, 100)
+    for size in (6, 10, 20, 60):
+        seen = Counter()
+        for _ in range(2000):
+            seen.update(jaccard_join.entries(np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)), radius)[0].tolist())
+        assert max(seen.values()) <= 20  # of 2,000; where a set has too few parts, empty ones
+
+
 def test_jaccard_join_odd_ids(spark):
     df = docs(spark, ["a b c d", "a b c d"]).unionByName(docs(spark, ["a b c d", "x y z"]).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs(spark, ["a b c d"], 1))
     rows = jaccard_join.join(df).collect()
