@@ -201,7 +201,7 @@ def _postings(n: int, radius: Radius):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             key, who, allow = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((who, key))
             key, who, allow = key[order], who[order], allow[order]
@@ -209,7 +209,8 @@ def _postings(n: int, radius: Radius):
             behind = np.append(~new[1:], False)
             spread = W.mix(who.view(np.uint64) * W.GOLDEN + key)
             columns = [np.where(new, key, spread).view(np.int64), who, allow, np.where(new, behind, True), np.where(new, np.uint64(0), key).view(np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns[:-1]] + [pa.array(columns[-1], mask=new)], _POSTING)
+            whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns[:-1]] + [pa.array(columns[-1], mask=new)], _POSTING)
+            yield from (whole.slice(at, 1 << 16) for at in range(0, len(key), 1 << 16))
 
         for batch in pieces(batches, 512):
             for who, text in zip(batch["id"].to_pylist(), as_bytes(batch["text"]), strict=True):
@@ -222,10 +223,10 @@ def _postings(n: int, radius: Radius):
                 held.append((key, np.full(len(key), who, np.int64), allow))
                 size += len(key)
                 if size > GATHER:
-                    yield out()
+                    yield from out()
                     held, size = [], 0
         if size:
-            yield out()
+            yield from out()
 
     return run
 

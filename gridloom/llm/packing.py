@@ -37,9 +37,9 @@ from gridloom.session import ship, store
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Text that is tokenised together; longer texts are tokenised in parts of this.
-LEARN_BYTES, LEARN_ROWS = 8 << 20, 8192
+LEARN_BYTES, LEARN_ROWS = 4 << 20, 8192
 #: Words whose ids a worker remembers, and the longest such word in bytes.
-CACHE_ENTRIES, CACHED_BYTES = 800_000, 64
+CACHE_ENTRIES, CACHED_BYTES = 300_000, 64
 #: The ASCII marks, of which up to MARK_BYTES may follow a word, and the ends and whole words they may follow.
 MARKS, MARK_BYTES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 8
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -50,7 +50,10 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     """pool[start : start + length] of each pair, end to end."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return pool[at]
 
 
 class WordIds:

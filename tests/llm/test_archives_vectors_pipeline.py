@@ -261,3 +261,8 @@ def test_vectors_with_repeated_ids(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.001], 0), (2, [0.0, 1.0], 0), (3, [0.001, 1.0], 0)], "vec_id long, embedding array<double>, label int")
     got = sorted({(r.vec_id, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()})
     assert [x[0] for x in got] == [1, 2, 3]
+
+
+def test_round_trip_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, id long, uri string, payload string")
+    assert warc.round_trip(none).count() == 0

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, exchange, jaccard_join, language_id, licences, mixing, packing, quality, substring_dedup
+from gridloom.llm import exact_dedup, exchange, frames, jaccard_join, language_id, licences, mixing, packing, quality, substring_dedup
 from gridloom.llm.components import components, local_stars
 from gridloom.session import store
 
@@ -699,3 +699,14 @@ def test_licences_of_odd_rows(spark):
     model = licences.train(docs(spark, ["a plain line of words"] * 30))
     rows = licences.scan(clashing(df), model).collect()
     assert len(rows) == 5 and all(r.licences == "MIT" for r in rows)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_facts_meet_members_of_large_groups(spark, monkeypatch, how, broadcast):
+    monkeypatch.setattr(frames, "HOT_ROWS", 10)
+    members = spark.range(300).select(F.when(F.col("id") < 200, 1).otherwise(F.col("id") % 7).alias("key"), "id")
+    facts = members.where("key <> 3").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    want = sorted(map(tuple, members.join(facts, "key", how).collect()))
+    got = frames.attach(members, facts, ["key"], [F.col("id")], how, "n", broadcast)
+    assert sorted(map(tuple, got.collect())) == want and got.count() == len(want)
