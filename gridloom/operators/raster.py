@@ -239,22 +239,24 @@ def farthest_pair(sources: DataFrame, targets: DataFrame) -> DataFrame:
     return both.mapInPandas(corners, "side int, x double, y double").repartition(1).mapInPandas(farthest, "sx double, sy double, tx double, ty double, distance double")
 
 
-def nearest(points: DataFrame, others: DataFrame, k: int, cell: float) -> DataFrame:
+def nearest(points: DataFrame, others: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     """(id, other, distance, rank): the k nearest others of each point, by rings of grid cells.
 
-    Points and others are (id, x, y). A point first looks in its own cell and those around it; a
+    Points and others are (id, x, y). Cells are ``cell`` wide, or so that about k others lie in one on average. A point first looks in its own cell and those around it; a
     point whose k-th neighbour there may be beaten from outside looks on, in rings twice as wide.
     """
     from pyspark.sql.window import Window
 
     spot = lambda df, size: df.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size))
-    parts, left, size = [], points.select("id", "x", "y"), cell
+    parts, left = [], points.select("id", "x", "y")
     b = others.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
     p = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     none = points.select("id", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank")).limit(0)
     if not b[4] or p[0] is None:
         return none
     span = max(max(b[1], p[1]) - min(b[0], p[0]), max(b[3], p[3]) - min(b[2], p[2]))
+    wide, high = b[1] - b[0], b[3] - b[2]
+    size = cell or max(math.sqrt(wide * high * k / b[4]), max(wide, high) * k / b[4], span * 1e-6) or 1.0
     while True:
         last = size >= span
         around = F.explode(F.sequence(F.lit(-1), F.lit(1)))

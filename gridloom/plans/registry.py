@@ -620,13 +620,13 @@ _D = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)"
 
 @query("knn_targets", f"WITH {_ENDS_SQL}, r AS (SELECT a.id AS id, b.id AS other, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS n FROM a, b) SELECT id, other, round(d, 6) AS distance, n AS rank FROM r WHERE n <= 3")
 def knn_targets(spark, sf):
-    found = R.nearest(_ends_table(spark, sf, "supplier"), _ends_table(spark, sf, "customer"), 3, 1000.0)
+    found = R.nearest(_ends_table(spark, sf, "supplier"), _ends_table(spark, sf, "customer"), 3)
     return found.select("id", "other", r6("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("nearest", f"WITH {_ENDS_SQL}, r AS (SELECT a.id AS id, b.id AS other, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS n FROM a, b) SELECT id, other, round(d, 6) AS distance FROM r WHERE n = 1")
 def nearest(spark, sf):
-    found = R.nearest(_ends_table(spark, sf, "supplier"), _ends_table(spark, sf, "customer"), 1, 500.0)
+    found = R.nearest(_ends_table(spark, sf, "supplier"), _ends_table(spark, sf, "customer"), 1)
     return found.select("id", "other", r6("distance").alias("distance"))
 
 

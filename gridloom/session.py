@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 #: Rows and bytes that go to Python workers at once, where the session sets neither: texts can be long.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
 _stored: dict[tuple[str, str], list[str]] = {}
