@@ -46,7 +46,14 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x.reshape(n, d) / np.sqrt(d)
 
 
-def bucket_keys(vectors: np.ndarray, group: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
+def bucket_keys(
+    vectors: np.ndarray,
+    group: np.ndarray,
+    hashes: int,
+    tables: int = TABLES,
+    probes: int = PROBES,
+    seed: int = SEED,
+) -> np.ndarray:
     """[vector, table * probe]: keys of the buckets of unit vectors, told apart by ``group``."""
     n, dims = vectors.shape
     wide = 1 << max(1, int(dims - 1).bit_length())
@@ -99,7 +106,15 @@ def _keys(hashes: dict[int, int], tables: int, probes: int, seed: int):
                 group = mix(part["label"].to_numpy().astype(np.int64).view(np.uint64) * GOLDEN + np.uint64(d))
                 keys = bucket_keys(x, group, hashes[d], tables, probes, seed).view(np.int64)
                 ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1])
-                yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), part["n"].combine_chunks(), part["vector"].combine_chunks(), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))], ["id", "n", "vector", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part["id"].combine_chunks(),
+                        part["n"].combine_chunks(),
+                        part["vector"].combine_chunks(),
+                        pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1))),
+                    ],
+                    ["id", "n", "vector", "keys"],
+                )
 
     return run
 
@@ -184,7 +199,16 @@ def _matrix_long(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
+def near_duplicates(
+    vectors: DataFrame,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    label_col: str = "label",
+    threshold: float = 0.98,
+    tables: int = TABLES,
+    probes: int = PROBES,
+    seed: int = SEED,
+) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors are compared only when their labels are equal and not null and their lengths agree.
@@ -195,7 +219,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     table gives no rows.
     """
     ship(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.xxhash64(F.col(label_col)).alias("label"), F.col(label_col).isNotNull().alias("known"))
+    rows = vectors.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.col(vector_col).cast("array<double>").alias("vector"),
+        F.xxhash64(F.col(label_col)).alias("label"),
+        F.col(label_col).isNotNull().alias("known"),
+    )
     norm = F.expr("aggregate(vector, 0D, (s, x) -> s + cast(x as double) * cast(x as double))")
     fit = F.col("known") & F.col("id").isNotNull() & F.expr("vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
     # Where squares would over- or underflow, the largest component becomes 1.
@@ -205,7 +234,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     copies = usable.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("n"))
     classes = store(copies.select(F.col("rep").alias("id"), "n", "label", "vector", F.size("vector").alias("dims")), "classes")
     hashes = {r["dims"]: hashes_for(r["count"], r["dims"]) for r in classes.groupBy("dims").count().collect()}  # a row for each vector length
-    keyed = store(classes.mapInArrow(_keys(hashes, tables, probes, seed), "id long, n long, vector array<double>, keys array<long>") if hashes else classes.selectExpr("id", "n", "vector", "array(0L) as keys").limit(0), "keys")
+    keyed = store(
+        classes.mapInArrow(
+            _keys(hashes, tables, probes, seed),
+            "id long, n long, vector array<double>, keys array<long>",
+        ) if hashes else classes.selectExpr("id", "n", "vector", "array(0L) as keys").limit(0),
+        "keys",
+    )
     entries = keyed.select("id", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = store(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     met = entries.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -213,13 +248,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", "id", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).join(keyed, "id")
     blocks = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = store(blocks.select("key", "i", "j", "own", "id", "n", "vector", "keys").mapInArrow(_links(threshold), "u long, v long, n long"), "links")
+    found = store(
+        blocks.select("key", "i", "j", "own", "id", "n", "vector", "keys").mapInArrow(_links(threshold), "u long, v long, n long"),
+        "links",
+    )
     linked = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     forest = components(found.where("v is not null").select("u", "v")).select(F.col("node").alias("rep"), "component")
     facts = copies.select("label", "vector", "rep", "n").join(linked, "rep", "left").join(forest, "rep", "left")
     facts = facts.select("label", "vector", "rep", "n", "links", "component").where("n > 1 or links is not null")
     members = attach(usable, facts.withColumn("_n", F.col("n")), ["label", "vector"], [F.col("id")], "inner", "_n")
-    members = members.groupBy("id").agg((F.sum(F.coalesce("links", F.lit(0)) + F.col("n") - 1)).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component"))
+    members = members.groupBy("id").agg(
+        (F.sum(F.coalesce("links", F.lit(0)) + F.col("n") - 1)).alias("n_links"),
+        F.min(F.coalesce("component", "rep")).alias("component"),
+    )
     out = rows.select("id").join(members, "id", "left")
     low = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), low.alias("component_id"), low.eqNullSafe(F.col("id")).alias("kept"))
+    return out.select(
+        F.col("id").alias("vec_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        low.alias("component_id"),
+        low.eqNullSafe(F.col("id")).alias("kept"),
+    )

@@ -80,7 +80,11 @@ def _coder(owner_bits: int):
                     data, k = exchange.encode(own, owner * span, span)
                     rows.append((owner, src, len(own), k, data))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
+                [pa.array(c, t) for c, t in zip(
+                    zip(*rows, strict=True) if rows else [[]] * 5,
+                    (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()),
+                    strict=True,
+                )],
                 ["owner", "src", "n", "k", "code"],
             )
 
@@ -117,7 +121,14 @@ def _flagger(owner_bits: int):
                     twice[a:b] |= np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a).astype(bool)
                 n = len(fps)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["ids"][i].values, fps, batch["shas"][i].values, pa.array(twice[where]), pa.array(np.full(n, src)), pa.array(np.arange(n, dtype=np.int64))],
+                    [
+                        batch["ids"][i].values,
+                        fps,
+                        batch["shas"][i].values,
+                        pa.array(twice[where]),
+                        pa.array(np.full(n, src)),
+                        pa.array(np.arange(n, dtype=np.int64)),
+                    ],
                     ["id", "fp", "sha", "suspect", "src", "pos"],
                 )
 
@@ -137,7 +148,10 @@ def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     codes = blocks.select("src", "fps").mapInArrow(_coder(bits), "owner int, src long, n int, k int, code binary")
     bitmaps = codes.groupBy("owner").applyInPandas(_answer(bits), "src long, owner int, bits binary")
     bitmaps = bitmaps.groupBy("src").agg(F.collect_list(F.struct("owner", "bits")).alias("bitmaps"))
-    flagged = blocks.join(bitmaps, "src", "left").mapInArrow(_flagger(bits), "id long, fp long, sha binary, suspect boolean, src long, pos long")
+    flagged = blocks.join(bitmaps, "src", "left").mapInArrow(
+        _flagger(bits),
+        "id long, fp long, sha binary, suspect boolean, src long, pos long",
+    )
     return store(flagged, "suspects")
 
 
@@ -181,7 +195,13 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = small(suspects(docs, id_col, text_col).where("suspect").select("fp").distinct(), "suspect-fps", BROADCAST_FPS)
     text = F.coalesce(F.col(text_col), F.lit(""))
     others = [F.col(f"`{c}`") for c in names if c != text_col]
-    rows = docs.select(text.alias("text"), F.col(text_col).isNull().alias("none"), F.col(id_col).alias("id"), F.struct(*others).alias("row"), F.xxhash64(text).alias("fp"))
+    rows = docs.select(
+        text.alias("text"),
+        F.col(text_col).isNull().alias("none"),
+        F.col(id_col).alias("id"),
+        F.struct(*others).alias("row"),
+        F.xxhash64(text).alias("fp"),
+    )
     alone = rows.join(keys, "fp", "left_anti").select("text", "none", "row")
     rank = F.struct(F.col("id").isNotNull(), F.col("id"))
     best = rows.join(keys, "fp", "left_semi").groupBy("text").agg(F.max_by(F.struct("none", "row"), rank).alias("best"))

@@ -176,7 +176,13 @@ def _sets(n: int):
                 second.append(b)
                 bits.append(sketch(h))
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(sizes, pa.int64()), pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64)), pa.array(bits, pa.binary())],
+                [
+                    batch["id"],
+                    pa.array(sizes, pa.int64()),
+                    pa.array(np.array(first, np.uint64).view(np.int64)),
+                    pa.array(np.array(second, np.uint64).view(np.int64)),
+                    pa.array(bits, pa.binary()),
+                ],
                 ["id", "size", "h1", "h2", "bits"],
             )
 
@@ -208,7 +214,13 @@ def _postings(n: int, radius: Radius):
             new = np.concatenate([[True], key[1:] != key[:-1]])
             behind = np.append(~new[1:], False)
             spread = W.mix(who.view(np.uint64) * W.GOLDEN + key)
-            columns = [np.where(new, key, spread).view(np.int64), who, allow, np.where(new, behind, True), np.where(new, np.uint64(0), key).view(np.int64)]
+            columns = [
+                np.where(new, key, spread).view(np.int64),
+                who,
+                allow,
+                np.where(new, behind, True),
+                np.where(new, np.uint64(0), key).view(np.int64),
+            ]
             whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns[:-1]] + [pa.array(columns[-1], mask=new)], _POSTING)
             yield from (whole.slice(at, 1 << 16) for at in range(0, len(key), 1 << 16))
 
@@ -311,7 +323,13 @@ def _maybe(radius: Radius):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Members beside their pivot's sketch -> whether they may link."""
         for batch in pieces(batches, 4096):
-            got = may_link(batch["bits"].to_pylist(), batch["pivot_bits"].to_pylist(), batch["size"].to_numpy(), batch["pivot_size"].to_numpy(), radius)
+            got = may_link(
+                batch["bits"].to_pylist(),
+                batch["pivot_bits"].to_pylist(),
+                batch["size"].to_numpy(),
+                batch["pivot_size"].to_numpy(),
+                radius,
+            )
             yield pa.RecordBatch.from_arrays([batch["pivot"], batch["id"], pa.array(got)], ["pivot", "id", "maybe"])
 
     return run
@@ -322,9 +340,15 @@ def _to_pivot(radius: Radius):
         """Members beside their pivot's set -> whether they link, and their distance."""
         for batch in pieces(batches, 1024):
             a, b = batch["hashes"], batch["pivot_hashes"]
-            inter = np.array([len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
+            inter = np.array(
+                [len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in zip(a, b, strict=True)],
+                np.int64,
+            )
             n, m = (c.value_lengths().to_numpy().astype(np.int64) for c in (a, b))
-            yield pa.RecordBatch.from_arrays([batch["pivot"], batch["id"], pa.array(radius.linked(inter, n, m)), pa.array(1 - inter / (n + m - inter))], ["pivot", "id", "linked", "distance"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["pivot"], batch["id"], pa.array(radius.linked(inter, n, m)), pa.array(1 - inter / (n + m - inter))],
+                ["pivot", "id", "linked", "distance"],
+            )
 
     return run
 
@@ -361,7 +385,14 @@ def _near(radius: Radius):
     return run
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], dist: np.ndarray, open_: np.ndarray, label: np.ndarray, radius: Radius) -> list[tuple[int, int]]:
+def block_links(
+    ids: np.ndarray,
+    sets: list[np.ndarray],
+    dist: np.ndarray,
+    open_: np.ndarray,
+    label: np.ndarray,
+    radius: Radius,
+) -> list[tuple[int, int]]:
     """Links among members of which one is open (not linked to the pivot), by recursion on pivots.
 
     ``dist``: distances to the region's pivot. Takes an open member as the next pivot,
@@ -439,7 +470,10 @@ def _homes(radius: Radius, level: int):
             at, name, nearest = (np.concatenate(x) for x in zip(*rows, strict=True))
             part = batch.take(pa.array(at))
             home = part["home"].to_numpy(zero_copy_only=False) & nearest
-            yield pa.RecordBatch.from_arrays([part["region"], pa.array(name), part["id"], pa.array(home), part["label"], part["distance"]], ["parent", *_MEMBER])
+            yield pa.RecordBatch.from_arrays(
+                [part["region"], pa.array(name), part["id"], pa.array(home), part["label"], part["distance"]],
+                ["parent", *_MEMBER],
+            )
 
     return run
 
@@ -466,9 +500,17 @@ def region_links(texts: DataFrame, sets: DataFrame, regions: DataFrame, n: int,
     copy = F.coalesce(F.pmod(F.xxhash64("id"), F.col("copies")).cast("int"), F.lit(0))
     copied = spread.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     place = lambda members: members.join(large, "pivot", "left").withColumn("copy", copy).drop("copies")
-    pivots = copied.join(sketches, copied["pivot"] == sketches["id"]).select("pivot", "copy", F.col("bits").alias("pivot_bits"), F.col("size").alias("pivot_size"))
+    pivots = copied.join(sketches, copied["pivot"] == sketches["id"]).select(
+        "pivot",
+        "copy",
+        F.col("bits").alias("pivot_bits"),
+        F.col("size").alias("pivot_size"),
+    )
     beside = place(regions).join(sketches, "id").join(pivots, ["pivot", "copy"])
-    maybe = store(beside.select("pivot", "id", "bits", "size", "pivot_bits", "pivot_size").mapInArrow(_maybe(radius), "pivot long, id long, maybe boolean"), "maybe")
+    maybe = store(
+        beside.select("pivot", "id", "bits", "size", "pivot_bits", "pivot_size").mapInArrow(_maybe(radius), "pivot long, id long, maybe boolean"),
+        "maybe",
+    )
     near = maybe.where("maybe").select("pivot", "id")
     hashes = _fetch(texts, near.select("id").unionAll(near.select("pivot")), n)
     own = copied.join(hashes, copied["pivot"] == hashes["id"]).select("pivot", "copy", F.col("hashes").alias("pivot_hashes"))
@@ -478,7 +520,13 @@ def region_links(texts: DataFrame, sets: DataFrame, regions: DataFrame, n: int,
     # Regions in which some member is open and has another one to be compared with.
     opened = ~F.coalesce("linked", F.lit(False))
     state = maybe.select("pivot", "id").join(told, ["pivot", "id"], "left")
-    state = state.select(F.col("pivot").alias("region"), "id", opened.alias("home"), F.when(opened, F.col("id")).otherwise(F.col("pivot")).alias("label"), "distance")
+    state = state.select(
+        F.col("pivot").alias("region"),
+        "id",
+        opened.alias("home"),
+        F.when(opened, F.col("id")).otherwise(F.col("pivot")).alias("label"),
+        "distance",
+    )
     return direct.unionAll(_recurse(texts, sketches, direct, store(state, "state"), n, radius))
 
 
@@ -518,7 +566,13 @@ def _recurse(texts: DataFrame, sketches: DataFrame, links: DataFrame, members: D
             return out
         held = attach(members, sizes, ["region"], [F.col("id")], "inner", "n")
         own = _block("blocks", level)
-        out = out.unionAll(_cells(texts, sketches, held.withColumn("i", own).withColumn("j", own).select(*_CELL, "id", "home", "label", "distance"), n, radius))
+        out = out.unionAll(_cells(
+            texts,
+            sketches,
+            held.withColumn("i", own).withColumn("j", own).select(*_CELL, "id", "home", "label", "distance"),
+            n,
+            radius,
+        ))
         large = sizes.where("blocks > 1")
         if not large.count():
             return out
@@ -548,7 +602,10 @@ def _voronoi(sketches: DataFrame, members: DataFrame, sizes: DataFrame, radius:
     held = attach(members, sizes.drop("blocks"), ["region"], [F.col("id")], "inner", "n").join(sketches, "id")
     slot = F.pmod(F.xxhash64("id", F.lit(level + 1)), F.lit(PIVOTS))
     picked = held.where("home").groupBy("region", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(-1 - level)), "bits")).alias("first"))
-    pivots = store(picked.groupBy("region").agg(F.collect_list("first.bits").alias("pivots")).join(sizes.select("region", "n"), "region"), "pivots")
+    pivots = store(
+        picked.groupBy("region").agg(F.collect_list("first.bits").alias("pivots")).join(sizes.select("region", "n"), "region"),
+        "pivots",
+    )
     whole = pivots.agg(F.sum(F.expr("aggregate(pivots, 0L, (s, x) -> s + length(x))"))).first()[0] or 0
     if whole <= BROADCAST_BYTES:
         beside = held.drop("n").join(F.broadcast(pivots), "region")
@@ -560,19 +617,36 @@ def _voronoi(sketches: DataFrame, members: DataFrame, sizes: DataFrame, radius:
 
 def _grid(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Members (region, i, j, id, home, label, distance) in pairs of blocks i <= j, but where both hold one and the same label."""
-    held = attach(members, sizes.select("region", "n", (F.col("n") / F.col("blocks")).alias("each")), ["region"], [F.col("id")], "inner", "n")
+    held = attach(
+        members,
+        sizes.select("region", "n", (F.col("n") / F.col("blocks")).alias("each")),
+        ["region"],
+        [F.col("id")],
+        "inner",
+        "n",
+    )
     labels = store(held.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"), F.first("each").alias("each")), "labels")
     # A label of a block or more has blocks of its own, the others share blocks.
     alone = labels.where("n >= each").select("region", "label", F.ceil(F.col("n") / F.col("each")).cast("int").alias("own"), "n")
-    shared = labels.where("n < each").groupBy("region").agg(F.ceil(F.sum("n") / F.first("each")).cast("int").alias("shared"), F.sum("n").alias("n"))
+    shared = labels.where("n < each").groupBy("region").agg(
+        F.ceil(F.sum("n") / F.first("each")).cast("int").alias("shared"),
+        F.sum("n").alias("n"),
+    )
     held = attach(held.drop("n"), alone, ["region", "label"], [F.col("id")], "left", "n").drop("n")
     held = attach(held, shared, ["region"], [F.col("id")], "left", "n")
     single = F.col("own").isNotNull()
     block = F.when(single, F.xxhash64("label", _block("own", -2))).otherwise(_block("shared", -2))
     held = store(held.select(*_MEMBER, F.when(single, F.col("label")).alias("only"), block.alias("block")), "blocks")
     blocks = store(held.groupBy("region", "only", "block").agg(F.count(F.lit(1)).alias("n")).drop("n"), "block-names")
-    a, b = blocks.select("region", F.col("only").alias("p"), F.col("block").alias("i")), blocks.select("region", F.col("only").alias("q"), F.col("block").alias("j"))
-    pairs = store(a.join(b, "region").where("i < j or (i = j and p is null)").where("p is null or q is null or p <> q").select(*_CELL), "block-pairs")
+    a, b = blocks.select(
+        "region",
+        F.col("only").alias("p"),
+        F.col("block").alias("i"),
+    ), blocks.select("region", F.col("only").alias("q"), F.col("block").alias("j"))
+    pairs = store(
+        a.join(b, "region").where("i < j or (i = j and p is null)").where("p is null or q is null or p <> q").select(*_CELL),
+        "block-pairs",
+    )
     first = pairs.join(held.withColumnRenamed("block", "i"), ["region", "i"])
     second = pairs.where("i < j").join(held.withColumnRenamed("block", "j"), ["region", "j"])
     return first.select(*_CELL, "id", "home", "label", "distance").unionAll(second.select(*_CELL, "id", "home", "label", "distance"))
@@ -601,7 +675,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     found = components(links.unionAll(same)).withColumnRenamed("node", "id")
     low = F.coalesce(F.col("component"), F.col("id"))
     out = sets.join(found, "id", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), low.alias("component_id"), low.eqNullSafe(F.col("id")).alias("kept"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        F.col("size").alias("n_shingles"),
+        low.alias("component_id"),
+        low.eqNullSafe(F.col("id")).alias("kept"),
+    )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -259,7 +259,14 @@ def quotas(sizes: dict[str, int], train_rows: int) -> dict[str, float]:
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, vocabulary_name: str = VOCABULARY) -> Model:
+def train(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    train_rows: int = TRAIN_ROWS,
+    vocabulary_name: str = VOCABULARY,
+) -> Model:
     """Fit on at most about ``train_rows`` rows with a language, outside the held-out fold.
 
     The sample is, for each language, a fixed share of a hash of the id, so its words, summed in Spark,
@@ -274,8 +281,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     langs = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).collect()}
     if sum(r["n"] for r in langs.values()) > train_rows:
         # The row of the least hash is always in, as rows of one id share their hash.
-        limits = [(lang, max(int((1 << 30) * rows_of / langs[lang]["n"]), langs[lang]["least"] + 1)) for lang, rows_of in quotas({k: r["n"] for k, r in langs.items()}, train_rows).items()]
-        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, _limit long")), "lang").where(place < F.col("_limit"))
+        limits = [(
+            lang,
+            max(int((1 << 30) * rows_of / langs[lang]["n"]), langs[lang]["least"] + 1),
+        ) for lang, rows_of in quotas({k: r["n"] for k, r in langs.items()}, train_rows).items()]
+        rows = rows.join(
+            F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, _limit long")),
+            "lang",
+        ).where(place < F.col("_limit"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -284,7 +297,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 for token, n in Counter((text or "").split()).items():
                     for word in word_parts(token):
                         seen[lang, word] += n
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in seen], pa.string()),
+                pa.array([k[1] for k in seen], pa.string()),
+                pa.array(list(seen.values()), pa.int64()),
+            ],
+            ["lang", "word", "n"],
+        )
 
     sums = rows.select("text", "lang").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = defaultdict(Counter)
@@ -403,7 +423,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in pieces(batches, 512):
             with memory("language_id", forget):
                 names, scores = _scorer(shared).predict(batch["text"].cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                ["doc_id", "lang_pred", "score"],
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -421,6 +444,9 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_s
         for batch in pieces(batches, 512):
             with memory("language_id", forget):
                 names, scores = _scorer(shared).predict(batch[text_col].cast(pa.string()))
-            yield batch.filter(pa.array([n != UNDETERMINED and s >= min_score for n, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))
+            yield batch.filter(pa.array(
+                [n != UNDETERMINED and s >= min_score for n, s in zip(names, scores.tolist(), strict=True)],
+                pa.bool_(),
+            ))
 
     return docs.mapInArrow(run, docs.schema)

@@ -212,7 +212,16 @@ def fit(negatives: list[list[bytes]], seed: int = 7) -> Model:
         q = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -40, 40)))
         slope -= 0.02 * (n @ ((q - smooth) * margin)) / n.sum()
         offset -= 0.02 * (n @ (q - smooth)) / n.sum()
-    return Model(families, features, w, float(slope), float(offset), shapes, holds, [len(words) + max(len(words), SLACK) for _, words in templates()])
+    return Model(
+        families,
+        features,
+        w,
+        float(slope),
+        float(offset),
+        shapes,
+        holds,
+        [len(words) + max(len(words), SLACK) for _, words in templates()],
+    )
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Model:
@@ -361,13 +370,25 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    item = pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())])
+    item = pa.struct([
+        ("paragraph", pa.int32()),
+        ("family", pa.string()),
+        ("probability", pa.float64()),
+        ("similarity", pa.float64()),
+        ("confirmed", pa.bool_()),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value.families
         for batch in pieces(batches, 256):
             texts = as_bytes(batch["text"])
-            found = [[{"paragraph": a, "family": names[f], "probability": p, "similarity": s, "confirmed": c} for a, f, p, s, c in x] for x in _classify(shared.value, texts, confirm)]
+            found = [[{
+                "paragraph": a,
+                "family": names[f],
+                "probability": p,
+                "similarity": s,
+                "confirmed": c,
+            } for a, f, p, s, c in x] for x in _classify(shared.value, texts, confirm)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
@@ -379,4 +400,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_paragraphs long, licences string, found array<struct<paragraph: int, family: string, probability: double, similarity: double, confirmed: boolean>>")
+    return rows.mapInArrow(
+        run,
+        "doc_id long, n_paragraphs long, licences string, found array<struct<paragraph: int, family: string, probability: double, similarity: double, confirmed: boolean>>",
+    )

@@ -32,7 +32,13 @@ def uniform(seed: str, *columns: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
-def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, size: float = 1.0) -> DataFrame:
+def rates(
+    docs: DataFrame,
+    source_col: str = "source",
+    text_col: str = "text",
+    weights: dict[str, float] | None = None,
+    size: float = 1.0,
+) -> DataFrame:
     """source, chars, rate: one row for each source (null is a source of its own).
 
     The output holds ``size`` times the input's characters, shared by ``weights``
@@ -51,7 +57,11 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", w
     sums = sums.withColumn("weight", weight)
     totals = sums.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
     rate = F.col("weight") / F.col("all_weight") * F.col("all_chars") * F.lit(float(size)) / F.col("chars")
-    return sums.crossJoin(F.broadcast(totals)).select("source", "chars", F.coalesce(F.when(F.col("chars") > 0, rate), F.lit(0.0)).alias("rate"))
+    return sums.crossJoin(F.broadcast(totals)).select(
+        "source",
+        "chars",
+        F.coalesce(F.when(F.col("chars") > 0, rate), F.lit(0.0)).alias("rate"),
+    )
 
 
 def distribution(rate: Column) -> Column:
@@ -67,7 +77,15 @@ def distribution(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["steps"])
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, size: float = 1.0, seed: str = SEED) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    weights: dict[str, float] | None = None,
+    size: float = 1.0,
+    seed: str = SEED,
+) -> DataFrame:
     """``docs`` with each row repeated, shuffled globally; adds copy (int, from 0) and order_key.
 
     Rows with equal ids draw the same number; a null id draws as an id of its own. Null or
@@ -80,7 +98,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     steps = small(steps, "rates", BROADCAST_SOURCES)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     names = [c for c in docs.columns if c not in ("copy", "order_key")]
-    rows = docs.select(F.col(source_col).alias("source"), key.alias("key"), uniform(seed, key).alias("draw"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    rows = docs.select(
+        F.col(source_col).alias("source"),
+        key.alias("key"),
+        uniform(seed, key).alias("draw"),
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+    )
     drawn = rows.join(steps, F.col("source").eqNullSafe(F.col("_source")))
     count = lambda draw: F.size(F.filter("_steps", lambda s: draw >= s))
     more = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: uniform(f"{seed}-part", i, F.col("key")))

@@ -92,7 +92,10 @@ class WordIds:
 
         for at in range(0, len(plain), 8192):
             part = plain[at : at + 8192]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(
+                self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids,
+                np.int64,
+            )
             cuts = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1]) if len(ids) else np.zeros(1, np.int64)
             if len(cuts) == len(part) + 1 and cuts[-1] == len(ids):
                 put(part, ids, cuts)
@@ -143,7 +146,10 @@ class WordIds:
         bare = pc.ascii_rtrim(low, characters=MARKS)
         tail = pc.subtract(pc.binary_length(low), pc.binary_length(bare))
         special = pc.match_substring(whole, "<|")
-        cut = pc.and_(pc.and_(pc.greater(tail, 0), pc.less_equal(tail, MARK_BYTES)), pc.and_(pc.match_substring_regex(bare, _LETTER_LAST), pc.invert(special)))
+        cut = pc.and_(
+            pc.and_(pc.greater(tail, 0), pc.less_equal(tail, MARK_BYTES)),
+            pc.and_(pc.match_substring_regex(bare, _LETTER_LAST), pc.invert(special)),
+        )
         stems = pc.if_else(cut, bare, pc.if_else(special, whole, low)).dictionary_encode()
         # The marks as numbers of MARK_BYTES bytes.
         tails = np.where(cut.to_numpy(zero_copy_only=False), tail.to_numpy(), 0)
@@ -239,7 +245,15 @@ def tokenised(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[in
         yield from out(keys, texts)
 
 
-_PIECE = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "src": pa.int64(), "local": pa.int64()}
+_PIECE = {
+    "doc_id": pa.int64(),
+    "piece": pa.int32(),
+    "start": pa.int64(),
+    "length": pa.int64(),
+    "ids_crc32": pa.int64(),
+    "src": pa.int64(),
+    "local": pa.int64(),
+}
 
 
 def _tokenise(path: str, capacity: int, end_id: int):
@@ -364,13 +378,23 @@ def _placer(runs: list[tuple[int, int, int, int, int]]):
                 run[own] = a + np.searchsorted(first[a:b], ranks[own], "right") - 1
             nth = ranks - first[run]
             columns = {c: batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            columns |= {"sequence_id": pa.array(sequence[run] + nth // each[run]), "offset": pa.array(offset[run] + nth % each[run] * lengths)}
+            columns |= {
+                "sequence_id": pa.array(sequence[run] + nth // each[run]),
+                "offset": pa.array(offset[run] + nth % each[run] * lengths),
+            }
             yield pa.RecordBatch.from_pydict(columns)
 
     return place
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tokenizer: str = TOKENIZER,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
+) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids are the tokenizer's, without special tokens, then ``end_id``; null
@@ -383,16 +407,30 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long, src long, local long"
     cut = store(rows.mapInArrow(_tokenise(tokenizer, capacity, end_id), fields), "pieces")
     by_task = store(cut.groupBy("src", "length").count(), "lengths")
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(
+        F.sum("count").over(Window.partitionBy("length").orderBy("src").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0),
+    )
     firsts = by_task.select("src", "length", before.alias("first"))
     total = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("count").alias("n")).toLocalIterator()}  # at most ``capacity`` rows
     # The table of firsts grows with tasks times lengths, so it is never broadcast.
     ranked = cut.join(firsts.hint("merge"), ["src", "length"]).withColumn("rank", F.col("first") + F.col("local"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return ranked.mapInArrow(_placer(plan(total, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-
-
-def sequences(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    return ranked.mapInArrow(
+        _placer(plan(total, capacity)),
+        "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
+    )
+
+
+def sequences(
+    docs: DataFrame,
+    packed: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tokenizer: str = TOKENIZER,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
+) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids, and the pieces' doc_ids and offsets.
 
     ``docs`` must have one row for each id that ``packed`` names.
@@ -405,7 +443,16 @@ def sequences(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_c
             yield _rows([(key, n, data[at : at + capacity]) for n, at in enumerate(range(0, len(data), capacity))], fields)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("piece", T.IntegerType()),
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
+    ])
     held = rows.mapInArrow(cut, schema).join(packed, ["doc_id", "piece"])
     parts = held.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("parts"))
-    return parts.select("sequence_id", F.flatten("parts.ids").alias("ids"), F.col("parts.doc_id").alias("doc_ids"), F.col("parts.offset").alias("offsets"))
+    return parts.select(
+        "sequence_id",
+        F.flatten("parts.ids").alias("ids"),
+        F.col("parts.doc_id").alias("doc_ids"),
+        F.col("parts.offset").alias("offsets"),
+    )

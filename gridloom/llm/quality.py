@@ -101,7 +101,14 @@ def thresholds_of(step: np.ndarray) -> np.ndarray:
     return np.cumsum([step[0], *np.exp(step[1:])])
 
 
-def loss(w: np.ndarray, step: np.ndarray, flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, penalty: float) -> tuple[float, np.ndarray, np.ndarray]:
+def loss(
+    w: np.ndarray,
+    step: np.ndarray,
+    flat: np.ndarray,
+    owner: np.ndarray,
+    grades: np.ndarray,
+    penalty: float,
+) -> tuple[float, np.ndarray, np.ndarray]:
     """Negative log likelihood with the penalty, and its gradients by weights and steps.
 
     ``flat`` and ``owner``: the features, by their places in ``w``, of all texts.
@@ -177,7 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 256):
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["grade"], pa.array(features_of(as_bytes(batch["text"])), pa.list_(pa.int32()))], ["id", "grade", "features"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], batch["grade"], pa.array(features_of(as_bytes(batch["text"])), pa.list_(pa.int32()))],
+                ["id", "grade", "features"],
+            )
 
     table = rows.mapInArrow(featured, "id long, grade int, features array<int>").toArrow().sort_by("id")
     return fit([np.array(f, np.int32) for f in table["features"].to_pylist()], table["grade"].to_numpy())
@@ -196,7 +206,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in pieces(batches, 256):
             tail = shared.value.at_least(shared.value.scores(features_of(as_bytes(batch["text"]))))
             columns = [tail.sum(axis=1), tail[:, 0], tail[:, 1]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, columns), pa.array(tail[:, 1] >= min_good)], ["doc_id", "expected_grade", "p_not_toxic", "p_good", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], *map(pa.array, columns), pa.array(tail[:, 1] >= min_good)],
+                ["doc_id", "expected_grade", "p_not_toxic", "p_good", "kept"],
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, expected_grade double, p_not_toxic double, p_good double, kept boolean")

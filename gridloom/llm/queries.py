@@ -145,4 +145,11 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.u = d.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC_SQL, "op3_exact_dedup": EXACT_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op6_embedding_dedup": VECTOR_SQL, "op7_mixing": mixing.mix_sql(), "op9_jaccard_join": JACCARD_SQL}
+    return {
+        "op1_warc": WARC_SQL,
+        "op3_exact_dedup": EXACT_SQL,
+        "op4_substring_dedup": SUBSTRING_SQL,
+        "op6_embedding_dedup": VECTOR_SQL,
+        "op7_mixing": mixing.mix_sql(),
+        "op9_jaccard_join": JACCARD_SQL,
+    }

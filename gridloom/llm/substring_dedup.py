@@ -174,7 +174,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)],
+        names,
+    )
 
 
 def _base(window: int, gram: int):
@@ -196,7 +199,10 @@ _HIT = ["doc", "start", "count", "owner", "owner_start"]
 
 def _runs(doc: np.ndarray, start: np.ndarray, owner: np.ndarray, owner_start: np.ndarray) -> list[np.ndarray]:
     """Windows sorted by (doc, start) -> runs of consecutive windows with consecutive owners."""
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (owner[1:] != owner[:-1]) | (owner_start[1:] != owner_start[:-1] + 1)])
+    new = np.concatenate([
+        [True],
+        (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (owner[1:] != owner[:-1]) | (owner_start[1:] != owner_start[:-1] + 1),
+    ])
     at = np.flatnonzero(new)
     return [doc[at], start[at], np.diff(np.append(at, len(doc))), owner[at], owner_start[at]]
 
@@ -306,10 +312,18 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((*place, key, a, h[a:b]))
                     size += b - a
             if size > 1 << 20:
-                yield _table(rows, ["shard", "copy", "reads", "doc", "start", "words"], [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
+                yield _table(
+                    rows,
+                    ["shard", "copy", "reads", "doc", "start", "words"],
+                    [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())],
+                )
                 rows, size = [], 0
         if rows:
-            yield _table(rows, ["shard", "copy", "reads", "doc", "start", "words"], [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
+            yield _table(
+                rows,
+                ["shard", "copy", "reads", "doc", "start", "words"],
+                [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())],
+            )
 
 
 def _match(window: int):
@@ -346,8 +360,17 @@ def _spans(rows: DataFrame, base: DataFrame, window: int, gram: int) -> tuple[Da
     some = rows.join(small(wanted.select("id"), "candidates", BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"])
     texts = store(some.join(wanted, "id"), "candidate-texts")
     sent = texts.mapInArrow(_windows(window, gram), "k1 long, k2 long, doc long, start long, count long, owner long, owner_start long")
-    hits = sent.repartition("k1").sortWithinPartitions("k1", "k2", "doc", "start").mapInArrow(_compare, "doc long, start long, count long, owner long, owner_start long")
-    runs = store(hits.repartition("doc").sortWithinPartitions("doc", "start", "owner").mapInArrow(_joined, "doc long, start long, count long, owner long, owner_start long"), "runs")
+    hits = sent.repartition("k1").sortWithinPartitions("k1", "k2", "doc", "start").mapInArrow(
+        _compare,
+        "doc long, start long, count long, owner long, owner_start long",
+    )
+    runs = store(
+        hits.repartition("doc").sortWithinPartitions("doc", "start", "owner").mapInArrow(
+            _joined,
+            "doc long, start long, count long, owner long, owner_start long",
+        ),
+        "runs",
+    )
     stop = lambda start: F.col(start) + F.col("count") + (window - 1)
     owned = runs.select(F.col("owner").alias("id"), F.col("owner_start").alias("start"), stop("owner_start").alias("stop")).distinct()
     # A document's share of the reference is at most its own words; a shard takes documents up to its size.
@@ -361,11 +384,17 @@ def _spans(rows: DataFrame, base: DataFrame, window: int, gram: int) -> tuple[Da
     if copies.count() <= BROADCAST_IDS:
         copies = F.broadcast(copies)
     reading = readers.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int"))
-    held = owned.withColumn("shard", shard("id")).join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    held = owned.withColumn("shard", shard("id")).join(copies, "shard").withColumn(
+        "copy",
+        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)),
+    )
     segment = lambda reads: F.struct("shard", "copy", F.lit(reads).alias("reads"), "start", "stop")
     segments = reading.select("id", segment(True).alias("segment")).unionAll(held.select("id", segment(False).alias("segment")))
     segments = segments.groupBy("id").agg(F.collect_list("segment").alias("segments"))
-    cut = texts.select("id", "text").join(segments, "id").mapInArrow(_extract, "shard long, copy int, reads boolean, doc long, start long, words array<long>")
+    cut = texts.select("id", "text").join(segments, "id").mapInArrow(
+        _extract,
+        "shard long, copy int, reads boolean, doc long, start long, words array<long>",
+    )
     found = cut.groupBy("shard", "copy").applyInArrow(_match(window), "doc long, start long, stop long")
     return texts, store(found, "spans")
 
@@ -390,7 +419,14 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(rows, ["id", "n_removed", "kept_text", "kept_sha"], [pa.int64(), pa.int64(), pa.string(), pa.binary()])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    gram: int = GRAM,
+    with_text: bool = True,
+) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and kept_text if asked for.
 
     A word goes if a window of ``window`` consecutive words over it also occurs in a document with a

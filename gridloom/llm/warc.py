@@ -177,7 +177,13 @@ def _writer(date: str, compressed: bool):
         held: list[bytes] = []
         size = 0
         for batch in pieces(batches, 256):
-            for key, uri, payload, refers in zip(batch["id"].to_pylist(), batch["uri"].to_pylist(), as_bytes(batch["payload"]), batch["refers_to"].to_pylist(), strict=True):
+            for key, uri, payload, refers in zip(
+                batch["id"].to_pylist(),
+                batch["uri"].to_pylist(),
+                as_bytes(batch["payload"]),
+                batch["refers_to"].to_pylist(),
+                strict=True,
+            ):
                 payload = payload or b""
                 headers = {
                     "WARC-Record-ID": f"<{PREFIX}{'null' if key is None else key}>",
@@ -189,14 +195,20 @@ def _writer(date: str, compressed: bool):
                 if refers is None:
                     data = record("response", _http(len(payload)) + payload, headers)
                 else:
-                    headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{PREFIX}{refers}>"}
+                    headers |= {
+                        "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                        "WARC-Refers-To": f"<{PREFIX}{refers}>",
+                    }
                     data = record("revisit", _http(len(payload)), headers)
                 # The plain sink's line end is the second half of a record's end mark.
                 data = member(data) if compressed else data
                 held.append(data)
                 size += len(data)
                 if size >= BLOCK_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held) if compressed else b"".join(held)[:-2]], pa.binary())], ["value"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b"".join(held) if compressed else b"".join(held)[:-2]], pa.binary())],
+                        ["value"],
+                    )
                     held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held) if compressed else b"".join(held)[:-2]], pa.binary())], ["value"])
@@ -204,7 +216,16 @@ def _writer(date: str, compressed: bool):
     return write
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, date: str = "2026-01-01T00:00:00Z", compressed: bool = True) -> None:
+def write_archives(
+    pages: DataFrame,
+    path: str,
+    id_col: str = "page_id",
+    uri_col: str = "url",
+    payload_col: str = "html",
+    min_revisit_bytes: int = 0,
+    date: str = "2026-01-01T00:00:00Z",
+    compressed: bool = True,
+) -> None:
     """Write one record per row to archives under ``path``.
 
     Payload: the column's UTF-8 bytes (null: empty). Of records with equal payloads of
@@ -260,7 +281,19 @@ def _reader(with_payload: bool):
                             x.kind, x.reason = "gap", "payload digest differs"
                         told = own
                     strip = lambda name: h[name].strip("<>").removeprefix(PREFIX) if name in h else None
-                    rows.append((archive, x.start, x.end, x.kind, strip("warc-record-id"), h.get("warc-target-uri"), strip("warc-refers-to"), payload if with_payload and x.kind != "gap" else None, length if x.kind != "gap" else None, told or None, x.reason or None))
+                    rows.append((
+                        archive,
+                        x.start,
+                        x.end,
+                        x.kind,
+                        strip("warc-record-id"),
+                        h.get("warc-target-uri"),
+                        strip("warc-refers-to"),
+                        payload if with_payload and x.kind != "gap" else None,
+                        length if x.kind != "gap" else None,
+                        told or None,
+                        x.reason or None,
+                    ))
                     held += len(payload) if with_payload else 200
                     if held > 1 << 22:
                         yield out(rows)

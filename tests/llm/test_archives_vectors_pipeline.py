@@ -21,7 +21,18 @@ def pages(spark, rows):
     return spark.createDataFrame([(i, f"http://x/{i} y", h, 1) for i, h in rows], FIELDS)
 
 
-HTML = [(0, "<p>a</p>"), (1, None), (2, ""), (3, "<p>a</p>"), (4, "é" * 1000), (5, "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"), (6, "x" * 3_000_000), (None, "<p>a</p>"), (None, "alone"), (3, "<p>a</p>")]
+HTML = [
+    (0, "<p>a</p>"),
+    (1, None),
+    (2, ""),
+    (3, "<p>a</p>"),
+    (4, "é" * 1000),
+    (5, "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"),
+    (6, "x" * 3_000_000),
+    (None, "<p>a</p>"),
+    (None, "alone"),
+    (3, "<p>a</p>"),
+]
 
 
 @pytest.mark.parametrize("compressed", [True, False])
@@ -44,7 +55,17 @@ def test_archives_round_trip(spark, tmp_path, compressed):
         assert r.payload == (data if r.kind == "response" else b"")
 
 
-ODD_URLS = ["http://x/" + "a" * 70_000, "http://x/" + "é" * 400_000, "http://x/\x00\x08\x0e\x1b", "http://x/WARC/1.0", "WARC/1.1", "a\r\nWARC/1.1\r\n\r\nb", "\x7f\x85\xa0\u2028", "", None]
+ODD_URLS = [
+    "http://x/" + "a" * 70_000,
+    "http://x/" + "é" * 400_000,
+    "http://x/\x00\x08\x0e\x1b",
+    "http://x/WARC/1.0",
+    "WARC/1.1",
+    "a\r\nWARC/1.1\r\n\r\nb",
+    "\x7f\x85\xa0\u2028",
+    "",
+    None,
+]
 
 
 @pytest.mark.parametrize("compressed", [True, False])
@@ -75,7 +96,11 @@ def test_headers_run_together():
 
 def archive(n, compressed):
     rng = random.Random(n)
-    records = [warc.record("resource", bytes(rng.randrange(256) for _ in range(rng.randint(0, 400))), {"WARC-Record-ID": f"<{warc.PREFIX}{i}>"}) for i in range(n)]
+    records = [warc.record(
+        "resource",
+        bytes(rng.randrange(256) for _ in range(rng.randint(0, 400))),
+        {"WARC-Record-ID": f"<{warc.PREFIX}{i}>"},
+    ) for i in range(n)]
     parts = [warc.member(r) for r in records] if compressed else records
     starts = np.cumsum([0, *map(len, parts)]).tolist()
     return b"".join(parts), starts
@@ -146,7 +171,17 @@ def test_embedding_dedup_by_force(spark, monkeypatch, block):
     rows += [(base + rng.normal(size=64) * 0.03).astype(np.float32).tolist() for _ in range(60)]
     table = [(i, v, int(i % 3 > 1)) for i, v in enumerate(rows)]
     n = len(table)
-    table += [(n, None, 1), (n + 1, [0.0] * 64, 1), (n + 2, [math.nan] * 64, 1), (n + 3, [None] * 64, 1), (n + 4, rows[0], None), (n + 5, [1.0, 2.0, 3.0], 0), (n + 6, [1.0, 2.0, 3.0], 0), (n + 7, [], 0), (n + 8, [math.inf] + [0.0] * 63, 0)]
+    table += [
+        (n, None, 1),
+        (n + 1, [0.0] * 64, 1),
+        (n + 2, [math.nan] * 64, 1),
+        (n + 3, [None] * 64, 1),
+        (n + 4, rows[0], None),
+        (n + 5, [1.0, 2.0, 3.0], 0),
+        (n + 6, [1.0, 2.0, 3.0], 0),
+        (n + 7, [], 0),
+        (n + 8, [math.inf] + [0.0] * 63, 0),
+    ]
     df = spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(1)).withColumn("key", F.lit(2)).repartition(3)
     got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
     want = force(table, 0.98)
@@ -174,7 +209,10 @@ def test_query_matches_sql(spark, sf, name):
     columns = sorted(df.columns)
     want = c.sql(queries.oracle_sql()[name])
     order = [want.columns.index(x) for x in columns]
-    assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(repr, (tuple(r[i] for i in order) for r in want.fetchall())))
+    assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(
+        repr,
+        (tuple(r[i] for i in order) for r in want.fetchall()),
+    ))
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries().keys() - queries.oracle_sql().keys()))
@@ -204,7 +242,10 @@ def test_pipeline(spark, sf, tmp_path):
             assert sorted(r[0] for r in docs.select("text").collect()) == sorted(set(texts))
         elif name == "jaccard_join":
             rows = sorted((r.doc_id, r.text) for r in before.select("doc_id", "text").collect())
-            shingles = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}) for i, w in ((i, t.encode().lower().split()) for i, t in rows)]
+            shingles = [(
+                i,
+                {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)},
+            ) for i, w in ((i, t.encode().lower().split()) for i, t in rows)]
             root = {i: i for i, _ in shingles}
 
             def find(x, root=root):
@@ -241,7 +282,14 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 def test_pipeline_on_odd_rows(spark, tmp_path):
     words = {"en": "the house and the river of the old town", "de": "das Haus und der Fluss von der alten Stadt"}
     rows = [(i, f"{words[lang]} w{i % 7}", lang, "s", 10) for i in range(40) for lang in words]
-    rows += [(None, "the house and the garden", "en", None, None), (90, None, "en", "s", 0), (91, "", None, None, 0), (92, "½ 12", "en", "s", 4), (93, "the river " * 3000, "en", "t", 9), (93, "the river " * 3000, "en", "t", 9)]
+    rows += [
+        (None, "the house and the garden", "en", None, None),
+        (90, None, "en", "s", 0),
+        (91, "", None, None, 0),
+        (92, "½ 12", "en", "s", 4),
+        (93, "the river " * 3000, "en", "t", 9),
+        (93, "the river " * 3000, "en", "t", 9),
+    ]
     sf = odd_documents(spark, tmp_path, rows)
     before = jaccard_join.join(spark.read.parquet(f"{sf}/documents.parquet"))  # lazy, of this session
     out = corpus_pipeline.run(spark, sf)
@@ -251,14 +299,28 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 
 
 def test_vectors_of_any_size(spark):
-    rows = [(1, [1e200, 1e200], 0), (2, [2e200, 2e200], 0), (3, [1e-200, 1e-200], 0), (4, [5e-324, 5e-324], 0), (5, [1.7e308, -1.7e308], 0), (6, [3.0, 3.0], 0), (7, [1e-200, -1e-200], 0), (8, [0.0, -0.0], 0), (8, [1.0, 1.0], 1), (9, [1e300, 1e300], 1)]
+    rows = [
+        (1, [1e200, 1e200], 0),
+        (2, [2e200, 2e200], 0),
+        (3, [1e-200, 1e-200], 0),
+        (4, [5e-324, 5e-324], 0),
+        (5, [1.7e308, -1.7e308], 0),
+        (6, [3.0, 3.0], 0),
+        (7, [1e-200, -1e-200], 0),
+        (8, [0.0, -0.0], 0),
+        (8, [1.0, 1.0], 1),
+        (9, [1e300, 1e300], 1),
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
     assert got == {(1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 4, 1), (6, 4, 1), (5, 1, 5), (7, 1, 5), (8, 1, 8), (9, 1, 8)}
 
 
 def test_vectors_with_repeated_ids(spark):
-    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.001], 0), (2, [0.0, 1.0], 0), (3, [0.001, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    df = spark.createDataFrame(
+        [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.001], 0), (2, [0.0, 1.0], 0), (3, [0.001, 1.0], 0)],
+        "vec_id long, embedding array<double>, label int",
+    )
     got = sorted({(r.vec_id, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()})
     assert [x[0] for x in got] == [1, 2, 3]
 

@@ -298,11 +298,25 @@ def test_substring_dedup_odd_ids(spark):
     df = docs(spark, [text, text, "z " + text], 1).unionByName(docs(spark, [text], 2)).unionByName(docs(spark, [text, "other " + text], 9))
     df = df.unionByName(docs(spark, ["changed " + text], 9)).unionByName(docs(spark, [text]).withColumn("doc_id", F.lit(None).cast("long")))
     rows = sorted(((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in substring_dedup.remove_repeats(df).collect()))
-    assert rows == [(False, 1, 0), (False, 2, 60), (False, 2, 60), (False, 3, 60), (False, 9, 0), (False, 9, 0), (False, 10, 60), (True, 0, 0)]
+    assert rows == [
+        (False, 1, 0),
+        (False, 2, 60),
+        (False, 2, 60),
+        (False, 3, 60),
+        (False, 9, 0),
+        (False, 9, 0),
+        (False, 10, 60),
+        (True, 0, 0),
+    ]
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 2), max_size=12), min_size=1, max_size=5), st.lists(st.integers(0, 2), max_size=12), st.integers(0, 6), st.integers(1, 4))
+@given(
+    st.lists(st.lists(st.integers(0, 2), max_size=12), min_size=1, max_size=5),
+    st.lists(st.integers(0, 2), max_size=12),
+    st.integers(0, 6),
+    st.integers(1, 4),
+)
 def test_automaton(references, words, doc, window):
     a = substring_dedup.Automaton()
     for i, r in enumerate(references):
@@ -322,7 +336,10 @@ def test_automaton(references, words, doc, window):
 
 
 def test_mixing_counts(spark):
-    df = clashing(docs(spark, ["abcdefgh"] * 3000)).withColumn("source", F.when(F.col("doc_id") < 2500, "big").when(F.col("doc_id") < 2990, "small").otherwise(F.lit(None)))
+    df = clashing(docs(spark, ["abcdefgh"] * 3000)).withColumn(
+        "source",
+        F.when(F.col("doc_id") < 2500, "big").when(F.col("doc_id") < 2990, "small").otherwise(F.lit(None)),
+    )
     out = mixing.mix(df, weights={"big": 1.0, "small": 1.0, "absent": 5.0})
     assert out.columns == [*df.columns, "copy", "order_key"]
     n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
@@ -343,11 +360,18 @@ def test_poisson_steps(spark):
 
 @pytest.mark.parametrize("n_big", [5_000, 30_000])
 def test_mixing_large_rates(spark, n_big):
-    df = spark.range(n_big + 3).select(F.col("id").alias("doc_id"), F.lit("abcdefgh").alias("text"), F.when(F.col("id") < 3, "tiny").otherwise("big").alias("source"))
+    df = spark.range(n_big + 3).select(
+        F.col("id").alias("doc_id"),
+        F.lit("abcdefgh").alias("text"),
+        F.when(F.col("id") < 3, "tiny").otherwise("big").alias("source"),
+    )
     rate = (n_big + 3) / 6
     got = mixing.rates(df, weights={"big": 1.0, "tiny": 1.0}).where("source = 'tiny'").first().rate
     assert got == pytest.approx(rate) and rate > 500
-    rows = mixing.mix(df, weights={"big": 1.0, "tiny": 1.0}).where("source = 'tiny'").groupBy("doc_id").agg(F.collect_list("copy").alias("copies"), F.countDistinct("order_key").alias("keys")).collect()
+    rows = mixing.mix(df, weights={"big": 1.0, "tiny": 1.0}).where("source = 'tiny'").groupBy("doc_id").agg(
+        F.collect_list("copy").alias("copies"),
+        F.countDistinct("order_key").alias("keys"),
+    ).collect()
     assert len(rows) == 3 and len({len(r.copies) for r in rows}) > 1
     for r in rows:
         assert abs(len(r.copies) - rate) < 5 * rate**0.5
@@ -380,7 +404,16 @@ def test_packing(spark, capacity):
     import zlib
 
     rng = random.Random(1)
-    texts = ODD + [" ".join(rng.choice(["the", "Cat's", "naïve", "3.14", "x_y", "日本", "don't!", "İx."]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts = ODD + [" ".join(rng.choice([
+        "the",
+        "Cat's",
+        "naïve",
+        "3.14",
+        "x_y",
+        "日本",
+        "don't!",
+        "İx.",
+    ]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
     df = docs(spark, texts).repartition(4)
     packed = packing.pack(clashing(df), capacity=capacity)
     rows = packed.collect()
@@ -420,7 +453,10 @@ def test_plan_places_each_piece_once(counts):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(st.sampled_from("abcXYZé'ÀÑ \n\t.,;:!?\"<|>1２ ́İςß…🙂-_*#$%&\x1c\x00中ŉǰ\u0338\u00a0\u3000ａＡ가ㄱ"), max_size=40), max_size=4))
+@given(st.lists(
+    st.text(st.sampled_from("abcXYZé'ÀÑ \n\t.,;:!?\"<|>1２ ́İςß…🙂-_*#$%&\x1c\x00中ŉǰ\u0338\u00a0\u3000ａＡ가ㄱ"), max_size=40),
+    max_size=4,
+))
 def test_words_give_the_tokenizers_ids(texts):
     got, at = packing._encoder(packing.TOKENIZER).ids(pa.array([*texts, None, ""], pa.string()))
     assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [_reference().encode(x, add_special_tokens=False).ids for x in [*texts, "", ""]]
@@ -478,7 +514,11 @@ def test_language_id_held_out(spark):
     df = spark.read.parquet(path)
     model = language_id.train(df)
     extra = docs(spark, [None, "", "123 ...", "the and of"], 10**6)
-    rows = language_id.predict(df.unionByName(extra.select(df.columns)), model).join(df.select("doc_id", "lang", (language_id.bucket() == 0).alias("held")), "doc_id", "left").collect()
+    rows = language_id.predict(df.unionByName(extra.select(df.columns)), model).join(
+        df.select("doc_id", "lang", (language_id.bucket() == 0).alias("held")),
+        "doc_id",
+        "left",
+    ).collect()
     held = [r for r in rows if r.held]
     assert len(held) > 100 and np.mean([r.lang == r.lang_pred for r in held]) > 0.97
     odd = {r.doc_id: r.lang_pred for r in rows if r.doc_id >= 10**6}
@@ -489,7 +529,12 @@ def test_language_id_held_out(spark):
 
 def test_language_sample_holds_every_language(spark):
     common = docs(spark, [f"the house of number w{i}" for i in range(4000)])
-    rare = [docs(spark, [f"{word} {word}{word}"] * 5, 10_000 + 5 * n).withColumn("lang", F.lit(lang)) for n, (lang, word) in enumerate([("xa", "zugzwang"), ("xb", "pomlad"), ("xc", "kivi"), ("xd", "haruspex")])]
+    rare = [docs(spark, [f"{word} {word}{word}"] * 5, 10_000 + 5 * n).withColumn("lang", F.lit(lang)) for n, (lang, word) in enumerate([
+        ("xa", "zugzwang"),
+        ("xb", "pomlad"),
+        ("xc", "kivi"),
+        ("xd", "haruspex"),
+    ])]
     one_id = docs(spark, ["bonjour monsieur"] * 400).withColumn("doc_id", F.lit(77).cast("long")).withColumn("lang", F.lit("xe"))
     df = common.unionByName(one_id)
     for part in rare:
@@ -518,7 +563,17 @@ def test_quality_held_out(spark):
 
 def test_licences(spark):
     plain = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pydict()
-    df = docs(spark, ["x\nLicensed under the Apache License, Version 2.0.\ny", "Released under the MIT License.", "The license of the poet is wide and the version of it two.", None, "", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction\n\nAll rights reserved."])
+    df = docs(
+        spark,
+        [
+            "x\nLicensed under the Apache License, Version 2.0.\ny",
+            "Released under the MIT License.",
+            "The license of the poet is wide and the version of it two.",
+            None,
+            "",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction\n\nAll rights reserved.",
+        ],
+    )
     model = licences.train(docs(spark, plain["text"]))
     rows = {r.doc_id: r for r in licences.scan(clashing(df), model).collect()}
     assert [rows[i].licences for i in range(6)] == ["Apache-2.0", "MIT", "", "", "", "MIT,Proprietary"]
@@ -528,10 +583,26 @@ def test_licences(spark):
 
 
 WRAPPED = {
-    "MIT": (78, "MIT License\n\nCopyright (c) 2020 A. Name\n\n", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
-    "BSD": (72, "", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    "GPL": (70, "", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    "LGPL": (70, "", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    "MIT": (
+        78,
+        "MIT License\n\nCopyright (c) 2020 A. Name\n\n",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+    ),
+    "BSD": (
+        72,
+        "",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    ),
+    "GPL": (
+        70,
+        "",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "LGPL": (
+        70,
+        "",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
     "CC-BY-SA": (46, "", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 }
 
@@ -542,7 +613,12 @@ def test_licences_over_lines(spark):
     for family, (width, head, notice) in WRAPPED.items():
         for mark in ("", "# ", " * ", "// "):
             wrapped = "\n".join(mark + row for row in (head + textwrap.fill(notice, width)).split("\n"))
-            want += [(t, family) for t in (wrapped, f"def f():\n{wrapped}\nreturn 1", wrapped.replace("\n", "\r\n"), wrapped.replace("\n", "\n\n"))]
+            want += [(t, family) for t in (
+                wrapped,
+                f"def f():\n{wrapped}\nreturn 1",
+                wrapped.replace("\n", "\r\n"),
+                wrapped.replace("\n", "\n\n"),
+            )]
     prose = max((t for t in plain if "licen" not in t.lower() and "rights" not in t.lower()), key=len).replace("\n", " ")
     want += [(prose, ""), ("Licensed under the Mozilla Public\nLicense, version 2.0", "MPL-2.0")]
     # Two in one line, two in a document of one line, two wrapped into each other.
@@ -574,7 +650,21 @@ def plain_log_probs(word, model):
 def test_words_of_any_length_sum_all_segmentations(monkeypatch):
     monkeypatch.setattr(language_id, "LONG_STEP", 50)
     rng = random.Random(8)
-    pieces = {p: i for i, p in enumerate(dict.fromkeys(["▁a", "a", "b", "ab", "▁ab", "ba", "aba", "▁abab", "ababababab", "中", "▁中", "bé", "é"]))}
+    pieces = {p: i for i, p in enumerate(dict.fromkeys([
+        "▁a",
+        "a",
+        "b",
+        "ab",
+        "▁ab",
+        "ba",
+        "aba",
+        "▁abab",
+        "ababababab",
+        "中",
+        "▁中",
+        "bé",
+        "é",
+    ]))}
     probs = np.array([[rng.random() * 1e-5, rng.random()] for _ in range(len(pieces) + 2)])
     probs[-1] = 0
     model = language_id.Model(["x", "y"], pieces, probs)
@@ -653,7 +743,10 @@ def test_quality_query_by_force(spark):
         words = {w for w, _ in traits if w >= 0}
         n = max(1, len(tokens))
         shares = [sum(b >> k & 1 for _, b in traits) / n for k in range(4)] + [1 - len(words) / n]
-        steps = [quality.SPACE + k * quality.STEPS + min(quality.STEPS - 1, math.ceil(x * 20) if x < 0.2 else 4 + int(x * 4)) for k, x in enumerate(shares)]
+        steps = [quality.SPACE + k * quality.STEPS + min(
+            quality.STEPS - 1,
+            math.ceil(x * 20) if x < 0.2 else 4 + int(x * 4),
+        ) for k, x in enumerate(shares)]
         score = sum(float(model.weights[f]) for f in [*words, *steps])
         tails = [1 / (1 + math.exp(-(score - t))) for t in model.thresholds]
         r = got[row.doc_id]
