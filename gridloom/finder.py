@@ -59,7 +59,21 @@ class PathFinder:
     (None: estimated). Metrics are in cells of band 0, routes in ``band``.
     """
 
-    def __init__(self, spark: SparkSession, dataset: Any, sources: Any, targets: Any, costs: Any = None, overlays: Sequence[dict] = (), neighborhood: int | str | Sequence[Step] = 2, buffer: float | None = None, pixel_area: float = 1.0, band: int = 0, ignore_max: bool = True, **options: Any) -> None:
+    def __init__(
+        self,
+        spark: SparkSession,
+        dataset: Any,
+        sources: Any,
+        targets: Any,
+        costs: Any = None,
+        overlays: Sequence[dict] = (),
+        neighborhood: int | str | Sequence[Step] = 2,
+        buffer: float | None = None,
+        pixel_area: float = 1.0,
+        band: int = 0,
+        ignore_max: bool = True,
+        **options: Any,
+    ) -> None:
         self.spark, self.steps, self.ignore_max = spark, neighborhood, ignore_max
         self.sources, self.targets = points(sources), points(targets)
         self.runtimes: dict[str, float] = {}
@@ -88,18 +102,49 @@ class PathFinder:
         self.runtimes[name] = time.perf_counter() - start
         return out
 
-    def find(self, sources: Any = None, targets: Any = None, algorithm: str = "dijkstra", pairwise: bool = False, heuristic_weight: float = 1.0, metrics: bool = True, heuristic: Heuristic | None = None, heuristic_radius: int | None = None) -> DataFrame:
+    def find(
+        self,
+        sources: Any = None,
+        targets: Any = None,
+        algorithm: str = "dijkstra",
+        pairwise: bool = False,
+        heuristic_weight: float = 1.0,
+        metrics: bool = True,
+        heuristic: Heuristic | None = None,
+        heuristic_radius: int | None = None,
+    ) -> DataFrame:
         """Path records; pairs without a path are left out, but a single one raises NoPathFoundError."""
         a = points(sources) if sources is not None else self.sources
         b = points(targets) if targets is not None else self.targets
         wanted = route.requests(self.spark, [self.meta.node(*p) for p in _list(a)], [self.meta.node(*p) for p in _list(b)], pairwise)
-        found = route.solve(self.window, self.meta.height, self.meta.width, wanted, self.steps, algorithm, self.ignore_max, heuristic_weight, heuristic, heuristic_radius).persist()
+        found = route.solve(
+            self.window,
+            self.meta.height,
+            self.meta.width,
+            wanted,
+            self.steps,
+            algorithm,
+            self.ignore_max,
+            heuristic_weight,
+            heuristic,
+            heuristic_radius,
+        ).persist()
         self._timed("shortest_path", found.count)
-        hits = route.reached(found).select(F.col("ord").alias("path_id"), F.lit(getattr(algorithm, "__name__", algorithm)).alias("algorithm"), "source", "target", "cost", "node_ids")
+        hits = route.reached(found).select(
+            F.col("ord").alias("path_id"),
+            F.lit(getattr(algorithm, "__name__", algorithm)).alias("algorithm"),
+            "source",
+            "target",
+            "cost",
+            "node_ids",
+        )
         if isinstance(a, tuple) and isinstance(b, tuple) and hits.isEmpty():
             raise NoPathFoundError(a, b)
         if metrics:
-            hits = self._timed("metrics", lambda: M.records(hits, M.length_by_category(hits, self.window, self.meta.width), self.meta).persist())
+            hits = self._timed(
+                "metrics",
+                lambda: M.records(hits, M.length_by_category(hits, self.window, self.meta.width), self.meta).persist(),
+            )
         self.runtimes["total"] = sum(v for k, v in self.runtimes.items() if k != "total")
         self.paths = hits.withColumn("runtimes", F.create_map(*[F.lit(x) for kv in self.runtimes.items() for x in kv]))
         return self.paths

@@ -19,7 +19,10 @@ Point = tuple[float, float]
 def edges_of(ring: Column) -> Column:
     """(a, b) of each side of a ring, its end joined to its start."""
     n = F.size(ring)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, i % n + 1).alias("b")))
+    return F.transform(
+        F.sequence(F.lit(1), n),
+        lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, i % n + 1).alias("b")),
+    )
 
 
 def sides_of(polygon: Column) -> Column:
@@ -56,7 +59,12 @@ def parts_area(rings: Column) -> Column:
 def bbox(polygon: Column) -> Column:
     points = F.flatten(polygon)
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+    return F.struct(
+        F.array_min(xs).alias("minx"),
+        F.array_min(ys).alias("miny"),
+        F.array_max(xs).alias("maxx"),
+        F.array_max(ys).alias("maxy"),
+    )
 
 
 def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -86,7 +94,11 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 def wkt_line(coords: Column) -> Column:
     """LINESTRING of an array of (x, y)."""
-    return F.concat(F.lit("LINESTRING ("), F.concat_ws(", ", F.transform(coords, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))), F.lit(")"))
+    return F.concat(
+        F.lit("LINESTRING ("),
+        F.concat_ws(", ", F.transform(coords, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))),
+        F.lit(")"),
+    )
 
 
 def convex_hull(points: Iterable[Point]) -> list[Point]:
@@ -222,7 +234,10 @@ def clipped_line(line: Column, sides: Column) -> Column:
         at = lambda t: F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
         return F.when(part["low"] < part["high"], F.array(at(part["low"]), at(part["high"])))
 
-    return F.when(F.size(line) < 2, F.array().cast("array<array<struct<x:double,y:double>>>")).otherwise(F.array_compact(F.transform(F.sequence(F.lit(1), F.size(line) - 1), piece)))
+    return F.when(
+        F.size(line) < 2,
+        F.array().cast("array<array<struct<x:double,y:double>>>"),
+    ).otherwise(F.array_compact(F.transform(F.sequence(F.lit(1), F.size(line) - 1), piece)))
 
 
 # WGS 84 / GRS 80 ellipsoids and the transverse Mercator scale.
@@ -236,8 +251,18 @@ def _krueger(flattening: float) -> tuple[float, list[float], list[float]]:
     """Kruger's series to the fourth order in n: rectifying radius factor, forward and inverse terms."""
     n = flattening / (2 - flattening)
     radius = (1 + n**2 / 4 + n**4 / 64) / (1 + n)
-    forward = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
-    inverse = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    forward = [
+        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180,
+        13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
+        61 * n**3 / 240 - 103 * n**4 / 140,
+        49561 * n**4 / 161280,
+    ]
+    inverse = [
+        n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360,
+        n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
+        17 * n**3 / 480 - 37 * n**4 / 840,
+        4397 * n**4 / 161280,
+    ]
     return radius, forward, inverse
 
 
@@ -266,7 +291,12 @@ def _to_degrees(x: Column, y: Column, srid: int) -> tuple[Column, Column]:
         eta2 = eta2 - term * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
     chi = F.asin(F.sin(xi2) / F.cosh(eta2))
     n = f / (2 - f)
-    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    delta = [
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+        56 * n**3 / 15 - 136 * n**4 / 35,
+        4279 * n**4 / 630,
+    ]
     phi = chi
     for j, term in enumerate(delta, 1):
         phi = phi + term * F.sin(2 * j * chi)

@@ -110,7 +110,11 @@ def apply_costs(features: DataFrame, costs: CostTable) -> DataFrame:
     if missing := [n for n in names if n not in features.columns]:
         raise FormatError(f"the features have no column {', '.join(missing)}")
     # All attributes as one struct, so that no name can clash.
-    rows = features.select(F.struct(*[F.col(f"`{c}`") for c in features.columns if c != "cost"]).alias("row"), *[_text(n).alias(k) for n, k in zip(names, costs.keys, strict=True)], (F.col("cost").cast("double") if "cost" in features.columns else F.lit(None).cast("double")).alias("prior"))
+    rows = features.select(
+        F.struct(*[F.col(f"`{c}`") for c in features.columns if c != "cost"]).alias("row"),
+        *[_text(n).alias(k) for n, k in zip(names, costs.keys, strict=True)],
+        (F.col("cost").cast("double") if "cost" in features.columns else F.lit(None).cast("double")).alias("prior"),
+    )
     table = costs.table
     exact = _latest(table, *map(F.col, costs.keys))
     if costs.layout == "simple":
@@ -120,7 +124,10 @@ def apply_costs(features: DataFrame, costs: CostTable) -> DataFrame:
         for k in costs.keys:
             open_ = open_ | (F.col(k) == "")
         wild = _latest(table.where(open_), F.col("main")).withColumnRenamed("_cost", "_wild")
-        out = rows.join(exact, costs.keys, "left").join(wild, "main", "left").select("row.*", F.coalesce("_cost", "prior", "_wild").alias("cost"))
+        out = rows.join(exact, costs.keys, "left").join(wild, "main", "left").select(
+            "row.*",
+            F.coalesce("_cost", "prior", "_wild").alias("cost"),
+        )
     elif costs.layout == "nested":
         default = _latest(table.where("side1 = ''"), F.col("main")).withColumnRenamed("_cost", "_default")
         out = rows.join(exact.where("side1 <> ''"), ["main", "side1"], "left").join(default, "main", "left").select("row.*", F.coalesce("_cost", "_default").alias("cost"))
@@ -155,7 +162,11 @@ def table_to_costs(spark: SparkSession, df: DataFrame, ordinal: str | None = Non
         raise FormatError("no key column")
     order = F.col(ordinal) if ordinal else F.monotonically_increasing_id()
     names = ["main", *(f"side{i + 1}" for i in range(len(keys) - 1))]
-    rows = df.select(order.cast("long").alias("ord"), *[_text(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(f"`{cost}`").cast("double").alias("cost"))
+    rows = df.select(
+        order.cast("long").alias("ord"),
+        *[_text(k).alias(n) for k, n in zip(keys, names, strict=True)],
+        F.col(f"`{cost}`").cast("double").alias("cost"),
+    )
     rows = rows.groupBy(*names).agg(F.max("ord").alias("ord"), F.max_by("cost", "ord").alias("cost")).select("ord", *names, "cost")
     return CostTable(rows, keys[0], tuple(keys[1:]), "tuple" if len(keys) > 1 else "simple")
 
@@ -172,13 +183,19 @@ def column_statistics(features: DataFrame, columns: Sequence[str] | None = None,
     more than 50. Entropies in bits; that of counts over all rows, that of areas over the
     rows with a value. One pass over the features for all columns: they are unpivoted and grouped once.
     """
-    names = [c for c in columns or features.columns if c.lower() not in IGNORED and isinstance(features.schema[c].dataType, (T.StringType, T.BooleanType, *NUMERIC))]
+    names = [c for c in columns or features.columns if c.lower() not in IGNORED and isinstance(
+        features.schema[c].dataType,
+        (T.StringType, T.BooleanType, *NUMERIC),
+    )]
     schema = "column string, n long, nulls long, n_distinct long, null_ratio double, is_good boolean, count_entropy double, area_entropy double"
     if not names:
         return features.sparkSession.createDataFrame([], schema)
     numeric = [c for c in names if isinstance(features.schema[c].dataType, NUMERIC)]
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in names])
-    long = features.select(F.explode(pairs).alias("p"), (area if area is not None else F.lit(0.0)).alias("area")).select("p.column", "p.value", "area")
+    long = features.select(
+        F.explode(pairs).alias("p"),
+        (area if area is not None else F.lit(0.0)).alias("area"),
+    ).select("p.column", "p.value", "area")
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("k"), F.sum("area").alias("area"))
     known = F.col("value").isNotNull()
     sums = counts.groupBy("column").agg(F.sum("k").alias("n"), F.sum(F.when(known, F.col("area"))).alias("all_area"))
@@ -213,7 +230,10 @@ def relation(features: DataFrame, main: str, side: str) -> bool:
     Not if it has more than 100 values or none. Else if the table of both is filled by more than a
     twentieth, if some main value has several side values, or if an empty side value splits one.
     """
-    counts = features.where(F.col(f"`{main}`").isNotNull()).groupBy(F.col(f"`{main}`").alias("m"), F.col(f"`{side}`").alias("s")).count().where("s is not null")
+    counts = features.where(F.col(f"`{main}`").isNotNull()).groupBy(
+        F.col(f"`{main}`").alias("m"),
+        F.col(f"`{side}`").alias("s"),
+    ).count().where("s is not null")
     by_main = counts.groupBy("m").agg(F.count(F.lit(1)).alias("k"))
     got = by_main.agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("cells"), F.max("k").alias("most")).first()
     columns = counts.select("s").distinct().count()

@@ -40,7 +40,13 @@ def edges(cells: DataFrame, width: int, of: Sequence[Step] | int | str = 1, igno
     rows = grid_rows(cells, width)
     if depth:
         # A row offers itself to the rows above it, as row 0 to depth of their strips.
-        offered = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda d: F.struct((F.col("row") - d).alias("row"), d.alias("d")))).alias("o"), "vals").select("o.row", "o.d", "vals")
+        offered = rows.select(
+            F.explode(F.transform(
+                F.sequence(F.lit(0), F.lit(depth)),
+                lambda d: F.struct((F.col("row") - d).alias("row"), d.alias("d")),
+            )).alias("o"),
+            "vals",
+        ).select("o.row", "o.d", "vals")
         strips = offered.groupBy("row").agg(*[F.max(F.when(F.col("d") == d, F.col("vals"))).alias(f"r{d}") for d in range(depth + 1)]).where("r0 is not null")
     else:
         strips = rows.withColumnRenamed("vals", "r0")
@@ -69,10 +75,25 @@ def edges_by_cells(cells: DataFrame, width: int, of: Sequence[Step] | int | str
     """The same edges by joins of cells; plain, and the check on ``edges``."""
     wanted = steps(of, directed=False) if isinstance(of, int | str) else list(of)
     free = cells.where(F.col("value") != FORBIDDEN) if ignore_max else cells
-    offsets = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(r).alias("dr"), F.lit(c).alias("dc"), F.lit(factor(*s)).alias("factor"), F.lit(len(between(*s)) + 2).alias("cells"), F.lit(s[0] * width + s[1]).alias("jump")) for i, s in enumerate(wanted) for r, c in [(0, 0), *between(*s), s]])
-    want = free.select((F.col("row").cast("long") * width + F.col("col")).alias("u"), F.explode(offsets).alias("o"), "row", "col").select("u", "o.*", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
+    offsets = F.array(*[F.struct(
+        F.lit(i).alias("step"),
+        F.lit(r).alias("dr"),
+        F.lit(c).alias("dc"),
+        F.lit(factor(*s)).alias("factor"),
+        F.lit(len(between(*s)) + 2).alias("cells"),
+        F.lit(s[0] * width + s[1]).alias("jump"),
+    ) for i, s in enumerate(wanted) for r, c in [(0, 0), *between(*s), s]])
+    want = free.select(
+        (F.col("row").cast("long") * width + F.col("col")).alias("u"),
+        F.explode(offsets).alias("o"),
+        "row",
+        "col",
+    ).select("u", "o.*", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
     met = want.join(free.select("row", "col", "value"), ["row", "col"])
-    sums = met.groupBy("u", "step", "factor", "cells", "jump").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).where("n = cells")
+    sums = met.groupBy("u", "step", "factor", "cells", "jump").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("value").alias("total"),
+    ).where("n = cells")
     return sums.select("u", (F.col("u") + F.col("jump")).alias("v"), (F.col("total") * F.col("factor")).alias("w"))
 
 
@@ -82,10 +103,24 @@ def outgoing(cells: DataFrame, width: int, row: int, col: int, of: Sequence[Step
     reach = max(max(abs(r), abs(c)) for r, c in wanted)
     near = cells.where(F.col("row").between(row - reach, row + reach) & F.col("col").between(col - reach, col + reach))
     free = near.where((F.col("value") != FORBIDDEN) | (F.col("row") == row) & (F.col("col") == col)) if ignore_max else near
-    table = [(i, row + r, col + c, factor(*s), len(between(*s)) + 2, (row + s[0]) * width + col + s[1]) for i, s in enumerate(wanted) for r, c in [(0, 0), *between(*s), s]]
+    table = [(
+        i,
+        row + r,
+        col + c,
+        factor(*s),
+        len(between(*s)) + 2,
+        (row + s[0]) * width + col + s[1],
+    ) for i, s in enumerate(wanted) for r, c in [(0, 0), *between(*s), s]]
     want = cells.sparkSession.createDataFrame(table, "step int, row int, col int, factor double, cells int, v long")
-    sums = free.join(F.broadcast(want), ["row", "col"]).groupBy("step", "factor", "cells", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return sums.where("n = cells").select(F.lit(row * width + col).cast("long").alias("u"), "v", (F.col("total") * F.col("factor")).alias("w"))
+    sums = free.join(F.broadcast(want), ["row", "col"]).groupBy("step", "factor", "cells", "v").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("value").alias("total"),
+    )
+    return sums.where("n = cells").select(
+        F.lit(row * width + col).cast("long").alias("u"),
+        "v",
+        (F.col("total") * F.col("factor")).alias("w"),
+    )
 
 
 def nodes(graph: DataFrame) -> DataFrame:

@@ -15,7 +15,10 @@ def _passed(dr: Column, dc: Column) -> Column:
     """The cells between the ends of a segment, as offsets (r, c)."""
     far = F.greatest(F.abs(dr), F.abs(dc))
     cell = lambda r, c: F.struct(r.cast("int").alias("r"), c.cast("int").alias("c"))
-    inner = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(far - 1, F.lit(1))), lambda i: F.array(cell(F.floor(i * dr / far), F.floor(i * dc / far)), cell(F.ceil(i * dr / far), F.ceil(i * dc / far)))))
+    inner = F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(far - 1, F.lit(1))),
+        lambda i: F.array(cell(F.floor(i * dr / far), F.floor(i * dc / far)), cell(F.ceil(i * dr / far), F.ceil(i * dc / far))),
+    ))
     none = F.array().cast("array<struct<r:int,c:int>>")
     return F.when(F.abs(dr) + F.abs(dc) <= 1, none).when(far == 1, F.array(cell(dr, F.lit(0)), cell(F.lit(0), dc))).otherwise(inner)
 
@@ -23,10 +26,22 @@ def _passed(dr: Column, dc: Column) -> Column:
 def segments(paths: DataFrame, width: int) -> DataFrame:
     """(path_id, row, col, dr, dc): the steps of paths (path_id, node_ids)."""
     n = F.size("node_ids")
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.element_at("node_ids", i).alias("a"), F.element_at("node_ids", i + 1).alias("b"))))
+    pairs = F.when(
+        n > 1,
+        F.transform(
+            F.sequence(F.lit(1), n - 1),
+            lambda i: F.struct(F.element_at("node_ids", i).alias("a"), F.element_at("node_ids", i + 1).alias("b")),
+        ),
+    )
     steps = paths.select("path_id", F.explode(pairs).alias("s"))
     r, c = node_row(F.col("s.a"), width), node_col(F.col("s.a"), width)
-    return steps.select("path_id", r.alias("row"), c.alias("col"), (node_row(F.col("s.b"), width) - r).alias("dr"), (node_col(F.col("s.b"), width) - c).alias("dc"))
+    return steps.select(
+        "path_id",
+        r.alias("row"),
+        c.alias("col"),
+        (node_row(F.col("s.b"), width) - r).alias("dr"),
+        (node_col(F.col("s.b"), width) - c).alias("dc"),
+    )
 
 
 def length_by_category(paths: DataFrame, cells: DataFrame, width: int, all_categories: bool = True) -> DataFrame:
@@ -39,10 +54,18 @@ def length_by_category(paths: DataFrame, cells: DataFrame, width: int, all_categ
     end = F.struct(F.col("dr").cast("int").alias("r"), F.col("dc").cast("int").alias("c"))
     touched = steps.withColumn("cells", F.concat(F.array(zero, end), F.col("passed")))
     share = segment_length(F.col("dr"), F.col("dc")) / F.size("cells")
-    long = touched.select("path_id", "row", "col", share.alias("share"), F.explode("cells").alias("o")).select("path_id", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), "share")
+    long = touched.select("path_id", "row", "col", share.alias("share"), F.explode("cells").alias("o")).select(
+        "path_id",
+        (F.col("row") + F.col("o.r")).alias("row"),
+        (F.col("col") + F.col("o.c")).alias("col"),
+        "share",
+    )
     # Paths are short beside the raster: their cells are summed first and only these are looked up.
     parts = long.groupBy("path_id", "row", "col").agg(F.sum("share").alias("share"))
-    sums = parts.join(cells.select("row", "col", F.col("value").alias("category")), ["row", "col"]).groupBy("path_id", "category").agg(F.sum("share").alias("length"))
+    sums = parts.join(
+        cells.select("row", "col", F.col("value").alias("category")),
+        ["row", "col"],
+    ).groupBy("path_id", "category").agg(F.sum("share").alias("length"))
     if not all_categories:
         return sums
     every = paths.select("path_id").distinct().crossJoin(F.broadcast(cells.select(F.col("value").alias("category")).distinct()))  # at most 65,536 values
@@ -51,7 +74,10 @@ def length_by_category(paths: DataFrame, cells: DataFrame, width: int, all_categ
 
 def totals(by_category: DataFrame) -> DataFrame:
     """(path_id, total_length, total_cost): the cost is the sum of category times length, the weight of the path's edges."""
-    return by_category.groupBy("path_id").agg(F.sum("length").alias("total_length"), F.sum(F.col("length") * F.col("category")).alias("total_cost"))
+    return by_category.groupBy("path_id").agg(
+        F.sum("length").alias("total_length"),
+        F.sum(F.col("length") * F.col("category")).alias("total_cost"),
+    )
 
 
 def path_costs(by_category: DataFrame, ignore: Sequence[int] = (FORBIDDEN,)) -> DataFrame:
@@ -98,7 +124,13 @@ def end_distance_legacy(coords: Column) -> Column:
 
 def length_in_metres(coords: Column) -> Column:
     n = F.size(coords)
-    each = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.hypot(F.element_at(coords, i)["x"] - F.element_at(coords, F.least(i + 1, n))["x"], F.element_at(coords, i)["y"] - F.element_at(coords, F.least(i + 1, n))["y"]))
+    each = F.transform(
+        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+        lambda i: F.hypot(
+            F.element_at(coords, i)["x"] - F.element_at(coords, F.least(i + 1, n))["x"],
+            F.element_at(coords, i)["y"] - F.element_at(coords, F.least(i + 1, n))["y"],
+        ),
+    )
     return F.aggregate(each, F.lit(0.0), lambda s, v: s + v)
 
 

@@ -39,7 +39,10 @@ def synthetic(spark: SparkSession, height: int, width: int, pattern: str = "grad
 
 def all_cells(spark: SparkSession, meta: RasterMeta) -> DataFrame:
     n = F.col("id")
-    return spark.range(meta.height * meta.width).select(F.floor(n / meta.width).cast("int").alias("row"), F.pmod(n, F.lit(meta.width)).cast("int").alias("col"))
+    return spark.range(meta.height * meta.width).select(
+        F.floor(n / meta.width).cast("int").alias("row"),
+        F.pmod(n, F.lit(meta.width)).cast("int").alias("col"),
+    )
 
 
 def output_meta(bounds: tuple[float, float, float, float], pixel_area: float, srid: int | None = None) -> RasterMeta:
@@ -74,11 +77,21 @@ def covered(features: DataFrame, meta: RasterMeta, buffer: float = 0.0, keep: Se
     pad_r, pad_c = abs(buffer / meta.e), abs(buffer / meta.a)
     low = lambda p, pad: F.greatest(F.lit(0), F.floor(F.least(*p) - pad - 1)).cast("int")
     high = lambda p, pad, n: F.least(F.lit(n - 1), F.ceil(F.greatest(*p) + pad)).cast("int")
-    box = box.select(*keep, "sides", low(rows, pad_r).alias("r0"), high(rows, pad_r, meta.height).alias("r1"), low(cols, pad_c).alias("c0"), high(cols, pad_c, meta.width).alias("c1"))
+    box = box.select(
+        *keep,
+        "sides",
+        low(rows, pad_r).alias("r0"),
+        high(rows, pad_r, meta.height).alias("r1"),
+        low(cols, pad_c).alias("c0"),
+        high(cols, pad_c, meta.width).alias("c1"),
+    )
     box = box.where("r0 <= r1 and c0 <= c1")
     tile = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / TILE), F.floor(F.col(b) / TILE)))
     cut = box.withColumn("tr", tile("r0", "r1")).withColumn("tc", tile("c0", "c1"))
-    span = lambda lo, hi, t: F.explode(F.sequence(F.greatest(F.col(lo), F.col(t) * TILE).cast("int"), F.least(F.col(hi), F.col(t) * TILE + (TILE - 1)).cast("int")))
+    span = lambda lo, hi, t: F.explode(F.sequence(
+        F.greatest(F.col(lo), F.col(t) * TILE).cast("int"),
+        F.least(F.col(hi), F.col(t) * TILE + (TILE - 1)).cast("int"),
+    ))
     cells = cut.withColumn("row", span("r0", "r1", "tr")).withColumn("col", span("c0", "c1", "tc"))
     x, y = x_of(F.col("row"), F.col("col"), meta, centre=True), y_of(F.col("row"), F.col("col"), meta, centre=True)
     test = G.inside(F.col("sides"), x, y) if buffer <= 0 else G.polygon_distance(F.col("sides"), x, y) <= buffer
@@ -94,10 +107,23 @@ def rasterize(features: DataFrame, meta: RasterMeta, fill: int = FORBIDDEN, buff
     """(row, col, value) for every cell: the highest cost of the features over it, else ``fill``."""
     painted = covered(features.withColumn("value", burn_value(F.col("cost"), fill)), meta, buffer, ["value"])
     top = painted.groupBy("row", "col").agg(F.max("value").alias("value"))
-    return all_cells(features.sparkSession, meta).join(top, ["row", "col"], "left").select("row", "col", F.coalesce("value", F.lit(fill)).alias("value"))
-
-
-def overlay(cells: DataFrame, features: DataFrame, meta: RasterMeta, value: float, multiply: bool = False, ignore: int | None = FORBIDDEN, wrap: bool = False, buffer: float = 0.0) -> DataFrame:
+    return all_cells(features.sparkSession, meta).join(top, ["row", "col"], "left").select(
+        "row",
+        "col",
+        F.coalesce("value", F.lit(fill)).alias("value"),
+    )
+
+
+def overlay(
+    cells: DataFrame,
+    features: DataFrame,
+    meta: RasterMeta,
+    value: float,
+    multiply: bool = False,
+    ignore: int | None = FORBIDDEN,
+    wrap: bool = False,
+    buffer: float = 0.0,
+) -> DataFrame:
     """Set the cells inside features to a value, or multiply them; those that hold ``ignore`` stay.
 
     Products are cut to whole numbers and to 65535, or wrap around it as 16-bit numbers do.
@@ -109,7 +135,15 @@ def overlay(cells: DataFrame, features: DataFrame, meta: RasterMeta, value: floa
     return cells.join(inside, ["row", "col"], "left").withColumn("value", F.when(hit, new).otherwise(F.col("value"))).drop("hit").select(*cells.columns)
 
 
-def overlay_costs(cells: DataFrame, features: DataFrame, meta: RasterMeta, costs: CostTable | None = None, ignore: int | None = FORBIDDEN, ordinal: str = "feature_id", buffer: float = 0.0) -> DataFrame:
+def overlay_costs(
+    cells: DataFrame,
+    features: DataFrame,
+    meta: RasterMeta,
+    costs: CostTable | None = None,
+    ignore: int | None = FORBIDDEN,
+    ordinal: str = "feature_id",
+    buffer: float = 0.0,
+) -> DataFrame:
     """Paint features by their costs: each distinct cost in the order of its first feature, the last one wins.
 
     A cell that holds ``ignore``, from before or painted so, is painted no more. Features
@@ -130,7 +164,17 @@ def overlay_costs(cells: DataFrame, features: DataFrame, meta: RasterMeta, costs
     return out.withColumn("value", F.when(F.col("stack").isNull(), old).otherwise(F.aggregate("stack", old, paint))).select(*cells.columns)
 
 
-def overlay_zones(cells: DataFrame, features: DataFrame, meta: RasterMeta, value: float, multiply: bool = False, zone_col: str | None = None, forbidden_zone: str | None = None, forbidden_value: int = FORBIDDEN, ignore: int | None = FORBIDDEN) -> DataFrame:
+def overlay_zones(
+    cells: DataFrame,
+    features: DataFrame,
+    meta: RasterMeta,
+    value: float,
+    multiply: bool = False,
+    zone_col: str | None = None,
+    forbidden_zone: str | None = None,
+    forbidden_value: int = FORBIDDEN,
+    ignore: int | None = FORBIDDEN,
+) -> DataFrame:
     """One value for all zones; with a zone column, first the other zones, then the forbidden one."""
     if zone_col is None or forbidden_zone is None:
         return overlay(cells, features, meta, value, multiply, ignore)
@@ -191,13 +235,26 @@ def search_window(meta: RasterMeta, points: Sequence[G.Point], buffer: float) ->
     return clamp(r0, meta.height), clamp(r1, meta.height), clamp(c0, meta.width), clamp(c1, meta.width)
 
 
-def search_space(cells: DataFrame, meta: RasterMeta, points: Sequence[G.Point], buffer: float, outside: int = FORBIDDEN) -> tuple[DataFrame, RasterMeta]:
+def search_space(
+    cells: DataFrame,
+    meta: RasterMeta,
+    points: Sequence[G.Point],
+    buffer: float,
+    outside: int = FORBIDDEN,
+) -> tuple[DataFrame, RasterMeta]:
     """The window around points; its cells outside the buffered hull become ``outside``."""
     part, small = crop(cells, meta, *search_window(meta, points, buffer))
     return mask(part, small, hull_of(points), buffer, outside), small
 
 
-def mask(cells: DataFrame, meta: RasterMeta, hull: Sequence[G.Point], buffer: float, outside: int = FORBIDDEN, bands: Sequence[int] | None = None) -> DataFrame:
+def mask(
+    cells: DataFrame,
+    meta: RasterMeta,
+    hull: Sequence[G.Point],
+    buffer: float,
+    outside: int = FORBIDDEN,
+    bands: Sequence[int] | None = None,
+) -> DataFrame:
     """Cells whose centre is not within ``buffer`` of the hull become ``outside``, in all or some bands."""
     x, y = x_of(F.col("row"), F.col("col"), meta, centre=True), y_of(F.col("row"), F.col("col"), meta, centre=True)
     out = ~near_hull(hull, buffer, x, y)
@@ -236,7 +293,10 @@ def farthest_pair(sources: DataFrame, targets: DataFrame) -> DataFrame:
             p, q = max(((p, q) for p in a for q in b), key=lambda pq: math.dist(*pq))
             yield pd.DataFrame([(*p, *q, math.dist(p, q))], columns=["sx", "sy", "tx", "ty", "distance"])
 
-    return both.mapInPandas(corners, "side int, x double, y double").repartition(1).mapInPandas(farthest, "sx double, sy double, tx double, ty double, distance double")
+    return both.mapInPandas(corners, "side int, x double, y double").repartition(1).mapInPandas(
+        farthest,
+        "sx double, sy double, tx double, ty double, distance double",
+    )
 
 
 def nearest(points: DataFrame, others: DataFrame, k: int, cell: float | None = None) -> DataFrame:
@@ -251,7 +311,12 @@ def nearest(points: DataFrame, others: DataFrame, k: int, cell: float | None = N
     parts, left = [], points.select("id", "x", "y")
     b = others.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
     p = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    none = points.select("id", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank")).limit(0)
+    none = points.select(
+        "id",
+        F.lit(None).cast("long").alias("other"),
+        F.lit(None).cast("double").alias("distance"),
+        F.lit(None).cast("int").alias("rank"),
+    ).limit(0)
     if not b[4] or p[0] is None:
         return none
     span = max(max(b[1], p[1]) - min(b[0], p[0]), max(b[3], p[3]) - min(b[2], p[2]))
@@ -260,10 +325,19 @@ def nearest(points: DataFrame, others: DataFrame, k: int, cell: float | None = N
     while True:
         last = size >= span
         around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        looks = spot(left, size).withColumn("dx", around).withColumn("dy", around).select("id", "x", "y", (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"))
+        looks = spot(left, size).withColumn("dx", around).withColumn("dy", around).select(
+            "id",
+            "x",
+            "y",
+            (F.col("gx") + F.col("dx")).alias("gx"),
+            (F.col("gy") + F.col("dy")).alias("gy"),
+        )
         there = spot(others, size).select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "gx", "gy")
         met = looks.join(there, ["gx", "gy"]).withColumn("distance", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")))
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("rank") <= k)
+        ranked = met.withColumn(
+            "rank",
+            F.row_number().over(Window.partitionBy("id").orderBy("distance", "other")),
+        ).where(F.col("rank") <= k)
         ranked = store(ranked.select("id", "other", "distance", "rank"), "nearest")
         if last:
             return reduce(DataFrame.unionByName, [*parts, ranked])
@@ -283,7 +357,14 @@ def buffer_width(distance: float, obstacle_ratio: float, variation: float) -> in
     return int(min(4000.0, max(200.0, wide)))
 
 
-def buffer_statistics(cells: DataFrame, meta: RasterMeta, source: G.Point, target: G.Point, samples: int = 1000, box: int = 50) -> DataFrame:
+def buffer_statistics(
+    cells: DataFrame,
+    meta: RasterMeta,
+    source: G.Point,
+    target: G.Point,
+    samples: int = 1000,
+    box: int = 50,
+) -> DataFrame:
     """One row: obstacle_ratio on the line between two points, and the costs' variation around it.
 
     Up to ``samples`` cells of the line are looked at. The variation is the mean over these of
@@ -302,14 +383,35 @@ def buffer_statistics(cells: DataFrame, meta: RasterMeta, source: G.Point, targe
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("row").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    free = cells.join(F.broadcast(rows.select("row").distinct()), "row").withColumn("v", F.when(F.col("value") != FORBIDDEN, F.col("value").cast("double")))
-    sums = free.select("row", "col", F.count("v").over(w).alias("n"), F.coalesce(F.sum("v").over(w), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("v") * F.col("v")).over(w), F.lit(0.0)).alias("q"))
+    free = cells.join(F.broadcast(rows.select("row").distinct()), "row").withColumn(
+        "v",
+        F.when(F.col("value") != FORBIDDEN, F.col("value").cast("double")),
+    )
+    sums = free.select(
+        "row",
+        "col",
+        F.count("v").over(w).alias("n"),
+        F.coalesce(F.sum("v").over(w), F.lit(0.0)).alias("s"),
+        F.coalesce(F.sum(F.col("v") * F.col("v")).over(w), F.lit(0.0)).alias("q"),
+    )
     ends = rows.select("at", "row", F.least(F.col("c") + box, F.lit(meta.width - 1)).alias("hi"), (F.col("c") - box - 1).alias("lo"))
     high = ends.join(sums, (ends["row"] == sums["row"]) & (F.col("hi") == F.col("col"))).select("at", "n", "s", "q")
-    low = ends.join(sums, (ends["row"] == sums["row"]) & (F.col("lo") == F.col("col"))).select("at", (-F.col("n")).alias("n"), (-F.col("s")).alias("s"), (-F.col("q")).alias("q"))
-    boxes = high.unionByName(low).groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).where("n > 0 and s > 0")
+    low = ends.join(sums, (ends["row"] == sums["row"]) & (F.col("lo") == F.col("col"))).select(
+        "at",
+        (-F.col("n")).alias("n"),
+        (-F.col("s")).alias("s"),
+        (-F.col("q")).alias("q"),
+    )
+    boxes = high.unionByName(low).groupBy("at").agg(
+        F.sum("n").alias("n"),
+        F.sum("s").alias("s"),
+        F.sum("q").alias("q"),
+    ).where("n > 0 and s > 0")
     mean = F.col("s") / F.col("n")
-    cv = boxes.agg(F.coalesce(F.avg(F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))) / mean), F.lit(0.0)).alias("variation"))
+    cv = boxes.agg(F.coalesce(
+        F.avg(F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))) / mean),
+        F.lit(0.0),
+    ).alias("variation"))
     return ratio.crossJoin(F.broadcast(cv))  # one row each
 
 

@@ -92,7 +92,15 @@ def solve(
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         window = _window(shared, wanted, ignore_max)
         first, ends = int(pdf["start"].iloc[0]), pdf["end"].tolist()
-        found = algorithm(window, first, ends) if callable(algorithm) else routes(window, first, ends, algorithm, heuristic_weight, heuristic, heuristic_radius)
+        found = algorithm(window, first, ends) if callable(algorithm) else routes(
+            window,
+            first,
+            ends,
+            algorithm,
+            heuristic_weight,
+            heuristic,
+            heuristic_radius,
+        )
         nodes = [(n[::-1] if turned else n) for _, n in found]
         a, b = ("end", "start") if turned else ("start", "end")
         return pd.DataFrame({"ord": pdf["ord"], "source": pdf[a], "target": pdf[b], "cost": [c for c, _ in found], "node_ids": nodes})
@@ -112,7 +120,14 @@ def _window(shared, wanted: list[Step], ignore_max: bool) -> Window:
     return _windows[key]
 
 
-def distances(cells: DataFrame, height: int, width: int, sources: DataFrame, of: Sequence[Step] | int | str = 1, ignore_max: bool = True) -> DataFrame:
+def distances(
+    cells: DataFrame,
+    height: int,
+    width: int,
+    sources: DataFrame,
+    of: Sequence[Step] | int | str = 1,
+    ignore_max: bool = True,
+) -> DataFrame:
     """(source, node, dist): least costs from each source to every node it reaches."""
     ship(cells.sparkSession)
     if height * width > WINDOW_CELLS:
@@ -169,7 +184,10 @@ def least_value(cells: DataFrame, box: tuple[int, int, int, int] | None = None)
 def least_near_line(cells: DataFrame, source: tuple[int, int], target: tuple[int, int], radius: int = 200) -> DataFrame:
     """(least): the smallest cost of free cells within ``radius`` rows and columns of the line between two cells."""
     line = cells.sparkSession.range(1).select(F.explode(line_cells(*map(F.lit, (*source, *target)))).alias("p")).select(F.col("p.row").alias("r"), F.col("p.col").alias("c"))
-    rows = line.select(F.explode(F.sequence(F.col("r") - radius, F.col("r") + radius)).alias("row"), "c").groupBy("row").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    rows = line.select(
+        F.explode(F.sequence(F.col("r") - radius, F.col("r") + radius)).alias("row"),
+        "c",
+    ).groupBy("row").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     # Along a monotone line the cells near it in a row are one range of columns.
     near = cells.where(F.col("value") != FORBIDDEN).join(rows, "row").where(F.col("col").between(F.col("low") - radius, F.col("high") + radius))
     return near.agg(F.min("value").cast("double").alias("least"))
@@ -206,7 +224,16 @@ class Tiled:
     their borders. Rounds end when nothing does. Only tiles that changed are written.
     """
 
-    def __init__(self, cells: DataFrame, height: int, width: int, wanted: list[Step], side: int = TILE, ignore_max: bool = True, group: int = GROUP) -> None:
+    def __init__(
+        self,
+        cells: DataFrame,
+        height: int,
+        width: int,
+        wanted: list[Step],
+        side: int = TILE,
+        ignore_max: bool = True,
+        group: int = GROUP,
+    ) -> None:
         self.spark, self.width, self.wanted, self.side, self.ignore_max, self.group = cells.sparkSession, width, wanted, side, ignore_max, group
         ship(self.spark)
         self.halo = max((max(abs(r), abs(c)) for r, c in wanted), default=1)
@@ -220,20 +247,32 @@ class Tiled:
         return [F.floor(F.col(c) / self.group).cast("int").alias(name) for c, name in ((tr, "gr"), (tc, "gc"))]
 
     def _tile_of(self, node: str) -> list[Column]:
-        return [F.floor(F.floor(F.col(node) / self.width) / self.side).cast("int").alias("tr"), F.floor(F.pmod(F.col(node), F.lit(self.width)) / self.side).cast("int").alias("tc")]
+        return [
+            F.floor(F.floor(F.col(node) / self.width) / self.side).cast("int").alias("tr"),
+            F.floor(F.pmod(F.col(node), F.lit(self.width)) / self.side).cast("int").alias("tc"),
+        ]
 
     def search(self, starts: DataFrame) -> Tiled:
         """Find the distances from each of ``starts`` (start); they are in ``state`` (start, tr, tc, dist)."""
         news = starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"))
         news = store(news.select("start", *self._tile_of("node"), F.array("node").alias("nodes"), F.array("cost").alias("costs")), "news")
-        state = store(news.select("start", "tr", "tc", F.lit(None).cast("binary").alias("dist"), F.lit(-1).alias("round")).limit(0), "state")
+        state = store(
+            news.select("start", "tr", "tc", F.lit(None).cast("binary").alias("dist"), F.lit(-1).alias("round")).limit(0),
+            "state",
+        )
         parts, number = [state], 0
         improve = _improver(self.wanted, self.ignore_max, self.side, self.halo, self.width, self.group)
         while not news.isEmpty():
-            told = news.groupBy("start", "tr", "tc").agg(F.flatten(F.collect_list("nodes")).alias("nodes"), F.flatten(F.collect_list("costs")).alias("costs"))
+            told = news.groupBy("start", "tr", "tc").agg(
+                F.flatten(F.collect_list("nodes")).alias("nodes"),
+                F.flatten(F.collect_list("costs")).alias("costs"),
+            )
             keys = told.select("start", *self._groups("tr", "tc")).distinct()
             held = keys.join(self.tiles, ["gr", "gc"]).join(self._latest(parts), ["start", "tr", "tc"], "left").join(told, ["start", "tr", "tc"], "left")
-            got = held.groupBy("start", "gr", "gc").applyInPandas(improve, "start long, tr int, tc int, dist binary, nodes array<long>, costs array<double>")
+            got = held.groupBy("start", "gr", "gc").applyInPandas(
+                improve,
+                "start long, tr int, tc int, dist binary, nodes array<long>, costs array<double>",
+            )
             got = store(got, "round")
             parts.append(got.where("dist is not null").select("start", "tr", "tc", "dist", F.lit(number).alias("round")))
             news = got.where("dist is null").select("start", "tr", "tc", "nodes", "costs")
@@ -273,10 +312,19 @@ class Tiled:
             now = got.where("next is not null").select("ord", "start", F.col("next").alias("node"), (F.col("part") + 1).alias("part"))
         if not parts:
             return requests.select("ord", "start", "end", F.lit(math.inf).alias("cost"), F.array().cast("array<long>").alias("node_ids"))
-        every = reduce(DataFrame.unionByName, parts).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("part", "nodes"))).alias("parts"), F.min_by("cost", "part").alias("cost"))
+        every = reduce(DataFrame.unionByName, parts).groupBy("ord").agg(
+            F.array_sort(F.collect_list(F.struct("part", "nodes"))).alias("parts"),
+            F.min_by("cost", "part").alias("cost"),
+        )
         nodes = F.reverse(F.flatten(F.col("parts.nodes")))
         out = requests.join(every, "ord", "left")
-        return out.select("ord", "start", "end", F.coalesce("cost", F.lit(math.inf)).alias("cost"), F.coalesce(nodes, F.array().cast("array<long>")).alias("node_ids"))
+        return out.select(
+            "ord",
+            "start",
+            "end",
+            F.coalesce("cost", F.lit(math.inf)).alias("cost"),
+            F.coalesce(nodes, F.array().cast("array<long>")).alias("node_ids"),
+        )
 
 
 def _improver(wanted: list[Step], ignore_max: bool, side: int, halo: int, width: int, group: int):
@@ -371,20 +419,42 @@ def _walker(wanted: list[Step], ignore_max: bool, side: int, halo: int, width: i
     return walk
 
 
-def tiled_distances(cells: DataFrame, height: int, width: int, source: int, of: Sequence[Step] | int | str = 1, side: int = TILE, ignore_max: bool = True) -> DataFrame:
+def tiled_distances(
+    cells: DataFrame,
+    height: int,
+    width: int,
+    source: int,
+    of: Sequence[Step] | int | str = 1,
+    side: int = TILE,
+    ignore_max: bool = True,
+) -> DataFrame:
     """(node, dist) for every node that ``source`` reaches, exactly, with one group of tiles in memory at a time."""
     found = Tiled(cells, height, width, directed(of), side, ignore_max).search(cells.sparkSession.createDataFrame([(source,)], "start long"))
     return found.distances().drop("start")
 
 
-def tiled_routes(cells: DataFrame, height: int, width: int, requests: DataFrame, wanted: list[Step], side: int = TILE, ignore_max: bool = True) -> DataFrame:
+def tiled_routes(
+    cells: DataFrame,
+    height: int,
+    width: int,
+    requests: DataFrame,
+    wanted: list[Step],
+    side: int = TILE,
+    ignore_max: bool = True,
+) -> DataFrame:
     """(ord, start, end, cost, node_ids) for requests (ord, start, end)."""
     inside = lambda c: (F.col(c) >= 0) & (F.col(c) < height * width)
     valid = requests.where(inside("start") & inside("end"))
     found = Tiled(cells, height, width, wanted, side, ignore_max).search(valid.select("start").distinct())
     got = found.paths(valid).select("ord", "cost", "node_ids")
     out = requests.join(got, "ord", "left")
-    return out.select("ord", "start", "end", F.coalesce("cost", F.lit(math.inf)).alias("cost"), F.coalesce("node_ids", F.array().cast("array<long>")).alias("node_ids"))
+    return out.select(
+        "ord",
+        "start",
+        "end",
+        F.coalesce("cost", F.lit(math.inf)).alias("cost"),
+        F.coalesce("node_ids", F.array().cast("array<long>")).alias("node_ids"),
+    )
 
 
 def reached(found: DataFrame) -> DataFrame:

@@ -152,7 +152,15 @@ def path_to(window: Window, dist: np.ndarray, target: int) -> list[int]:
 Heuristic = Callable[[np.ndarray, np.ndarray, int, int], np.ndarray]
 
 
-def routes(window: Window, source: int, targets: Sequence[int], algorithm: str = "dijkstra", heuristic_weight: float = 1.0, heuristic: Heuristic | None = None, heuristic_radius: int | None = None) -> list[tuple[float, list[int]]]:
+def routes(
+    window: Window,
+    source: int,
+    targets: Sequence[int],
+    algorithm: str = "dijkstra",
+    heuristic_weight: float = 1.0,
+    heuristic: Heuristic | None = None,
+    heuristic_radius: int | None = None,
+) -> list[tuple[float, list[int]]]:
     """(cost, nodes) for each target from one search; (inf, []) if it can't be reached.
 
     ``heuristic``: rows and columns of nodes, row and column of the target -> bounds of the costs between them, for

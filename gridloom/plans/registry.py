@@ -54,7 +54,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def part_cells(spark: SparkSession, sf: str) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
     value = F.when(size >= 46, F.lit(X.FORBIDDEN)).otherwise(size)
-    return table(spark, sf, "part").select(F.floor(key / WIDTH).cast("int").alias("row"), F.pmod(key, F.lit(WIDTH)).cast("int").alias("col"), value.cast("int").alias("value"))
+    return table(spark, sf, "part").select(
+        F.floor(key / WIDTH).cast("int").alias("row"),
+        F.pmod(key, F.lit(WIDTH)).cast("int").alias("col"),
+        value.cast("int").alias("value"),
+    )
 
 
 def part_height(spark: SparkSession, sf: str) -> int:
@@ -73,7 +77,12 @@ def rectangles(spark: SparkSession, sf: str, name: str = "supplier") -> DataFram
     k = F.col(key)
     x, y = (k * 7) % 45, (k * 11) % max(1, part_height(spark, sf) - 5)
     polygon = G.rectangle(x, y, x + 3 + k % 5, y + 2 + k % 4)
-    return table(spark, sf, name).select(k.alias("feature_id"), polygon.alias("polygon"), F.concat(F.lit("z"), (k % 4).cast("string")).alias("kind"), (k % 37 + 0.5).alias("cost"))
+    return table(spark, sf, name).select(
+        k.alias("feature_id"),
+        polygon.alias("polygon"),
+        F.concat(F.lit("z"), (k % 4).cast("string")).alias("kind"),
+        (k % 37 + 0.5).alias("cost"),
+    )
 
 
 GRID_SQL = "g AS (SELECT p_partkey // 50 AS r, p_partkey % 50 AS c, CASE WHEN p_size >= 46 THEN 65535 ELSE p_size END::BIGINT AS v FROM part)"
@@ -94,7 +103,11 @@ h AS (SELECT q.r, q.c, f.* FROM q JOIN f ON x >= x0 AND x < x1 AND y >= y0 AND y
 
 
 def long_cells(cells: DataFrame) -> DataFrame:
-    return cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("long").alias("value"))
+    return cells.select(
+        F.col("row").cast("long").alias("row"),
+        F.col("col").cast("long").alias("col"),
+        F.col("value").cast("long").alias("value"),
+    )
 
 
 def r6(c: Column | str) -> Column:
@@ -116,7 +129,10 @@ def grid_rows(spark, sf):
     return rows.select(F.col("row").cast("long").alias("row"), F.concat_ws(",", F.col("vals").cast("array<string>")).alias("vals"))
 
 
-@query("synthetic_gradient", 'SELECT 1::BIGINT AS band, r AS "row", c AS col, floor((r + c) / 90.0 * 100 + 10)::BIGINT AS value FROM range(40) a(r), range(50) b(c)')
+@query(
+    "synthetic_gradient",
+    'SELECT 1::BIGINT AS band, r AS "row", c AS col, floor((r + c) / 90.0 * 100 + 10)::BIGINT AS value FROM range(40) a(r), range(50) b(c)',
+)
 def synthetic_gradient(spark, sf):
     cells = R.synthetic(spark, 40, 50, "gradient", 1)
     return long_cells(cells).withColumn("band", F.lit(1).cast("long")).select("band", "row", "col", "value")
@@ -135,7 +151,10 @@ def distinct_values(spark, sf):
 @query("legend_sample", f"""WITH {GRID_SQL}, r AS (SELECT v, row_number() OVER (ORDER BY v) AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT v FROM g))
 SELECT v AS value, rank FROM r WHERE n <= 12 OR rank - 1 IN (SELECT CASE WHEN i = 11 THEN n - 1 ELSE floor(i * ((n - 1) / 11.0::DOUBLE))::BIGINT END FROM (SELECT max(n) AS n FROM r), range(12) t(i))""")
 def legend_sample(spark, sf):
-    return R.legend_sample(part_cells(spark, sf)).select(F.col("value").cast("long").alias("value"), F.col("rank").cast("long").alias("rank"))
+    return R.legend_sample(part_cells(spark, sf)).select(
+        F.col("value").cast("long").alias("value"),
+        F.col("rank").cast("long").alias("rank"),
+    )
 
 
 # Costs.
@@ -168,12 +187,18 @@ def cost_nested(spark, sf):
     return C.apply_costs(_features(spark, sf), C.CostTable.from_dict(spark, {("p_type", "p_brand"): costs})).select("p_partkey", "cost")
 
 
-@query("cost_zero_template", "SELECT DISTINCT coalesce(p_type, '') AS p_type, coalesce(p_brand, '') AS p_brand, 0.0::DOUBLE AS cost FROM part")
+@query(
+    "cost_zero_template",
+    "SELECT DISTINCT coalesce(p_type, '') AS p_type, coalesce(p_brand, '') AS p_brand, 0.0::DOUBLE AS cost FROM part",
+)
 def cost_zero_template(spark, sf):
     return C.zero_costs(_features(spark, sf), "p_type", ["p_brand"])
 
 
-@query("cost_from_table", "SELECT coalesce(p_type, '') AS main, coalesce(p_brand, '') AS side1, max_by(p_size, p_partkey)::DOUBLE AS cost FROM part GROUP BY ALL")
+@query(
+    "cost_from_table",
+    "SELECT coalesce(p_type, '') AS main, coalesce(p_brand, '') AS side1, max_by(p_size, p_partkey)::DOUBLE AS cost FROM part GROUP BY ALL",
+)
 def cost_from_table(spark, sf):
     rows = _features(spark, sf).select("p_partkey", "p_type", "p_brand", "p_size")
     return C.table_to_costs(spark, rows, "p_partkey").table.select("main", "side1", "cost")
@@ -194,13 +219,28 @@ s AS (SELECT c.k, max(t.n)::BIGINT AS n, coalesce(sum(c.n) FILTER (v IS NULL), 0
   FROM c JOIN t USING (k) GROUP BY c.k)"""
 
 
-@query("column_stats", _STAT_SQL + ' SELECT k AS "column", n, nulls, n_distinct, round(nulls / n, 6) AS null_ratio, n_distinct > 1 AND n_distinct < 0.3 * n AND nulls / n < 0.2 AS is_good, round(ce, 6) AS count_entropy, round(ae, 6) AS area_entropy FROM s')
+@query(
+    "column_stats",
+    _STAT_SQL + ' SELECT k AS "column", n, nulls, n_distinct, round(nulls / n, 6) AS null_ratio, n_distinct > 1 AND n_distinct < 0.3 * n AND nulls / n < 0.2 AS is_good, round(ce, 6) AS count_entropy, round(ae, 6) AS area_entropy FROM s',
+)
 def column_stats(spark, sf):
     rows = C.column_statistics(_features(spark, sf), ["p_type", "p_brand"], F.col("p_size").cast("double"))
-    return rows.select("column", F.col("n").cast("long").alias("n"), F.col("nulls").cast("long").alias("nulls"), "n_distinct", r6("null_ratio").alias("null_ratio"), "is_good", r6("count_entropy").alias("count_entropy"), r6("area_entropy").alias("area_entropy"))
-
-
-@query("pick_main", _STAT_SQL + ', g AS (SELECT *, n_distinct > 1 AND n_distinct < 0.3 * n AND nulls / n < 0.2 AS good FROM s) SELECT k AS "column", round(0.7 * ae + 0.3 * ce, 6) AS score FROM g WHERE good OR NOT (SELECT bool_or(good) FROM g)')
+    return rows.select(
+        "column",
+        F.col("n").cast("long").alias("n"),
+        F.col("nulls").cast("long").alias("nulls"),
+        "n_distinct",
+        r6("null_ratio").alias("null_ratio"),
+        "is_good",
+        r6("count_entropy").alias("count_entropy"),
+        r6("area_entropy").alias("area_entropy"),
+    )
+
+
+@query(
+    "pick_main",
+    _STAT_SQL + ', g AS (SELECT *, n_distinct > 1 AND n_distinct < 0.3 * n AND nulls / n < 0.2 AS good FROM s) SELECT k AS "column", round(0.7 * ae + 0.3 * ce, 6) AS score FROM g WHERE good OR NOT (SELECT bool_or(good) FROM g)',
+)
 def pick_main(spark, sf):
     rows = C.ranked_columns(C.column_statistics(_features(spark, sf), ["p_type", "p_brand"], F.col("p_size").cast("double")))
     return rows.select("column", r6("score").alias("score"))
@@ -228,7 +268,10 @@ def clip_area(spark, sf):
     return cut.select("feature_id", r6(G.parts_area(F.col("polygon"))).alias("area")).where("area > 0")
 
 
-@query("total_bounds", f"WITH {box_sql('customer')} SELECT min(x0)::DOUBLE AS minx, min(y0)::DOUBLE AS miny, max(x1)::DOUBLE AS maxx, max(y1)::DOUBLE AS maxy FROM f")
+@query(
+    "total_bounds",
+    f"WITH {box_sql('customer')} SELECT min(x0)::DOUBLE AS minx, min(y0)::DOUBLE AS miny, max(x1)::DOUBLE AS maxx, max(y1)::DOUBLE AS maxy FROM f",
+)
 def total_bounds(spark, sf):
     return R.total_bounds(rectangles(spark, sf, "customer"))
 
@@ -249,7 +292,10 @@ def out_shape(spark, sf):
     return spark.createDataFrame([(m.height, m.width)], "height long, width long")
 
 
-@query("rasterize_max", f'WITH {box_sql()} SELECT q.r AS "row", q.c AS col, coalesce(max(round_even(cost, 0)), 65535)::BIGINT AS value FROM q LEFT JOIN h ON q.r = h.r AND q.c = h.c GROUP BY ALL')
+@query(
+    "rasterize_max",
+    f'WITH {box_sql()} SELECT q.r AS "row", q.c AS col, coalesce(max(round_even(cost, 0)), 65535)::BIGINT AS value FROM q LEFT JOIN h ON q.r = h.r AND q.c = h.c GROUP BY ALL',
+)
 def rasterize_max(spark, sf):
     return long_cells(R.rasterize(rectangles(spark, sf), field(spark, sf)))
 
@@ -257,12 +303,18 @@ def rasterize_max(spark, sf):
 _BASE_SQL = f"{GRID_SQL}, b AS (SELECT * FROM g), d AS (SELECT DISTINCT r, c FROM h)"
 
 
-@query("overlay_set", f'WITH {box_sql()}, {_BASE_SQL} SELECT b.r AS "row", b.c AS col, CASE WHEN d.r IS NOT NULL AND v <> 65535 THEN 500 ELSE v END::BIGINT AS value FROM b LEFT JOIN d USING (r, c)')
+@query(
+    "overlay_set",
+    f'WITH {box_sql()}, {_BASE_SQL} SELECT b.r AS "row", b.c AS col, CASE WHEN d.r IS NOT NULL AND v <> 65535 THEN 500 ELSE v END::BIGINT AS value FROM b LEFT JOIN d USING (r, c)',
+)
 def overlay_set(spark, sf):
     return long_cells(R.overlay(part_cells(spark, sf), rectangles(spark, sf), field(spark, sf), 500))
 
 
-@query("overlay_multiply", f'WITH {box_sql()}, {_BASE_SQL} SELECT b.r AS "row", b.c AS col, CASE WHEN d.r IS NOT NULL AND v <> 65535 THEN floor(v * 1.3) ELSE v END::BIGINT AS value FROM b LEFT JOIN d USING (r, c)')
+@query(
+    "overlay_multiply",
+    f'WITH {box_sql()}, {_BASE_SQL} SELECT b.r AS "row", b.c AS col, CASE WHEN d.r IS NOT NULL AND v <> 65535 THEN floor(v * 1.3) ELSE v END::BIGINT AS value FROM b LEFT JOIN d USING (r, c)',
+)
 def overlay_multiply(spark, sf):
     return long_cells(R.overlay(part_cells(spark, sf), rectangles(spark, sf), field(spark, sf), 1.3, multiply=True))
 
@@ -270,7 +322,14 @@ def overlay_multiply(spark, sf):
 @query("overlay_zone", f"""WITH {box_sql()}, {_BASE_SQL}, z AS (SELECT DISTINCT r, c FROM h WHERE kind = 'z1'), o AS (SELECT DISTINCT r, c FROM h WHERE kind <> 'z1')
 SELECT b.r AS "row", b.c AS col, CASE WHEN v = 65535 THEN v WHEN z.r IS NOT NULL THEN 65535 WHEN o.r IS NOT NULL THEN 300 ELSE v END::BIGINT AS value FROM b LEFT JOIN z USING (r, c) LEFT JOIN o USING (r, c)""")
 def overlay_zone(spark, sf):
-    return long_cells(R.overlay_zones(part_cells(spark, sf), rectangles(spark, sf), field(spark, sf), 300, zone_col="kind", forbidden_zone="z1"))
+    return long_cells(R.overlay_zones(
+        part_cells(spark, sf),
+        rectangles(spark, sf),
+        field(spark, sf),
+        300,
+        zone_col="kind",
+        forbidden_zone="z1",
+    ))
 
 
 @query("overlay_table_order", f"""WITH {box_sql()}, {_BASE_SQL}, o AS (SELECT cost, min(k) AS ord FROM f GROUP BY cost), w AS (SELECT r, c, max_by(floor(h.cost), ord) AS v FROM h JOIN o ON h.cost = o.cost GROUP BY r, c)
@@ -284,7 +343,10 @@ def shrink_bounds(spark, sf):
     return R.shrink_bounds(part_cells(spark, sf)).select(*[F.col(c).cast("long").alias(c) for c in ("row0", "row1", "col0", "col1")])
 
 
-@query("window_crop", f'WITH {GRID_SQL} SELECT r - 1 AS "row", c - 10 AS col, v AS value FROM g WHERE r >= 1 AND r < 30 AND c >= 10 AND c < 40')
+@query(
+    "window_crop",
+    f'WITH {GRID_SQL} SELECT r - 1 AS "row", c - 10 AS col, v AS value FROM g WHERE r >= 1 AND r < 30 AND c >= 10 AND c < 40',
+)
 def window_crop(spark, sf):
     return long_cells(R.crop(part_cells(spark, sf), FIELD, 1, 30, 10, 40)[0])
 
@@ -302,13 +364,27 @@ def convex_hull_mask(spark, sf):
     return long_cells(R.mask(part_cells(spark, sf), META, hull, 2.2))
 
 
-@query("coords_to_idx", 'SELECT p_partkey, floor((5600000.0 - (5600000.0 - p_partkey * 3.7)) / 10.0)::BIGINT AS "row", floor((500000.0 + p_partkey % 499 - 500000.0) / 10.0)::BIGINT AS col FROM part')
+@query(
+    "coords_to_idx",
+    'SELECT p_partkey, floor((5600000.0 - (5600000.0 - p_partkey * 3.7)) / 10.0)::BIGINT AS "row", floor((500000.0 + p_partkey % 499 - 500000.0) / 10.0)::BIGINT AS col FROM part',
+)
 def coords_to_idx(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", (500000.0 + F.col("p_partkey") % 499).alias("x"), (5600000.0 - F.col("p_partkey") * 3.7).alias("y"))
-    return p.select("p_partkey", X.row_of(F.col("x"), F.col("y"), FIELD).cast("long").alias("row"), X.col_of(F.col("x"), F.col("y"), FIELD).cast("long").alias("col"))
-
-
-@query("idx_to_coords", "SELECT p_partkey, (500000.0 + (p_partkey % 50) * 10.0)::DOUBLE AS x, (5600000.0 - (p_partkey // 50) * 10.0)::DOUBLE AS y FROM part")
+    p = table(spark, sf, "part").select(
+        "p_partkey",
+        (500000.0 + F.col("p_partkey") % 499).alias("x"),
+        (5600000.0 - F.col("p_partkey") * 3.7).alias("y"),
+    )
+    return p.select(
+        "p_partkey",
+        X.row_of(F.col("x"), F.col("y"), FIELD).cast("long").alias("row"),
+        X.col_of(F.col("x"), F.col("y"), FIELD).cast("long").alias("col"),
+    )
+
+
+@query(
+    "idx_to_coords",
+    "SELECT p_partkey, (500000.0 + (p_partkey % 50) * 10.0)::DOUBLE AS x, (5600000.0 - (p_partkey // 50) * 10.0)::DOUBLE AS y FROM part",
+)
 def idx_to_coords(spark, sf):
     n = F.col("p_partkey")
     row, col = X.node_row(n, WIDTH), X.node_col(n, WIDTH)
@@ -318,13 +394,20 @@ def idx_to_coords(spark, sf):
 @query("node_ids", f'WITH {GRID_SQL} SELECT r * 50 + c AS node, r AS "row", c AS col FROM g')
 def node_ids(spark, sf):
     node = part_cells(spark, sf).select(X.node_id(F.col("row"), F.col("col"), WIDTH).alias("node"))
-    return node.select("node", X.node_row(F.col("node"), WIDTH).cast("long").alias("row"), X.node_col(F.col("node"), WIDTH).cast("long").alias("col"))
+    return node.select(
+        "node",
+        X.node_row(F.col("node"), WIDTH).cast("long").alias("row"),
+        X.node_col(F.col("node"), WIDTH).cast("long").alias("col"),
+    )
 
 
 # Neighbourhoods.
 
 
-@query("steps_rk", "SELECT k, r AS dr, c AS dc FROM range(1, 6) t(k), range(-5, 6) a(r), range(-5, 6) b(c) WHERE greatest(abs(r), abs(c)) <= k AND gcd(r, c) = 1")
+@query(
+    "steps_rk",
+    "SELECT k, r AS dr, c AS dc FROM range(1, 6) t(k), range(-5, 6) a(r), range(-5, 6) b(c) WHERE greatest(abs(r), abs(c)) <= k AND gcd(r, c) = 1",
+)
 def steps_rk(spark, sf):
     return spark.createDataFrame([(k, r, c) for k in range(1, 6) for r, c in N.steps(k)], "k long, dr long, dc long")
 
@@ -338,7 +421,10 @@ def step_intermediates(spark, sf):
     return spark.createDataFrame(rows, "dr long, dc long, ir long, ic long").groupBy("dr", "dc", "ir", "ic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("max_edges", "WITH s AS (SELECT k, r, c FROM range(1, 5) t(k), range(-4, 5) a(r), range(-4, 5) b(c) WHERE greatest(abs(r), abs(c)) <= k AND gcd(r, c) = 1 AND (r > 0 OR r = 0 AND c > 0)) SELECT k, sum((40 - abs(r)) * (50 - abs(c)))::BIGINT AS n FROM s GROUP BY k")
+@query(
+    "max_edges",
+    "WITH s AS (SELECT k, r, c FROM range(1, 5) t(k), range(-4, 5) a(r), range(-4, 5) b(c) WHERE greatest(abs(r), abs(c)) <= k AND gcd(r, c) = 1 AND (r > 0 OR r = 0 AND c > 0)) SELECT k, sum((40 - abs(r)) * (50 - abs(c)))::BIGINT AS n FROM s GROUP BY k",
+)
 def max_edges(spark, sf):
     return spark.createDataFrame([(k, N.most_edges(40, 50, N.steps(k, False))) for k in range(1, 5)], "k long, n long")
 
@@ -347,7 +433,10 @@ def max_edges(spark, sf):
 d AS (SELECT k, atan2(c, r) AS a FROM s), n AS (SELECT k, a, coalesce(lead(a) OVER (PARTITION BY k ORDER BY a), min(a) OVER (PARTITION BY k) + 2 * pi()) - a AS g FROM d)
 SELECT k, round(max(2 * sin(g / 2) / sin(g)), 6) AS elongation, round(max(abs(sin(g / 2) ** 2 / sin(g))), 6) AS deviation FROM n GROUP BY k""")
 def lattice_errors(spark, sf):
-    return spark.createDataFrame([(k, *(round(e, 6) for e in N.largest_errors(k))) for k in range(1, 5)], "k long, elongation double, deviation double")
+    return spark.createDataFrame(
+        [(k, *(round(e, 6) for e in N.largest_errors(k))) for k in range(1, 5)],
+        "k long, elongation double, deviation double",
+    )
 
 
 # Graphs.
@@ -388,12 +477,18 @@ def edges_keep_max(spark, sf):
     return E.edges(part_cells(spark, sf), WIDTH, 1, ignore_max=False).select("u", "v", r6("w").alias("w"))
 
 
-@query("outgoing_edges", f"WITH {GRID_SQL}, {edges_sql(1)}, b AS (SELECT u, w, x FROM e UNION ALL SELECT w, u, x FROM e) SELECT u, w AS v, round(x, 6) AS w FROM b WHERE u = 75")
+@query(
+    "outgoing_edges",
+    f"WITH {GRID_SQL}, {edges_sql(1)}, b AS (SELECT u, w, x FROM e UNION ALL SELECT w, u, x FROM e) SELECT u, w AS v, round(x, 6) AS w FROM b WHERE u = 75",
+)
 def outgoing_edges(spark, sf):
     return E.outgoing(part_cells(spark, sf), WIDTH, 1, 25, 1).select("u", "v", r6("w").alias("w"))
 
 
-@query("isolates", f"WITH {GRID_SQL}, {edges_sql(0)} SELECT r * 50 + c AS node FROM g WHERE r * 50 + c NOT IN (SELECT u FROM e UNION SELECT w FROM e)")
+@query(
+    "isolates",
+    f"WITH {GRID_SQL}, {edges_sql(0)} SELECT r * 50 + c AS node FROM g WHERE r * 50 + c NOT IN (SELECT u FROM e UNION SELECT w FROM e)",
+)
 def isolates(spark, sf):
     cells = part_cells(spark, sf)
     return E.isolated(cells, E.edges(cells, WIDTH, 0), WIDTH)
@@ -517,7 +612,10 @@ def route_allpairs(spark, sf):
     return _routes(spark, sf, a[:2], a[2:])
 
 
-@query("unreachable", f"WITH {GRID_SQL} SELECT 0::BIGINT AS ord, (SELECT min(r * 50 + c) FROM g WHERE v <> 65535) AS source, (SELECT min(r * 50 + c) FROM g WHERE v = 65535) AS target, NULL::DOUBLE AS cost")
+@query(
+    "unreachable",
+    f"WITH {GRID_SQL} SELECT 0::BIGINT AS ord, (SELECT min(r * 50 + c) FROM g WHERE v <> 65535) AS source, (SELECT min(r * 50 + c) FROM g WHERE v = 65535) AS target, NULL::DOUBLE AS cost",
+)
 def unreachable(spark, sf):
     node = X.node_id(F.col("row"), F.col("col"), WIDTH)
     walled = part_cells(spark, sf).where(F.col("value") == X.FORBIDDEN).agg(F.min(node)).first()[0]
@@ -532,7 +630,10 @@ def staircases(spark, sf) -> DataFrame:
     k = F.col("s_suppkey")
     first = (k * 11) % max(1, part_height(spark, sf) - 16)
     node = lambda i: (first + F.floor((i + 1) / 2)) * WIDTH + k % 20 + i
-    return table(spark, sf, "supplier").select(k.cast("long").alias("path_id"), F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: node(i).cast("long")).alias("node_ids"))
+    return table(spark, sf, "supplier").select(
+        k.cast("long").alias("path_id"),
+        F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: node(i).cast("long")).alias("node_ids"),
+    )
 
 
 _PATH_SQL = f"""WITH {GRID_SQL}, {_HEIGHT_SQL}, k AS (SELECT s_suppkey AS id, (s_suppkey * 11) % greatest(1, n - 16) AS r0, s_suppkey % 20 AS c0 FROM supplier, hh),
@@ -551,25 +652,41 @@ def length_by_category(spark, sf):
     return _lengths(spark, sf).select("path_id", F.col("category").cast("long").alias("category"), r6("length").alias("length"))
 
 
-@query("path_percent", _PATH_SQL + ", z AS (SELECT id, sum(length) AS total FROM m GROUP BY id) SELECT m.id::BIGINT AS path_id, category, round(length / total * 100, 6) AS percent FROM m JOIN z ON m.id = z.id")
+@query(
+    "path_percent",
+    _PATH_SQL + ", z AS (SELECT id, sum(length) AS total FROM m GROUP BY id) SELECT m.id::BIGINT AS path_id, category, round(length / total * 100, 6) AS percent FROM m JOIN z ON m.id = z.id",
+)
 def path_percent(spark, sf):
     return M.shares(_lengths(spark, sf)).select("path_id", F.col("category").cast("long").alias("category"), r6("percent").alias("percent"))
 
 
-@query("path_cost_consistency", _PATH_SQL + " SELECT id::BIGINT AS path_id, round(sum(length), 6) AS total_length, round(sum(length * category), 6) AS total_cost FROM m GROUP BY id")
+@query(
+    "path_cost_consistency",
+    _PATH_SQL + " SELECT id::BIGINT AS path_id, round(sum(length), 6) AS total_length, round(sum(length * category), 6) AS total_cost FROM m GROUP BY id",
+)
 def path_cost_consistency(spark, sf):
     return M.totals(_lengths(spark, sf)).select("path_id", r6("total_length").alias("total_length"), r6("total_cost").alias("total_cost"))
 
 
-@query("path_cost_by_category", _PATH_SQL + " SELECT id::BIGINT AS path_id, round(coalesce(sum(length * category) FILTER (category <> 65535), 0), 6) AS cost FROM m GROUP BY id")
+@query(
+    "path_cost_by_category",
+    _PATH_SQL + " SELECT id::BIGINT AS path_id, round(coalesce(sum(length * category) FILTER (category <> 65535), 0), 6) AS cost FROM m GROUP BY id",
+)
 def path_cost_by_category(spark, sf):
     return M.path_costs(_lengths(spark, sf)).select("path_id", r6("cost").alias("cost"))
 
 
-@query("cheapest_valid", "SELECT coalesce(p_brand, '') AS p_brand, p_partkey, p_retailprice::DOUBLE AS price FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS n FROM part WHERE p_size < 20 AND p_retailprice IS NOT NULL) WHERE n = 1")
+@query(
+    "cheapest_valid",
+    "SELECT coalesce(p_brand, '') AS p_brand, p_partkey, p_retailprice::DOUBLE AS price FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS n FROM part WHERE p_size < 20 AND p_retailprice IS NOT NULL) WHERE n = 1",
+)
 def cheapest_valid(spark, sf):
     options = table(spark, sf, "part").select("p_brand", "p_partkey", F.col("p_retailprice").cast("double").alias("price"), "p_size")
-    return M.cheapest_valid(options, F.col("p_size") < 20, "p_brand", "price", "p_partkey").select(F.coalesce("p_brand", F.lit("")).alias("p_brand"), "p_partkey", "price")
+    return M.cheapest_valid(options, F.col("p_size") < 20, "p_brand", "price", "p_partkey").select(
+        F.coalesce("p_brand", F.lit("")).alias("p_brand"),
+        "p_partkey",
+        "price",
+    )
 
 
 _RECORDS_SQL = """ SELECT m.id::BIGINT AS path_id, round(sum(length), 6) AS total_length, round(140 + 150 * sqrt(2), 6)::DOUBLE AS length_m, round(sqrt(290.0 ** 2 + 150.0 ** 2), 6)::DOUBLE AS euclidean_distance,
@@ -579,13 +696,22 @@ round(sum(length) FILTER (category = 65535), 6) AS length_cost_65535 FROM m GROU
 @query("path_export_records", _PATH_SQL + _RECORDS_SQL)
 def path_export_records(spark, sf):
     rows = M.wide(M.records(staircases(spark, sf), _lengths(spark, sf), FIELD), [X.FORBIDDEN])
-    return rows.select("path_id", r6("total_length").alias("total_length"), r6("length_m").alias("length_m"), r6("euclidean_distance").alias("euclidean_distance"), r6("length_cost_65535").alias("length_cost_65535"))
+    return rows.select(
+        "path_id",
+        r6("total_length").alias("total_length"),
+        r6("length_m").alias("length_m"),
+        r6("euclidean_distance").alias("euclidean_distance"),
+        r6("length_cost_65535").alias("length_cost_65535"),
+    )
 
 
 # Heuristics and lines.
 
 
-@query("astar_heuristic", f"WITH {GRID_SQL} SELECT r * 50 + c AS node, round(sqrt(((r - 2) * (r - 2) + (c - 40) * (c - 40))::DOUBLE) * (SELECT min(v) FROM g WHERE v <> 65535) * 0.8, 6) AS h FROM g")
+@query(
+    "astar_heuristic",
+    f"WITH {GRID_SQL} SELECT r * 50 + c AS node, round(sqrt(((r - 2) * (r - 2) + (c - 40) * (c - 40))::DOUBLE) * (SELECT min(v) FROM g WHERE v <> 65535) * 0.8, 6) AS h FROM g",
+)
 def astar_heuristic(spark, sf):
     cells = part_cells(spark, sf)
     least = F.broadcast(route.least_value(cells))  # one row
@@ -603,7 +729,10 @@ def bresenham(spark, sf):
     return line.intersect(back).select(F.col("p.row").cast("long").alias("row"), F.col("p.col").cast("long").alias("col"))
 
 
-@query("advanced_heuristic", f"WITH {GRID_SQL}, {_LINE_SQL} SELECT min(v)::DOUBLE AS least FROM g JOIN l ON abs(g.r - l.r) <= 1 AND abs(g.c - l.c) <= 1 WHERE v <> 65535")
+@query(
+    "advanced_heuristic",
+    f"WITH {GRID_SQL}, {_LINE_SQL} SELECT min(v)::DOUBLE AS least FROM g JOIN l ON abs(g.r - l.r) <= 1 AND abs(g.c - l.c) <= 1 WHERE v <> 65535",
+)
 def advanced_heuristic(spark, sf):
     return route.least_near_line(part_cells(spark, sf), (0, 1), (3, 48), 1)
 
@@ -611,20 +740,30 @@ def advanced_heuristic(spark, sf):
 def _ends_table(spark, sf, name: str) -> DataFrame:
     k = F.col({"supplier": "s_suppkey", "customer": "c_custkey"}[name])
     # Coordinates that no two rows share, spread by a multiplier.
-    return table(spark, sf, name).select(k.alias("id"), ((k * 7919) % 10007).cast("double").alias("x"), ((k * 104729) % 10009).cast("double").alias("y"))
+    return table(spark, sf, name).select(
+        k.alias("id"),
+        ((k * 7919) % 10007).cast("double").alias("x"),
+        ((k * 104729) % 10009).cast("double").alias("y"),
+    )
 
 
 _ENDS_SQL = "a AS (SELECT s_suppkey AS id, ((s_suppkey * 7919) % 10007)::DOUBLE AS x, ((s_suppkey * 104729) % 10009)::DOUBLE AS y FROM supplier), b AS (SELECT c_custkey AS id, ((c_custkey * 7919) % 10007)::DOUBLE AS x, ((c_custkey * 104729) % 10009)::DOUBLE AS y FROM customer)"
 _D = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)"
 
 
-@query("knn_targets", f"WITH {_ENDS_SQL}, r AS (SELECT a.id AS id, b.id AS other, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS n FROM a, b) SELECT id, other, round(d, 6) AS distance, n AS rank FROM r WHERE n <= 3")
+@query(
+    "knn_targets",
+    f"WITH {_ENDS_SQL}, r AS (SELECT a.id AS id, b.id AS other, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS n FROM a, b) SELECT id, other, round(d, 6) AS distance, n AS rank FROM r WHERE n <= 3",
+)
 def knn_targets(spark, sf):
     found = R.nearest(_ends_table(spark, sf, "supplier"), _ends_table(spark, sf, "customer"), 3)
     return found.select("id", "other", r6("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("nearest", f"WITH {_ENDS_SQL}, r AS (SELECT a.id AS id, b.id AS other, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS n FROM a, b) SELECT id, other, round(d, 6) AS distance FROM r WHERE n = 1")
+@query(
+    "nearest",
+    f"WITH {_ENDS_SQL}, r AS (SELECT a.id AS id, b.id AS other, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS n FROM a, b) SELECT id, other, round(d, 6) AS distance FROM r WHERE n = 1",
+)
 def nearest(spark, sf):
     found = R.nearest(_ends_table(spark, sf, "supplier"), _ends_table(spark, sf, "customer"), 1)
     return found.select("id", "other", r6("distance").alias("distance"))
@@ -647,20 +786,29 @@ def buffer_estimate(spark, sf):
 # Services and collections.
 
 
-@query("wfs_grid", f"WITH {box_sql('customer')}, b AS (SELECT min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d FROM f) SELECT round(a + i * (c - a) / 4, 6)::DOUBLE AS minx, round(b + j * (d - b) / 3, 6)::DOUBLE AS miny FROM b, range(4) x(i), range(3) y(j)")
+@query(
+    "wfs_grid",
+    f"WITH {box_sql('customer')}, b AS (SELECT min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d FROM f) SELECT round(a + i * (c - a) / 4, 6)::DOUBLE AS minx, round(b + j * (d - b) / 3, 6)::DOUBLE AS miny FROM b, range(4) x(i), range(3) y(j)",
+)
 def wfs_grid(spark, sf):
     b = R.total_bounds(rectangles(spark, sf, "customer"))
     cells = b.select(F.explode(wfs.grid_columns(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), 4, 3)).alias("c"))
     return cells.select(r6("c.minx").alias("minx"), r6("c.miny").alias("miny"))
 
 
-@query("bbox_expand", f"WITH {box_sql('customer')} SELECT round(min(x0) - 0.1 * (max(x1) - min(x0)), 6)::DOUBLE AS minx, round(max(y1) + 0.1 * (max(y1) - min(y0)), 6)::DOUBLE AS maxy FROM f")
+@query(
+    "bbox_expand",
+    f"WITH {box_sql('customer')} SELECT round(min(x0) - 0.1 * (max(x1) - min(x0)), 6)::DOUBLE AS minx, round(max(y1) + 0.1 * (max(y1) - min(y0)), 6)::DOUBLE AS maxy FROM f",
+)
 def bbox_expand(spark, sf):
     b = wfs.expand(tuple(R.total_bounds(rectangles(spark, sf, "customer")).first()))
     return spark.createDataFrame([(round(b[0], 6), round(b[3], 6))], "minx double, maxy double")
 
 
-@query("dedupe_union", f"WITH {box_sql('customer')}, o AS (SELECT {corners_sql('s_suppkey')} FROM supplier, hh) SELECT DISTINCT ((x1 - x0) * (y1 - y0))::DOUBLE AS area, x0::DOUBLE AS x, y0::DOUBLE AS y FROM (SELECT x0, y0, x1, y1 FROM f UNION SELECT x0, y0, x1, y1 FROM o)")
+@query(
+    "dedupe_union",
+    f"WITH {box_sql('customer')}, o AS (SELECT {corners_sql('s_suppkey')} FROM supplier, hh) SELECT DISTINCT ((x1 - x0) * (y1 - y0))::DOUBLE AS area, x0::DOUBLE AS x, y0::DOUBLE AS y FROM (SELECT x0, y0, x1, y1 FROM f UNION SELECT x0, y0, x1, y1 FROM o)",
+)
 def dedupe_union(spark, sf):
     rows = wfs.union([rectangles(spark, sf, n).select("polygon", "kind") for n in ("customer", "supplier")])
     box = G.bbox(F.col("polygon"))
@@ -677,7 +825,10 @@ def fuzzy_layer(spark, sf):
     return spark.createDataFrame([(w, wfs.best_layer(w, names)) for w in wanted], "wanted string, layer string")
 
 
-@query("reproject_round_trip", "SELECT p_partkey, 6.0 + (p_partkey % 600) / 100.0 AS lon, 45.0 + (p_partkey % 1000) / 100.0 AS lat FROM part")
+@query(
+    "reproject_round_trip",
+    "SELECT p_partkey, 6.0 + (p_partkey % 600) / 100.0 AS lon, 45.0 + (p_partkey % 1000) / 100.0 AS lat FROM part",
+)
 def reproject_round_trip(spark, sf):
     k = F.col("p_partkey")
     p = table(spark, sf, "part").select("p_partkey", (6.0 + (k % 600) / 100.0).alias("lon"), (45.0 + (k % 1000) / 100.0).alias("lat"))

@@ -70,7 +70,13 @@ def _from_table(spark: SparkSession, header: list[str], rows: list[list[str]], d
         key = tuple(r[i].strip() for i in keys)
         latest.pop(key, None)
         latest[key] = _number(r[cost], decimal) if r[cost].strip() else None
-    return CostTable.from_rows(spark, header[keys[0]], [header[i] for i in keys[1:]], [(*k, v) for k, v in latest.items()], "tuple" if len(keys) > 1 else "simple")
+    return CostTable.from_rows(
+        spark,
+        header[keys[0]],
+        [header[i] for i in keys[1:]],
+        [(*k, v) for k, v in latest.items()],
+        "tuple" if len(keys) > 1 else "simple",
+    )
 
 
 def load_csv(spark: SparkSession, path: str) -> CostTable:
@@ -151,7 +157,12 @@ def save_json(costs: CostTable, path: str) -> None:
     values = next(iter(costs.to_dict().values()))
     plain = {JOINER.join(k) if isinstance(k, tuple) else k: v for k, v in values.items()}
     with open(path, "w", encoding="utf-8") as file:
-        json.dump({"metadata": {"main_feature": costs.main, "side_features": list(costs.sides)}, "cost_assumptions": plain}, file, indent=2, ensure_ascii=False)
+        json.dump(
+            {"metadata": {"main_feature": costs.main, "side_features": list(costs.sides)}, "cost_assumptions": plain},
+            file,
+            indent=2,
+            ensure_ascii=False,
+        )
 
 
 def save_excel(costs: CostTable, path: str) -> None:

@@ -73,7 +73,12 @@ def array_cells(spark: SparkSession, values: np.ndarray, meta: RasterMeta | None
     b, r, c = (x.ravel() for x in np.indices(bands.shape))
     import pyarrow as pa
 
-    table = pa.table({"band": pa.array(b, pa.int32()), "row": pa.array(r, pa.int32()), "col": pa.array(c, pa.int32()), "value": pa.array(bands.ravel().astype(np.int32))})
+    table = pa.table({
+        "band": pa.array(b, pa.int32()),
+        "row": pa.array(r, pa.int32()),
+        "col": pa.array(c, pa.int32()),
+        "value": pa.array(bands.ravel().astype(np.int32)),
+    })
     return Raster(spark.createDataFrame(table), meta, len(bands))
 
 
@@ -81,8 +86,15 @@ def _moved_rings(spark: SparkSession, rings: Rings, from_srid: int | None, to_sr
     """Rings in another system."""
     if from_srid is None or to_srid is None or from_srid == to_srid:
         return rings
-    points = spark.createDataFrame([(i, j, float(x), float(y)) for i, ring in enumerate(rings) for j, (x, y) in enumerate(ring)], "i int, j int, x double, y double")
-    moved = {(r[0], r[1]): (r[2], r[3]) for r in points.select("i", "j", *G.reproject(F.col("x"), F.col("y"), from_srid, to_srid)).collect()}
+    points = spark.createDataFrame(
+        [(i, j, float(x), float(y)) for i, ring in enumerate(rings) for j, (x, y) in enumerate(ring)],
+        "i int, j int, x double, y double",
+    )
+    moved = {(r[0], r[1]): (r[2], r[3]) for r in points.select(
+        "i",
+        "j",
+        *G.reproject(F.col("x"), F.col("y"), from_srid, to_srid),
+    ).collect()}
     return [[moved[i, j] for j in range(len(ring))] for i, ring in enumerate(rings)]
 
 
@@ -91,7 +103,17 @@ def box_rings(bbox: Box) -> Rings:
     return [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]
 
 
-def load(spark: SparkSession, source: Any, srid: int | None = None, bbox: Box | None = None, mask: Rings | None = None, meta: RasterMeta | None = None, bbox_srid: int | None = None, mask_srid: int | None = None, **options: Any) -> Vector | Raster:
+def load(
+    spark: SparkSession,
+    source: Any,
+    srid: int | None = None,
+    bbox: Box | None = None,
+    mask: Rings | None = None,
+    meta: RasterMeta | None = None,
+    bbox_srid: int | None = None,
+    mask_srid: int | None = None,
+    **options: Any,
+) -> Vector | Raster:
     """A dataset from a file, a service's mapping, an array or a DataFrame.
 
     ``srid``: the system to reproject features to. Features from memory and from services
@@ -180,7 +202,10 @@ def meets(features: DataFrame, mask: Rings) -> DataFrame:
     other = G.sides_of(G.literal_polygon(mask))
     own = G.sides_of(F.col("polygon"))
     side = lambda s, p: (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])
-    crossing = F.exists(own, lambda s: F.exists(other, lambda t: (side(s, t["a"]) * side(s, t["b"]) <= 0) & (side(t, s["a"]) * side(t, s["b"]) <= 0)))
+    crossing = F.exists(
+        own,
+        lambda s: F.exists(other, lambda t: (side(s, t["a"]) * side(s, t["b"]) <= 0) & (side(t, s["a"]) * side(t, s["b"]) <= 0)),
+    )
     corner_in = F.exists(F.flatten("polygon"), lambda p: G.inside(other, p["x"], p["y"]))
     holds = F.lit(False)
     for x, y in mask[0][:1]:
@@ -195,7 +220,10 @@ def clipped(features: DataFrame, mask: Rings) -> DataFrame:
     stay if they are inside. A feature without ``geometry_type`` is an area.
     """
     spark = features.sparkSession
-    pieces = [[{"a": {"x": float(a[0]), "y": float(a[1])}, "b": {"x": float(b[0]), "y": float(b[1])}} for a, b in zip(p, [*p[1:], p[0]], strict=True)] for p in G.trapezoids(mask)]
+    pieces = [[{
+        "a": {"x": float(a[0]), "y": float(a[1])},
+        "b": {"x": float(b[0]), "y": float(b[1])},
+    } for a, b in zip(p, [*p[1:], p[0]], strict=True)] for p in G.trapezoids(mask)]
     row = spark.createDataFrame([(pieces,)], "_pieces array<array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>>")
     near = within_box(features, G.bounds_of(mask)).crossJoin(F.broadcast(row))  # one row, as large as the mask
     cut = lambda of: F.flatten(F.transform("_pieces", lambda sides: of(F.col("polygon"), sides)))
@@ -203,7 +231,10 @@ def clipped(features: DataFrame, mask: Rings) -> DataFrame:
     if "geometry_type" in features.columns:
         lines = cut(lambda rings, sides: F.flatten(F.transform(rings, lambda line: G.clipped_line(line, sides))))
         inside = G.sides_of(G.literal_polygon(mask))
-        points = F.filter(F.transform("polygon", lambda ring: F.filter(ring, lambda p: G.inside(inside, p["x"], p["y"]))), lambda ring: F.size(ring) > 0)
+        points = F.filter(
+            F.transform("polygon", lambda ring: F.filter(ring, lambda p: G.inside(inside, p["x"], p["y"]))),
+            lambda ring: F.size(ring) > 0,
+        )
         kind = F.col("geometry_type")
         area = F.when(kind.endswith("LineString"), lines).when(kind.endswith("Point"), points).otherwise(area)
     return near.withColumn("polygon", area).where(F.size("polygon") > 0).drop("_pieces")

@@ -11,7 +11,11 @@ def as_geojson(records: DataFrame) -> DataFrame:
     line = F.transform("coords", lambda p: F.array(p["x"], p["y"]))
     rest = [c for c in records.columns if c not in ("coords", "geometry")]
     geometry = F.struct(F.lit("LineString").alias("type"), line.alias("coordinates"))
-    return records.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*rest).alias("properties"))).alias("value"))
+    return records.select(F.to_json(F.struct(
+        F.lit("Feature").alias("type"),
+        geometry.alias("geometry"),
+        F.struct(*rest).alias("properties"),
+    )).alias("value"))
 
 
 def save(records: DataFrame, path: str | None) -> None:

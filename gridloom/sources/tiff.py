@@ -19,7 +19,19 @@ from gridloom.session import ship
 from gridloom.sources.detect import Raster
 
 # TIFF field types (format, bytes) and sample formats.
-_TYPES = {1: ("B", 1), 2: ("c", 1), 3: ("H", 2), 4: ("I", 4), 5: ("2I", 8), 12: ("d", 8), 16: ("Q", 8), 11: ("f", 4), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4)}
+_TYPES = {
+    1: ("B", 1),
+    2: ("c", 1),
+    3: ("H", 2),
+    4: ("I", 4),
+    5: ("2I", 8),
+    12: ("d", 8),
+    16: ("Q", 8),
+    11: ("f", 4),
+    6: ("b", 1),
+    8: ("h", 2),
+    9: ("i", 4),
+}
 _KINDS = {1: "u", 2: "i", 3: "f"}
 
 
@@ -36,7 +48,11 @@ def _fields(data: bytes) -> tuple[str, dict[int, tuple]]:
         place = at + 2 + 12 * i + 8
         if n * size > 4:
             (place,) = struct.unpack_from(order + "I", data, place)
-        out[tag] = (bytes(data[place : place + n]),) if kind == 2 else struct.unpack_from(order + form[-1] * (n * (2 if kind == 5 else 1)), data, place)
+        out[tag] = (bytes(data[place : place + n]),) if kind == 2 else struct.unpack_from(
+            order + form[-1] * (n * (2 if kind == 5 else 1)),
+            data,
+            place,
+        )
     return order, out
 
 
@@ -96,7 +112,21 @@ def encode(bands: np.ndarray, meta: RasterMeta) -> bytes:
     if meta.srid:
         geo += [2048 if meta.srid == 4326 else 3072, 0, 1, meta.srid]
         geo[3] = 2
-    entries = [(256, "I", [width]), (257, "I", [height]), (258, "H", [values.itemsize * 8] * n), (259, "H", [8]), (262, "H", [1]), (273, "I", starts), (277, "H", [n]), (278, "I", [rows]), (279, "I", [len(s) for s in strips]), (284, "H", [2 if n > 1 else 1]), (339, "H", [kind] * n), (34264, "d", [meta.a, meta.b, 0, meta.c, meta.d, meta.e, 0, meta.f, 0, 0, 0, 0, 0, 0, 0, 1]), (34735, "H", geo)]
+    entries = [
+        (256, "I", [width]),
+        (257, "I", [height]),
+        (258, "H", [values.itemsize * 8] * n),
+        (259, "H", [8]),
+        (262, "H", [1]),
+        (273, "I", starts),
+        (277, "H", [n]),
+        (278, "I", [rows]),
+        (279, "I", [len(s) for s in strips]),
+        (284, "H", [2 if n > 1 else 1]),
+        (339, "H", [kind] * n),
+        (34264, "d", [meta.a, meta.b, 0, meta.c, meta.d, meta.e, 0, meta.f, 0, 0, 0, 0, 0, 0, 0, 1]),
+        (34735, "H", geo),
+    ]
     codes = {"H": 3, "I": 4, "d": 12}
     table, extra, base = b"", b"", at + 2 + 12 * len(entries) + 4
     for tag, form, vals in entries:
@@ -123,15 +153,48 @@ def read_raster(spark: SparkSession, path: str) -> Raster:
                     for r in range(0, band.shape[0], step):
                         part = band[r : r + step]
                         rows, cols = (x.ravel().astype(np.int32) for x in np.indices(part.shape))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b, np.int32)), pa.array(rows + np.int32(r)), pa.array(cols), pa.array(part.ravel().astype(np.float64))], ["band", "row", "col", "value"])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.full(len(rows), b, np.int32)),
+                                pa.array(rows + np.int32(r)),
+                                pa.array(cols),
+                                pa.array(part.ravel().astype(np.float64)),
+                            ],
+                            ["band", "row", "col", "value"],
+                        )
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch["content"]:
                 values, m = decode(content.as_py())
-                yield pa.RecordBatch.from_pylist([{"height": m.height, "width": m.width, "a": m.a, "b": m.b, "c": m.c, "d": m.d, "e": m.e, "f": m.f, "srid": m.srid, "dtype": m.dtype, "bands": len(values)}], schema=pa.schema([("height", pa.int32()), ("width", pa.int32()), *((x, pa.float64()) for x in "abcdef"), ("srid", pa.int32()), ("dtype", pa.string()), ("bands", pa.int32())]))
-
-    m = files.mapInArrow(head, "height int, width int, a double, b double, c double, d double, e double, f double, srid int, dtype string, bands int").first().asDict()
+                yield pa.RecordBatch.from_pylist(
+                    [{
+                        "height": m.height,
+                        "width": m.width,
+                        "a": m.a,
+                        "b": m.b,
+                        "c": m.c,
+                        "d": m.d,
+                        "e": m.e,
+                        "f": m.f,
+                        "srid": m.srid,
+                        "dtype": m.dtype,
+                        "bands": len(values),
+                    }],
+                    schema=pa.schema([
+                        ("height", pa.int32()),
+                        ("width", pa.int32()),
+                        *((x, pa.float64()) for x in "abcdef"),
+                        ("srid", pa.int32()),
+                        ("dtype", pa.string()),
+                        ("bands", pa.int32()),
+                    ]),
+                )
+
+    m = files.mapInArrow(
+        head,
+        "height int, width int, a double, b double, c double, d double, e double, f double, srid int, dtype string, bands int",
+    ).first().asDict()
     bands = m.pop("bands")
     meta = RasterMeta(**m)
     cells = files.mapInArrow(run, "band int, row int, col int, value double")

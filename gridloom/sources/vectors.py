@@ -88,18 +88,35 @@ def geojson(spark: SparkSession, path: str) -> Vector:
     rows = doc.select(F.posexplode("features").alias("feature_id", "f"))
     props = doc.schema["features"].dataType.elementType
     fields = [x.name for x in props["properties"].dataType.fields] if "properties" in props.names and isinstance(props["properties"].dataType, T.StructType) else []
-    text = F.to_json("f.geometry.coordinates") if isinstance(props["geometry"].dataType["coordinates"].dataType, T.ArrayType) and not isinstance(props["geometry"].dataType["coordinates"].dataType.elementType, T.StringType) else None
+    text = F.to_json("f.geometry.coordinates") if isinstance(props["geometry"].dataType["coordinates"].dataType, T.ArrayType) and not isinstance(
+        props["geometry"].dataType["coordinates"].dataType.elementType,
+        T.StringType,
+    ) else None
     if text is None:  # mixed geometry types: Spark keeps parts of them as text
         c = F.col("f.geometry.coordinates")
-        text = F.concat(F.lit("["), F.concat_ws(",", c), F.lit("]")) if isinstance(props["geometry"].dataType["coordinates"].dataType, T.ArrayType) else c
+        text = F.concat(F.lit("["), F.concat_ws(",", c), F.lit("]")) if isinstance(
+            props["geometry"].dataType["coordinates"].dataType,
+            T.ArrayType,
+        ) else c
     kind = F.col("f.geometry.type")
-    deep = F.when(kind == "MultiPolygon", F.flatten(F.from_json(text, T.ArrayType(_RINGS)))).when(kind.isin("Polygon", "MultiLineString"), F.from_json(text, _RINGS)).when(kind.isin("LineString", "MultiPoint"), F.array(F.from_json(text, _RINGS.elementType))).otherwise(F.array(F.array(F.from_json(text, T.ArrayType(T.DoubleType())))))
+    deep = F.when(kind == "MultiPolygon", F.flatten(F.from_json(text, T.ArrayType(_RINGS)))).when(kind.isin("Polygon", "MultiLineString"), F.from_json(text, _RINGS)).when(
+        kind.isin("LineString", "MultiPoint"),
+        F.array(F.from_json(text, _RINGS.elementType)),
+    ).otherwise(F.array(F.array(F.from_json(text, T.ArrayType(T.DoubleType())))))
     polygon = F.transform(deep, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     srid = None
     if "crs" in doc.columns and "properties" in doc.schema["crs"].dataType.names:
         name = doc.select("crs.properties.name").first()[0] or ""
         srid = int(name.rpartition(":")[2]) if name.rpartition(":")[2].isdigit() else None
-    return Vector(rows.select(F.col("feature_id").cast("long"), kind.alias("geometry_type"), polygon.alias("polygon"), *[F.col(f"f.properties.`{n}`").alias(n) for n in fields if n not in ("feature_id", "polygon", "geometry_type")]), srid)
+    return Vector(
+        rows.select(
+            F.col("feature_id").cast("long"),
+            kind.alias("geometry_type"),
+            polygon.alias("polygon"),
+            *[F.col(f"f.properties.`{n}`").alias(n) for n in fields if n not in ("feature_id", "polygon", "geometry_type")],
+        ),
+        srid,
+    )
 
 
 def parse_geojson(text: str | None) -> list[dict] | None:
@@ -111,7 +128,11 @@ def parse_geojson(text: str | None) -> list[dict] | None:
     except ValueError:
         return None
     found = doc.get("features") if isinstance(doc, dict) else None
-    return [{"geometry_type": f["geometry"]["type"], "polygon": rings(f["geometry"]), "attributes": {k: None if v is None else str(v) for k, v in (f.get("properties") or {}).items()}} for f in found if f.get("geometry")] if found else None
+    return [{
+        "geometry_type": f["geometry"]["type"],
+        "polygon": rings(f["geometry"]),
+        "attributes": {k: None if v is None else str(v) for k, v in (f.get("properties") or {}).items()},
+    } for f in found if f.get("geometry")] if found else None
 
 
 def rings(geometry: dict) -> list[Ring]:

@@ -46,7 +46,15 @@ def grid_columns(minx: Column, miny: Column, maxx: Column, maxy: Column, nx: int
     """The same as an array of structs."""
     w, h = (maxx - minx) / nx, (maxy - miny) / ny
     cells = F.transform(F.sequence(F.lit(0), F.lit(nx * ny - 1)), lambda n: F.struct(F.floor(n / ny).alias("i"), (n % ny).alias("j")))
-    return F.transform(cells, lambda c: F.struct((minx + c["i"] * w).alias("minx"), (miny + c["j"] * h).alias("miny"), (minx + (c["i"] + 1) * w).alias("maxx"), (miny + (c["j"] + 1) * h).alias("maxy")))
+    return F.transform(
+        cells,
+        lambda c: F.struct(
+            (minx + c["i"] * w).alias("minx"),
+            (miny + c["j"] * h).alias("miny"),
+            (minx + (c["i"] + 1) * w).alias("maxx"),
+            (miny + (c["j"] + 1) * h).alias("maxy"),
+        ),
+    )
 
 
 def chunk_key(bbox: Box) -> str:
@@ -88,7 +96,10 @@ def union(frames: list[DataFrame], geometry: str = "polygon") -> DataFrame | Non
 
 def _get(url: str, params: Mapping[str, str]) -> bytes:
     try:
-        with urllib.request.urlopen(url + ("&" if "?" in url else "?") + urllib.parse.urlencode(params), timeout=TIMEOUT) as answer:  # noqa: S310
+        with urllib.request.urlopen(
+            url + ("&" if "?" in url else "?") + urllib.parse.urlencode(params),
+            timeout=TIMEOUT,
+        ) as answer:  # noqa: S310
             return answer.read()
     except OSError as cause:
         raise ServiceConnectionError(url) from cause
@@ -126,7 +137,13 @@ def extent(root: ET.Element, layer: str) -> Box | None:
 
 def _params(version: str, layer: str, bbox: Box | None, filters: Mapping[str, str] | None) -> dict[str, str]:
     """A request's parameters; a layer's prefix is explained where the protocol asks for it."""
-    found = {"SERVICE": "WFS", "VERSION": version, "REQUEST": "GetFeature", "TYPENAMES" if version == "2.0.0" else "TYPENAME": layer, "SRSNAME": f"EPSG:{SRID}"}
+    found = {
+        "SERVICE": "WFS",
+        "VERSION": version,
+        "REQUEST": "GetFeature",
+        "TYPENAMES" if version == "2.0.0" else "TYPENAME": layer,
+        "SRSNAME": f"EPSG:{SRID}",
+    }
     prefix = layer.partition(":")[0] if ":" in layer else ""
     if prefix and version == "2.0.0":
         found["NAMESPACES"] = f"xmlns({prefix}={NAMESPACE_BASE}/{prefix})"
@@ -174,7 +191,15 @@ def fetch(url: str, layer: str, bbox: Box | None = None, filters: Mapping[str, s
 _ROWS = f"geometry_type string, polygon {POLYGON}, attributes map<string,string>"
 
 
-def load(spark: SparkSession, url: str, layer: str, bbox: Box | None = None, filter_params: Mapping[str, str] | None = None, auto_match: bool = True, mask: list[list[Point]] | None = None) -> Vector:
+def load(
+    spark: SparkSession,
+    url: str,
+    layer: str,
+    bbox: Box | None = None,
+    filter_params: Mapping[str, str] | None = None,
+    auto_match: bool = True,
+    mask: list[list[Point]] | None = None,
+) -> Vector:
     """A layer's features, at once or by chunks of its extent.
 
     ``mask``: rings of a polygon. Without ``bbox`` its box is asked for, chunks that it does not meet are not, and features that it
@@ -221,7 +246,15 @@ def _extent_metres(spark: SparkSession, root: ET.Element, layer: str) -> Box | N
     return min(p[0] for p in moved), min(p[1] for p in moved), max(p[0] for p in moved), max(p[1] for p in moved)
 
 
-def by_chunks(spark: SparkSession, url: str, layer: str, area: Box, filters: Mapping[str, str] | None = None, deepest: int = DEEPEST, mask: list[list[Point]] | None = None) -> DataFrame:
+def by_chunks(
+    spark: SparkSession,
+    url: str,
+    layer: str,
+    area: Box,
+    filters: Mapping[str, str] | None = None,
+    deepest: int = DEEPEST,
+    mask: list[list[Point]] | None = None,
+) -> DataFrame:
     """Chunks in parallel, those that fail or look cut off in four again; a chunk that still does at the last level is an error."""
 
     def run(batches: Iterator[pd.DataFrame], last: bool) -> Iterator[pd.DataFrame]:
@@ -238,7 +271,10 @@ def by_chunks(spark: SparkSession, url: str, layer: str, area: Box, filters: Map
                 out = pd.DataFrame(rows, columns=["geometry_type", "polygon", "attributes"])
                 yield out.assign(minx=None, miny=None, maxx=None, maxy=None)
                 if cut:
-                    yield pd.DataFrame([(None, None, None, *box)], columns=["geometry_type", "polygon", "attributes", "minx", "miny", "maxx", "maxy"])
+                    yield pd.DataFrame(
+                        [(None, None, None, *box)],
+                        columns=["geometry_type", "polygon", "attributes", "minx", "miny", "maxx", "maxy"],
+                    )
 
     inside = lambda boxes: [b for b in boxes if mask is None or box_meets(b, mask)]
     parts, chunks = [], inside(grid(area, 2, 2))
@@ -246,7 +282,10 @@ def by_chunks(spark: SparkSession, url: str, layer: str, area: Box, filters: Map
         return spark.createDataFrame([], _ROWS)
     for level in range(deepest):
         boxes = spark.createDataFrame(chunks, "minx double, miny double, maxx double, maxy double").repartition(len(chunks))
-        got = store(boxes.mapInPandas(partial(run, last=level == deepest - 1), _ROWS + ", minx double, miny double, maxx double, maxy double"), "chunks")
+        got = store(
+            boxes.mapInPandas(partial(run, last=level == deepest - 1), _ROWS + ", minx double, miny double, maxx double, maxy double"),
+            "chunks",
+        )
         parts.append(got.where("minx is null").select("geometry_type", "polygon", "attributes"))
         chunks = [q for r in got.where("minx is not null").select("minx", "miny", "maxx", "maxy").collect() for q in inside(grid(tuple(r), 2, 2))]
         if not chunks:

@@ -16,8 +16,19 @@ from gridloom.sources.detect import array_cells, clipped, kind_of, load, meets
 from gridloom.sources.tiff import decode, encode, read_raster
 
 # Rules of every kind: all three given, the last two open, the last open, and the middle one open.
-TUPLES = {("surface", "use", "owner"): {("gravel", "track", "state"): 11.0, ("gravel", "", ""): 12.5, ("asphalt", "highway", ""): 90.0, ("asphalt", "", "private"): 33.0, ("asphalt", "lane", ""): 21.0, ("asphalt", "parking", ""): 17.0}}
-NESTED = {("surface", "use"): {"gravel": {"track": 11.0, "quarry": 70.0, "": 12.5}, "asphalt": {"highway": 90.0, "lane": 21.0}, "meadow": {"hay": 3.0, "grazing": 4.0, "fallow": 2.25}}}
+TUPLES = {("surface", "use", "owner"): {
+    ("gravel", "track", "state"): 11.0,
+    ("gravel", "", ""): 12.5,
+    ("asphalt", "highway", ""): 90.0,
+    ("asphalt", "", "private"): 33.0,
+    ("asphalt", "lane", ""): 21.0,
+    ("asphalt", "parking", ""): 17.0,
+}}
+NESTED = {("surface", "use"): {
+    "gravel": {"track": 11.0, "quarry": 70.0, "": 12.5},
+    "asphalt": {"highway": 90.0, "lane": 21.0},
+    "meadow": {"hay": 3.0, "grazing": 4.0, "fallow": 2.25},
+}}
 
 
 def test_simple_costs_overwrite(spark):
@@ -43,7 +54,16 @@ def test_tuple_costs_with_wildcards(spark):
 
 
 def test_nested_costs(spark):
-    expected = {("gravel", "quarry"): 70.0, ("gravel", "track"): 11.0, ("gravel", "dump"): 12.5, ("gravel", None): 12.5, ("asphalt", "lane"): 21.0, ("asphalt", "square"): None, ("meadow", "fallow"): 2.25, ("rails", "track"): None}
+    expected = {
+        ("gravel", "quarry"): 70.0,
+        ("gravel", "track"): 11.0,
+        ("gravel", "dump"): 12.5,
+        ("gravel", None): 12.5,
+        ("asphalt", "lane"): 21.0,
+        ("asphalt", "square"): None,
+        ("meadow", "fallow"): 2.25,
+        ("rails", "track"): None,
+    }
     rows = spark.createDataFrame([(i, *k) for i, k in enumerate(expected)], "i int, surface string, use string")
     got = C.apply_costs(rows, C.CostTable.from_dict(spark, NESTED)).orderBy("i")
     assert [r.cost for r in got.collect()] == list(expected.values())
@@ -76,7 +96,10 @@ def test_cost_file_variants(spark, tmp_path):
 
 
 def test_detect_features(spark, tmp_path):
-    rows = spark.createDataFrame([(i, ["forest", "water", "urban"][i % 3], ["a", "b"][i % 2], str(i)) for i in range(60)], "id int, landuse string, kind string, name string")
+    rows = spark.createDataFrame(
+        [(i, ["forest", "water", "urban"][i % 3], ["a", "b"][i % 2], str(i)) for i in range(60)],
+        "id int, landuse string, kind string, name string",
+    )
     main, sides = C.detect_features(rows)
     assert main == "landuse" and sides == ["kind"]
     files.save_template(rows, str(tmp_path / "t.csv"))
@@ -224,7 +247,14 @@ def test_service_with_a_limit(spark):
             else:
                 box = [float(v) for v in q["BBOX"].split(",")[:4]] if "BBOX" in q else [-1e9, -1e9, 1e9, 1e9]
                 hits = [p for p in points if box[0] <= p[0] <= box[2] and box[1] <= p[1] <= box[3]][:1000]
-                data = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"v": str(p[0])}, "geometry": {"type": "Point", "coordinates": p}} for p in hits]}).encode()
+                data = json.dumps({
+                    "type": "FeatureCollection",
+                    "features": [{
+                        "type": "Feature",
+                        "properties": {"v": str(p[0])},
+                        "geometry": {"type": "Point", "coordinates": p},
+                    } for p in hits],
+                }).encode()
             self.send_response(200)
             self.end_headers()
             self.wfile.write(data)
@@ -264,7 +294,14 @@ class Service:
                     if q.get("RESULTTYPE") == "hits":
                         data = f'<c numberMatched="{len(hits)}"/>'.encode() if tells else b"unknown"
                     else:
-                        data = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"v": str(p[0])}, "geometry": {"type": "Point", "coordinates": p}} for p in hits[:limit]]}).encode()
+                        data = json.dumps({
+                            "type": "FeatureCollection",
+                            "features": [{
+                                "type": "Feature",
+                                "properties": {"v": str(p[0])},
+                                "geometry": {"type": "Point", "coordinates": p},
+                            } for p in hits[:limit]],
+                        }).encode()
                 self.send_response(200)
                 self.end_headers()
                 self.wfile.write(data)
@@ -314,7 +351,15 @@ def test_boxes_and_masks_in_other_systems(spark, tmp_path):
     import json
 
     square = lambda x: [[[x, 0.0], [x + 2, 0.0], [x + 2, 2.0], [x, 2.0], [x, 0.0]]]
-    doc = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "EPSG:25832"}}, "features": [{"type": "Feature", "properties": {"n": i}, "geometry": {"type": "Polygon", "coordinates": square(3.0 * i)}} for i in range(4)]}
+    doc = {
+        "type": "FeatureCollection",
+        "crs": {"type": "name", "properties": {"name": "EPSG:25832"}},
+        "features": [{
+            "type": "Feature",
+            "properties": {"n": i},
+            "geometry": {"type": "Polygon", "coordinates": square(3.0 * i)},
+        } for i in range(4)],
+    }
     path = f"{tmp_path}/a.geojson"
     with open(path, "w") as file:
         json.dump(doc, file)
@@ -352,10 +397,20 @@ def test_clip_to_any_shape(spark):
 
 
 def test_legend_and_screening(spark):
-    cells = spark.range(40).select(F.col("id").cast("int").alias("row"), F.lit(0).alias("col"), (F.col("id") * 3).cast("int").alias("value"))
+    cells = spark.range(40).select(
+        F.col("id").cast("int").alias("row"),
+        F.lit(0).alias("col"),
+        (F.col("id") * 3).cast("int").alias("value"),
+    )
     assert [r.rank - 1 for r in R.legend_sample(cells).orderBy("rank").collect()] == [0, 3, 7, 10, 14, 17, 21, 24, 28, 31, 35, 39]
     assert R.legend_sample(cells.limit(12)).count() == 12 == R.legend_sample(cells, 12).count()
-    options = spark.createDataFrame([("a", 1, 5.0, True), ("a", 2, 3.0, False), ("a", 3, 4.0, True), ("a", 4, 4.0, True), ("b", 5, 1.0, False), ("c", 6, None, True)], "g string, n int, cost double, ok boolean")
+    options = spark.createDataFrame(
+        [("a", 1, 5.0, True), ("a", 2, 3.0, False), ("a", 3, 4.0, True), ("a", 4, 4.0, True), ("b", 5, 1.0, False), ("c", 6, None, True)],
+        "g string, n int, cost double, ok boolean",
+    )
     assert [(r.g, r.n) for r in M.cheapest_valid(options, F.col("ok"), "g", "cost", "n").collect()] == [("a", 3)]
-    lengths = spark.createDataFrame([(1, 10, 2.0), (1, 65535, 3.0), (1, 7, None), (2, 65535, 1.0)], "path_id long, category int, length double")
+    lengths = spark.createDataFrame(
+        [(1, 10, 2.0), (1, 65535, 3.0), (1, 7, None), (2, 65535, 1.0)],
+        "path_id long, category int, length double",
+    )
     assert sorted((r.path_id, r.cost) for r in M.path_costs(lengths).collect()) == [(1, 20.0), (2, 0.0)]

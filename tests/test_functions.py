@@ -39,7 +39,10 @@ def test_region_bounds():
     assert a == N.Bounds(0, 4, 0, 4) and b == N.Bounds(1, 5, 1, 5)
 
 
-@pytest.mark.parametrize("k, expected", [(0, (1.414214, 0.5)), (1, (1.082392, 0.207107)), (2, (1.027486, 0.118034)), (3, (1.013081, 0.081139)), (4, (1.007549, 0.061553))])
+@pytest.mark.parametrize(
+    "k, expected",
+    [(0, (1.414214, 0.5)), (1, (1.082392, 0.207107)), (2, (1.027486, 0.118034)), (3, (1.013081, 0.081139)), (4, (1.007549, 0.061553))],
+)
 def test_lattice_errors(k, expected):
     assert N.largest_errors(k) == pytest.approx(expected, abs=1e-6)
 

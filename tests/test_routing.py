@@ -43,7 +43,18 @@ def dijkstra(values, k, source):
     return dist
 
 
-@pytest.mark.parametrize("values, k, n, total, cost", [(R5, 0, 40, 60.0, 8.0), (R5, 1, 72, 133.539105243, 7.767766953), (R5, 2, 120, 316.896679398, 7.767766953), (R5, 3, 176, 643.604712574, 7.767766953), (R3, 0, 12, 36.0, 12.0), (R3, 1, 20, 69.941125497, 8.485281374), (R3, 2, 28, 123.606756957, 8.485281374)])
+@pytest.mark.parametrize(
+    "values, k, n, total, cost",
+    [
+        (R5, 0, 40, 60.0, 8.0),
+        (R5, 1, 72, 133.539105243, 7.767766953),
+        (R5, 2, 120, 316.896679398, 7.767766953),
+        (R5, 3, 176, 643.604712574, 7.767766953),
+        (R3, 0, 12, 36.0, 12.0),
+        (R3, 1, 20, 69.941125497, 8.485281374),
+        (R3, 2, 28, 123.606756957, 8.485281374),
+    ],
+)
 def test_golden_edges_and_costs(spark, values, k, n, total, cost):
     w = len(values[0])
     for how in (E.edges, E.edges_by_cells):
@@ -160,8 +171,20 @@ def test_routes_by_tiles(spark, k, side):
     values[10:13, 10:13] = FORBIDDEN
     values[11, 11] = 1  # walled in
     ends = [0, 30 * 43 + 42, 3 * 43 + 40, 20 * 43 + 2, 11 * 43 + 11]
-    for wanted in (route.requests(spark, ends[0], ends[1:] + [-1, 5000]), route.requests(spark, ends[1:3], ends[3]), route.requests(spark, ends[0], ends[0])):
-        whole, tiled = (sorted((r.ord, r.source, r.target, r.cost, list(r.node_ids)) for r in route.solve(cells(spark, values), 31, 43, wanted, k, window_cells=n, side=side).collect()) for n in (None, 0))
+    for wanted in (
+        route.requests(spark, ends[0], ends[1:] + [-1, 5000]),
+        route.requests(spark, ends[1:3], ends[3]),
+        route.requests(spark, ends[0], ends[0]),
+    ):
+        whole, tiled = (sorted((r.ord, r.source, r.target, r.cost, list(r.node_ids)) for r in route.solve(
+            cells(spark, values),
+            31,
+            43,
+            wanted,
+            k,
+            window_cells=n,
+            side=side,
+        ).collect()) for n in (None, 0))
         assert whole == tiled
 
 
@@ -186,7 +209,11 @@ def test_own_heuristics_and_searches(spark):
     best = solve()
     none = lambda r, c, tr, tc: np.zeros(len(r))
     assert solve(algorithm="astar", heuristic=none).cost == best.cost
-    assert solve(algorithm="astar", heuristic_radius=1000).cost == best.cost <= solve(algorithm="astar", heuristic_radius=0, heuristic_weight=3.0).cost
+    assert solve(algorithm="astar", heuristic_radius=1000).cost == best.cost <= solve(
+        algorithm="astar",
+        heuristic_radius=0,
+        heuristic_weight=3.0,
+    ).cost
     row = solve(algorithm=lambda window, start, ends: [(float(len(ends)), [start, *ends]) for _ in ends])
     assert (row.cost, list(row.node_ids)) == (1.0, [0, 999])
     window = Window(np.where(np.arange(1000).reshape(25, 40) < 500, 9, 2), route.directed(1))

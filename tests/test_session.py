@@ -31,7 +31,10 @@ def test_release_deletes_the_tables_of_a_scope(spark):
 
 def test_a_cluster_needs_a_shared_folder():
     conf = {}
-    fake = SimpleNamespace(conf=SimpleNamespace(get=conf.get), sparkContext=SimpleNamespace(master="spark://head:7077", applicationId="app-fake"))
+    fake = SimpleNamespace(
+        conf=SimpleNamespace(get=conf.get),
+        sparkContext=SimpleNamespace(master="spark://head:7077", applicationId="app-fake"),
+    )
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(fake)
     conf["spark.checkpoint.dir"] = "hdfs://head/work/"
