@@ -94,6 +94,29 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def as_batches(schema: str, rows: Iterator[tuple], size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of at most 2,000 rows, or of 4 MB by ``size`` and what the last row adds."""
+    named = [x.split() for x in schema.split(", ")]
+    kinds = [pa.list_(_ARROW[kind[6:-1]]) if kind.startswith("array<") else _ARROW[kind] for _, kind in named]
+    names = [name for name, _ in named]
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+    held, much = [], 0
+    for row in rows:
+        held.append(row)
+        much += size(row)
+        if len(held) >= 2000 or much > 1 << 22:
+            yield batch()
+            held, much = [], 0
+    if held:
+        yield batch()
+
+
 def attach(left: DataFrame, right: DataFrame, keys: list[str], spread: list[Column], how: str, rows: str, broadcast: int = 0) -> DataFrame:
     """Join facts of groups to the members of groups, the members of a large group dealt over several tasks.
 

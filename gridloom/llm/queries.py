@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, licences, mixing, packing, quality, substring_dedup, warc
+from gridloom.llm import (
+    chat,
+    divergence,
+    embedding_dedup,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    licences,
+    mixing,
+    packing,
+    prefix_trie,
+    quality,
+    substring_dedup,
+    warc,
+)
 from gridloom.session import ship
 
 
@@ -70,6 +84,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations"), rebuild=True)
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.segments(chat.planted(_read(spark, sf_dir, "conversations")))
+    return chat.read_back(found, ordered=True).drop("valid")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -82,6 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_packing": op10_packing,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_chat_format": op12_chat_format,
+        "op13_divergence": op13_divergence,
     }
 
 
@@ -152,4 +182,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_embedding_dedup": VECTOR_SQL,
         "op7_mixing": mixing.mix_sql(),
         "op9_jaccard_join": JACCARD_SQL,
+        "op11_prefix_trie": prefix_trie.trie_sql(),
+        "op12_chat_format": chat.format_sql(),
+        "op13_divergence": divergence.audit_sql(),
     }
