@@ -77,6 +77,7 @@ class PathFinder:
         self.spark, self.steps, self.ignore_max = spark, neighborhood, ignore_max
         self.sources, self.targets = points(sources), points(targets)
         self.runtimes: dict[str, float] = {}
+        self._held: list[DataFrame] = []
         data = self._timed("loading", lambda: load(spark, dataset, **options))
         if isinstance(data, Vector):
             began = time.perf_counter()
@@ -92,7 +93,7 @@ class PathFinder:
         ends = _list(self.sources) + _list(self.targets)
         self.buffer = buffer if buffer is not None else R.estimate_buffer(self.cells, data.meta, _list(self.sources), _list(self.targets))
         self.window, self.meta = R.search_space(self.cells, data.meta, ends, self.buffer)
-        self.window = self.window.persist()
+        self.window = self._hold(self.window)
         self._timed("search_space", self.window.count)
         self.paths: DataFrame | None = None
 
@@ -128,7 +129,8 @@ class PathFinder:
             heuristic_weight,
             heuristic,
             heuristic_radius,
-        ).persist()
+        )
+        found = self._hold(found)
         self._timed("shortest_path", found.count)
         hits = route.reached(found).select(
             F.col("ord").alias("path_id"),
@@ -143,7 +145,7 @@ class PathFinder:
         if metrics:
             hits = self._timed(
                 "metrics",
-                lambda: M.records(hits, M.length_by_category(hits, self.window, self.meta.width), self.meta).persist(),
+                lambda: self._hold(M.records(hits, M.length_by_category(hits, self.window, self.meta.width), self.meta)),
             )
         self.runtimes["total"] = sum(v for k, v in self.runtimes.items() if k != "total")
         self.paths = hits.withColumn("runtimes", F.create_map(*[F.lit(x) for kv in self.runtimes.items() for x in kv]))
@@ -165,8 +167,14 @@ class PathFinder:
         """The raster with its overlays, or the masked search window."""
         write_raster(self.window if window else self.cells, self.meta if window else self.raster.meta, path)
 
+    def _hold(self, df: DataFrame) -> DataFrame:
+        self._held.append(df.persist())
+        return df
+
     def close(self) -> None:
-        self.window.unpersist()
+        """Release the window and the results of every ``find``."""
+        while self._held:
+            self._held.pop().unpersist()
 
 
 def add_paths(collection: DataFrame, new: DataFrame, replace: bool = True) -> DataFrame:

@@ -87,10 +87,18 @@ class Window:
 
 
 class Search:
-    """Distances from some nodes, bucket by bucket."""
-
-    def __init__(self, window: Window, start: dict[int, float], buckets: bool = True, bound: np.ndarray | None = None) -> None:
+    """Distances from some nodes, bucket by bucket; with ``parents`` also the node before each on its path."""
+
+    def __init__(
+        self,
+        window: Window,
+        start: dict[int, float],
+        buckets: bool = True,
+        bound: np.ndarray | None = None,
+        parents: bool = False,
+    ) -> None:
         self.window, self.buckets, self.bound = window, buckets, bound
+        self.parents = np.full(window.height * window.width, -1, np.int64) if parents else None
         self.dist = np.full(window.height * window.width, np.inf)
         nodes = [n for n in start if window.open.flat[n]]
         self.dist[nodes] = [start[n] for n in nodes]
@@ -121,32 +129,23 @@ class Search:
                 better = cost < dist[to]
                 to, cost = to[better], cost[better]  # a step leads each node elsewhere
                 dist[to] = cost
+                if self.parents is not None:
+                    self.parents[to] = to - jump
                 rest.append(to)
                 self.changed.append(to)
             self.pending = np.unique(np.concatenate(rest))
         self.settled = limit
         return True
 
+    def chain(self, node: int) -> list[int]:
+        """Nodes from one back to where the search began.
 
-def predecessor(window: Window, dist: np.ndarray, node: int) -> int:
-    """The node before on a shortest path; of several the smallest."""
-    r, c = divmod(node, window.width)
-    options = []
-    for step, ((dr, dc), jump) in enumerate(zip(window.steps, window.jumps, strict=True)):
-        if 0 <= r - dr < window.height and 0 <= c - dc < window.width and np.isfinite(dist[node - jump]):
-            if dist[node - jump] + window.weight(step, np.array([node - jump]))[0] == dist[node]:
-                options.append(node - jump)
-    if not options:
-        raise AssertionError("a distance without a predecessor")
-    return min(options)
-
-
-def path_to(window: Window, dist: np.ndarray, target: int) -> list[int]:
-    """Nodes from the start to the target."""
-    path = [target]
-    while dist[path[-1]] > 0:
-        path.append(predecessor(window, dist, path[-1]))
-    return path[::-1]
+        A node's parent changes only when the node gets better, so a chain ends even where steps cost nothing.
+        """
+        found = [node]
+        while self.parents[found[-1]] >= 0:
+            found.append(int(self.parents[found[-1]]))
+        return found
 
 
 Heuristic = Callable[[np.ndarray, np.ndarray, int, int], np.ndarray]
@@ -181,16 +180,16 @@ def routes(
             bound = window.heuristic(wanted[0], heuristic_weight, source, heuristic_radius)
         else:
             bound = heuristic(*np.divmod(np.arange(size), window.width), *divmod(wanted[0], window.width)) * heuristic_weight
-    search = Search(window, {source: 0.0}, algorithm != "bellman_ford", bound)
+    search = Search(window, {source: 0.0}, algorithm != "bellman_ford", bound, parents=True)
     while search.settled <= search.dist[wanted].max() and search.step():
         search.best = search.dist[wanted[0]] if bound is not None else math.inf
     dist = search.dist
-    return [(float(dist[t]), path_to(window, dist, t)) if ok and np.isfinite(dist[t]) else (math.inf, []) for t, ok in zip(targets, valid, strict=True)]
+    return [(float(dist[t]), search.chain(t)[::-1]) if ok and np.isfinite(dist[t]) else (math.inf, []) for t, ok in zip(targets, valid, strict=True)]
 
 
 def _two_sided(window: Window, source: int, target: int) -> tuple[float, list[int]]:
     """The path from searches that meet; the graph is undirected."""
-    ahead, back = Search(window, {source: 0.0}), Search(window, {target: 0.0})
+    ahead, back = (Search(window, {end: 0.0}, parents=True) for end in (source, target))
     best, meet = math.inf, -1
     while ahead.settled + back.settled < best:
         side, other = (ahead, back) if ahead.settled <= back.settled else (back, ahead)
@@ -203,7 +202,7 @@ def _two_sided(window: Window, source: int, target: int) -> tuple[float, list[in
                 best, meet = float(both.min()), int(nodes[both.argmin()])
     if meet < 0:
         return math.inf, []
-    path = path_to(window, ahead.dist, meet) + path_to(window, back.dist, meet)[-2::-1]
+    path = ahead.chain(meet)[::-1] + back.chain(meet)[1:]
     # Weights are summed from the source on, as the other algorithms do.
     cost, steps = 0.0, {jump: i for i, jump in enumerate(window.jumps)}
     for a, b in zip(path, path[1:], strict=False):

@@ -526,7 +526,7 @@ for _k in range(3):
 
 @query("sssp_tiled", dist_sql(2) + " SELECT n AS node, round(dist, 6) AS dist FROM d")
 def sssp_tiled(spark, sf):
-    found = route.tiled_distances(part_cells(spark, sf), part_height(spark, sf), WIDTH, ends(spark, sf)[0], 2, side=32)
+    found = route.tiled_distances(part_cells(spark, sf), part_height(spark, sf), WIDTH, ends(spark, sf)[0], 2, side=128)
     return found.select("node", r6("dist").alias("dist"))
 
 
@@ -583,9 +583,9 @@ def route_n_to_1(spark, sf):
 
 @query("route_tiled", _one_to_many_sql(0, 3))
 def route_tiled(spark, sf):
-    """As for a window too large to broadcast."""
+    """As for a raster larger than a tile."""
     a = _free(spark, sf, 4)
-    return _routes(spark, sf, a[0], a[1:], window_cells=0, side=32)
+    return _routes(spark, sf, a[0], a[1:], side=128)
 
 
 def _several_sql(pairs: list[tuple[int, int]]) -> str:

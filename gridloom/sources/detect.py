@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import SystemMismatchError
@@ -196,21 +196,78 @@ def within_box(features: DataFrame, bbox: Box) -> DataFrame:
     return features.where((b["minx"] <= bbox[2]) & (b["maxx"] >= bbox[0]) & (b["miny"] <= bbox[3]) & (b["maxy"] >= bbox[1]))
 
 
-def meets(features: DataFrame, mask: Rings) -> DataFrame:
-    """Features that meet a polygon: a corner of one in the other, or crossing sides."""
-    near = within_box(features, G.bounds_of(mask))
-    other = G.sides_of(G.literal_polygon(mask))
-    own = G.sides_of(F.col("polygon"))
+_SIDES = "array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>"
+
+
+def _mask_row(spark: SparkSession, mask: Rings) -> DataFrame:
+    """A mask as one row: its sides, and a corner of each ring. In a plan it stands as data, so its size doesn't grow the plan."""
+    sides = [{"a": {"x": float(a[0]), "y": float(a[1])}, "b": {"x": float(b[0]), "y": float(b[1])}} for ring in mask for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)]
+    corners = [{"x": float(ring[0][0]), "y": float(ring[0][1])} for ring in mask if ring]
+    return spark.createDataFrame([(sides, corners)], f"_sides {_SIDES}, _corners array<struct<x:double,y:double>>")
+
+
+def _touch(own: Column, own_corners: Column, other: Column, other_corners: Column) -> Column:
+    """Whether two areas meet, by their sides and corners: a corner of one in the other, or crossing sides.
+
+    Of each ring one corner is enough, as a ring without crossing sides lies on one side of the other area.
+    """
     side = lambda s, p: (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])
+    beside = lambda s, t, v: F.greatest(s["a"][v], s["b"][v]) >= F.least(t["a"][v], t["b"][v])
+    near = lambda s, t: beside(s, t, "x") & beside(t, s, "x") & beside(s, t, "y") & beside(t, s, "y")  # noqa: E731  (of sides on one line)
     crossing = F.exists(
         own,
-        lambda s: F.exists(other, lambda t: (side(s, t["a"]) * side(s, t["b"]) <= 0) & (side(t, s["a"]) * side(t, s["b"]) <= 0)),
+        lambda s: F.exists(other, lambda t: near(s, t) & (side(s, t["a"]) * side(s, t["b"]) <= 0) & (side(t, s["a"]) * side(t, s["b"]) <= 0)),
+    )
+    within = lambda corners, sides: F.exists(corners, lambda p: G.inside(sides, p["x"], p["y"]))
+    return within(own_corners, other) | within(other_corners, own) | crossing
+
+
+def meets(features: DataFrame, mask: Rings) -> DataFrame:
+    """Features that meet a polygon of any number of rings, in any order."""
+    near = within_box(features, G.bounds_of(mask)).crossJoin(F.broadcast(_mask_row(features.sparkSession, mask)))  # one row, as large as the mask
+    found = near.where(_touch(G.sides_of(F.col("polygon")), F.flatten("polygon"), F.col("_sides"), F.col("_corners")))
+    return found.drop("_sides", "_corners")
+
+
+def meets_any(features: DataFrame, masks: DataFrame, key: str = "feature_id") -> DataFrame:
+    """Features that meet at least one of many masks (polygon): a semi-join, however many masks there are.
+
+    Every box is filed in cells of a power-of-two side, at the level at which the side is no less than the box, so it touches at most four.
+    Boxes of a level also look into the coarser levels in use above their own, so each pair of boxes that meet shares a cell, and
+    large masks are not copied into many cells. Candidates are then compared exactly; features without corners or
+    with a null polygon meet none. ``key`` tells features apart; rows that repeat stay.
+    """
+    ends = lambda name: G.bbox(F.col(name))
+    mine = features.where(F.size("polygon") > 0).select(F.col(key).alias("_key"), F.col("polygon").alias("_own")).withColumn("_b", ends("_own"))
+    theirs = masks.where(F.size("polygon") > 0).select(F.col("polygon").alias("_mask")).withColumn("_m", ends("_mask"))
+    level = lambda b: F.ceil(F.log2(F.greatest(b["maxx"] - b["minx"], b["maxy"] - b["miny"], F.lit(2.0**-20)))).cast("int")
+    theirs = theirs.withColumn("_level", level(F.col("_m")))
+    mine = mine.withColumn("_level", level(F.col("_b")))
+    used = lambda df: [r[0] for r in df.select("_level").distinct().collect()]  # noqa: E731  (at most a few dozen powers of two)
+    levels = sorted({*used(theirs), *used(mine)})
+    if not levels:
+        return features.limit(0)
+    known = F.array(*map(F.lit, levels))
+
+    def filed(df: DataFrame, box: str, at: Column) -> DataFrame:
+        """A row for each level in ``at`` and each cell there that a box touches; at its own level or above these are at most four."""
+        df = df.withColumn("_at", F.explode(at))
+        step = F.pow(F.lit(2.0), F.col("_at"))
+        span = lambda low, high: F.sequence(F.floor(F.col(box)[low] / step), F.floor(F.col(box)[high] / step))
+        return df.withColumn("_x", F.explode(span("minx", "maxx"))).withColumn("_y", F.explode(span("miny", "maxy")))
+
+    coarser = lambda strict: F.filter(known, lambda v: v > F.col("_level") if strict else v >= F.col("_level"))
+    own_level = F.array(F.col("_level"))
+    # A pair meets at the coarser of its two levels: either the mask's, or the feature's if that is strictly coarser.
+    at = ["_at", "_x", "_y"]
+    boxes = lambda df: df.where(
+        (F.col("_b.minx") <= F.col("_m.maxx")) & (F.col("_b.maxx") >= F.col("_m.minx")) & (F.col("_b.miny") <= F.col("_m.maxy")) & (F.col("_b.maxy") >= F.col("_m.miny"))
     )
-    corner_in = F.exists(F.flatten("polygon"), lambda p: G.inside(other, p["x"], p["y"]))
-    holds = F.lit(False)
-    for x, y in mask[0][:1]:
-        holds = holds | G.inside(own, F.lit(float(x)), F.lit(float(y)))
-    return near.where(corner_in | holds | crossing)
+    one = filed(mine, "_b", coarser(False)).drop("_level").join(filed(theirs, "_m", own_level).drop("_level"), at)
+    two = filed(mine, "_b", own_level).drop("_level").join(filed(theirs, "_m", coarser(True)).drop("_level"), at)
+    near = boxes(one.unionByName(two))
+    hit = near.where(_touch(G.sides_of(F.col("_own")), F.flatten("_own"), G.sides_of(F.col("_mask")), F.flatten("_mask")))
+    return features.join(hit.select(F.col("_key").alias(key)).distinct(), key, "left_semi")
 
 
 def clipped(features: DataFrame, mask: Rings) -> DataFrame:

@@ -54,7 +54,7 @@ def read(spark: SparkSession, path: str, layer: str | None = None, bbox: tuple[f
                 rows = []
                 for row in decode(content, side, layer):
                     if bbox is None or _meets_box(row[1], bbox):
-                        rows.append(row)
+                        rows.append(row[:4])
                     if len(rows) == 4096:
                         yield pd.DataFrame(rows, columns=["geometry_type", "polygon", "attributes", "srid"])
                         rows = []
@@ -132,6 +132,7 @@ def parse_geojson(text: str | None) -> list[dict] | None:
         "geometry_type": f["geometry"]["type"],
         "polygon": rings(f["geometry"]),
         "attributes": {k: None if v is None else str(v) for k, v in (f.get("properties") or {}).items()},
+        "id": None if f.get("id") is None else str(f["id"]),
     } for f in found if f.get("geometry")] if found else None
 
 
@@ -266,7 +267,8 @@ def _gml(content: bytes, _: bytes | None, layer: str | None) -> Iterator[tuple]:
                     kind = "Point" if _local(x.tag) == "pos" and len(v) == 2 else kind
                 elif _local(x.tag) == "coordinates" and x.text:
                     found.append([{"x": float(p.split(",")[0]), "y": float(p.split(",")[1])} for p in x.text.split()])
-            yield kind, found, {_local(x.tag): (x.text or "").strip() or None for x in feature if not len(x)}, srid
+            named = next((v for k, v in feature.attrib.items() if _local(k) in ("id", "fid")), None)
+            yield kind, found, {_local(x.tag): (x.text or "").strip() or None for x in feature if not len(x)}, srid, named
 
 
 def _kml(content: bytes, _: bytes | None, layer: str | None) -> Iterator[tuple]:

@@ -13,7 +13,7 @@ import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Mapping
 from difflib import SequenceMatcher
-from functools import partial
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -178,7 +178,7 @@ def fetch(url: str, layer: str, bbox: Box | None = None, filters: Mapping[str, s
                 return found
             if text.lstrip().startswith("{") and json.loads(text).get("features") == []:
                 return []
-            rows = [dict(zip(("geometry_type", "polygon", "attributes"), r[:3], strict=True)) for r in _gml(data, None, None)]
+            rows = [dict(zip(("geometry_type", "polygon", "attributes"), r[:3], strict=True)) | {"id": r[4]} for r in _gml(data, None, None)]
             if rows:
                 return rows
         except (ServiceConnectionError, ET.ParseError, ValueError) as cause:
@@ -188,7 +188,15 @@ def fetch(url: str, layer: str, bbox: Box | None = None, filters: Mapping[str, s
     return []
 
 
-_ROWS = f"geometry_type string, polygon {POLYGON}, attributes map<string,string>"
+_COLUMNS = ["geometry_type", "polygon", "attributes", "id"]
+_ROWS = f"geometry_type string, polygon {POLYGON}, attributes map<string,string>, id string"
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """Each feature once, as chunks that touch both return it: by the service's id, where there is none by geometry and all attributes."""
+    told = F.to_json(F.struct("geometry_type", "polygon", F.array_sort(F.map_entries("attributes"))))
+    key = F.coalesce(F.concat(F.lit("i"), F.col("id")), F.concat(F.lit("g"), F.sha2(told, 256)))
+    return rows.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct("geometry_type", "polygon", "attributes"), F.sha2(told, 256)).alias("_row")).select("_row.*")
 
 
 def load(
@@ -200,7 +208,7 @@ def load(
     auto_match: bool = True,
     mask: list[list[Point]] | None = None,
 ) -> Vector:
-    """A layer's features, at once or by chunks of its extent.
+    """A layer's features, at once or by chunks of its extent; each of them once (see ``once``), whichever way they came.
 
     ``mask``: rings of a polygon. Without ``bbox`` its box is asked for, chunks that it does not meet are not, and features that it
     does not meet go.
@@ -223,7 +231,7 @@ def load(
         except FeatureServiceError:
             pass
     if rows is not None and len(rows) not in CUT_OFF:
-        found = _vector(spark.createDataFrame(rows, _ROWS))
+        found = _vector(once(spark.createDataFrame(rows, _ROWS)))
     else:
         area = bbox or _extent_metres(spark, root, name)
         if area is None and rows:
@@ -268,28 +276,28 @@ def by_chunks(
                 except FeatureServiceError:
                     found, cut = [], True
                 rows = [] if cut else found
-                out = pd.DataFrame(rows, columns=["geometry_type", "polygon", "attributes"])
+                out = pd.DataFrame(rows, columns=_COLUMNS)
                 yield out.assign(minx=None, miny=None, maxx=None, maxy=None)
                 if cut:
                     yield pd.DataFrame(
-                        [(None, None, None, *box)],
-                        columns=["geometry_type", "polygon", "attributes", "minx", "miny", "maxx", "maxy"],
+                        [(None, None, None, None, *box)],
+                        columns=[*_COLUMNS, "minx", "miny", "maxx", "maxy"],
                     )
 
     inside = lambda boxes: [b for b in boxes if mask is None or box_meets(b, mask)]
     parts, chunks = [], inside(grid(area, 2, 2))
     if not chunks:
-        return spark.createDataFrame([], _ROWS)
+        return once(spark.createDataFrame([], _ROWS))
     for level in range(deepest):
         boxes = spark.createDataFrame(chunks, "minx double, miny double, maxx double, maxy double").repartition(len(chunks))
         got = store(
             boxes.mapInPandas(partial(run, last=level == deepest - 1), _ROWS + ", minx double, miny double, maxx double, maxy double"),
             "chunks",
         )
-        parts.append(got.where("minx is null").select("geometry_type", "polygon", "attributes"))
+        parts.append(got.where("minx is null").select(*_COLUMNS))
         chunks = [q for r in got.where("minx is not null").select("minx", "miny", "maxx", "maxy").collect() for q in inside(grid(tuple(r), 2, 2))]
         if not chunks:
-            return union(parts)
+            return once(reduce(DataFrame.unionByName, parts))
     raise FeatureServiceError(f"{len(chunks)} chunks of {layer} fail or are cut off")
 
 

@@ -1,4 +1,6 @@
+import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -11,9 +13,9 @@ from gridloom.operators import costs as C
 from gridloom.operators import metrics as M
 from gridloom.operators import raster as R
 from gridloom.sources import costs as files
-from gridloom.sources import vectors, wfs
-from gridloom.sources.detect import array_cells, clipped, kind_of, load, meets
-from gridloom.sources.tiff import decode, encode, read_raster
+from gridloom.sources import tiff, vectors, wfs
+from gridloom.sources.detect import array_cells, clipped, kind_of, load, meets, meets_any
+from gridloom.sources.tiff import decode, encode, read_raster, write_raster
 
 # Rules of every kind: all three given, the last two open, the last open, and the middle one open.
 TUPLES = {("surface", "use", "owner"): {
@@ -212,6 +214,196 @@ def test_tiff_round_trip(spark, tmp_path, dtype):
     assert r.meta == m and r.bands == 2 and r.cells.count() == 70 and r.cells.where("band = 1 and row = 6 and col = 4").first().value == 69
 
 
+def pack_lzw(data):
+    """Codes of 9 to 12 bits, as the TIFF specification describes the compressor."""
+    bits, n = 0, 0
+    table = {}
+
+    def put(code, width):
+        nonlocal bits, n
+        bits, n = bits << width | code, n + width
+
+    def clear():
+        nonlocal table
+        table = {bytes([i]): i for i in range(256)} | {None: 256, (): 257}
+        return 9
+
+    width, held = 9, b""
+    put(256, 9)
+    width = clear()
+    for byte in data:
+        if held + bytes([byte]) in table:
+            held += bytes([byte])
+            continue
+        put(table[held], width)
+        table[held + bytes([byte])] = len(table)
+        held = bytes([byte])
+        if len(table) == 4095:
+            put(table[held], width)
+            put(256, width)
+            width, held = clear(), b""
+        elif len(table) in (512, 1024, 2048):
+            width += 1
+    if held:
+        put(table[held], width)
+    put(257, width)
+    return (bits << (-n) % 8).to_bytes((n + 7) // 8, "big")
+
+
+def test_lzw():
+    rng = np.random.default_rng(1)
+    for data in (b"a", b"ab" * 5000, bytes(rng.integers(0, 4, 40_000, np.uint8)), bytes(rng.integers(0, 256, 20_000, np.uint8)), bytes(30_000)):
+        assert tiff.unpack_lzw(pack_lzw(data)) == data
+
+
+def strips(values, predictor=False):
+    """An LZW file of strips of two rows."""
+    import struct
+
+    rows = np.diff(values, axis=1, prepend=values.dtype.type(0)) if predictor else values
+    packed = [pack_lzw(rows[r : r + 2].tobytes()) for r in range(0, len(rows), 2)]
+    starts = np.cumsum([8] + [len(p) for p in packed])
+    meta = RasterMeta(*values.shape, dtype=values.dtype.name)
+    more = [(273, "I", starts[:-1].tolist()), (278, "I", [2]), (279, "I", [len(p) for p in packed]), (317, "H", [2 if predictor else 1])]
+    directory = bytearray(tiff._directory(meta, 1, more, int(starts[-1]), False))
+    place = directory.index(struct.pack("<HHI", 259, 3, 1)) + 8
+    directory[place : place + 2] = struct.pack("<H", 5)
+    return tiff._head(int(starts[-1]), False) + b"".join(packed) + bytes(directory)
+
+
+@pytest.mark.parametrize("predictor", [False, True])
+def test_tiff_strips_by_need(spark, tmp_path, monkeypatch, predictor):
+    """Filters on rows and columns read only the strips they meet, and the header."""
+    values = np.random.default_rng(2).integers(0, 500, (60, 40)).astype(np.uint16)
+    path = str(tmp_path / "lzw.tif")
+    data = strips(values, predictor)
+    (tmp_path / "lzw.tif").write_bytes(data)
+    cells = read_raster(spark, path).cells
+    assert {(r.row, r.col): r.value for r in cells.collect()} == {(r, c): int(values[r, c]) for r in range(60) for c in range(40)}
+    window = cells.where("row >= 10 and row < 13 and col = 7 and band = 0")
+    assert {(r.row, r.col): r.value for r in window.collect()} == {(r, 7): int(values[r, 7]) for r in (10, 11, 12)}
+    taken = []
+
+    class Counted:
+        def __init__(self, path):
+            self.file = open(path, "rb")
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *why):
+            self.file.close()
+
+        def read_at(self, n, at):
+            taken.append(n)
+            self.file.seek(at)
+            return self.file.read(n)
+
+    monkeypatch.setattr(tiff, "_opened", Counted)
+    reader = tiff.TiffReader(path, cells.schema)
+    filters = [tiff.GreaterThanOrEqual(("row",), 10), tiff.LessThan(("row",), 13), tiff.EqualTo(("col",), 7)]
+    assert reader.pushFilters(filters) == filters
+    found = [b for part in reader.partitions() for b in reader.read(part)]
+    assert sum(b.num_rows for b in found) == 3
+    assert sum(taken) < len(data) / 3
+
+
+@pytest.mark.parametrize("dtype, classic", [("uint16", None), ("float32", 0), ("int32", 0)])
+def test_tiff_sink(spark, tmp_path, dtype, classic):
+    """Two bands with missing cells, by tiles; with ``classic`` 0 as BigTIFF."""
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 90, (2, 50, 70)).astype(dtype)
+    m = RasterMeta(50, 70, 2.0, 0.0, 500000.0, 0.0, -2.0, 5600000.0, 25832, dtype)
+    rows = [(b + 3, r, c, float(values[b, r, c])) for b in range(2) for r in range(50) for c in range(70) if (r, c) != (1, 1) and not (b == 1 and r < 16 and c < 16)]
+    path = str(tmp_path / "out.tif")
+    write_raster(spark.createDataFrame(rows, "band int, row int, col int, value double").repartition(5), m, path, tile=16, classic_bytes=classic)
+    values[:, 1, 1] = values[1, :16, :16] = -1 if dtype != "uint16" else 65535
+    data = (tmp_path / "out.tif").read_bytes()
+    assert data[2] == (42 if classic is None else 43) and os.listdir(tmp_path) == ["out.tif"]
+    got, meta = decode(data)
+    assert meta == m and (got == values).all()
+    again = read_raster(spark, path)
+    assert again.meta == m and again.bands == 2
+    assert {(r.band, r.row, r.col): r.value for r in again.cells.where("col > 60 and row = 20").collect()} == {(b, 20, c): values[b, 20, c] for b in range(2) for c in range(61, 70)}
+
+
+def test_tiff_beyond_a_window(spark, tmp_path):
+    """More cells than 2^26, few of them set; reading a window touches few tiles."""
+    m = RasterMeta(20_000, 20_000, 1.0, 0.0, 0.0, 0.0, -1.0, 20_000.0, None, "uint16")
+    rows = [(17 * i % 20_000, 31 * i % 20_000, i % 1000) for i in range(500)]
+    path = str(tmp_path / "large.tif")
+    write_raster(spark.createDataFrame(rows, "row int, col int, value int"), m, path)
+    r, c, v = rows[123]
+    window = read_raster(spark, path).cells.where(F.col("row").between(r - 2, r + 2) & F.col("col").between(c - 2, c + 2))
+    got = {(x.row, x.col): x.value for x in window.collect()}
+    near = {(x, y): 65535 for x in range(max(0, r - 2), r + 3) for y in range(max(0, c - 2), c + 3)}
+    assert got == near | {(x, y): w for x, y, w in rows if (x, y) in near}
+
+
+def test_tiff_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    values = np.arange(35).reshape(7, 5).astype("uint8")
+    (tmp_path / "a.tif").write_bytes(encode(values, RasterMeta(7, 5, dtype="uint8")))
+
+    def refuse(path):
+        raise tiff.pa.ArrowInvalid("unknown scheme")
+
+    monkeypatch.setattr(tiff, "_opened", refuse)
+    found = read_raster(spark, str(tmp_path / "a.tif"))
+    assert found.meta.height == 7 and {(r.row, r.col): r.value for r in found.cells.collect()} == {(r, c): int(values[r, c]) for r in range(7) for c in range(5)}
+
+
+def test_masks_of_several_parts(spark):
+    """Parts in any order; a feature that lies along a side's line, but beside the mask, does not meet it."""
+    rows = spark.createDataFrame([(0, square(0, 0, 100), 1.0), (1, square(200, 0, 5), 1.0), (2, square(40, 300, 5), 1.0)], FEATURES)
+    far, inside = [(500.0, 500.0), (510.0, 500.0), (510.0, 510.0), (500.0, 510.0)], [(40.0, 40.0), (50.0, 40.0), (50.0, 50.0), (40.0, 50.0)]
+    for mask in ([far, inside], [inside, far]):
+        assert [r.feature_id for r in meets(rows, mask).collect()] == [0]
+        assert [r.feature_id for r in clipped(rows, mask).collect()] == [0]
+
+
+def test_features_meet_tables_of_masks(spark):
+    rng = np.random.default_rng(5)
+    boxes = [(i, float(x), float(y), float(s)) for i, (x, y, s) in enumerate(zip(rng.uniform(0, 1000, 300), rng.uniform(0, 1000, 300), rng.choice([0.01, 1, 10, 300], 300)))]
+    masks = [(float(x), float(y), float(s)) for x, y, s in zip(rng.uniform(0, 1000, 200), rng.uniform(0, 1000, 200), rng.choice([0.5, 5, 60], 200))]
+    features = spark.createDataFrame([(i, square(x, y, s), 1.0) for i, x, y, s in boxes] + [(900, None, 1.0), (901, [], 1.0)], FEATURES)
+    parts = [(square(x, y, s) + square(x + 2000, y, s),) for x, y, s in masks] + [(None,), ([],)]
+    table = spark.createDataFrame(parts, f"polygon {G.POLYGON}")
+    meet = lambda a, b: a[0] <= b[0] + b[2] and b[0] <= a[0] + a[2] and a[1] <= b[1] + b[2] and b[1] <= a[1] + a[2]
+    want = sorted(i for i, x, y, s in boxes if any(meet((x, y, s), m) for m in masks))
+    found = meets_any(features, table)
+    assert 0 < len(want) < 300 and sorted(r.feature_id for r in found.collect()) == want and found.columns == features.columns
+    assert meets_any(features, table.limit(0)).count() == 0 and meets_any(features.limit(0), table).count() == 0
+
+
+class Twins:
+    """Features with one geometry, with ids or without; some are repeated."""
+
+    @staticmethod
+    def answer(ids):
+        def feature(i, name, at):
+            return {"type": "Feature", "properties": {"v": name}, "geometry": {"type": "Point", "coordinates": at}} | ({"id": f"f.{i}"} if ids else {})
+
+        return [feature(0, "a", (500001.0, 5600001.0)), feature(1, "b", (500001.0, 5600001.0)), feature(1, "b", (500001.0, 5600001.0)), feature(2, "c", (500005.0, 5600005.0))]
+
+
+@pytest.mark.parametrize("ids", [True, False])
+@pytest.mark.parametrize("at_once", [10_000, 1])
+def test_features_of_a_service_once(spark, monkeypatch, ids, at_once):
+    """Two features with one geometry stay two, however many features the service has."""
+    monkeypatch.setattr(wfs, "AT_ONCE", at_once)
+    monkeypatch.setattr(wfs, "DEEPEST", 2)
+    monkeypatch.setattr(wfs, "capabilities", lambda url: None)
+    monkeypatch.setattr(wfs, "layers", lambda root: ["x"])
+    rows = vectors.parse_geojson(json.dumps({"features": Twins.answer(ids)}))
+    monkeypatch.setattr(wfs, "count", lambda *a: len(rows))
+    monkeypatch.setattr(wfs, "fetch", lambda *a: rows)
+    if at_once == 1:
+        halves = spark.createDataFrame(rows, wfs._ROWS).unionByName(spark.createDataFrame(rows[1:], wfs._ROWS))
+        monkeypatch.setattr(wfs, "by_chunks", lambda *a, **b: wfs.once(halves))
+    found = wfs.load(spark, "http://x", "x", bbox=(500000.0, 5600000.0, 500010.0, 5600010.0))
+    assert sorted(r.v for r in found.features.collect()) == ["a", "b", "c"]
+
+
 def test_masks(spark):
     rows = spark.createDataFrame([(0, square(0, 0, 2), 1.0), (1, square(9, 9, 2), 1.0), (2, square(-5, -5, 30), 1.0)], FEATURES)
     mask = [[(1.0, 1.0), (4.0, 1.0), (4.0, 4.0), (1.0, 4.0)]]

@@ -12,7 +12,7 @@ from gridloom.functions.grid import FORBIDDEN, RasterMeta
 from gridloom.functions.neighborhood import between, factor, steps
 from gridloom.operators import edges as E
 from gridloom.operators import metrics as M
-from gridloom.operators import route
+from gridloom.operators import overlay, route
 from gridloom.operators.search import ALGORITHMS, Window, routes
 from gridloom.sources.detect import array_cells
 
@@ -163,29 +163,105 @@ def test_no_path(spark):
         finder.find()
 
 
-@pytest.mark.parametrize("k, side", [(1, 6), (2, 7), (3, 5)])
-def test_routes_by_tiles(spark, k, side):
+def walled(k, low=1):
     rng = np.random.default_rng(k)
-    values = np.where(rng.random((31, 43)) < 0.2, FORBIDDEN, rng.integers(1, 30, (31, 43)))
+    values = np.where(rng.random((31, 43)) < 0.2, FORBIDDEN, rng.integers(low, 30, (31, 43)))
     values[0, 0] = values[30, 42] = values[3, 40] = values[20, 2] = 1
     values[10:13, 10:13] = FORBIDDEN
     values[11, 11] = 1  # walled in
-    ends = [0, 30 * 43 + 42, 3 * 43 + 40, 20 * 43 + 2, 11 * 43 + 11]
-    for wanted in (
-        route.requests(spark, ends[0], ends[1:] + [-1, 5000]),
-        route.requests(spark, ends[1:3], ends[3]),
-        route.requests(spark, ends[0], ends[0]),
+    return values, [0, 30 * 43 + 42, 3 * 43 + 40, 20 * 43 + 2, 11 * 43 + 11]
+
+
+def check_routes(found, values, k):
+    """Costs are those of a heap, and paths have these costs."""
+    window = Window(values, route.directed(k))
+    steps_of = {jump: i for i, jump in enumerate(window.jumps)}
+    known = {}
+    rows = found.collect()
+    for r in rows:
+        inside = min(r.source, r.target) >= 0 and max(r.source, r.target) < values.size
+        if inside and r.source not in known:
+            known[r.source] = dijkstra(values, k, r.source) if values.ravel()[r.source] != FORBIDDEN else {}
+        want = known[r.source].get(r.target, math.inf) if inside else math.inf
+        assert r.cost == pytest.approx(want) and bool(r.node_ids) == math.isfinite(want)
+        if r.node_ids:
+            assert (r.node_ids[0], r.node_ids[-1]) == (r.source, r.target)
+            assert sum(float(window.weight(steps_of[b - a], np.array([a]))[0]) for a, b in zip(r.node_ids, r.node_ids[1:])) == pytest.approx(r.cost)
+    return len(rows)
+
+
+@pytest.mark.parametrize("how", [{}, {"algorithm": "astar"}, {"overlay_sources": 1}])
+@pytest.mark.parametrize("k, side, low", [(1, 16, 0), (3, 20, 1)])
+def test_routes_by_tiles(spark, monkeypatch, k, side, low, how):
+    monkeypatch.setattr(overlay, "INNER", 7)
+    monkeypatch.setattr(route, "BATCH", 2)
+    values, ends = walled(k, low)
+    for wanted, n in (
+        (route.requests(spark, ends[0], ends[1:] + [-1, 5000]), 6),
+        (route.requests(spark, ends[:3], [ends[3], ends[0], int(np.flatnonzero(values.ravel() == FORBIDDEN)[0])]), 9),
     ):
-        whole, tiled = (sorted((r.ord, r.source, r.target, r.cost, list(r.node_ids)) for r in route.solve(
-            cells(spark, values),
-            31,
-            43,
-            wanted,
-            k,
-            window_cells=n,
-            side=side,
-        ).collect()) for n in (None, 0))
-        assert whole == tiled
+        assert check_routes(route.solve(cells(spark, values), 31, 43, wanted, k, side=side, **how), values, k) == n
+
+
+def test_one_tile_answers_like_many(spark):
+    values, ends = walled(2)
+    for algorithm in ALGORITHMS:
+        wanted = route.requests(spark, ends[0], ends[1:] + [-1, 5000])
+        assert check_routes(route.solve(cells(spark, values), 31, 43, wanted, 2, algorithm), values, 2) == 6
+    assert check_routes(route.solve(cells(spark, values).limit(0), 31, 43, route.requests(spark, -1, -2)), values, 1) == 1
+
+
+def test_costs_between_borders():
+    """Each inner tile's costs are those of a heap within its window."""
+    values, _ = walled(1)
+    values = np.ascontiguousarray(values[:24, :24]).astype(np.int32)
+    seen = np.zeros(values.size, bool)
+    for entries, exits, costs in overlay.inner_costs(values, 1, route.directed(1), True, 8):
+        assert costs.shape == (len(entries), len(exits))
+        seen[exits] = True
+    inner = list(overlay.inner_costs(values, 1, route.directed(1), True, 24))
+    (entries, exits, costs), = inner
+    some = dijkstra(values, 1, int(entries[3]))
+    assert costs[3].tolist() == pytest.approx([some.get(int(n), math.inf) for n in exits])
+    assert seen[overlay.ring(24, 1)].sum() == (values.ravel()[overlay.ring(24, 1)] != FORBIDDEN).sum()
+
+
+def test_goal_direction_searches_fewer_tiles(spark):
+    values = np.full((60, 60), 5)
+    values[28:32] = 3
+    c, wanted = cells(spark, values), spark.createDataFrame([(0, 30 * 60 + 2, 30 * 60 + 25)], "ord long, start long, end long")
+    searched = []
+    for goal in (None, route.Goal(), route.Goal(lambda r, col, tr, tc: np.hypot(r - tr, col - tc) * 3.0)):
+        held = route.Tiled(c, 60, 60, route.directed(1), 10)
+        held.search(wanted.select("start"), wanted.select("start", "end"), goal)
+        searched.append(held.searched)
+        assert held.paths(wanted).first().cost == pytest.approx(dijkstra(values, 1, 30 * 60 + 2)[30 * 60 + 25])
+    whole = route.Tiled(c, 60, 60, route.directed(1), 10)
+    whole.search(wanted.select("start"))
+    assert max(searched[1:]) < searched[0] < whole.searched
+
+
+def test_bands_are_lower_bounds():
+    values, _ = walled(3)
+    goal = route.Goal()
+    bands = [("r", i, int(values[max(0, i * 8 - 3) : i * 8 + 11].min())) for i in range(4)] + [("c", i, int(values[:, max(0, i * 8 - 3) : i * 8 + 11].min())) for i in range(6)]
+    goal.learn(bands, 8, float(values.min()))
+    dist = dijkstra(values, 3, 0)
+    nodes = np.array(list(dist))
+    assert (goal.ahead(nodes // 43, nodes % 43, (0, 0)) <= np.array([dist[n] for n in nodes.tolist()]) + 1e-9).all()
+
+
+def test_own_searches_need_one_window(spark, monkeypatch):
+    monkeypatch.setattr(route, "WINDOW_CELLS", 10)
+    with pytest.raises(ValueError, match="one window"):
+        route.solve(cells(spark, R5), 5, 5, route.requests(spark, 0, 24), algorithm=lambda window, start, ends: [(42.0, [start, *ends])])
+
+
+def test_steps_without_cost_do_not_go_round(spark):
+    values = np.zeros((9, 30), int)
+    values[4, 3:27] = 7
+    for side in (1024, 10):
+        assert check_routes(route.solve(cells(spark, values), 9, 30, route.requests(spark, 0, [1, 29, 4 * 30 + 15]), 1, side=side), values, 1) == 3
 
 
 def test_weights_by_need(monkeypatch):
