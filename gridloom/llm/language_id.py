@@ -29,8 +29,8 @@ TRAIN_ROWS = 2_000
 #: Rows that a language gets at least, if it has as many.
 LANGUAGE_ROWS = 30
 ROUNDS, SMOOTHING = 4, 0.02
-#: Letters of the parts of longer words that the model is fitted on; texts are scored by whole words.
-PART = 32
+#: Words up to so many letters are fitted side by side with plain sums; longer ones, whole as well, in logarithms.
+PLAIN = 32
 #: Positions between rescalings of forward sums; words up to TOGETHER letters are scored side by side.
 RESCALE, TOGETHER, LONG_STEP = 16, 64, 4096
 #: Tokens that a worker remembers, and the longest such token in bytes.
@@ -71,11 +71,6 @@ def marked_words(token: str) -> list[str]:
     return [_START + run for run in letter_runs(token.lower())]
 
 
-def word_parts(token: str) -> list[str]:
-    """The same in parts of a bounded length."""
-    return [word[at : at + PART + 1] for word in marked_words(token) for at in range(0, len(word), PART + 1)]
-
-
 @dataclass
 class Model:
     """Piece probabilities: a column for each language; the last two rows are for unknown letters and for none."""
@@ -213,6 +208,51 @@ def log_probs(words: list[str], model: Model) -> np.ndarray:
     return out
 
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    most = x.max(axis=0)
+    return most + np.log(np.exp(x - most).sum(axis=0))
+
+
+def _expect_long(word: str, weight: np.ndarray, trie: Trie, probs: np.ndarray, found: np.ndarray) -> None:
+    """Add to ``found`` how often each piece is expected in a long word, over all its segmentations.
+
+    Forward and backward sums are logarithms, so words of any length have them; 8 bytes a letter and language are kept, and
+    pieces are looked up LONG_STEP letters at a time.
+    """
+    n, longest, langs = len(word), trie.longest, probs.shape[1]
+    with np.errstate(divide="ignore"):
+        logs = np.log(probs)
+
+    def steps(begin: int) -> np.ndarray:
+        """Piece numbers [start, length - 1] of the pieces that start in LONG_STEP letters."""
+        size = min(LONG_STEP, n - begin)
+        out = np.full((size, longest), -1, np.int32)
+        lattice = trie.lattice([word[begin : begin + size + longest - 1]])[0][:size]
+        out[:, : lattice.shape[1]] = lattice
+        return out
+
+    ahead = np.full((n + longest, langs), -np.inf)  # at the end of each piece, as if no letter followed it
+    ahead[0] = 0
+    for begin in range(0, n, LONG_STEP):
+        own = steps(begin)
+        for at, row in enumerate(logs[own], begin):
+            ahead[at + 1 : at + 1 + longest] = np.logaddexp(ahead[at + 1 : at + 1 + longest], ahead[at] + row)
+    total = ahead[n]
+    back = np.full((longest, langs), -np.inf)  # of the next letters' starts, the nearest first
+    back[0] = 0
+    for begin in range((n - 1) // LONG_STEP * LONG_STEP, -1, -LONG_STEP):
+        own = steps(begin)
+        rows = logs[own]
+        for at in range(len(own) - 1, -1, -1):
+            row = rows[at] + back
+            rows[at] = row
+            back[1:] = back[:-1]
+            back[0] = _log_sum(row)
+        share = np.exp(ahead[begin : begin + len(own), None] + rows - total) * weight
+        some = own != -1
+        np.add.at(found, own[some], share[some])
+
+
 def fit(counts: dict[str, Counter], pieces_of: dict[str, int], rounds: int = ROUNDS) -> Model:
     """Piece probabilities for each language from its words' counts."""
     langs = sorted(counts)
@@ -223,9 +263,13 @@ def fit(counts: dict[str, Counter], pieces_of: dict[str, int], rounds: int = ROU
     probs = np.full((size + 2, len(langs)), 1.0 / (size + 1))
     probs[-1] = 0
     trie = Trie(pieces_of)
-    lattices = [(own, trie.lattice([words[i] for i in own])) for own in _by_length(words)]
+    plain = np.array([i for i, w in enumerate(words) if len(w) <= PLAIN + 1], int)
+    lattices = [(plain[own], trie.lattice([words[plain[i]] for i in own])) for own in _by_length([words[i] for i in plain])]
+    long = [i for i, w in enumerate(words) if len(w) > PLAIN + 1]
     for _ in range(rounds):
         found = np.zeros_like(probs)
+        for i in long:
+            _expect_long(words[i], weights[i], trie, probs, found)
         for own, lattice in lattices:
             alpha = _forward(lattice, probs)
             n = lattice.shape[1]
@@ -295,7 +339,7 @@ def train(
         for batch in batches:
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 for token, n in Counter((text or "").split()).items():
-                    for word in word_parts(token):
+                    for word in marked_words(token):
                         seen[lang, word] += n
         yield pa.RecordBatch.from_arrays(
             [

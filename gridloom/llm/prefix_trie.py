@@ -161,7 +161,8 @@ class Sweep:
         items = [(None, 1, self.start or self.last)]
         for branch in self.head:
             items.append((branch.gap, branch.gaps, self._of(branch, branch.more)))
-        for branch, behind in zip(self.stack, [*(b.first for b in self.stack[1:]), self.last], strict=True):
+        behind_each = [*(b.first for b in self.stack[1:]), self.last]
+        for branch, behind in zip(self.stack, behind_each, strict=False):  # a single sequence has no branch
             if branch.gaps > 1:
                 items.append((branch.gap, branch.gaps - 1, self._of(branch, branch.more)))
             items.append((branch.gap, 1, behind if behind.single else self._of(branch, behind)))
