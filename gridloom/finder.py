@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.errors import NoPathFoundError
 from gridloom.functions.neighborhood import Step
+from gridloom.operators import blocks
 from gridloom.operators import costs as C
 from gridloom.operators import metrics as M
 from gridloom.operators import raster as R
@@ -78,6 +79,7 @@ class PathFinder:
         self.sources, self.targets = points(sources), points(targets)
         self.runtimes: dict[str, float] = {}
         self._held: list[DataFrame] = []
+        self.packed: blocks.Blocks | None = None
         data = self._timed("loading", lambda: load(spark, dataset, **options))
         if isinstance(data, Vector):
             began = time.perf_counter()
@@ -86,13 +88,21 @@ class PathFinder:
             rows = C.apply_costs(data.features, cost_files.load(spark, costs)) if costs is not None else data.features
             b = R.total_bounds(rows).first()
             meta = R.output_meta(tuple(b), pixel_area, data.srid)
-            data = Raster(R.rasterize(rows, meta).withColumn("band", F.lit(0)), meta)
+            packed = blocks.rasterized(rows, meta)
+            data = Raster(packed.cells().withColumn("band", F.lit(0)), meta)
+            if not any(step.get("buffer") for step in overlays):
+                self.packed = packed.painted([one for step in overlays for one in blocks.steps_of(**step)]) if overlays else packed
             self.runtimes["rasterizing"] = time.perf_counter() - began
         self.raster = data
-        self.cells = R.overlays(data.cells.where(F.col("band") == band).select("row", "col", "value"), data.meta, overlays)
+        plain = data.cells.where(F.col("band") == band).select("row", "col", "value")
+        self.cells = self.packed.cells() if self.packed else R.overlays(plain, data.meta, overlays)
         ends = _list(self.sources) + _list(self.targets)
         self.buffer = buffer if buffer is not None else R.estimate_buffer(self.cells, data.meta, _list(self.sources), _list(self.targets))
-        self.window, self.meta = R.search_space(self.cells, data.meta, ends, self.buffer)
+        if self.packed:  # the window's tiles, masked where they lie
+            part = self.packed.crop(*R.search_window(data.meta, ends, self.buffer)).masked(R.hull_of(ends), self.buffer)
+            self.window, self.meta = part.cells(), part.meta
+        else:
+            self.window, self.meta = R.search_space(self.cells, data.meta, ends, self.buffer)
         self.window = self._hold(self.window)
         self._timed("search_space", self.window.count)
         self.paths: DataFrame | None = None

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
 from gridloom.functions.grid import FORBIDDEN, RasterMeta, line_cells, x_of, y_of
+from gridloom.operators import blocks
 from gridloom.operators.costs import CostTable, apply_costs
 from gridloom.session import store
 
@@ -104,7 +105,12 @@ def burn_value(cost: Column, fill: int = FORBIDDEN) -> Column:
 
 
 def rasterize(features: DataFrame, meta: RasterMeta, fill: int = FORBIDDEN, buffer: float = 0.0) -> DataFrame:
-    """(row, col, value) for every cell: the highest cost of the features over it, else ``fill``."""
+    """(row, col, value) for every cell: the highest cost of the features over it, else ``fill``.
+
+    Cells are painted in packed tiles; only features travel. Buffers and rasters that don't follow the axes are tested cell by cell.
+    """
+    if not buffer and blocks.paintable(meta):
+        return blocks.rasterized(features, meta, fill).cells()
     painted = covered(features.withColumn("value", burn_value(F.col("cost"), fill)), meta, buffer, ["value"])
     top = painted.groupBy("row", "col").agg(F.max("value").alias("value"))
     return all_cells(features.sparkSession, meta).join(top, ["row", "col"], "left").select(
@@ -114,6 +120,15 @@ def rasterize(features: DataFrame, meta: RasterMeta, fill: int = FORBIDDEN, buff
     )
 
 
+def _packable(cells: DataFrame, meta: RasterMeta) -> bool:
+    """Whether cells can be packed into tiles: one band of whole numbers, along the axes."""
+    return blocks.paintable(meta) and set(cells.columns) == {"row", "col", "value"} and dict(cells.dtypes)["value"] in ("tinyint", "smallint", "int")
+
+
+def _painted(cells: DataFrame, meta: RasterMeta, steps: list[blocks.Step]) -> DataFrame:
+    return blocks.Blocks.of_cells(cells, meta).painted(steps).cells().select(*cells.columns)
+
+
 def overlay(
     cells: DataFrame,
     features: DataFrame,
@@ -128,6 +143,8 @@ def overlay(
 
     Products are cut to whole numbers and to 65535, or wrap around it as 16-bit numbers do.
     """
+    if not buffer and _packable(cells, meta):
+        return _painted(cells, meta, blocks.steps_of(features, ignore=ignore, value=value, multiply=multiply, wrap=wrap))
     inside = covered(features, meta, buffer).distinct().withColumn("hit", F.lit(True))
     new = F.floor(F.col("value") * F.lit(float(value))) if multiply else F.lit(int(value))
     new = (F.pmod(new, F.lit(65536)) if wrap else F.least(new, F.lit(FORBIDDEN))).cast("int")
@@ -149,6 +166,8 @@ def overlay_costs(
     A cell that holds ``ignore``, from before or painted so, is painted no more. Features
     without a cost, and costs of 0, paint nothing.
     """
+    if not buffer and _packable(cells, meta):
+        return _painted(cells, meta, blocks.steps_of(features, ordinal, costs, ignore))
     priced = (apply_costs(features, costs) if costs else features).where("cost is not null and not isnan(cost) and cost <> 0")
     order = priced.groupBy("cost").agg(F.min(ordinal).alias("ord"))
     painted = covered(priced.join(order, "cost"), meta, buffer, ["ord", "cost"])
@@ -184,7 +203,12 @@ def overlay_zones(
 
 
 def overlays(cells: DataFrame, meta: RasterMeta, steps: Sequence[dict]) -> DataFrame:
-    """Overlays in order; each a mapping with ``features`` and the arguments of one of the three above."""
+    """Overlays in order; each a mapping with ``features`` and the arguments of one of the three above.
+
+    Without buffers, all of them are painted in one pass over packed tiles.
+    """
+    if steps and _packable(cells, meta) and not any(s.get("buffer") for s in steps):
+        return _painted(cells, meta, [one for s in steps for one in blocks.steps_of(**s)])
     for step in steps:
         args = {k: v for k, v in step.items() if k != "features"}
         how = overlay_zones if "zone_col" in args else overlay if "value" in args else overlay_costs

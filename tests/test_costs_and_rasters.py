@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.errors import FileLoadError, FormatError, InvalidSourceError, SystemMismatchError
 from gridloom.functions import geometry as G
 from gridloom.functions.grid import FORBIDDEN, RasterMeta
+from gridloom.operators import blocks
 from gridloom.operators import costs as C
 from gridloom.operators import metrics as M
 from gridloom.operators import raster as R
@@ -606,3 +607,81 @@ def test_legend_and_screening(spark):
         "path_id long, category int, length double",
     )
     assert sorted((r.path_id, r.cost) for r in M.path_costs(lengths).collect()) == [(1, 20.0), (2, 0.0)]
+
+
+def shapes(seed, n, size):
+    """Stars with holes and odd corners on cell centres."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        x, y = rng.uniform(-5, size + 5, 2)
+        r = rng.choice([0.4, 3, 9, size])
+        ring = [(x + r * math.cos(t) * s, y + r * math.sin(t) * s) for t, s in zip(np.linspace(0, 2 * math.pi, 9)[:-1], rng.uniform(0.3, 1, 8))]
+        hole = [(x + r * 0.2, y), (x, y + r * 0.2), (x - r * 0.2, y)]
+        rings = [ring, hole] if i % 2 else [[(round(a) + 0.5, round(b) + 0.5) for a, b in ring]]
+        out.append((i, [[{"x": float(a), "y": float(b)} for a, b in g] for g in rings], float(rng.choice([1.5, 2.5, 30.0, 70_000.0, 0.0]))))
+    return out
+
+
+def meta_of(size, flipped=False):
+    return RasterMeta(size, size, -1.0 if flipped else 1.0, 0.0, float(size) if flipped else 0.0, 0.0, -1.0, float(size))
+
+
+@pytest.mark.parametrize("side, flipped", [(7, False), (64, False), (16, True)])
+def test_scan_lines_fill_as_cells_are_tested(spark, side, flipped):
+    rows, m = shapes(1, 25, 40), meta_of(40, flipped)
+    features = spark.createDataFrame(rows, FEATURES)
+    got = {(r.row, r.col): r.value for r in blocks.rasterized(features, m, side=side).cells().collect()}
+    painted = R.covered(features.withColumn("value", R.burn_value(F.col("cost"))), m, 0.0, ["value"]).groupBy("row", "col").agg(F.max("value").alias("value"))
+    want = {(r.row, r.col): r.value for r in painted.collect()}
+    assert len(got) == 1600 and got == {(r, c): want.get((r, c), FORBIDDEN) for r in range(40) for c in range(40)}
+
+
+def test_overlays_in_one_pass(spark):
+    """Each kind of overlay, in order, as cell by cell."""
+    rng = np.random.default_rng(4)
+    m = meta_of(40)
+    cells = array_cells(spark, rng.integers(1, 60_000, (40, 40)), m).cells.where("row <> 3 or col <> 4").select("row", "col", "value")
+    a, b = (spark.createDataFrame(shapes(s, 12, 40), FEATURES).withColumn("zone", F.when(F.col("feature_id") % 3 == 0, "z1").otherwise("z2")) for s in (2, 3))
+    steps = [
+        {"features": a, "value": 1.7, "multiply": True},
+        {"features": b, "value": 1.7, "multiply": True, "wrap": True, "ignore": None},
+        {"features": b},
+        {"features": a, "value": 300, "zone_col": "zone", "forbidden_zone": "z1"},
+        {"features": b, "value": 9, "ignore": 300},
+    ]
+    got = {(r.row, r.col): r.value for r in blocks.Blocks.of_cells(cells, m, 16).painted([one for s in steps for one in blocks.steps_of(**s)]).cells().collect()}
+    plain = cells.withColumn("extra", F.lit(0))  # a further column keeps cells unpacked
+    for s in steps:
+        args = {k: v for k, v in s.items() if k != "features"}
+        plain = (R.overlay_zones if "zone_col" in args else R.overlay if "value" in args else R.overlay_costs)(plain, s["features"], m, **args)
+    assert got == {(r.row, r.col): r.value for r in plain.collect()} and len(got) == 1599
+    whole = R.overlays(cells, m, steps)
+    assert {(r.row, r.col): r.value for r in whole.collect()} == got and whole.columns == cells.columns
+    assert R.overlays(cells, m, []).count() == 1599
+
+
+def test_windows_and_masks_of_packed_tiles(spark):
+    m = meta_of(40)
+    packed = blocks.rasterized(spark.createDataFrame(shapes(6, 30, 40), FEATURES), m, side=16)
+    for points in ([(5.0, 30.0), (30.0, 12.0)], [(20.5, 20.5)], [(5.0, 5.0), (30.0, 9.0), (12.0, 33.0)]):
+        part = packed.crop(*R.search_window(m, points, 6.3)).masked(R.hull_of(points), 6.3)
+        want, small = R.search_space(packed.cells(), m, points, 6.3)
+        assert part.meta == small and sorted(map(tuple, part.cells().collect())) == sorted(map(tuple, want.select("row", "col", "value").collect()))
+        again = part.painted([blocks.Step(spark.createDataFrame([(0, square(10, 10, 9), 1.0)], FEATURES), "set", 7)])
+        hit = {(r.row, r.col) for r in again.cells().where("value = 7").collect()}
+        assert hit == {(r.row, r.col) for r in R.covered(spark.createDataFrame([(0, square(10, 10, 9), 1.0)], FEATURES), small).collect()}
+
+
+def test_cells_are_not_exchanged(spark):
+    packed = blocks.rasterized(spark.createDataFrame(shapes(6, 30, 40), FEATURES), meta_of(40)).masked([(5.0, 5.0)], 9.0).crop(2, 30, 2, 30)
+    plan = packed.cells()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(tr" in plan
+
+
+def test_even_rasters_and_none(spark):
+    m = meta_of(30)
+    assert {r.value for r in blocks.Blocks.even(spark, m, 5, 16).cells().collect()} == {5}
+    none = spark.createDataFrame([], FEATURES)
+    assert blocks.rasterized(none, m).cells().where(F.col("value") != FORBIDDEN).count() == 0
+    assert blocks.Blocks.of_cells(spark.createDataFrame([], "row int, col int, value int"), m).painted([blocks.Step(none, "set", 3)]).cells().count() == 0
