@@ -131,16 +131,17 @@ def grid_rows(spark, sf):
 
 @query(
     "synthetic_gradient",
-    'SELECT 1::BIGINT AS band, r AS "row", c AS col, floor((r + c) / 90.0 * 100 + 10)::BIGINT AS value FROM range(40) a(r), range(50) b(c)',
+    f'WITH {_HEIGHT_SQL} SELECT 1::BIGINT AS band, r AS "row", c AS col, floor((r + c) / (50 + n)::DOUBLE * 100 + 10)::BIGINT AS value FROM hh, LATERAL (SELECT unnest(range(n)) AS r), range(50) b(c)',
 )
 def synthetic_gradient(spark, sf):
-    cells = R.synthetic(spark, 40, 50, "gradient", 1)
+    """As large as the raster of parts."""
+    cells = R.synthetic(spark, part_height(spark, sf), WIDTH, "gradient", 1)
     return long_cells(cells).withColumn("band", F.lit(1).cast("long")).select("band", "row", "col", "value")
 
 
-@query("synthetic_checker", 'SELECT r AS "row", c AS col, ((r + c) % 2) * 50 + 25 AS value FROM range(40) a(r), range(50) b(c)')
+@query("synthetic_checker", f'WITH {_HEIGHT_SQL} SELECT r AS "row", c AS col, ((r + c) % 2) * 50 + 25 AS value FROM hh, LATERAL (SELECT unnest(range(n)) AS r), range(50) b(c)')
 def synthetic_checker(spark, sf):
-    return long_cells(R.synthetic(spark, 40, 50, "checkerboard"))
+    return long_cells(R.synthetic(spark, part_height(spark, sf), WIDTH, "checkerboard"))
 
 
 @query("distinct_values", f"WITH {GRID_SQL} SELECT v AS value, dense_rank() OVER (ORDER BY v) AS rank FROM (SELECT DISTINCT v FROM g)")
@@ -404,39 +405,54 @@ def node_ids(spark, sf):
 # Neighbourhoods.
 
 
+def _known_steps(spark: SparkSession) -> DataFrame:
+    """(k, dr, dc): the steps of R_1 to R_5, a small fixed table."""
+    return F.broadcast(spark.createDataFrame([(k, r, c) for k in range(1, 6) for r, c in N.steps(k)], "k long, dr long, dc long"))
+
+
 @query(
     "steps_rk",
-    "SELECT k, r AS dr, c AS dc FROM range(1, 6) t(k), range(-5, 6) a(r), range(-5, 6) b(c) WHERE greatest(abs(r), abs(c)) <= k AND gcd(r, c) = 1",
+    """WITH s AS (SELECT k, r, c FROM range(1, 6) t(k), range(-5, 6) a(r), range(-5, 6) b(c) WHERE greatest(abs(r), abs(c)) <= k AND gcd(r, c) = 1)
+SELECT p_partkey, count(*) AS steps, sum(r * r + c * c)::BIGINT AS squares, max(r * 10 + c)::BIGINT AS last FROM part JOIN s ON k = p_partkey % 5 + 1 GROUP BY p_partkey""",
 )
 def steps_rk(spark, sf):
-    return spark.createDataFrame([(k, r, c) for k in range(1, 6) for r, c in N.steps(k)], "k long, dr long, dc long")
+    """The steps of each part's own neighbourhood."""
+    parts = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 5 + 1).alias("k"))
+    square, last = F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"), F.col("dr") * 10 + F.col("dc")
+    return parts.join(_known_steps(spark), "k").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("steps"), F.sum(square).alias("squares"), F.max(last).alias("last"))
 
 
 @query("step_intermediates", """WITH s AS (SELECT r, c, greatest(abs(r), abs(c)) AS k FROM range(-4, 5) a(r), range(-4, 5) b(c) WHERE gcd(r, c) = 1),
 i AS (SELECT r, c, i, k, floor(i * r / k) AS f1, floor(i * c / k) AS f2, ceil(i * r / k) AS c1, ceil(i * c / k) AS c2 FROM s, range(1, 4) t(i) WHERE i < k),
 u AS (SELECT r, c, f1 AS ir, f2 AS ic FROM i UNION ALL SELECT r, c, c1, c2 FROM i UNION ALL SELECT r, c, r, 0 FROM s WHERE k = 1 AND r <> 0 AND c <> 0 UNION ALL SELECT r, c, 0, c FROM s WHERE k = 1 AND r <> 0 AND c <> 0)
-SELECT r AS dr, c AS dc, ir::BIGINT AS ir, ic::BIGINT AS ic, count(*) AS n FROM u GROUP BY ALL""")
+SELECT p_partkey, (p_partkey // 50 + ir)::BIGINT AS "row", (p_partkey % 50 + ic)::BIGINT AS col, count(*) AS n FROM part JOIN u ON r = p_partkey % 9 - 4 AND c = p_partkey // 9 % 9 - 4 GROUP BY ALL""")
 def step_intermediates(spark, sf):
-    rows = [(*s, *b) for s in N.steps(4) for b in N.between(*s)]
-    return spark.createDataFrame(rows, "dr long, dc long, ir long, ic long").groupBy("dr", "dc", "ir", "ic").agg(F.count(F.lit(1)).alias("n"))
+    """The cells that a step of each part's own passes over, from its cell."""
+    steps = [(*s, *b) for s in N.steps(4) for b in N.between(*s)]
+    known = F.broadcast(spark.createDataFrame(steps, "dr long, dc long, ir long, ic long"))
+    k = F.col("p_partkey")
+    parts = table(spark, sf, "part").select("p_partkey", (k % 9 - 4).alias("dr"), (F.floor(k / 9) % 9 - 4).alias("dc"))
+    over = parts.join(known, ["dr", "dc"]).select("p_partkey", (F.floor(k / WIDTH) + F.col("ir")).alias("row"), (k % WIDTH + F.col("ic")).alias("col"))
+    return over.groupBy("p_partkey", "row", "col").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "max_edges",
-    "WITH s AS (SELECT k, r, c FROM range(1, 5) t(k), range(-4, 5) a(r), range(-4, 5) b(c) WHERE greatest(abs(r), abs(c)) <= k AND gcd(r, c) = 1 AND (r > 0 OR r = 0 AND c > 0)) SELECT k, sum((40 - abs(r)) * (50 - abs(c)))::BIGINT AS n FROM s GROUP BY k",
+    f"WITH {_HEIGHT_SQL}, s AS (SELECT k, r, c FROM range(1, 5) t(k), range(-4, 5) a(r), range(-4, 5) b(c) WHERE greatest(abs(r), abs(c)) <= k AND gcd(r, c) = 1 AND (r > 0 OR r = 0 AND c > 0)) SELECT k, sum((n - abs(r)) * (50 - abs(c)))::BIGINT AS n FROM s, hh GROUP BY k",
 )
 def max_edges(spark, sf):
-    return spark.createDataFrame([(k, N.most_edges(40, 50, N.steps(k, False))) for k in range(1, 5)], "k long, n long")
+    """For the raster of parts."""
+    height = part_height(spark, sf)
+    return spark.createDataFrame([(k, N.most_edges(height, WIDTH, N.steps(k, False))) for k in range(1, 5)], "k long, n long")
 
 
 @query("lattice_errors", """WITH s AS (SELECT k, r, c FROM range(1, 5) t(k), range(-4, 5) a(r), range(-4, 5) b(c) WHERE greatest(abs(r), abs(c)) <= k AND gcd(r, c) = 1),
 d AS (SELECT k, atan2(c, r) AS a FROM s), n AS (SELECT k, a, coalesce(lead(a) OVER (PARTITION BY k ORDER BY a), min(a) OVER (PARTITION BY k) + 2 * pi()) - a AS g FROM d)
-SELECT k, round(max(2 * sin(g / 2) / sin(g)), 6) AS elongation, round(max(abs(sin(g / 2) ** 2 / sin(g))), 6) AS deviation FROM n GROUP BY k""")
+SELECT s_suppkey, round(max(2 * sin(g / 2) / sin(g)), 6) AS elongation, round(max(abs(sin(g / 2) ** 2 / sin(g))), 6) AS deviation FROM n JOIN supplier ON k = s_suppkey % 4 + 1 GROUP BY s_suppkey""")
 def lattice_errors(spark, sf):
-    return spark.createDataFrame(
-        [(k, *(round(e, 6) for e in N.largest_errors(k))) for k in range(1, 5)],
-        "k long, elongation double, deviation double",
-    )
+    """The largest errors of each supplier's own neighbourhood."""
+    known = spark.createDataFrame([(k, *(round(e, 6) for e in N.largest_errors(k))) for k in range(1, 5)], "k long, elongation double, deviation double")
+    return table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 4 + 1).alias("k")).join(F.broadcast(known), "k").drop("k")
 
 
 # Graphs.
@@ -722,11 +738,13 @@ def astar_heuristic(spark, sf):
 _LINE_SQL = "l AS (SELECT floor((2 * 3 * c + 47) / 94)::BIGINT AS r, c + 1 AS c FROM range(0, 48) t(c))"
 
 
-@query("bresenham", f'WITH {_LINE_SQL} SELECT r AS "row", c AS col FROM l')
+@query("bresenham", """SELECT s_suppkey, (s_suppkey % 10 + floor((2 * (s_suppkey % 30) * i + 47) / 94))::BIGINT AS "row", i + 1 AS col FROM supplier, range(0, 48) t(i)""")
 def bresenham(spark, sf):
-    line = spark.range(1).select(F.explode(X.line_cells(*map(F.lit, (3, 48, 0, 1)))).alias("p"))
-    back = spark.range(1).select(F.explode(X.line_cells(*map(F.lit, (0, 1, 3, 48)))).alias("p"))
-    return line.intersect(back).select(F.col("p.row").cast("long").alias("row"), F.col("p.col").cast("long").alias("col"))
+    """A line for each supplier, 48 columns long."""
+    k = F.col("s_suppkey")
+    line = X.line_cells(k % 10, F.lit(1), k % 10 + k % 30, F.lit(48))
+    cells = table(spark, sf, "supplier").select("s_suppkey", F.explode(line).alias("p"))
+    return cells.select("s_suppkey", F.col("p.row").cast("long").alias("row"), F.col("p.col").cast("long").alias("col"))
 
 
 @query(
@@ -839,8 +857,12 @@ def reproject_round_trip(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from gridloom.plans import round_trips  # noqa: F401  (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from gridloom.plans import round_trips  # noqa: F401
+
     return dict(SQL)

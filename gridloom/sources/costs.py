@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.errors import FileLoadError, FormatError, InvalidSourceError
 from gridloom.operators.costs import CostTable, detect_features, table_to_costs, zero_costs
+from gridloom.session import place
 
 # What is tried in turn.
 ENCODINGS = ("utf-8", "latin-1", "ISO-8859-1", "cp1252")
@@ -147,22 +148,24 @@ def _rows(costs: CostTable) -> tuple[list[str], list[list]]:
 
 def save_csv(costs: CostTable, path: str, decimal: str = ".", delimiter: str = ";", encoding: str = "ISO-8859-1") -> None:
     header, rows = _rows(costs)
-    with open(path, "w", newline="", encoding=encoding) as file:
-        out = csv.writer(file, delimiter=delimiter)
-        out.writerow(header)
-        out.writerows([*r[:-1], "" if r[-1] is None else str(r[-1]).replace(".", decimal)] for r in rows)
+    text = io.StringIO(newline="")
+    out = csv.writer(text, delimiter=delimiter)
+    out.writerow(header)
+    out.writerows([*r[:-1], "" if r[-1] is None else str(r[-1]).replace(".", decimal)] for r in rows)
+    _write(path, text.getvalue().encode(encoding))
+
+
+def _write(path: str, data: bytes) -> None:
+    system, name = place(path)
+    with system.open_output_stream(name) as file:
+        file.write(data)
 
 
 def save_json(costs: CostTable, path: str) -> None:
     values = next(iter(costs.to_dict().values()))
     plain = {JOINER.join(k) if isinstance(k, tuple) else k: v for k, v in values.items()}
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(
-            {"metadata": {"main_feature": costs.main, "side_features": list(costs.sides)}, "cost_assumptions": plain},
-            file,
-            indent=2,
-            ensure_ascii=False,
-        )
+    doc = {"metadata": {"main_feature": costs.main, "side_features": list(costs.sides)}, "cost_assumptions": plain}
+    _write(path, json.dumps(doc, indent=2, ensure_ascii=False).encode())
 
 
 def save_excel(costs: CostTable, path: str) -> None:

@@ -34,7 +34,7 @@ from pyspark.sql.datasource import (
 )
 
 from gridloom.functions.grid import RasterMeta
-from gridloom.session import ship
+from gridloom.session import place, ship
 from gridloom.sources.detect import Raster
 
 NAME = "gridloom_tiff"
@@ -246,15 +246,8 @@ def encode(bands: np.ndarray, meta: RasterMeta) -> bytes:
     return _head(at, False) + b"".join(s + b"\0" * (len(s) % 2) for s in strips) + _directory(own, n, more, at, False)
 
 
-def _place(path: str):
-    """A file system and a path in it, wherever tasks can open files: local, shared or an object store."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), path)
-
-
 def _opened(path: str):
-    system, name = _place(path)
+    system, name = place(path)
     return system.open_input_file(name)
 
 
@@ -339,7 +332,7 @@ class TiffWriter(DataSourceWriter):
         self.parts = f"{self.path}.{uuid.uuid4().hex}.parts"
 
     def write(self, rows: Iterator) -> Written:
-        system, folder = _place(self.parts)
+        system, folder = place(self.parts)
         system.create_dir(folder, recursive=True)
         name = f"{folder}/{uuid.uuid4().hex}"  # a name for each attempt: what failed ones leave goes with the folder
         tiles = []
@@ -365,7 +358,7 @@ class TiffWriter(DataSourceWriter):
         even = at % 2
         form = "Q" if big else "I"
         more = [(322, "I", [self.tile]), (323, "I", [self.tile]), (324, form, starts.tolist()), (325, form, sizes.tolist())]
-        system, name = _place(self.path)
+        system, name = place(self.path)
         with system.open_output_stream(name) as file:
             file.write(_head(at + even, big) + bare)
             for m in parts:
@@ -376,7 +369,7 @@ class TiffWriter(DataSourceWriter):
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, folder = _place(self.parts)
+        system, folder = place(self.parts)
         if system.get_file_info(folder).type.name == "Directory":
             system.delete_dir(folder)
 
