@@ -45,16 +45,31 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "AGPL": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "LGPL": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
     ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
@@ -77,6 +92,28 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."],
 }
+# Word pairs that name a family; a template that has one is only confirmed where it stands unbroken.
+NAMES = {
+    "Apache-2.0": ["apache license"],
+    "GPL": ["gnu general"],
+    "AGPL": ["gnu affero"],
+    "LGPL": ["gnu lesser"],
+    "MPL-2.0": ["mozilla public"],
+    "EPL-2.0": ["eclipse public"],
+    "CC-BY": ["commons attribution", "attribution 4.0", "cc by"],
+}
+# Notices of other licences, which share most of their words with the above and are none of them.
+NEIGHBOURS = [
+    "Licensed under the Academic Free License, Version 3.0.",
+    "This work is licensed under the Artistic License, version 2.0.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Licensed under the Educational Community License, Version 2.0.",
+    "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3.",
+    "This Source Code Form is subject to the terms of the Common Development and Distribution License, v. 1.0.",
+    "SPDX-License-Identifier: Zlib",
+]
 UNKNOWN = "unknown"
 #: Sampled documents that give negative paragraphs, and paragraphs used of them.
 TRAIN_DOCS, NEGATIVES = 1_000, 6_000
@@ -120,6 +157,7 @@ class Model:
     templates: list[tuple[int, np.ndarray]]  # family, sorted hashes of its word pairs
     holds: np.ndarray  # [feature, template]: 1 for a word pair of the template
     spans: list[int]  # words among which a template is looked for
+    named: np.ndarray  # [feature, template]: 1 for a word pair of the template that names its family
 
     def probabilities(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Family and calibrated probability of being a licence, from sums of weights."""
@@ -172,6 +210,7 @@ def fit(negatives: list[list[bytes]], seed: int = 7) -> Model:
     shapes = [(f, _pairs(w)) for f, w in templates()]
     features = np.unique(np.concatenate([g for _, w in templates() for g in grams(W.hashed(w))]))
     holds = np.stack([np.isin(features, pairs) for _, pairs in shapes], axis=1).astype(float)
+    named = np.stack([np.isin(features, [p for name in NAMES.get(families[f], ()) for p in _pairs(name.encode().split())]) for f, _ in shapes], axis=1) * holds
     own = [w for w in negatives if w]
     x = presence(own, features)
     apart = (x @ holds < 0.5 * holds.sum(axis=0)).all(axis=1)
@@ -189,6 +228,11 @@ def fit(negatives: list[list[bytes]], seed: int = 7) -> Model:
             rows.append(kept)
             labels.append(f)
     unknown = len(families)
+    near = [[w for line in paragraphs(t) for w in line] for t in NEIGHBOURS]
+    for words in near:
+        for n in range(ALTERED):
+            rows.append([w for w in words if n == 0 or rng.random() > rng.choice([0.0, 0.05, 0.15])])
+            labels.append(unknown)
     x = np.concatenate([presence(rows, features), x])
     y = np.array(labels + [unknown] * len(plain))
     held = np.arange(len(y)) % 4 == 3
@@ -221,11 +265,22 @@ def fit(negatives: list[list[bytes]], seed: int = 7) -> Model:
         shapes,
         holds,
         [len(words) + max(len(words), SLACK) for _, words in templates()],
+        named,
     )
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit with negative paragraphs of about ``train_docs`` documents, chosen by a hash of the id."""
+def train(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    train_docs: int = TRAIN_DOCS,
+    negatives: int = NEGATIVES,
+) -> Model:
+    """Fit with at most ``negatives`` distinct lines of about ``train_docs`` documents, chosen by hashes of ids and lines.
+
+    Null ids and texts, empty lines and repeated lines teach nothing more; lines of any length are taken whole. An empty table gives a model from the templates
+    and their neighbours alone. Other columns are not read.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     total = rows.select("id").count()
@@ -233,7 +288,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * train_docs / total))
     lines = rows.select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 0")
     # The lines of the smallest hashes, so that the sample does not depend on the order of rows.
-    table = lines.select("line", F.xxhash64("line").alias("h")).distinct().orderBy("h").limit(NEGATIVES).toArrow()
+    table = lines.select("line", F.xxhash64("line").alias("h")).distinct().orderBy("h").limit(negatives).toArrow()
     return fit([words for line in table["line"].to_pylist() for words in paragraphs(line)])
 
 
@@ -261,7 +316,7 @@ def _windows(pairs: list[int], places: list[int], span: int, need: float) -> lis
 
 def _classify(model: Model, texts: list[bytes | None], confirm: float = CONFIRM) -> list[list[tuple[int, int, float, float, bool]]]:
     """For each text: (paragraph, family, probability, share of the best template, confirmed) of likely licences."""
-    sizes_of = model.holds.sum(axis=0)
+    sizes_of, names_of = model.holds.sum(axis=0), model.named.sum(axis=0)
     family_of = np.array([k for k, _ in model.templates])
     out: list[list[tuple[int, int, float, float, bool]]] = []
     for text in texts:
@@ -299,7 +354,7 @@ def _classify(model: Model, texts: list[bytes | None], confirm: float = CONFIRM)
             own = slice(*np.searchsorted(places, [start, end]))
             seen = np.zeros(len(model.features))
             seen[pairs[own]] = 1
-            shares = np.where(family_of == k, seen @ model.holds / sizes_of, -1.0)
+            shares = np.where((family_of == k) & (seen @ model.named >= names_of), seen @ model.holds / sizes_of, -1.0)
             return float(shares.max()), places[own][model.holds[pairs[own], shares.argmax()] > 0]
 
         def judge(start: int, end: int, but: np.ndarray | None = None, f=f, first=first, last=last) -> tuple[int, float]:
@@ -320,12 +375,14 @@ def _classify(model: Model, texts: list[bytes | None], confirm: float = CONFIRM)
                 got.append((int(some[i]), int(family[i]), float(p[i]), max(share, 0.0), False))
         seen = np.zeros(len(model.features))
         seen[pairs] = 1
-        near = np.flatnonzero(seen @ model.holds / sizes_of >= confirm)
+        near = np.flatnonzero((seen @ model.holds / sizes_of >= confirm) & (seen @ model.named >= names_of))
         for t in near if len(lines) > 1 or len(near) > 1 or not candidates else ():
             k = int(family_of[t])
             own = np.flatnonzero(model.holds[pairs, t])
             at = places[own]
             for i, j in _windows(pairs[own].tolist(), at.tolist(), model.spans[t], max(1.0, confirm * sizes_of[t] - 1e-6)):
+                if len(np.unique(pairs[own[i : j + 1]][model.named[pairs[own[i : j + 1]], t] > 0])) < names_of[t]:
+                    continue
                 start, end = int(at[i]), int(at[j]) + 1
                 own_family, likely = judge(start, end)
                 share = len(np.unique(pairs[own[i : j + 1]])) / float(sizes_of[t])
@@ -365,7 +422,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ``found``: paragraph (line, from 0), family, probability, similarity, confirmed; one for each
     line that the classifier takes for a licence, and one, with its first line, for each confirmed notice
     that is not one whole line. ``n_paragraphs`` counts lines. ``licences``: the confirmed families,
-    sorted, joined by commas ('' if none). Null counts as empty, with one empty paragraph.
+    sorted, joined by commas ('' if none). Null counts as empty, with one empty paragraph. Texts of any length are scanned whole.
     Rows with repeated or null ids are scanned one by one. Other columns are not read. An
     empty table gives no rows.
     """

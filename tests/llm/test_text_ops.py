@@ -754,6 +754,35 @@ def test_quality_query_by_force(spark):
         assert r.kept == (r.p_good >= 0.5)
 
 
+def wrapped(text, width, mark):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width, break_on_hyphens=False))
+
+
+def test_licences_and_their_neighbours(spark, sf):
+    """Each template, plain, wrapped or behind comment marks, is confirmed as its own family and no other; licences like them are not."""
+    plain = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(150).collect()]
+    model = licences.train(docs(spark, plain))
+    texts, want = [], []
+    for family, notices in licences.TEMPLATES.items():
+        for notice in notices:
+            for form in (notice, wrapped(notice, 60, "# "), "some words\n\n" + wrapped(notice, 44, " * ") + "\n\nmore words"):
+                texts.append(form)
+                want.append(family)
+    got = {r.doc_id: r.licences for r in licences.scan(docs(spark, texts), model).collect()}
+    wrong = [(texts[i], w, got[i]) for i, w in enumerate(want) if got[i] != w]
+    assert not wrong, wrong[:5]
+    others = [
+        *licences.NEIGHBOURS,
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Xyzzy General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Frobnitz General Public License, version 3.",
+        "the license of the poem is broad and its terms are kind",
+    ]
+    got = {r.doc_id: r.licences for r in licences.scan(docs(spark, others), model).collect()}
+    assert [(others[i], x) for i, x in got.items() if x] == []
+
+
 def test_licence_gradient():
     rng = np.random.default_rng(6)
     x, y, weight = (rng.random((30, 9)) < 0.4).astype(float), rng.integers(0, 4, 30), rng.random(30)
