@@ -323,55 +323,98 @@ def farthest_pair(sources: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def nearest(points: DataFrame, others: DataFrame, k: int, cell: float | None = None) -> DataFrame:
-    """(id, other, distance, rank): the k nearest others of each point, by rings of grid cells.
+#: Points of a leaf of the quadtree, its levels (of 16 children each), and bits of an axis.
+LEAF, LEVELS, BITS = 16, 13, 26
 
-    Points and others are (id, x, y). Cells are ``cell`` wide, or so that about k others lie in one on average. A point first looks in its own cell and those around it; a
-    point whose k-th neighbour there may be beaten from outside looks on, in rings twice as wide.
+
+def _spread(c: Column) -> Column:
+    """The bits of a number, a gap between each two."""
+    for shift, kept in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(kept))
+    return c
+
+
+def _quadtree(others: DataFrame, low: tuple[float, float], span: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes: level, prefix, parent, n, box, split; others with level and prefix of their leaf).
+
+    A node is split if it holds more than LEAF others, so dense spots have small leaves. Of others at one place only the k smallest ids can matter.
+    """
+    from pyspark.sql.window import Window
+
+    at_once = Window.partitionBy("x", "y").orderBy("id")
+    rows = others.select("id", "x", "y").withColumn("_n", F.row_number().over(at_once)).where(F.col("_n") <= k).drop("_n")
+    step = lambda c, zero: F.least(F.floor((F.col(c) - zero) / span * float(1 << BITS)), F.lit((1 << BITS) - 1)).cast("long")
+    code = _spread(step("x", low[0])).bitwiseOR(F.shiftleft(_spread(step("y", low[1])), 1))
+    prefix = lambda level: F.expr(f"shiftright(code, 4 * ({LEVELS} - {level}))")
+    levels = F.array(*[F.struct(F.lit(i).alias("level"), prefix(i).alias("prefix")) for i in range(LEVELS + 1)])
+    filed = rows.withColumn("code", code).withColumn("at", F.explode(levels)).select("id", "x", "y", "at.level", "at.prefix")
+    found = filed.groupBy("level", "prefix").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
+    )
+    found = store(found.withColumn("split", (F.col("n") > LEAF) & (F.col("level") < LEVELS)), "quadtree")
+    parents = found.where("split").select((F.col("level") + 1).alias("level"), F.col("prefix").alias("parent"))
+    nodes = found.withColumn("parent", F.shiftright("prefix", 4)).join(parents, ["level", "parent"], "left_semi")
+    nodes = store(nodes.unionByName(found.where("level = 0").withColumn("parent", F.lit(-1).cast("long"))), "nodes")
+    leaves = nodes.where("not split").select("level", "prefix")
+    held = filed.withColumnsRenamed({"id": "other", "x": "ox", "y": "oy"}).join(leaves, ["level", "prefix"], "left_semi")
+    return nodes, held
+
+
+def _candidates(points: DataFrame, others: DataFrame, k: int) -> DataFrame | None:
+    """(id, other, distance): for each point the others of those leaves that may hold one of its k nearest.
+
+    From the root on, a point keeps the nodes whose box is no farther than the farthest corner of boxes that hold k others
+    together; kept nodes give way to their children until all are leaves, two levels of the tree at a time.
+    """
+    from pyspark.sql.window import Window
+
+    box = lambda df: df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    b = box(others)
+    if b[0] is None:
+        return None
+    nodes, held = _quadtree(others, (b[0], b[2]), max(b[1] - b[0], b[3] - b[2]) or 1.0, k)
+    outside = lambda low, high, v: F.greatest(F.col(low) - F.col(v), F.col(v) - F.col(high), F.lit(0.0))
+    across = lambda low, high, v: F.greatest(F.abs(F.col(low) - F.col(v)), F.abs(F.col(high) - F.col(v)))
+    columns = ["id", "x", "y", "level", "prefix", "n", "split", "least", "most"]
+
+    def measured(df: DataFrame) -> DataFrame:
+        near, far = (F.hypot(f("x0", "x1", "x"), f("y0", "y1", "y")) for f in (outside, across))
+        return df.withColumn("least", near).withColumn("most", far).select(*columns)
+
+    root = nodes.where("level = 0").drop("parent")
+    now = measured(points.select("id", "x", "y").crossJoin(F.broadcast(root)))  # one row
+    for _ in range(LEVELS):
+        children = nodes.select((F.col("level") - 1).alias("level"), F.col("parent").alias("prefix"), F.col("prefix").alias("_own"), "n", "split", "x0", "x1", "y0", "y1")
+        below = now.where("split").select("id", "x", "y", "level", "prefix").join(children, ["level", "prefix"])
+        below = measured(below.withColumn("level", F.col("level") + 1).withColumn("prefix", F.col("_own")))
+        both = now.where("not split").unionByName(below)
+        by_far = Window.partitionBy("id").orderBy("most", "level", "prefix").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("_sum", F.sum("n").over(by_far))
+        reach = F.min(F.when(F.col("_sum") >= k, F.col("most"))).over(Window.partitionBy("id"))
+        both = both.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("least") <= F.col("_reach")))
+        now = store(both.select(*columns), "frontier")
+        if now.where("split").isEmpty():
+            break
+    met = now.select("id", "x", "y", "level", "prefix").join(held, ["level", "prefix"])
+    return met.select("id", "other", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")).alias("distance"))
+
+
+def nearest(points: DataFrame, others: DataFrame, k: int) -> DataFrame:
+    """(id, other, distance, rank): the k nearest others of each point, the smaller id first at equal distances.
+
+    Points and others are (id, x, y); ids of points tell them apart. A quadtree over the others follows their density, so a
+    point is compared with few of them wherever it lies, dense spots and far outliers included. Rows without coordinates
+    have no neighbours and are none.
     """
     from pyspark.sql.window import Window
 
-    spot = lambda df, size: df.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size))
-    parts, left = [], points.select("id", "x", "y")
-    b = others.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    p = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    none = points.select(
-        "id",
-        F.lit(None).cast("long").alias("other"),
-        F.lit(None).cast("double").alias("distance"),
-        F.lit(None).cast("int").alias("rank"),
-    ).limit(0)
-    if not b[4] or p[0] is None:
-        return none
-    span = max(max(b[1], p[1]) - min(b[0], p[0]), max(b[3], p[3]) - min(b[2], p[2]))
-    wide, high = b[1] - b[0], b[3] - b[2]
-    size = cell or max(math.sqrt(wide * high * k / b[4]), max(wide, high) * k / b[4], span * 1e-6) or 1.0
-    while True:
-        last = size >= span
-        around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        looks = spot(left, size).withColumn("dx", around).withColumn("dy", around).select(
-            "id",
-            "x",
-            "y",
-            (F.col("gx") + F.col("dx")).alias("gx"),
-            (F.col("gy") + F.col("dy")).alias("gy"),
-        )
-        there = spot(others, size).select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "gx", "gy")
-        met = looks.join(there, ["gx", "gy"]).withColumn("distance", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")))
-        ranked = met.withColumn(
-            "rank",
-            F.row_number().over(Window.partitionBy("id").orderBy("distance", "other")),
-        ).where(F.col("rank") <= k)
-        ranked = store(ranked.select("id", "other", "distance", "rank"), "nearest")
-        if last:
-            return reduce(DataFrame.unionByName, [*parts, ranked])
-        # Everything within one cell's width has been seen.
-        done = ranked.where((F.col("rank") == k) & (F.col("distance") <= size)).select("id")
-        parts.append(ranked.join(done, "id", "left_semi"))
-        left = store(left.join(done, "id", "left_anti"), "unsettled")
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        size *= 2
+    known = lambda df: df.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    found = _candidates(known(points), known(others), k)
+    if found is None:
+        none = [F.lit(None).cast(kind).alias(name) for name, kind in (("other", "long"), ("distance", "double"), ("rank", "int"))]
+        return points.select("id", *none).limit(0)
+    first = Window.partitionBy("id").orderBy("distance", "other")
+    return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 
 
 def buffer_width(distance: float, obstacle_ratio: float, variation: float) -> int:

@@ -685,3 +685,36 @@ def test_even_rasters_and_none(spark):
     none = spark.createDataFrame([], FEATURES)
     assert blocks.rasterized(none, m).cells().where(F.col("value") != FORBIDDEN).count() == 0
     assert blocks.Blocks.of_cells(spark.createDataFrame([], "row int, col int, value int"), m).painted([blocks.Step(none, "set", 3)]).cells().count() == 0
+
+
+def crowded(seed, n):
+    """Nine in ten points in one spot, the others far and wide; some share a place."""
+    rng = np.random.default_rng(seed)
+    spot = rng.random(n) < 0.9
+    xy = np.where(spot[:, None], 5_000 + rng.normal(0, 0.01, (n, 2)), rng.uniform(0, 100_000, (n, 2)))
+    xy[:: n // 20] = (5_000.0, 5_000.0)
+    return [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_nearest_of_crowded_points(spark, k):
+    points, others = crowded(1, 300), crowded(2, 3000)
+    a, b = (spark.createDataFrame(rows, "id long, x double, y double") for rows in (points, others))
+    found = R.nearest(a, b, k)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.id, []).append((r.rank, r.distance, r.other))
+    for i, x, y in points:
+        want = sorted((math.hypot(x - ox, y - oy), o) for o, ox, oy in others)[:k]
+        assert [o for _, _, o in sorted(got[i])] == [o for _, o in want] and [d for _, d, _ in sorted(got[i])] == pytest.approx([d for d, _ in want])
+    assert R._candidates(a, b, k).count() < 100 * k * len(points)
+
+
+def test_nearest_odd_points(spark):
+    rows = [(0, 1.0, 1.0), (1, 1.0, 1.0), (2, 1.0, 1.0), (3, None, 2.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = sorted((r.id, r.rank, r.other) for r in R.nearest(df, df, 2).collect())
+    assert got == [(i, n + 1, n) for i in range(3) for n in range(2)]
+    assert [r.other for r in R.nearest(df.limit(1), df.limit(1), 5).collect()] == [0]
+    assert R.nearest(df, df.limit(0), 2).count() == R.nearest(df.limit(0), df, 2).count() == 0
+    assert R.nearest(df, df.limit(0), 2).columns == ["id", "other", "distance", "rank"]
