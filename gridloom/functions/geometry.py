@@ -12,6 +12,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.functions import projections as P
+
 POLYGON = "array<array<struct<x: double, y: double>>>"
 Point = tuple[float, float]
 
@@ -266,14 +268,18 @@ def _krueger(flattening: float) -> tuple[float, list[float], list[float]]:
     return radius, forward, inverse
 
 
-def _utm(srid: int) -> tuple[int, tuple[float, float], float] | None:
-    """(zone, ellipsoid, false northing)."""
+def _mercator(srid: int) -> tuple[float, tuple[float, float], float, float, float] | None:
+    """Transverse Mercator systems: central meridian, ellipsoid, scale, false easting, false northing."""
+    utm = lambda zone, ellipsoid, north: (float(zone * 6 - 183), ellipsoid, SCALE, FALSE_EASTING, north)
     if 25828 <= srid <= 25838:
-        return srid - 25800, GRS80, 0.0
+        return utm(srid - 25800, GRS80, 0.0)
     if 32601 <= srid <= 32660:
-        return srid - 32600, WGS84, 0.0
+        return utm(srid - 32600, WGS84, 0.0)
     if 32701 <= srid <= 32760:
-        return srid - 32700, WGS84, 10_000_000.0
+        return utm(srid - 32700, WGS84, 10_000_000.0)
+    if srid in P.GAUSS_KRUGER:
+        zone = srid - 31464
+        return 3.0 * zone, P.BESSEL, 1.0, zone * 1_000_000.0 + 500_000.0, 0.0
     return None
 
 
@@ -282,9 +288,11 @@ def _to_degrees(x: Column, y: Column, srid: int) -> tuple[Column, Column]:
         return x, y
     if srid == 3857:
         return F.degrees(x / WEB_RADIUS), F.degrees(2 * F.atan(F.exp(y / WEB_RADIUS)) - math.pi / 2)
-    zone, (a, f), north = _utm(srid) or _refuse(srid)
+    if srid in P.SYSTEMS:
+        return P.SYSTEMS[srid].inverse(x, y)
+    meridian, (a, f), scale, east, north = _mercator(srid) or _refuse(srid)
     radius, _, inverse = _krueger(f)
-    xi, eta = (y - north) / (SCALE * a * radius), (x - FALSE_EASTING) / (SCALE * a * radius)
+    xi, eta = (y - north) / (scale * a * radius), (x - east) / (scale * a * radius)
     xi2, eta2 = xi, eta
     for j, term in enumerate(inverse, 1):
         xi2 = xi2 - term * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
@@ -300,7 +308,8 @@ def _to_degrees(x: Column, y: Column, srid: int) -> tuple[Column, Column]:
     phi = chi
     for j, term in enumerate(delta, 1):
         phi = phi + term * F.sin(2 * j * chi)
-    return F.lit(float(zone * 6 - 183)) + F.degrees(F.atan2(F.sinh(eta2), F.cos(xi2))), F.degrees(phi)
+    lon, lat = F.lit(meridian) + F.degrees(F.atan2(F.sinh(eta2), F.cos(xi2))), F.degrees(phi)
+    return P.shifted(lon, lat, P.DHDN_SHIFT, P.BESSEL, P.WGS84) if srid in P.GAUSS_KRUGER else (lon, lat)
 
 
 def _from_degrees(lon: Column, lat: Column, srid: int) -> tuple[Column, Column]:
@@ -308,26 +317,32 @@ def _from_degrees(lon: Column, lat: Column, srid: int) -> tuple[Column, Column]:
         return lon, lat
     if srid == 3857:
         return F.radians(lon) * WEB_RADIUS, F.log(F.tan(F.radians(lat) / 2 + math.pi / 4)) * WEB_RADIUS
-    zone, (a, f), north = _utm(srid) or _refuse(srid)
+    if srid in P.SYSTEMS:
+        return P.SYSTEMS[srid].forward(lon, lat)
+    meridian, (a, f), scale, east, north = _mercator(srid) or _refuse(srid)
+    if srid in P.GAUSS_KRUGER:
+        lon, lat = P.shifted(lon, lat, P.DHDN_SHIFT, P.WGS84, P.BESSEL, back=True)
     radius, forward, _ = _krueger(f)
     e = math.sqrt(f * (2 - f))
     sin_lat = F.sin(F.radians(lat))
     t = F.sinh(F.atanh(sin_lat) - e * F.atanh(e * sin_lat))
-    rel = F.radians(lon - float(zone * 6 - 183))
+    rel = F.radians(lon - meridian)
     xi, eta = F.atan2(t, F.cos(rel)), F.atanh(F.sin(rel) / F.sqrt(1 + t * t))
     xi2, eta2 = xi, eta
     for j, term in enumerate(forward, 1):
         xi2 = xi2 + term * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         eta2 = eta2 + term * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    return FALSE_EASTING + SCALE * a * radius * eta2, north + SCALE * a * radius * xi2
+    return east + scale * a * radius * eta2, north + scale * a * radius * xi2
 
 
 def _refuse(srid: int):
-    raise ValueError(f"EPSG:{srid} is not supported; known are 4326, 3857 and UTM zones")
+    raise ValueError(f"EPSG:{srid} is not supported; known are 4326, 3857, 3035, 2154, 31466 to 31469 and UTM zones")
 
 
 def reproject(x: Column, y: Column, from_srid: int | None, to_srid: int | None) -> tuple[Column, Column]:
     """Coordinates (east, north) in another system; unchanged if either is unknown or both agree."""
     if from_srid is None or to_srid is None or from_srid == to_srid:
         return x, y
+    if to_srid in P.SYSTEMS or to_srid in P.GAUSS_KRUGER or from_srid in P.SYSTEMS or from_srid in P.GAUSS_KRUGER:
+        return P.let(P.let((x, y), lambda a, b: _to_degrees(a, b, from_srid)), lambda a, b: _from_degrees(a, b, to_srid))
     return _from_degrees(*_to_degrees(x, y, from_srid), to_srid)

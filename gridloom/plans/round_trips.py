@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom import finder
+from gridloom.functions import geometry as G
 from gridloom.functions import grid as X
 from gridloom.functions import neighborhood as N
 from gridloom.operators import blocks
@@ -229,3 +230,21 @@ def finder_routes(spark, sf):
     found = finder.PathFinder(spark, data, ends[:2], ends[2:], neighborhood=1, buffer=1e6)
     rows = found.find().select(F.col("path_id").alias("ord"), "source", "target", r6("total_cost").alias("cost"))
     return rows
+
+
+# Coordinate systems.
+
+
+@query("reproject_systems", "SELECT p_partkey, s AS srid, 7.0 + (p_partkey % 700) / 100.0 AS lon, 46.0 + (p_partkey % 800) / 100.0 AS lat FROM part, (VALUES (2154), (3035), (31467)) t(s)")
+def reproject_systems(spark, sf):
+    """Conic, equal-area and Gauss-Kruger coordinates, and back, to a tenth of a metre."""
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").select("p_partkey", (7.0 + (k % 700) / 100.0).alias("lon"), (46.0 + (k % 800) / 100.0).alias("lat"))
+    out = None
+    for srid in (2154, 3035, 31467):
+        x, y = G.reproject(F.col("lon"), F.col("lat"), 4326, srid)
+        there = p.select("p_partkey", x.alias("x"), y.alias("y"))
+        lon, lat = G.reproject(F.col("x"), F.col("y"), srid, 4326)
+        back = there.select("p_partkey", F.lit(srid).alias("srid"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+        out = back if out is None else out.unionByName(back)
+    return out

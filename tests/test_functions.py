@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
+from gridloom.functions import projections as P
 from gridloom.functions import neighborhood as N
 from gridloom.functions.grid import RasterMeta, line_cells
 
@@ -99,7 +100,7 @@ def test_reproject_known_points(spark):
     b = spark.range(1).select(lon.alias("lon"), lat.alias("lat"), x.alias("x")).first()
     assert (b.lon, b.lat) == pytest.approx((10.5, 51.0), abs=1e-9) and 600000 < b.x < 610000
     with pytest.raises(ValueError):
-        G.reproject(F.lit(1.0), F.lit(1.0), 4326, 31467)
+        G.reproject(F.lit(1.0), F.lit(1.0), 4326, 27700)
 
 
 @settings(max_examples=8, deadline=None)
@@ -108,3 +109,37 @@ def test_lines_are_the_same_from_both_ends(spark, p):
     a, b = (spark.range(1).select(line_cells(*map(F.lit, q)).alias("l")).first().l for q in (p, (p[2], p[3], p[0], p[1])))
     assert sorted(a) == sorted(b) and len(a) == max(abs(p[0] - p[2]), abs(p[1] - p[3])) + 1
     assert {(p[0], p[1]), (p[2], p[3])} <= {tuple(c) for c in a}
+
+
+def degrees(d, m=0, s=0.0):
+    return d + m / 60 + s / 3600
+
+
+def test_published_points_of_projections(spark):
+    """Points from the public guidance note on coordinate conversions, and one of Lambert-93."""
+    row = spark.range(1)
+
+    def at(pair):
+        return tuple(row.select(pair[0].alias("a"), pair[1].alias("b")).first())
+
+    east, north = at(G.reproject(F.lit(5.0), F.lit(50.0), 4326, 3035))
+    assert (east, north) == pytest.approx((3962799.45, 2999718.85), abs=0.1)
+    foot = 1200 / 3937
+    texas = P.Conic((6378206.4, 1 / 294.9786982), (degrees(28, 23), degrees(30, 17)), (-99.0, degrees(27, 50)), (2_000_000 * foot, 0.0))
+    assert at(texas.forward(F.lit(-96.0), F.lit(28.5))) == pytest.approx((2963503.91 * foot, 254759.80 * foot), abs=0.1)
+    assert at(texas.inverse(F.lit(2963503.91 * foot), F.lit(254759.80 * foot))) == pytest.approx((-96.0, 28.5), abs=1e-6)
+    assert at(G.reproject(F.lit(3.0), F.lit(46.5), 4326, 2154)) == pytest.approx((700_000.0, 6_600_000.0), abs=0.001)
+    x, y, z = P.helmert(tuple(map(F.lit, (3657660.66, 255768.55, 5201382.11))), (0.0, 0.0, 4.5, 0.0, 0.0, 0.554, 0.219))
+    assert tuple(row.select(x.alias("x"), y.alias("y"), z.alias("z")).first()) == pytest.approx((3657660.78, 255778.43, 5201387.75), abs=0.01)
+
+
+@pytest.mark.parametrize("srid, lon, lat", [(3035, 9.0, 48.0), (3035, 10.0, 52.0), (2154, 2.3, 48.8), (31466, 6.9, 51.2), (31467, 9.2, 48.8), (31468, 11.6, 48.1), (31469, 14.5, 51.1), (25832, 9.2, 48.8)])
+def test_projections_there_and_back(spark, srid, lon, lat):
+    x, y = G.reproject(F.lit(lon), F.lit(lat), 4326, srid)
+    there = spark.range(1).select(x.alias("x"), y.alias("y"))
+    back = there.select("x", "y", *[c.alias(n) for c, n in zip(G.reproject(F.col("x"), F.col("y"), srid, 4326), ("lon", "lat"))]).first()
+    assert (back.lon, back.lat) == pytest.approx((lon, lat), abs=2e-8)
+    if srid in P.GAUSS_KRUGER:
+        assert int(back.x // 1_000_000) == srid - 31464
+        zone = spark.range(1).select(*G.reproject(F.lit(lon), F.lit(lat), 4326, 25832)).first()
+        assert 50 < abs(back.y - zone[1]) < 20_000  # another datum, scale and meridian
