@@ -330,3 +330,79 @@ def test_joint_histograms_cover_the_vocabulary(spark):
         assert r.m > 0 and r.one < r.two
         sums[r.lang, r.one, r.two] += r.m
     assert sums and all(m == v[lang] for (lang, _, _), m in sums.items())
+
+
+# Bounds and recall of the other operators.
+
+
+def clusters(seed, n):
+    rng = random.Random(seed)
+    base = [[f"w{rng.randrange(500)}" for _ in range(90)] for _ in range(12)]
+    texts = []
+    for _ in range(n):
+        words = list(rng.choice(base))
+        if rng.random() < 0.5:
+            words[rng.randrange(90)] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_results_beyond_broadcast_bounds(spark, monkeypatch):
+    """With every bound at 0 and Spark's own broadcasts off, joins shuffle and give the same rows."""
+    from gridloom.llm import exact_dedup, jaccard_join, mixing, substring_dedup, warc
+
+    df = spark.createDataFrame([(i, t, "en", f"s{i % 5}") for i, t in enumerate(clusters(1, 150))], DOCS).repartition(4)
+    pages = df.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://x/"), F.col("doc_id")).alias("url"), F.col("text").alias("html"))
+    runs = {
+        "op1": lambda: warc.round_trip(pages),
+        "op3": lambda: exact_dedup.mark_duplicates(df),
+        "op4": lambda: substring_dedup.remove_repeats(df, with_text=False),
+        "op7": lambda: mixing.mix(df).select("doc_id", "source", "copy", "order_key"),
+        "op9": lambda: jaccard_join.join(df, n=3, num=90, den=100),
+        "op13": lambda: divergence.audit(df),
+    }
+    rows = lambda run: sorted((tuple(r) for r in run().collect()), key=repr)
+    want = {name: rows(run) for name, run in runs.items()}
+    for module in (divergence, exact_dedup, jaccard_join, mixing, substring_dedup, warc):
+        for name in [x for x in dir(module) if x.startswith("BROADCAST_")]:
+            monkeypatch.setattr(module, name, 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, run in runs.items():
+            assert rows(run) == want[name], name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("dims", [32, 64, 128])
+@pytest.mark.parametrize("hashes", [1, 2, 3, 4, 5])
+def test_recall_of_vector_buckets(dims, hashes):
+    """Pairs at a cosine of exactly 0.98 share a bucket, by the number of hashes that a table of vectors has."""
+    import numpy as np
+
+    from gridloom.llm import embedding_dedup
+
+    rng = np.random.default_rng([dims, hashes])
+    a, b = rng.normal(size=(2, 1000, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.98 * a + np.sqrt(1 - 0.98**2) * b
+    group = np.zeros(1000, np.uint64)
+    one, two = (embedding_dedup.bucket_keys(x, group, hashes) for x in (a, near))
+    met = (one[:, :, None] == two[:, None, :]).any(axis=(1, 2)).mean()
+    assert met >= (0.999 if hashes <= 3 else 0.995)
+
+
+@pytest.mark.parametrize("plain", [0, 3])
+def test_languages_are_fitted_on_whole_words(monkeypatch, plain):
+    """Words of every length count alike, whether fitted side by side or in logarithms, over segments of the word."""
+    from gridloom.llm import language_id
+
+    pieces = {p: i for i, p in enumerate(["▁a", "a", "b", "ab", "ba", "aab", "▁ab"])}
+    counts = {"x": Counter({"▁abab": 3, "▁aabba": 2, "▁" + "ab" * 12: 1, "▁c": 1}), "y": Counter({"▁ba": 4, "▁bbaab": 2})}
+    want = language_id.fit(counts, pieces).probs
+    monkeypatch.setattr(language_id, "PLAIN", plain)
+    monkeypatch.setattr(language_id, "LONG_STEP", 5)
+    assert language_id.fit(counts, pieces).probs == pytest.approx(want, rel=1e-9, abs=1e-15)
