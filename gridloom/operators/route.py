@@ -16,7 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridloom.errors import AlgorithmNotImplementedError, NoPathFoundError, PairwiseError
@@ -364,13 +364,14 @@ class Tiled:
             known = reduce(DataFrame.unionByName, parts).join(keys, ["start", "tr", "tc"], "left_semi")
             both = known.unionByName(news.drop("round"), allowMissingColumns=True)
             improve = _improver(self.wanted, self.ignore_max, self.side, self.halo, self.height, self.width, goal, self.many, best)
-            got = store(self._by_tile(both, batches, "start", "round", "frame", "nodes", "costs").mapInPandas(improve, out), "round")
+            got = self._by_tile(both, batches, "start", "round", "frame", "nodes", "costs").mapInPandas(improve, out)
+            seen = Observation()  # counted as the round is written
+            got = store(got.observe(seen, *[F.count(c).alias(c) for c in ("nodes", "frame", "end")]), "round")
             number += 1
-            hits = F.collect_list(F.when(F.col("end").isNotNull(), F.struct("start", "end", "reached")))  # of the few targets only
-            left, changed, reached_now = got.agg(F.count("nodes"), F.count("frame"), hits).first()
-            for start, end, cost in reached_now:
+            left = seen.get["nodes"]
+            self.searched += seen.get["frame"]
+            for start, end, cost in got.where("end is not null").select("start", "end", "reached").collect() if seen.get["end"] else ():  # of the few targets only
                 best[start][end] = min(best[start][end], cost)
-            self.searched += changed
             parts.append(got.where("frame is not null").select("start", "tr", "tc", F.lit(number).alias("round"), "frame"))
             news = got.where("nodes is not null").select("start", "tr", "tc", F.lit(number).alias("round"), "nodes", "costs")
             told.append(news)
