@@ -27,7 +27,7 @@ from gridloom.operators.search import ALGORITHMS, Heuristic, Search, Window, rou
 from gridloom.session import ship, store
 
 #: The side of a tile in cells, and sources from which on a search uses border-to-border costs.
-TILE, OVERLAY_SOURCES = 1024, 64
+TILE, OVERLAY_SOURCES = 1024, 256
 #: Cells up to which a window is one tile for a search of one's own.
 WINDOW_CELLS = 1 << 26
 #: Rounds after which changed tiles are merged into the state.
