@@ -58,6 +58,18 @@ def parts_area(rings: Column) -> Column:
     return F.aggregate(F.transform(rings, ring_area), F.lit(0.0), lambda t, a: t + a)
 
 
+def oriented_area(rings: Column) -> Column:
+    """The area of rings that turn left around areas and right around holes, as clipping gives them; a single ring may turn either way."""
+    twice = lambda ring: F.aggregate(edges_of(ring), F.lit(0.0), lambda t, s: t + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])
+    return F.abs(F.aggregate(rings, F.lit(0.0), lambda t, ring: t + twice(ring))) / 2
+
+
+def outer_rings(rings: Column) -> Column:
+    """How many of the rings turn left, or all if there is just one."""
+    left = lambda ring: F.aggregate(edges_of(ring), F.lit(0.0), lambda t, s: t + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]) > 0
+    return F.when(F.size(rings) == 1, 1).otherwise(F.size(F.filter(rings, left)))
+
+
 def bbox(polygon: Column) -> Column:
     points = F.flatten(polygon)
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
@@ -174,74 +186,6 @@ def box_meets(box: tuple[float, float, float, float], rings: Sequence[Sequence[P
     return False
 
 
-def trapezoids(rings: Sequence[Sequence[Point]]) -> list[list[Point]]:
-    """Convex pieces (counter-clockwise) of the area that rings enclose by the even-odd rule.
-
-    The plane is cut at the height of every corner and crossing; between two such heights no
-    sides cross, so every second gap between them is a piece.
-    """
-    sides = [(a, b) if a[1] <= b[1] else (b, a) for ring in rings for a, b in zip(ring, [*ring[1:], *ring[:1]], strict=True) if a[1] != b[1]]
-    heights = {p[1] for side in sides for p in side}
-    for i, (a, b) in enumerate(sides):
-        for c, d in sides[:i]:
-            cross = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
-            if cross:
-                t = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / cross
-                y = a[1] + t * (b[1] - a[1])
-                if 0 < t < 1 and c[1] < y < d[1]:
-                    heights.add(y)
-    at = lambda side, y: side[0][0] + (y - side[0][1]) / (side[1][1] - side[0][1]) * (side[1][0] - side[0][0])
-    out = []
-    ordered = sorted(heights)
-    for low, high in zip(ordered, ordered[1:], strict=False):
-        across = sorted((s for s in sides if s[0][1] <= low and s[1][1] >= high), key=lambda s: at(s, (low + high) / 2))  # noqa: B023
-        for left, right in zip(across[::2], across[1::2], strict=False):
-            piece = [(at(left, low), low), (at(right, low), low), (at(right, high), high), (at(left, high), high)]
-            out.append([p for i, p in enumerate(piece) if p != piece[i - 1]])
-    return [p for p in out if len(p) > 2]
-
-
-def clipped_ring(ring: Column, sides: Column) -> Column:
-    """The part of a ring inside a convex counter-clockwise polygon, given by its sides."""
-
-    def cut(points: Column, s: Column) -> Column:
-        side = lambda p: (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])
-
-        def of(q: Column, i: Column) -> Column:
-            p = F.element_at(points, F.when(i == 0, F.size(points)).otherwise(i))
-            t = side(p) / (side(p) - side(q))
-            crossing = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
-            return F.array_compact(F.array(F.when(side(p) * side(q) < 0, crossing), F.when(side(q) >= 0, q)))
-
-        return F.flatten(F.transform(points, of))
-
-    return F.aggregate(sides, ring, cut)
-
-
-def clipped_line(line: Column, sides: Column) -> Column:
-    """The parts of a line inside a convex counter-clockwise polygon, as lines of two points."""
-
-    def piece(i: Column) -> Column:
-        p, q = F.element_at(line, i), F.element_at(line, i + 1)
-        start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-
-        def narrow(now: Column, s: Column) -> Column:
-            side = lambda u: (s["b"]["x"] - s["a"]["x"]) * (u["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (u["x"] - s["a"]["x"])
-            d, t = side(q) - side(p), side(p) / (side(p) - side(q))
-            low = F.when(d > 0, F.greatest(now["low"], t)).when((d == 0) & (side(p) < 0), F.lit(2.0)).otherwise(now["low"])
-            high = F.when(d < 0, F.least(now["high"], t)).otherwise(now["high"])
-            return F.struct(low.alias("low"), high.alias("high"))
-
-        part = F.aggregate(sides, start, narrow)
-        at = lambda t: F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
-        return F.when(part["low"] < part["high"], F.array(at(part["low"]), at(part["high"])))
-
-    return F.when(
-        F.size(line) < 2,
-        F.array().cast("array<array<struct<x:double,y:double>>>"),
-    ).otherwise(F.array_compact(F.transform(F.sequence(F.lit(1), F.size(line) - 1), piece)))
-
-
 # WGS 84 / GRS 80 ellipsoids and the transverse Mercator scale.
 WGS84 = (6378137.0, 1 / 298.257223563)
 GRS80 = (6378137.0, 1 / 298.257222101)

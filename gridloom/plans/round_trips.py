@@ -41,7 +41,7 @@ from gridloom.plans.registry import (
 from gridloom.session import new_path, place
 from gridloom.sources import costs as cost_files
 from gridloom.sources import export
-from gridloom.sources.detect import Raster, load, meets_any
+from gridloom.sources.detect import Raster, clipped, load, meets_any
 from gridloom.sources.tiff import write_raster
 
 # Files.
@@ -248,3 +248,34 @@ def reproject_systems(spark, sf):
         back = there.select("p_partkey", F.lit(srid).alias("srid"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
         out = back if out is None else out.unionByName(back)
     return out
+
+
+# Clipping.
+
+#: A base with a hole, and two prongs on it, a gap of 2 between them; the boxes it is made of (areas less the hole) are in the SQL.
+COMB = [[(3.0, 2.0), (43.0, 2.0), (43.0, 8.0), (40.0, 8.0), (40.0, 30.0), (20.0, 30.0), (20.0, 8.0), (18.0, 8.0), (18.0, 30.0), (5.0, 30.0), (5.0, 8.0), (3.0, 8.0)],
+        [(20.0, 4.0), (21.0, 4.0), (21.0, 5.0), (20.0, 5.0)]]
+
+
+def _common(x0: float, y0: float, x1: float, y1: float) -> str:
+    return f"greatest(0, least(x1, {x1}) - greatest(x0, {x0})) * greatest(0, least(y1, {y1}) - greatest(y0, {y0}))"
+
+
+@query(
+    "clip_parts",
+    f"""WITH {box_sql("customer")}, c AS (SELECT k, x0, x1, y0, y1, {_common(3, 2, 43, 8)} AS base, {_common(5, 8, 18, 30)} AS one, {_common(20, 8, 40, 30)} AS two,
+  {_common(20, 4, 21, 5)} AS hole FROM f)
+SELECT k AS feature_id, (base + one + two - hole)::DOUBLE AS area, CASE WHEN base > 0 OR one = 0 OR two = 0 THEN 1 ELSE 2 END::BIGINT AS parts,
+  (CASE WHEN base > 0 OR one = 0 OR two = 0 THEN 1 ELSE 2 END + CASE WHEN x0 < 20 AND x1 > 21 AND y0 < 4 AND y1 > 5 THEN 1 ELSE 0 END)::BIGINT AS rings
+FROM c WHERE base + one + two - hole > 0""",
+)
+def clip_parts(spark, sf):
+    """Features cut to a polygon with inner corners and a hole: each stays one, of as many parts and holes as it has."""
+    polygon = F.col("polygon")
+    cut = clipped(rectangles(spark, sf, "customer"), COMB)
+    return cut.select(
+        "feature_id",
+        r6(G.oriented_area(polygon)).alias("area"),
+        G.outer_rings(polygon).cast("long").alias("parts"),
+        F.size(polygon).cast("long").alias("rings"),
+    )

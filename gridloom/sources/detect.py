@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import SystemMismatchError
+from gridloom.functions import clip
 from gridloom.functions import geometry as G
 from gridloom.functions.grid import RasterMeta
+from gridloom.session import ship
 
 # File name endings by kind.
 VECTOR_FILES = (".shp", ".geojson", ".json", ".gpkg", ".gml", ".kml")
@@ -273,25 +276,60 @@ def meets_any(features: DataFrame, masks: DataFrame, key: str = "feature_id") ->
 def clipped(features: DataFrame, mask: Rings) -> DataFrame:
     """Features cut to a polygon of any shape, by the even-odd rule; those outside it go.
 
-    Areas become the areas in the polygon's convex pieces, lines the lines in these, and points
-    stay if they are inside. A feature without ``geometry_type`` is an area.
+    A feature stays one row. An area is then its outer rings (counter-clockwise), each followed by
+    its holes (clockwise); a line keeps each stretch inside or along a side as one; points
+    stay if they are inside. A feature wholly inside stays as it is, and what only touches the polygon goes.
+    ``geometry_type``, if there, tells which is which and becomes the one of many parts or of one;
+    without it features are areas. Other columns pass unchanged.
     """
-    spark = features.sparkSession
-    pieces = [[{
-        "a": {"x": float(a[0]), "y": float(a[1])},
-        "b": {"x": float(b[0]), "y": float(b[1])},
-    } for a, b in zip(p, [*p[1:], p[0]], strict=True)] for p in G.trapezoids(mask)]
-    row = spark.createDataFrame([(pieces,)], "_pieces array<array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>>")
-    near = within_box(features, G.bounds_of(mask)).crossJoin(F.broadcast(row))  # one row, as large as the mask
-    cut = lambda of: F.flatten(F.transform("_pieces", lambda sides: of(F.col("polygon"), sides)))
-    area = F.filter(cut(lambda rings, sides: F.transform(rings, lambda ring: G.clipped_ring(ring, sides))), lambda ring: F.size(ring) > 2)
-    if "geometry_type" in features.columns:
-        lines = cut(lambda rings, sides: F.flatten(F.transform(rings, lambda line: G.clipped_line(line, sides))))
-        inside = G.sides_of(G.literal_polygon(mask))
-        points = F.filter(
-            F.transform("polygon", lambda ring: F.filter(ring, lambda p: G.inside(inside, p["x"], p["y"]))),
-            lambda ring: F.size(ring) > 0,
-        )
-        kind = F.col("geometry_type")
-        area = F.when(kind.endswith("LineString"), lines).when(kind.endswith("Point"), points).otherwise(area)
-    return near.withColumn("polygon", area).where(F.size("polygon") > 0).drop("_pieces")
+    ship(features.sparkSession)
+    sides = clip.sides_of([np.array(ring, float) for ring in mask if len(ring)])
+    if not len(sides):
+        return features.limit(0)
+    near = within_box(features, G.bounds_of(mask))
+    return near.mapInArrow(_cut(sides), near.schema)
+
+
+def _cut(mask: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch["geometry_type"].to_pylist() if "geometry_type" in batch.schema.names else [None] * batch.num_rows
+            rows, polygons, names = [], [], []
+            for row, (kind, rings) in enumerate(zip(kinds, _point_arrays(batch["polygon"]), strict=True)):
+                plain = (kind or "Polygon").removeprefix("Multi")
+                if plain == "Point":
+                    found = clip.points_in(rings, mask)
+                    parts = sum(map(len, found))
+                else:
+                    found = (clip.line_in if plain == "LineString" else clip.area_in)(rings, mask)
+                    parts = len(found or ()) if plain == "LineString" else sum(clip.twice_area(r) > 0 for r in found or ())
+                if found is None or found:
+                    rows.append(row)
+                    polygons.append(rings if found is None else found)
+                    names.append(kind if found is None or kind is None else ("Multi" if parts > 1 else "") + plain)
+            if rows:
+                kept = batch.take(pa.array(rows))
+                new = {"polygon": _point_lists(polygons, batch.schema.field("polygon").type), "geometry_type": pa.array(names, pa.string())}
+                yield pa.RecordBatch.from_arrays([new.get(n, kept[n]) for n in kept.schema.names], kept.schema.names)
+
+    return run
+
+
+def _point_arrays(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The rings of each row, [point, (x, y)]; the column holds no nulls."""
+    rings = column.flatten()
+    points = rings.flatten()
+    xy = np.stack([points.field(n).to_numpy(zero_copy_only=False) for n in ("x", "y")], 1)
+    ends = np.cumsum(np.concatenate([[0], rings.value_lengths().to_numpy(zero_copy_only=False)]))
+    at = 0
+    for many in column.value_lengths().to_pylist():
+        yield [xy[a:b] for a, b in zip(ends[at : at + many], ends[at + 1 : at + many + 1], strict=True)]
+        at += many
+
+
+def _point_lists(polygons: list[list[np.ndarray]], kind: pa.DataType) -> pa.Array:
+    rings = [ring for polygon in polygons for ring in polygon]
+    xy = np.concatenate(rings)
+    ends = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"])
+    return pa.ListArray.from_arrays(ends(map(len, polygons)), pa.ListArray.from_arrays(ends(map(len, rings)), points)).cast(kind)

@@ -1,10 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridloom.functions import clip
 from gridloom.functions import geometry as G
 from gridloom.functions import projections as P
 from gridloom.functions import neighborhood as N
@@ -143,3 +145,42 @@ def test_projections_there_and_back(spark, srid, lon, lat):
         assert int(back.x // 1_000_000) == srid - 31464
         zone = spark.range(1).select(*G.reproject(F.lit(lon), F.lit(lat), 4326, 25832)).first()
         assert 50 < abs(back.y - zone[1]) < 20_000  # another datum, scale and meridian
+
+
+@pytest.mark.parametrize(("step", "away"), [(None, 0.0), (None, 5.6e6), (1.0, 0.0), (0.5, 5.6e6)])
+def test_clipped_areas_by_points(step, away):
+    """Stars of one or two rings, on a grid or not: a point is in the cut area if it is in both."""
+    rng = np.random.default_rng(11)
+
+    def star() -> np.ndarray:
+        angles = np.sort(rng.uniform(0, 2 * np.pi, rng.integers(3, 14)))
+        far = rng.uniform(0.3, 1, len(angles)) * rng.uniform(1, 6)
+        points = rng.uniform(-3, 3, 2) + np.stack([far * np.cos(angles), far * np.sin(angles)], 1) + away
+        return points if step is None else np.round(points / step) * step
+
+    within = lambda rings, p: G.point_in_rings([r.tolist() for r in rings], *p)
+    for _ in range(60):
+        subject, mask = [[star() for _ in range(rng.integers(1, 3))] for _ in range(2)]
+        found = clip.area_in(subject, clip.sides_of(mask))
+        found = subject if found is None else found
+        for p in rng.uniform(-8, 8, (60, 2)) + away + 0.0012345:
+            assert within(found, p) == (within(subject, p) and within(mask, p))
+
+
+def test_clipped_rings_and_lines():
+    box = lambda x, y, s: np.array([(x, y), (x + s, y), (x + s, y + s), (x, y + s)], float)
+    mask = clip.sides_of([box(0, 0, 10), box(4, 4, 2)])
+    size = lambda rings: [clip.twice_area(r) / 2 for r in rings]
+    assert size(clip.area_in([box(3, 3, 4)], mask)) == [16, -4]  # an outer ring and its hole
+    assert size(clip.area_in([box(3, 3, 3)], mask)) == [9 - 4]  # a hole on the edge is a notch
+    assert clip.area_in([box(1, 1, 2)], mask) is None and clip.area_in([box(4.5, 4.5, 1)], mask) == []
+    assert clip.area_in([box(10, 0, 3)], mask) == [] == clip.area_in([box(4, 4, 2)], mask) and clip.area_in([], mask) == []
+    assert sorted(size(clip.area_in([box(0, 0, 10), box(4, 4, 2)], mask))) == [-4, 100]  # equal areas
+    assert size(clip.area_in([box(0, 0, 2), box(2, 2, 2)], clip.sides_of([box(0, 0, 9)]))) == [4, 4]  # parts that touch in a corner
+    assert size(clip.area_in([box(-1, -1, 2), box(8, 8, 5)], mask)) == [1, 4]
+    line = lambda *p: [np.array(p, float)]
+    got = clip.line_in(line((-1, 5), (11, 5), (11, 10), (-2, 10)), mask)
+    assert [r.tolist() for r in got] == [[[0, 5], [4, 5]], [[6, 5], [10, 5]], [[10, 10], [0, 10]]]  # across the hole, and along a side
+    assert clip.line_in(line((1, 1), (2, 2), (3, 1)), mask) is None and clip.line_in(line((20, 1), (21, 1)), mask) == []
+    got = clip.line_in(line((1, 1), (2, 1), (2, -3), (3, -3), (3, 1)), mask)
+    assert [r.tolist() for r in got] == [[[1, 1], [2, 1], [2, 0]], [[3, 0], [3, 1]]]  # a stretch keeps its corners
