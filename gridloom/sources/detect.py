@@ -20,7 +20,7 @@ from gridloom.session import ship
 
 # File name endings by kind.
 VECTOR_FILES = (".shp", ".geojson", ".json", ".gpkg", ".gml", ".kml")
-RASTER_FILES = (".tif", ".tiff", ".jp2", ".img", ".bil", ".dem")
+RASTER_FILES = (".tif", ".tiff", ".jp2", ".img", ".bil", ".bip", ".bsq", ".dem")
 Box = tuple[float, float, float, float]
 Rings = list[list[G.Point]]
 
@@ -126,6 +126,7 @@ def load(
     none of them counts.
     """
     from gridloom.sources import vectors, wfs
+    from gridloom.sources.flat import ENDINGS, read_flat
     from gridloom.sources.tiff import read_raster
 
     what = kind_of(source)
@@ -133,8 +134,10 @@ def load(
         return array_cells(spark, source, meta)
     if what == "raster":
         name = os.fspath(source)
+        if name.lower().endswith(ENDINGS):
+            return read_flat(spark, name)
         if not name.lower().endswith((".tif", ".tiff")):
-            raise ValueError(f"{name}: of raster files only GeoTIFF can be read; convert it first")
+            raise ValueError(f"{name}: of raster files GeoTIFF, BIL and USGS elevation models can be read; convert it to GeoTIFF first")
         return read_raster(spark, name)
     if what == "raster_frame":
         if isinstance(source, Raster):
