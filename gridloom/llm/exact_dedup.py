@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import exchange
-from gridloom.llm.frames import attach, partition_id, small
+from gridloom.llm.frames import attach, partition_id
 from gridloom.session import ship, store
 
 BLOCK_ROWS = 65_536
 #: Fingerprints that an owner holds at once, on average.
 OWNER_ROWS = 1 << 20
 SPAN = 1 << 64
-#: Suspect fingerprints (8 bytes each) up to which they are broadcast; beyond, texts are shuffled by fingerprint.
+#: Suspect fingerprints (8 bytes, and a count) up to which they are broadcast; beyond, texts are shuffled by fingerprint, those of many copies over several tasks.
 BROADCAST_FPS = 1_000_000
 
 
@@ -155,6 +155,11 @@ def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return store(flagged, "suspects")
 
 
+def _copies(found: DataFrame) -> DataFrame:
+    """fp, copies: how many rows are suspects by a fingerprint."""
+    return found.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"))
+
+
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -166,8 +171,8 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = suspects(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = rows.where("suspect")
-    texts = docs.select(text.alias("_text")).withColumn("fp", F.xxhash64("_text"))
-    texts = texts.join(small(found.select("fp").distinct(), "suspect-fps", BROADCAST_FPS), "fp", "left_semi")
+    texts = docs.select(text.alias("_text"), F.col(id_col).alias("_id")).withColumn("fp", F.xxhash64("_text"))
+    texts = attach(texts, _copies(found), ["fp"], [F.col("_id")], "left_semi", "copies", BROADCAST_FPS)
     verified = texts.groupBy("_text").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     verified = verified.select(F.xxhash64("_text").alias("fp"), F.unhex(F.sha2("_text", 256)).alias("sha"), "group_size")
     tops = found.groupBy("fp", "sha").agg(F.max(F.struct("id", "src", "pos")).alias("top"))
@@ -192,7 +197,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty.
     """
     names = docs.columns
-    keys = small(suspects(docs, id_col, text_col).where("suspect").select("fp").distinct(), "suspect-fps", BROADCAST_FPS)
+    found = suspects(docs, id_col, text_col).where("suspect")
     text = F.coalesce(F.col(text_col), F.lit(""))
     others = [F.col(f"`{c}`") for c in names if c != text_col]
     rows = docs.select(
@@ -202,8 +207,9 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.struct(*others).alias("row"),
         F.xxhash64(text).alias("fp"),
     )
-    alone = rows.join(keys, "fp", "left_anti").select("text", "none", "row")
+    rows = attach(rows, _copies(found), ["fp"], [F.col("id")], "left", "copies", BROADCAST_FPS)
+    alone = rows.where("copies is null").select("text", "none", "row")
     rank = F.struct(F.col("id").isNotNull(), F.col("id"))
-    best = rows.join(keys, "fp", "left_semi").groupBy("text").agg(F.max_by(F.struct("none", "row"), rank).alias("best"))
+    best = rows.where("copies is not null").groupBy("text").agg(F.max_by(F.struct("none", "row"), rank).alias("best"))
     kept = alone.unionByName(best.select("text", "best.none", "best.row"))
     return kept.select(*[F.when(~F.col("none"), F.col("text")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])

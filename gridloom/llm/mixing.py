@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.frames import small
+from gridloom.llm.frames import attach
 
 SEED = "mix-1"
-#: Sources up to which their rates are broadcast; beyond, documents are joined by shuffling.
-BROADCAST_SOURCES = 20_000
+#: Sources up to which their rates are broadcast (at most 800 numbers each, so 32 MB); beyond, documents are joined by shuffling, those of large sources over several tasks.
+BROADCAST_SOURCES = 5_000
 #: Sources weigh as this power of their size unless weights are given.
 TEMPERATURE = 0.5
 #: The highest mean of one draw (exp(-mean) underflows from about 745); larger rates are drawn in equal parts.
@@ -39,14 +39,14 @@ def rates(
     weights: dict[str, float] | None = None,
     size: float = 1.0,
 ) -> DataFrame:
-    """source, chars, rate: one row for each source (null is a source of its own).
+    """source, chars, docs, rate: one row for each source (null is a source of its own).
 
     The output holds ``size`` times the input's characters, shared by ``weights``
     (any positive scale; sources without one get none), or by each source's characters
     to the power TEMPERATURE. Sources without characters get the rate 0.
     """
     chars = F.coalesce(F.length(text_col), F.lit(0)).cast("long")
-    sums = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(chars).alias("chars"))
+    sums = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(chars).alias("chars"), F.count(F.lit(1)).alias("docs"))
     if weights is None:
         weight = F.pow(F.col("chars").cast("double"), F.lit(TEMPERATURE))
     else:
@@ -60,6 +60,7 @@ def rates(
     return sums.crossJoin(F.broadcast(totals)).select(
         "source",
         "chars",
+        "docs",
         F.coalesce(F.when(F.col("chars") > 0, rate), F.lit(0.0)).alias("rate"),
     )
 
@@ -93,21 +94,21 @@ def mix(
     copy or order_key are replaced. An empty table stays empty.
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE).cast("int"))
-    steps = rates(docs, source_col, text_col, weights, size).withColumn("_parts", parts)
-    steps = steps.select(F.col("source").alias("_source"), "_parts", distribution(F.col("rate") / F.col("_parts")).alias("_steps"))
-    steps = small(steps, "rates", BROADCAST_SOURCES)
+    named = lambda source: {"_none": source.isNull(), "_source": F.coalesce(source.cast("string"), F.lit(""))}
+    steps = rates(docs, source_col, text_col, weights, size).withColumn("_draws", parts).withColumns(named(F.col("source")))
+    steps = steps.select("_none", "_source", "docs", "_draws", distribution(F.col("rate") / F.col("_draws")).alias("_steps"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     names = [c for c in docs.columns if c not in ("copy", "order_key")]
     rows = docs.select(
-        F.col(source_col).alias("source"),
+        *[c.alias(name) for name, c in named(F.col(source_col)).items()],
         key.alias("key"),
         uniform(seed, key).alias("draw"),
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
     )
-    drawn = rows.join(steps, F.col("source").eqNullSafe(F.col("_source")))
+    drawn = attach(rows, steps, ["_none", "_source"], [F.col("key")], "inner", "docs", BROADCAST_SOURCES)
     count = lambda draw: F.size(F.filter("_steps", lambda s: draw >= s))
-    more = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: uniform(f"{seed}-part", i, F.col("key")))
-    more = F.when(F.col("_parts") > 1, F.aggregate(more, F.lit(0), lambda n, draw: n + count(draw))).otherwise(0)
+    more = F.transform(F.sequence(F.lit(1), F.col("_draws") - 1), lambda i: uniform(f"{seed}-part", i, F.col("key")))
+    more = F.when(F.col("_draws") > 1, F.aggregate(more, F.lit(0), lambda n, draw: n + count(draw))).otherwise(0)
     drawn = drawn.withColumn("n", count(F.col("draw")) + more).where("n > 0")
     drawn = drawn.select("row", "key", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(COPIES))).alias("first"))
     last = F.least(F.col("n"), F.col("first") + COPIES) - 1

@@ -347,17 +347,22 @@ def clusters(seed, n):
     return texts
 
 
-def test_results_beyond_broadcast_bounds(spark, monkeypatch):
-    """With every bound at 0 and Spark's own broadcasts off, joins shuffle and give the same rows."""
-    from gridloom.llm import exact_dedup, jaccard_join, mixing, substring_dedup, warc
+@pytest.mark.parametrize("hot", [2048, 2])
+def test_results_beyond_broadcast_bounds(spark, monkeypatch, hot):
+    """With every bound at 0 and Spark's own broadcasts off, joins shuffle and give the same rows, also where groups of over two members are dealt over tasks."""
+    from gridloom.llm import exact_dedup, frames, jaccard_join, mixing, substring_dedup, warc
 
     df = spark.createDataFrame([(i, t, "en", f"s{i % 5}") for i, t in enumerate(clusters(1, 150))], DOCS).repartition(4)
+    texts = ["same", "same", None, "", "other", "same"]
+    copies = spark.createDataFrame([(i, texts[i % 6], "en", [None, "", "hot", "hot"][i % 4]) for i in range(60)], DOCS).repartition(3)
     pages = df.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://x/"), F.col("doc_id")).alias("url"), F.col("text").alias("html"))
     runs = {
         "op1": lambda: warc.round_trip(pages),
         "op3": lambda: exact_dedup.mark_duplicates(df),
+        "op3 kept": lambda: exact_dedup.drop_duplicates(copies),
         "op4": lambda: substring_dedup.remove_repeats(df, with_text=False),
         "op7": lambda: mixing.mix(df).select("doc_id", "source", "copy", "order_key"),
+        "op7 odd": lambda: mixing.mix(copies).select("doc_id", "source", "copy", "order_key"),
         "op9": lambda: jaccard_join.join(df, n=3, num=90, den=100),
         "op13": lambda: divergence.audit(df),
     }
@@ -366,6 +371,7 @@ def test_results_beyond_broadcast_bounds(spark, monkeypatch):
     for module in (divergence, exact_dedup, jaccard_join, mixing, substring_dedup, warc):
         for name in [x for x in dir(module) if x.startswith("BROADCAST_")]:
             monkeypatch.setattr(module, name, 0)
+    monkeypatch.setattr(frames, "HOT_ROWS", hot)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
