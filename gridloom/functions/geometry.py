@@ -227,56 +227,68 @@ def _mercator(srid: int) -> tuple[float, tuple[float, float], float, float, floa
     return None
 
 
-def _to_degrees(x: Column, y: Column, srid: int) -> tuple[Column, Column]:
+def _to_degrees(srid: int) -> list[P.Stage]:
     if srid == 4326:
-        return x, y
+        return []
     if srid == 3857:
-        return F.degrees(x / WEB_RADIUS), F.degrees(2 * F.atan(F.exp(y / WEB_RADIUS)) - math.pi / 2)
+        return [lambda p: {"x": F.degrees(p["x"] / WEB_RADIUS), "y": F.degrees(2 * F.atan(F.exp(p["y"] / WEB_RADIUS)) - math.pi / 2)}]
     if srid in P.SYSTEMS:
-        return P.SYSTEMS[srid].inverse(x, y)
+        return P.SYSTEMS[srid].inverse_stages()
     meridian, (a, f), scale, east, north = _mercator(srid) or _refuse(srid)
     radius, _, inverse = _krueger(f)
-    xi, eta = (y - north) / (scale * a * radius), (x - east) / (scale * a * radius)
-    xi2, eta2 = xi, eta
-    for j, term in enumerate(inverse, 1):
-        xi2 = xi2 - term * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta2 = eta2 - term * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi2) / F.cosh(eta2))
-    n = f / (2 - f)
-    delta = [
-        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
-        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
-        56 * n**3 / 15 - 136 * n**4 / 35,
-        4279 * n**4 / 630,
-    ]
-    phi = chi
-    for j, term in enumerate(delta, 1):
-        phi = phi + term * F.sin(2 * j * chi)
-    lon, lat = F.lit(meridian) + F.degrees(F.atan2(F.sinh(eta2), F.cos(xi2))), F.degrees(phi)
-    return P.shifted(lon, lat, P.DHDN_SHIFT, P.BESSEL, P.WGS84) if srid in P.GAUSS_KRUGER else (lon, lat)
 
+    def scaled(p):
+        return {"xi": (p["y"] - north) / (scale * a * radius), "eta": (p["x"] - east) / (scale * a * radius)}
+
+    def summed(p):
+        xi, eta = p["xi"], p["eta"]
+        xi2, eta2 = xi, eta
+        for j, term in enumerate(inverse, 1):
+            xi2 = xi2 - term * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+            eta2 = eta2 - term * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        return {"xi": xi2, "eta": eta2}
+
+    def conformal(p):
+        return {"chi": F.asin(F.sin(p["xi"]) / F.cosh(p["eta"])), "rel": F.atan2(F.sinh(p["eta"]), F.cos(p["xi"]))}
 
-def _from_degrees(lon: Column, lat: Column, srid: int) -> tuple[Column, Column]:
+    def degrees(p):
+        return {"x": F.lit(meridian) + F.degrees(p["rel"]), "y": F.degrees(P.latitude(p["chi"], f))}
+
+    found = [scaled, summed, conformal, degrees]
+    return [*found, *P.shift_stages(P.DHDN_SHIFT, P.BESSEL, P.WGS84)] if srid in P.GAUSS_KRUGER else found
+
+
+def _from_degrees(srid: int) -> list[P.Stage]:
     if srid == 4326:
-        return lon, lat
+        return []
     if srid == 3857:
-        return F.radians(lon) * WEB_RADIUS, F.log(F.tan(F.radians(lat) / 2 + math.pi / 4)) * WEB_RADIUS
+        return [lambda p: {"x": F.radians(p["x"]) * WEB_RADIUS, "y": F.log(F.tan(F.radians(p["y"]) / 2 + math.pi / 4)) * WEB_RADIUS}]
     if srid in P.SYSTEMS:
-        return P.SYSTEMS[srid].forward(lon, lat)
+        return P.SYSTEMS[srid].forward_stages()
     meridian, (a, f), scale, east, north = _mercator(srid) or _refuse(srid)
-    if srid in P.GAUSS_KRUGER:
-        lon, lat = P.shifted(lon, lat, P.DHDN_SHIFT, P.WGS84, P.BESSEL, back=True)
     radius, forward, _ = _krueger(f)
     e = math.sqrt(f * (2 - f))
-    sin_lat = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(sin_lat) - e * F.atanh(e * sin_lat))
-    rel = F.radians(lon - meridian)
-    xi, eta = F.atan2(t, F.cos(rel)), F.atanh(F.sin(rel) / F.sqrt(1 + t * t))
-    xi2, eta2 = xi, eta
-    for j, term in enumerate(forward, 1):
-        xi2 = xi2 + term * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta2 = eta2 + term * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    return east + scale * a * radius * eta2, north + scale * a * radius * xi2
+
+    def sine(p):
+        return {"sin_lat": F.sin(F.radians(p["y"])), "rel": F.radians(p["x"] - meridian)}
+
+    def conformal(p):
+        return {"t": F.sinh(F.atanh(p["sin_lat"]) - e * F.atanh(e * p["sin_lat"])), "rel": p["rel"]}
+
+    def turned(p):
+        t, rel = p["t"], p["rel"]
+        return {"xi": F.atan2(t, F.cos(rel)), "eta": F.atanh(F.sin(rel) / F.sqrt(1 + t * t))}
+
+    def summed(p):
+        xi, eta = p["xi"], p["eta"]
+        xi2, eta2 = xi, eta
+        for j, term in enumerate(forward, 1):
+            xi2 = xi2 + term * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+            eta2 = eta2 + term * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        return {"x": east + scale * a * radius * eta2, "y": north + scale * a * radius * xi2}
+
+    found = [sine, conformal, turned, summed]
+    return [*P.shift_stages(P.DHDN_SHIFT, P.WGS84, P.BESSEL, back=True), *found] if srid in P.GAUSS_KRUGER else found
 
 
 def _refuse(srid: int):
@@ -287,6 +299,13 @@ def reproject(x: Column, y: Column, from_srid: int | None, to_srid: int | None)
     """Coordinates (east, north) in another system; unchanged if either is unknown or both agree."""
     if from_srid is None or to_srid is None or from_srid == to_srid:
         return x, y
-    if to_srid in P.SYSTEMS or to_srid in P.GAUSS_KRUGER or from_srid in P.SYSTEMS or from_srid in P.GAUSS_KRUGER:
-        return P.let(P.let((x, y), lambda a, b: _to_degrees(a, b, from_srid)), lambda a, b: _from_degrees(a, b, to_srid))
-    return _from_degrees(*_to_degrees(x, y, from_srid), to_srid)
+    stages = [*_to_degrees(from_srid), *_from_degrees(to_srid)]
+    if any(srid in P.SYSTEMS or srid in P.GAUSS_KRUGER for srid in (from_srid, to_srid)):
+        at = P.bound(x, y, stages)
+        return at["x"], at["y"]
+    return P.plain(x, y, stages)
+
+
+def moved(x: Column, y: Column, from_srid: int, to_srid: int) -> Column:
+    """The same as one struct (x, y): its way is gone once, where ``reproject`` goes it for each of the two."""
+    return P.bound(x, y, [] if from_srid == to_srid else [*_to_degrees(from_srid), *_from_degrees(to_srid)])

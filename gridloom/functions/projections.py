@@ -1,12 +1,13 @@
 """Further map projections and a datum shift as column expressions: conic, equal-area and Gauss-Kruger systems.
 
-All go by way of longitude and latitude. Stages are bound once (``let``), so expressions don't multiply from stage to stage.
+All go by way of longitude and latitude, in stages from named values to named values. ``bound`` works out each stage once a row, so
+expressions don't multiply from stage to stage.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -20,6 +21,28 @@ BESSEL = (6377397.155, 1 / 299.1528128)
 DHDN_SHIFT = (598.1, 73.7, 418.2, 0.202, 0.045, -2.455, 6.7)
 
 Pair = tuple[Column, Column]
+#: Values by name (a dict, or a struct with such fields) -> values by name; the first and the last are x and y, or longitude and latitude.
+Stage = Callable[[dict[str, Column] | Column], dict[str, Column]]
+
+
+def bound(x: Column, y: Column, stages: Sequence[Stage]) -> Column:
+    """A struct (x, y) after all stages, each of which is worked out once."""
+
+    def made(values: dict[str, Column]) -> Column:
+        return F.struct(*[c.cast("double").alias(n) for n, c in values.items()])
+
+    held = F.array(made({"x": x, "y": y}))
+    for stage in stages:
+        held = F.transform(held, lambda p: made(stage(p)))  # noqa: B023  (called at once)
+    return F.element_at(held, 1)
+
+
+def plain(x: Column, y: Column, stages: Sequence[Stage]) -> Pair:
+    """The same as expressions that repeat what they need."""
+    values = {"x": x, "y": y}
+    for stage in stages:
+        values = stage(values)
+    return values["x"], values["y"]
 
 
 @dataclass(frozen=True)
@@ -40,23 +63,45 @@ class Conic:
         scale = self.ellipsoid[0] * m(p1) / (n * t(p1) ** n)
         return e, n, scale, scale * t(p0) ** n
 
-    def forward(self, lon: Column, lat: Column) -> Pair:
+    def forward_stages(self) -> list[Stage]:
         e, n, scale, start = self._constants()
-        s = F.sin(F.radians(lat))
-        t = F.exp(-(F.atanh(s) - e * F.atanh(e * s)))
-        radius, angle = scale * F.pow(t, F.lit(n)), F.radians(lon - self.origin[0]) * n
-        return self.false[0] + radius * F.sin(angle), self.false[1] + start - radius * F.cos(angle)
 
-    def inverse(self, x: Column, y: Column) -> Pair:
+        def sine(p):
+            return {"x": p["x"], "s": F.sin(F.radians(p["y"]))}
+
+        def polar(p):
+            t = F.exp(-(F.atanh(p["s"]) - e * F.atanh(e * p["s"])))
+            return {"radius": scale * F.pow(t, F.lit(n)), "angle": F.radians(p["x"] - self.origin[0]) * n}
+
+        def flat(p):
+            return {"x": self.false[0] + p["radius"] * F.sin(p["angle"]), "y": self.false[1] + start - p["radius"] * F.cos(p["angle"])}
+
+        return [sine, polar, flat]
+
+    def inverse_stages(self) -> list[Stage]:
         _, n, scale, start = self._constants()
-        east, north = x - self.false[0], start - (y - self.false[1])
         sign = math.copysign(1.0, n)
-        t = F.pow(F.hypot(east, north) / abs(scale), F.lit(1 / n))
-        angle = F.atan2(sign * east, sign * north)
-        return self.origin[0] + F.degrees(angle) / n, F.degrees(_latitude(math.pi / 2 - 2 * F.atan(t), self.ellipsoid[1]))
 
+        def polar(p):
+            east, north = p["x"] - self.false[0], start - (p["y"] - self.false[1])
+            return {"t": F.pow(F.hypot(east, north) / abs(scale), F.lit(1 / n)), "angle": F.atan2(sign * east, sign * north)}
 
-def _latitude(conformal: Column, flattening: float) -> Column:
+        def conformal(p):
+            return {"angle": p["angle"], "chi": math.pi / 2 - 2 * F.atan(p["t"])}
+
+        def degrees(p):
+            return {"x": self.origin[0] + F.degrees(p["angle"]) / n, "y": F.degrees(latitude(p["chi"], self.ellipsoid[1]))}
+
+        return [polar, conformal, degrees]
+
+    def forward(self, lon: Column, lat: Column) -> Pair:
+        return plain(lon, lat, self.forward_stages())
+
+    def inverse(self, x: Column, y: Column) -> Pair:
+        return plain(x, y, self.inverse_stages())
+
+
+def latitude(conformal: Column, flattening: float) -> Column:
     """Latitude from conformal latitude, to the fourth order."""
     n = flattening / (2 - flattening)
     terms = [
@@ -89,25 +134,57 @@ class EqualArea:
         stretch = a * math.cos(math.radians(self.origin[1])) / math.sqrt(1 - (e * s0) ** 2) / (radius * math.cos(beta))
         return e, most, beta, radius, stretch
 
-    def forward(self, lon: Column, lat: Column) -> Pair:
+    def forward_stages(self) -> list[Stage]:
         e, most, beta0, radius, stretch = self._constants()
-        s, rel = F.sin(F.radians(lat)), F.radians(lon - self.origin[0])
-        sin_beta = (1 - e * e) * (s / (1 - e * e * s * s) + F.atanh(e * s) / e) / most
-        cos_beta = F.sqrt(1 - sin_beta * sin_beta)
-        b = radius * F.sqrt(2 / (1 + math.sin(beta0) * sin_beta + math.cos(beta0) * cos_beta * F.cos(rel)))
-        north = math.cos(beta0) * sin_beta - math.sin(beta0) * cos_beta * F.cos(rel)
-        return self.false[0] + b * stretch * cos_beta * F.sin(rel), self.false[1] + b / stretch * north
 
-    def inverse(self, x: Column, y: Column) -> Pair:
+        def sine(p):
+            return {"rel": F.radians(p["x"] - self.origin[0]), "s": F.sin(F.radians(p["y"]))}
+
+        def authalic(p):
+            s = p["s"]
+            return {"rel": p["rel"], "sin_beta": (1 - e * e) * (s / (1 - e * e * s * s) + F.atanh(e * s) / e) / most}
+
+        def turned(p):
+            return {"rel": p["rel"], "sin_beta": p["sin_beta"], "cos_beta": F.sqrt(1 - p["sin_beta"] * p["sin_beta"]), "cos_rel": F.cos(p["rel"])}
+
+        def flat(p):
+            sin_beta, cos_beta, cos_rel = p["sin_beta"], p["cos_beta"], p["cos_rel"]
+            b = radius * F.sqrt(2 / (1 + math.sin(beta0) * sin_beta + math.cos(beta0) * cos_beta * cos_rel))
+            north = math.cos(beta0) * sin_beta - math.sin(beta0) * cos_beta * cos_rel
+            return {"x": self.false[0] + b * stretch * cos_beta * F.sin(p["rel"]), "y": self.false[1] + b / stretch * north}
+
+        return [sine, authalic, turned, flat]
+
+    def inverse_stages(self) -> list[Stage]:
         e, _, beta0, radius, stretch = self._constants()
-        east, north = (x - self.false[0]) / stretch, (y - self.false[1]) * stretch
-        rho = F.hypot(east, north)
-        c = 2 * F.asin(rho / (2 * radius))
-        beta = F.when(rho == 0, F.lit(beta0)).otherwise(F.asin(F.cos(c) * math.sin(beta0) + north * F.sin(c) * math.cos(beta0) / rho))
-        rel = F.atan2(east * F.sin(c), rho * math.cos(beta0) * F.cos(c) - north * math.sin(beta0) * F.sin(c))
         e2, e4, e6 = e**2, e**4, e**6
-        lat = beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta)
-        return self.origin[0] + F.degrees(rel), F.degrees(lat)
+
+        def centred(p):
+            return {"east": (p["x"] - self.false[0]) / stretch, "north": (p["y"] - self.false[1]) * stretch}
+
+        def away(p):
+            return {"east": p["east"], "north": p["north"], "rho": F.hypot(p["east"], p["north"])}
+
+        def angle(p):
+            return {"east": p["east"], "north": p["north"], "rho": p["rho"], "c": 2 * F.asin(p["rho"] / (2 * radius))}
+
+        def authalic(p):
+            east, north, rho, c = p["east"], p["north"], p["rho"], p["c"]
+            beta = F.when(rho == 0, F.lit(beta0)).otherwise(F.asin(F.cos(c) * math.sin(beta0) + north * F.sin(c) * math.cos(beta0) / rho))
+            return {"beta": beta, "rel": F.atan2(east * F.sin(c), rho * math.cos(beta0) * F.cos(c) - north * math.sin(beta0) * F.sin(c))}
+
+        def degrees(p):
+            beta = p["beta"]
+            lat = beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta)
+            return {"x": self.origin[0] + F.degrees(p["rel"]), "y": F.degrees(lat)}
+
+        return [centred, away, angle, authalic, degrees]
+
+    def forward(self, lon: Column, lat: Column) -> Pair:
+        return plain(lon, lat, self.forward_stages())
+
+    def inverse(self, x: Column, y: Column) -> Pair:
+        return plain(x, y, self.inverse_stages())
 
 
 SYSTEMS = {
@@ -118,18 +195,6 @@ SYSTEMS = {
 GAUSS_KRUGER = range(31466, 31470)
 
 
-def let(pair: Pair, then: Callable[[Column, Column], Pair]) -> Pair:
-    """``then`` of a pair of values that are worked out once."""
-    held = F.array(F.struct(pair[0].cast("double").alias("u"), pair[1].cast("double").alias("v")))
-
-    def made(p: Column) -> Column:
-        a, b = then(p["u"], p["v"])
-        return F.struct(a.alias("u"), b.alias("v"))
-
-    out = F.element_at(F.transform(held, made), 1)
-    return out["u"], out["v"]
-
-
 def helmert(xyz: tuple[Column, Column, Column], shift: tuple[float, ...], back: bool = False) -> tuple[Column, Column, Column]:
     """Seven-parameter shift of geocentric coordinates, in the position vector convention."""
     dx, dy, dz, *turns, ppm = shift
@@ -142,25 +207,35 @@ def helmert(xyz: tuple[Column, Column, Column], shift: tuple[float, ...], back:
     return dx + scale * (x - rz * y + ry * z), dy + scale * (rz * x + y - rx * z), dz + scale * (-ry * x + rx * y + z)
 
 
-def shifted(lon: Column, lat: Column, shift: tuple[float, ...], before: tuple[float, float], after: tuple[float, float], back: bool = False) -> Pair:
+def shift_stages(shift: tuple[float, ...], before: tuple[float, float], after: tuple[float, float], back: bool = False) -> list[Stage]:
     """Longitude and latitude on another datum, for points on the ellipsoid."""
+    a, f = before
+    e2 = f * (2 - f)
+    a2, f2 = after
+    b, to2 = a2 * (1 - f2), f2 * (2 - f2)
+
+    def across(p):
+        phi, lam = F.radians(p["y"]), F.radians(p["x"])
+        return {"sin_phi": F.sin(phi), "cos_phi": F.cos(phi), "lam": lam}
+
+    def normal(p):
+        return {"sin_phi": p["sin_phi"], "cos_phi": p["cos_phi"], "lam": p["lam"], "nu": a / F.sqrt(1 - e2 * p["sin_phi"] * p["sin_phi"])}
+
+    def geocentric(p):
+        nu, lam = p["nu"], p["lam"]
+        return {"x": nu * p["cos_phi"] * F.cos(lam), "y": nu * p["cos_phi"] * F.sin(lam), "z": nu * (1 - e2) * p["sin_phi"]}
+
+    def move(p):
+        return dict(zip("xyz", helmert((p["x"], p["y"], p["z"]), shift, back), strict=True))
+
+    def flat(p):
+        return {"x": p["x"], "y": p["y"], "z": p["z"], "flat": F.hypot(p["x"], p["y"])}
+
+    def turned(p):
+        return {"lam": F.atan2(p["y"], p["x"]), "z": p["z"], "flat": p["flat"], "theta": F.atan2(p["z"] * a2, p["flat"] * b)}
+
+    def land(p):
+        phi = F.atan2(p["z"] + to2 / (1 - to2) * b * F.pow(F.sin(p["theta"]), F.lit(3.0)), p["flat"] - to2 * a2 * F.pow(F.cos(p["theta"]), F.lit(3.0)))
+        return {"x": F.degrees(p["lam"]), "y": F.degrees(phi)}
 
-    def move(lon: Column, lat: Column) -> Column:
-        a, f = before
-        e2 = f * (2 - f)
-        phi, lam = F.radians(lat), F.radians(lon)
-        nu = a / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
-        xyz = nu * F.cos(phi) * F.cos(lam), nu * F.cos(phi) * F.sin(lam), nu * (1 - e2) * F.sin(phi)
-        return F.struct(*[c.alias(n) for c, n in zip(helmert(xyz, shift, back), "xyz", strict=True)])
-
-    def land(p: Column) -> Column:
-        a, f = after
-        b, e2 = a * (1 - f), f * (2 - f)
-        flat = F.hypot(p["x"], p["y"])
-        theta = F.atan2(p["z"] * a, flat * b)
-        phi = F.atan2(p["z"] + e2 / (1 - e2) * b * F.pow(F.sin(theta), F.lit(3.0)), flat - e2 * a * F.pow(F.cos(theta), F.lit(3.0)))
-        return F.struct(F.degrees(F.atan2(p["y"], p["x"])).alias("u"), F.degrees(phi).alias("v"))
-
-    held = F.array(F.struct(lon.alias("u"), lat.alias("v")))
-    out = F.element_at(F.transform(F.transform(held, lambda p: move(p["u"], p["v"])), land), 1)
-    return out["u"], out["v"]
+    return [across, normal, geocentric, move, flat, turned, land]

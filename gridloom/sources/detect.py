@@ -189,11 +189,7 @@ def _in_system(found: Vector, srid: int | None) -> Vector:
 
 
 def reprojected(features: DataFrame, from_srid: int, to_srid: int) -> DataFrame:
-    def moved(p):
-        x, y = G.reproject(p["x"], p["y"], from_srid, to_srid)
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    return features.withColumn("polygon", F.transform("polygon", lambda ring: F.transform(ring, moved)))
+    return features.withColumn("polygon", F.transform("polygon", lambda ring: F.transform(ring, lambda p: G.moved(p["x"], p["y"], from_srid, to_srid))))
 
 
 def within_box(features: DataFrame, bbox: Box) -> DataFrame:

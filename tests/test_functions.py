@@ -147,6 +147,20 @@ def test_projections_there_and_back(spark, srid, lon, lat):
         assert 50 < abs(back.y - zone[1]) < 20_000  # another datum, scale and meridian
 
 
+@pytest.mark.parametrize("srid", [2154, 3035, 31467])
+def test_stages_are_worked_out_once(spark, srid):
+    """Each stage stands once in the plan, there and back; a pair of columns would repeat the way for each of the two."""
+    there = spark.range(3).select(F.col("id"), G.moved(9.0 + F.col("id"), 48.0 - F.col("id"), 4326, srid).alias("at"))
+    back = there.select("id", G.moved(F.col("at.x"), F.col("at.y"), srid, 4326).alias("at"))
+    stages = len(G._from_degrees(srid)) + len(G._to_degrees(srid))
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction(") == stages
+    x, y = G.reproject(F.lit(9.0), F.lit(48.0), 4326, srid)
+    plan = spark.range(1).select(x.alias("x"), y.alias("y"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lambdafunction(") == 2 * len(G._from_degrees(srid))
+    for r in back.select("id", "at.x", "at.y").collect():
+        assert (r.x, r.y) == pytest.approx((9.0 + r.id, 48.0 - r.id), abs=2e-8)
+
+
 @pytest.mark.parametrize(("step", "away"), [(None, 0.0), (None, 5.6e6), (1.0, 0.0), (0.5, 5.6e6)])
 def test_clipped_areas_by_points(step, away):
     """Stars of one or two rings, on a grid or not: a point is in the cut area if it is in both."""
