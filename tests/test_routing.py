@@ -77,6 +77,14 @@ def test_forbidden_cells_and_outgoing(spark):
     assert [r[0] for r in E.isolated(found, E.edges(found, 3, 0), 3).collect()] == [0]
 
 
+def test_edges_by_cells_do_not_pass_the_driver(spark, tmp_path):
+    """Cells from a small file, which Spark would broadcast whole."""
+    cells(spark, R5).write.parquet(str(tmp_path / "cells"))
+    found = E.edges_by_cells(spark.read.parquet(str(tmp_path / "cells")), 5, 2)
+    assert found.count() == 120
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_searches_agree_with_a_heap(seed):
     rng = random.Random(seed)
