@@ -41,3 +41,14 @@ def test_query_matches_sql(spark, sf, db, name):
 def test_query_without_sql_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
+
+@pytest.mark.parametrize("size", [50, 46, 7, None])
+def test_outgoing_edges_of_a_forbidden_cell(spark, tmp_path, size):
+    """None in SQL where the cell itself is forbidden or has no value."""
+    rows = [(k, size if k == 75 else k % 9 + 1) for k in range(150)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = QUERIES["outgoing_edges"](spark, str(tmp_path)).select("u", "v", "w").collect()
+    want = c.sql(f"select u, v, w from ({SQL['outgoing_edges']})").fetchall()
+    assert sorted(map(plain, got)) == sorted(map(plain, want)) and len(want) == (8 if size == 7 else 0)
