@@ -312,3 +312,34 @@ def test_two_sided_paths_are_paths():
     for a, b in rng.choice(free, (25, 2)).tolist():
         (cost, nodes), (other, _) = routes(window, a, [b], "bidirectional_dijkstra")[0], routes(window, a, [b])[0]
         assert cost == pytest.approx(other) and (not nodes or (nodes[0], nodes[-1]) == (a, b))
+
+
+def test_narrow_rasters_have_long_tiles():
+    """As many cells as square ones, so that rounds grow with the cells and not with the length."""
+    assert route.tile_sides(24_000, 50, 128, 2) == (327, 50) and route.tile_sides(50, 24_000, 128, 2) == (50, 327)
+    assert route.tile_sides(144_000, 50, route.TILE, 1) == (20_971, 50)
+    assert route.tile_sides(31, 43, 16, 1) == (16, 16) and route.tile_sides(300, 3, 20, 5) == (40, 10)
+
+
+def test_tiles_do_not_pass_the_driver(spark):
+    held = route.Tiled(cells(spark, np.ones((60, 7), int)), 60, 7, route.directed(1), 10)
+    asks = held._by_tile(spark.createDataFrame([(0, 0, 0)], "start long, tr int, tc int"), 1, "start")
+    assert "Broadcast" not in asks._jdf.queryExecution().executedPlan().toString()
+    assert len(asks.first()["values"]) == 4 * (14 + 2) * (7 + 2)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_overlay_searches_end_near_their_targets(spark, turned):
+    rng = np.random.default_rng(8)
+    values = np.where(rng.random((90, 7)) < 0.15, FORBIDDEN, rng.integers(1, 30, (90, 7)))
+    values[0, 0] = values[20, 3] = values[30, 5] = 1
+    values = values.T.copy() if turned else values
+    h, w = values.shape
+    at = lambda r, c: c * w + r if turned else r * w + c
+    wanted = spark.createDataFrame([(0, 0, at(20, 3)), (1, 0, at(30, 5))], "ord long, start long, end long")
+    near, whole = (route.Tiled(cells(spark, values), h, w, route.directed(1), 10, many=True) for _ in range(2))
+    near.search(wanted.select("start").distinct(), wanted.select("start", "end"))
+    whole.search(wanted.select("start").distinct())
+    assert near.searched < whole.searched
+    known = dijkstra(values, 1, 0)
+    assert [r.cost for r in near.paths(wanted).orderBy("ord").collect()] == pytest.approx([known[at(20, 3)], known[at(30, 5)]])
