@@ -4,25 +4,33 @@ Every (language, source) group smooths its term counts over the terms of its lan
 groups is compared term by term, but a term's share depends only on its two counts, so terms are tallied by the pair
 of counts first: a joint histogram. Cells with a zero are never listed term by term: they are what a group's own
 histogram has left. The divergence is then worked out once for each cell, in whole numbers, times its terms.
+
+Terms pass between tasks in blocks of many, one for each bucket of terms, as a row for each would cost more than counting.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.frames import as_bytes
+from gridloom.llm.frames import as_bytes, pieces
+from gridloom.llm.words import GOLDEN, mix
 from gridloom.session import ship, store
 
 #: A language keeps terms of at least so many of its documents; ranks of terms that are reported; the sum of a group's shares.
 MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
-#: Entries a task counts, pairs of counts it holds, and bytes of text it cuts at a time.
-ENTRIES, PAIRS, PIECE = 400_000, 1_000_000, 1 << 22
+#: Entries a task counts, pairs of counts it holds, and bytes of text it cuts at a time (arrays beyond 1 MB cost page faults each time).
+ENTRIES, PAIRS, PIECE = 400_000, 1_000_000, 1 << 19
+#: Below this, two groups and two counts are sorted as one number.
+KEYS = 1 << 63
+#: Rows and bytes that a task merges or sends at a time.
+ROWS, BYTES = 5_000, 1 << 20
 #: Groups, and bytes of their names, up to which facts of groups are broadcast; beyond, rows meet them by shuffling.
 BROADCAST_GROUPS, BROADCAST_BYTES = 20_000, 8 << 20
 #: Parts that the groups of a language are dealt over where they meet each other without a broadcast.
@@ -30,123 +38,379 @@ PARTS = 256
 
 #: A-Z become a-z; what no term contains becomes a blank.
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-_COUNTS = "lang string, source string, term string, docs long, n long"
+#: Odd factors of the bytes of a hashed term.
+_FACTORS = mix(np.arange(64, dtype=np.uint64) * GOLDEN) | np.uint64(1)
+_COUNTS = "bucket int, names binary, spans binary, terms binary, lens binary, cells binary"
+_TERMS = "lang string, term string, total long, cells array<struct<source: string, n: long>>"
 _TALLY = "lang string, one string, two string, a long, b long, m long"
 
 
-def terms_of(data: bytes) -> Iterator[list[bytes]]:
-    """The terms of a text, piece by piece; a piece ends where a term does."""
-    data = data.translate(_LETTERS)
-    at = 0
-    while at < len(data):
-        end = data.find(b" ", at + PIECE) if at + PIECE < len(data) else len(data)
-        end = len(data) if end < 0 else end
-        yield data[at:end].split()
-        at = end
-
-
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each term of each group, summed over a task as far as ENTRIES go."""
-    seen: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
-    held = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (docs, n) in seen.items():
-            names = [*n, None]  # the row without a term tells that the group occurs
-            for at in range(0, len(names), 50_000):
-                part = names[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(part), pa.binary()).cast(pa.string()),
-                        pa.array([source] * len(part), pa.binary()).cast(pa.string()),
-                        pa.array(part, pa.binary()).cast(pa.string()),
-                        pa.array([docs[x] if x is not None else 0 for x in part], pa.int64()),
-                        pa.array([n[x] if x is not None else 0 for x in part], pa.int64()),
-                    ],
-                    names=["lang", "source", "term", "docs", "n"],
-                )
-        seen.clear()
-
+class Cut(NamedTuple):
+    """Terms of some texts: the different ones, and for each occurrence, in order, its term and its text."""
+
+    terms: pa.Array
+    term: np.ndarray
+    text: np.ndarray
+
+
+def terms_of(data: np.ndarray, begin: np.ndarray) -> Cut:
+    """The terms of texts that lie behind each other in ``data`` and begin at ``begin``."""
+    spelt = data.tobytes().translate(_LETTERS)
+    solid = np.frombuffer(spelt, np.uint8) != 0x20
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    at = begin[begin < len(spelt)]
+    first[at] = solid[at]  # no term goes on in the next text
+    last = solid.copy()
+    last[:-1] &= ~solid[1:] | first[1:]
+    starts = np.flatnonzero(first)
+    ends = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(np.flatnonzero(last) - starts + 1, out=ends[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(spelt.translate(None, b" "))]).dictionary_encode()
+    text = np.repeat(np.arange(len(begin)), np.diff(np.r_[np.searchsorted(starts, begin), len(starts)]))
+    return Cut(words.dictionary, words.indices.to_numpy(), text)
+
+
+def _first(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from those before them."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[:1] = True
+    for column in sorted_columns:
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first) if len(first) else values[:0]
+
+
+class _Tally:
+    """Occurrences and documents of the terms of groups, as arrays."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[bytes, bytes], int] = {}
+        self.terms = pa.array([], pa.binary())
+        self.columns = [np.zeros(0, np.int64)] * 4  # term, group, documents, occurrences
+        self.more: list[tuple[pa.Array, list[np.ndarray]]] = []
+        self.held = 0
+
+    def add(self, terms: pa.Array, columns: list[np.ndarray]) -> None:
+        self.more.append((terms, columns))
+        self.held += len(columns[0])
+
+    def short(self, group: np.ndarray, data: np.ndarray, begin: np.ndarray) -> None:
+        """Whole texts, of which each belongs to a group."""
+        order = np.argsort(group, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        cut = terms_of(data, begin)
+        key = cut.term.astype(np.int64) * len(begin) + place[cut.text]
+        key.sort()  # by term, group, text
+        each = _first(key)
+        term, text = np.divmod(key[each], len(begin))
+        of = group[order][text]
+        first = _first(term, of)
+        self.add(cut.terms, [term[first], of[first], np.diff(np.r_[first, len(each)]), np.diff(np.r_[each[first], len(key)])])
+
+    def long(self, group: int, data: np.ndarray) -> None:
+        """One text, piece by piece; a piece ends where a term does."""
+        own, at = _Tally(), 0
+        while at < len(data):
+            end, blank = min(len(data), at + PIECE), -1
+            while blank < 0 and end < len(data):  # the next byte that no term contains
+                blank = data[end : end + PIECE].tobytes().translate(_LETTERS).find(b" ")
+                end = min(len(data), end + PIECE) if blank < 0 else end + blank
+            own.short(np.zeros(1, np.int64), data[at:end], np.zeros(1, np.int64))
+            if own.held > 2 * max(ENTRIES, len(own.columns[0])):
+                own.fold()
+            at = end
+        own.fold()
+        term, of, _, n = own.columns
+        self.add(own.terms, [term, of + group, np.ones_like(n), n])
+
+    def fold(self) -> None:
+        """Sum what was added since."""
+        terms, columns = [self.terms, *(t for t, _ in self.more)], [self.columns, *(c for _, c in self.more)]
+        self.more.clear()
+        starts = np.cumsum([0, *map(len, terms)])
+        spelt = pa.concat_arrays(terms).dictionary_encode()
+        to = spelt.indices.to_numpy()
+        term = np.concatenate([to[c[0] + start] for c, start in zip(columns, starts[:-1], strict=True)])
+        group, docs, n = (np.concatenate([c[i] for c in columns]) for i in (1, 2, 3))
+        order = np.argsort(term * np.int64(max(1, len(self.groups))) + group)
+        term, group = term[order], group[order]
+        first = _first(term, group)
+        self.terms, self.columns = spelt.dictionary, [term[first], group[first], _sums(docs[order], first), _sums(n[order], first)]
+        self.held = len(first)
+
+    def blocks(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket of terms, by a hash: the names of its groups, its terms, and numbers of each cell, in order."""
+        term, group, docs, n = self.columns
+        start = _first(term)  # each term has cells, in order
+        much = np.diff(np.r_[start, len(term)])
+        home = _hashed(self.terms) % np.uint64(buckets)
+        place = np.argsort(home, kind="stable")
+        t = np.r_[_first(home[place]), len(place)]
+        start, much = start[place], much[place]
+        ends = np.cumsum(much)
+        cell = np.repeat(start - ends + much, much) + np.arange(len(term))
+        first = np.r_[0, ends][t]
+        block = np.repeat(np.arange(len(t) - 1), np.diff(first))
+        known, of = np.unique(block * len(self.groups) + group[cell], return_inverse=True)  # groups are numbered anew within each block
+        g = np.searchsorted(known, np.arange(len(t)) * len(self.groups))
+        pairs = 2 * (known % max(1, len(self.groups)))
+        names = pa.array([x for pair in self.groups for x in pair], pa.binary()).take(pa.array(np.stack([pairs, pairs + 1], 1).ravel()))
+        cells = np.stack([np.repeat(np.arange(len(place)), much) - t[block], of - g[block], docs[cell], n[cell]], 1)
+        parts = [*_joined(names, 2 * g), *_joined(self.terms.take(pa.array(place)), t), _packed(cells, first)]
+        buckets_of = pa.array(home[place][t[:-1]].astype(np.int32))
+        yield from pieces([pa.RecordBatch.from_arrays([buckets_of, *parts], names=["bucket", "names", "spans", "terms", "lens", "cells"])], 2000)
+
+    def take(self, batch: pa.RecordBatch) -> None:
+        """Add blocks of other tallies."""
+        names, per_name = _parted(batch["names"], batch["spans"])
+        terms, per_term = _parted(batch["terms"], batch["lens"])
+        values, size = _values(batch["cells"], np.int64)
+        cells = values.reshape(-1, 4)
+        spelt = names.dictionary_encode()
+        known, at = np.unique(spelt.indices.to_numpy().reshape(-1, 2), axis=0, return_inverse=True)
+        words = spelt.dictionary.to_pylist()
+        number = np.array([self.groups.setdefault((words[i], words[j]), len(self.groups)) for i, j in known.tolist()], np.int64)[at.ravel()]
+        block = np.repeat(np.arange(len(size)), size // 4)
+        starts = [(np.cumsum(x) - x)[block] for x in (per_term, per_name // 2)]
+        self.add(terms, [starts[0] + cells[:, 0], number[starts[1] + cells[:, 1]], cells[:, 2], cells[:, 3]])
+        if self.held > 2 * max(ENTRIES, len(self.columns[0])):
+            self.fold()
+
+    def kept(self, min_docs: int) -> Iterator[pa.RecordBatch]:
+        """The terms in at least so many documents of their language, with cells by source in byte order."""
+        self.fold()
+        term, group, docs, n = self.columns
+        names = list(self.groups)
+        place, tongue = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+        langs = {lang: i for i, lang in enumerate(dict.fromkeys(lang for lang, _ in names))}
+        for i, x in enumerate(sorted(range(len(names)), key=names.__getitem__)):
+            place[x], tongue[x] = i, langs[names[x][0]]
+        order = np.lexsort((place[group], term))  # the sources of a language are neighbours
+        term, group, docs, n = term[order], group[order], docs[order], n[order]
+        first = _first(term, tongue[group])
+        much = np.diff(np.r_[first, len(term)])
+        enough = _sums(docs, first) >= min_docs
+        cell, total, first = np.repeat(enough, much), _sums(n, first)[enough], first[enough]
+        sources = _spelt(source for _, source in names).take(pa.array(group[cell]))
+        found = [
+            _spelt(langs).take(pa.array(tongue[group[first]])),
+            self.terms.take(pa.array(term[first])).cast(pa.string()),
+            pa.array(total, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(much[enough])], pa.int32()), pa.StructArray.from_arrays([sources, pa.array(n[cell])], names=["source", "n"])),
+        ]
+        yield from pieces([pa.RecordBatch.from_arrays(found, names=["lang", "term", "total", "cells"])], ROWS)
+
+
+def _hashed(words: pa.Array) -> np.ndarray:
+    """A uint64 hash of each of some words, none empty."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    at = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], np.diff(ends))
+    return mix(_sums(data * _FACTORS[at % len(_FACTORS)], ends[:-1] - ends[0]))
+
+
+def _packed(values: np.ndarray, start: np.ndarray) -> pa.Array:
+    """Rows of numbers as bytes, those of each block from its start to the next."""
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    if len(values) * width >= 1 << 31:
+        raise OverflowError("a text has too many different terms for one block")
+    return pa.Array.from_buffers(pa.binary(), len(start) - 1, [None, pa.py_buffer((start * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(blocks: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all blocks, and how many each has."""
+    blocks = blocks.cast(pa.binary())
+    start = np.frombuffer(blocks.buffers()[1], np.int32)[blocks.offset :][: len(blocks) + 1].astype(np.int64)
+    width = np.dtype(kind).itemsize
+    return np.frombuffer((blocks.buffers()[2] or pa.py_buffer(b"")).slice(int(start[0]), int(start[-1] - start[0])), kind), np.diff(start) // width
+
+
+def _joined(words: pa.Array, start: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The bytes of the words of each block, and their lengths."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1]
+    data = pa.Array.from_buffers(pa.binary(), len(start) - 1, [None, pa.py_buffer(ends[start]), words.buffers()[2]])
+    return data, _packed(np.diff(ends), start)
+
+
+def _parted(data: pa.Array, lens: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all blocks, and how many each has."""
+    (text, _), (size, per_block) = _values(data, np.uint8), _values(lens, np.int32)
+    ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(text)]), per_block
+
+
+def _spelt(names: Iterable[bytes]) -> pa.Array:
+    return pa.array(list(names), pa.binary()).cast(pa.string())
+
+
+def _count(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Documents of each term of each language and its occurrences in each source, summed over a task as far as ENTRIES go."""
+    tally = _Tally()
+    for batch in batches:
+        names = list(zip(as_bytes(batch.column(0)), as_bytes(batch.column(1)), strict=True))
+        texts = batch.column(2).cast(pa.binary())
+        begin = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :][: len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        low = 0
+        while low < len(names):  # as many whole texts as PIECE allows
+            high = max(low + 1, int(np.searchsorted(begin, begin[low] + PIECE, "right")) - 1)
+            group = np.array([tally.groups.setdefault(x, len(tally.groups)) for x in names[low:high]], np.int64)
+            part = data[begin[low] : begin[high]]
+            if len(part) > PIECE:
+                tally.long(int(group[0]), part)
+            else:
+                tally.short(group, part, begin[low:high] - begin[low])
+            low = high
+            if tally.held > 2 * ENTRIES:
+                tally.fold()
+                if tally.held > ENTRIES:
+                    yield from tally.blocks(buckets)
+                    tally = _Tally()
+    tally.fold()
+    yield from tally.blocks(buckets)
+
+
+def gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to ROWS rows or BYTES bytes, and what the last one adds."""
+    held: list[pa.RecordBatch] = []
+    rows = much = 0
+    for batch in batches:
+        held.append(batch)
+        rows, much = rows + batch.num_rows, much + batch.nbytes
+        if rows >= ROWS or much >= BYTES:
+            yield pa.concat_batches(held)
+            held, rows, much = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _merge(batches: Iterable[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
+    """Kept terms, from blocks sorted by bucket; one bucket is held at a time."""
+    tally, last = _Tally(), None
     for batch in batches:
-        for lang, source, text in zip(*map(as_bytes, batch.columns), strict=True):
-            docs, n = seen.setdefault((lang, source), (Counter(), Counter()))
-            before, distinct = len(n), set()
-            for words in terms_of(text):
-                n.update(words)
-                distinct.update(words)
-            docs.update(distinct)
-            held += 1 + len(n) - before
-            if held > ENTRIES:
-                yield from flush()
-                held = 0
-    yield from flush()
+        bucket = batch["bucket"].to_numpy()
+        first = _first(bucket)
+        for low, high in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+            if bucket[low] != last:
+                yield from tally.kept(min_docs)
+                tally, last = _Tally(), bucket[low]
+            tally.take(batch.slice(low, high - low))
+    yield from tally.kept(min_docs)
 
 
 def _joint(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tallies of (count, count) over pairs of sources (one before two in byte order), of terms that both hold."""
-    names: dict[bytes, int] = {}
-    parts: list[np.ndarray] = []
+    groups: dict[tuple[bytes, bytes], int] = {}
+    values: dict[int, int] = {}
+    parts: list[list[np.ndarray]] = []  # group, group, count, count (by their numbers), terms
     held = 0
 
+    def fold() -> None:
+        nonlocal held
+        rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        g, c = len(groups), len(values)
+        if g * g * c * c < KEYS:
+            key = ((rows[0].astype(np.int64) * g + rows[1]) * c + rows[2]) * c + rows[3]
+            order = np.argsort(key)
+            first = _first(key[order])
+        else:
+            order = np.lexsort(rows[3::-1])
+            first = _first(*(x[order] for x in rows[:4]))
+        parts[:] = [[x[order][first] for x in rows[:4]] + [_sums(rows[4][order], first)]]
+        held = len(first)
+
     def flush() -> Iterator[pa.RecordBatch]:
-        if not parts:
-            return
-        rows = np.concatenate(parts)
+        nonlocal held
+        names, counts = list(groups), np.array(list(values), np.int64)
+        langs, sources = _spelt(lang for lang, _ in names), _spelt(source for _, source in names)
+        one, two, a, b, m = parts[0]
+        columns = [langs.take(pa.array(one)), sources.take(pa.array(one)), sources.take(pa.array(two)), *(pa.array(x) for x in (counts[a], counts[b], m))]
         parts.clear()
-        rows = rows[np.lexsort(rows.T)]
-        first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)])
-        much = np.diff(np.r_[first, len(rows)])
-        rows = rows[first]
-        spelt = pa.array(list(names), pa.binary()).cast(pa.string())
-        columns = [spelt.take(pa.array(rows[:, i])) for i in range(3)] + [pa.array(rows[:, i]) for i in (3, 4)] + [pa.array(much)]
-        yield pa.RecordBatch.from_arrays(columns, names=["lang", "one", "two", "a", "b", "m"])
-
-    for batch in batches:
-        for lang, sources, counts in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            at = np.array([names.setdefault(x.encode("utf-8", "surrogatepass"), len(names)) for x in sources], np.int64)
-            tongue, n = names.setdefault(lang, len(names)), np.array(counts, np.int64)
-            low = 0
-            while low < len(at) - 1:  # as many rows of the triangle of pairs as PAIRS allow
-                high = min(len(at) - 1, low + max(1, PAIRS // len(at)))
-                i, j = np.triu_indices(high - low, 1, len(at) - low)
-                rows = np.empty((len(i), 5), np.int64)
-                rows[:, 0] = tongue
-                for column, of, where in ((1, at, i), (2, at, j), (3, n, i), (4, n, j)):
-                    rows[:, column] = of[low + where]
-                parts.append(rows)
-                held += len(rows)
-                low = high
+        held = 0
+        yield from pieces([pa.RecordBatch.from_arrays(columns, names=["lang", "one", "two", "a", "b", "m"])], ROWS)
+
+    def met(at: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal held
+        parts.append([x.ravel() for x in (at[:, i], at[:, j], n[:, i], n[:, j])] + [np.ones(len(at) * len(i), np.int64)])
+        held += len(at) * len(i)
+
+    for batch in gathered(batches):
+        size = pc.list_value_length(batch.column(1)).to_numpy()
+        lang = batch.column(0).cast(pa.binary()).dictionary_encode()
+        source = batch.column(1).flatten().cast(pa.binary()).dictionary_encode()
+        langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+        known, at = np.unique(np.repeat(lang.indices.to_numpy(), size).astype(np.int64) * len(sources) + source.indices.to_numpy(), return_inverse=True)
+        number = [groups.setdefault((langs[x // len(sources)], sources[x % len(sources)]), len(groups)) for x in known.tolist()]
+        at = np.array(number, np.int32)[at]
+        known, n = np.unique(batch.column(2).flatten().to_numpy(), return_inverse=True)
+        n = np.array([values.setdefault(x, len(values)) for x in known.tolist()], np.int32)[n]
+        begin = np.cumsum(size) - size
+        for k in np.unique(size).tolist():
+            rows, low = begin[size == k], 0
+            if k * (k - 1) // 2 > PAIRS:  # one term after the other, as many rows of its triangle of pairs as PAIRS allow
+                for row in rows.tolist():
+                    low = 0
+                    while low < k - 1:
+                        high = min(k - 1, low + max(1, PAIRS // k))
+                        i, j = np.triu_indices(high - low, 1, k - low)
+                        met(at[None, row + low : row + k], n[None, row + low : row + k], i, j)
+                        low = high
+                        if held > PAIRS:
+                            fold()
+                            if held > PAIRS // 2:
+                                yield from flush()
+                continue
+            i, j = np.triu_indices(k, 1)
+            step = max(1, PAIRS // max(1, len(i)))
+            for low in range(0, len(rows), step):
+                where = rows[low : low + step, None] + np.arange(k)
+                met(at[where], n[where], i, j)
                 if held > PAIRS:
-                    yield from flush()
-                    held = 0
-    yield from flush()
+                    fold()
+                    if held > PAIRS // 2:
+                        yield from flush()
+    if parts:
+        fold()
+        yield from flush()
 
 
 def _share(count: Column | str, total: Column | str, kept: Column | str) -> Column:
-    """1 + floor(SCALE (count + 1) / (total + kept)) in whole numbers of up to 38 digits."""
-    return F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (F.col(count) + 1).cast("decimal(20,0)"), (F.col(total) + F.col(kept)).cast("decimal(20,0)")) + 1
+    """1 + floor(SCALE (count + 1) / (total + kept)) in whole numbers, of up to 38 digits where 64 bits don't hold them."""
+    count, whole = F.col(count) + 1, F.col(total) + F.col(kept)
+    wide = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * count.cast("decimal(20,0)"), whole.cast("decimal(20,0)"))
+    return F.when(count <= 9 * SCALE, F.call_function("div", F.lit(SCALE).cast("long") * count, whole)).otherwise(wide) + 1
 
 
 def _gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def _read(docs: DataFrame, **columns: str) -> DataFrame:
+    return docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(name) for name, c in columns.items()))
+
+
 def counted(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """lang, source, term, docs, n: one row for each term of each group, and one without term for each group."""
+    """bucket, names, spans, terms, lens, cells: tallies of tasks as blocks, one for each bucket of terms.
+
+    Rows for each term would cost more than their counting. There are twice as many buckets as partitions of a shuffle.
+    """
     ship(docs.sparkSession)
-    columns = [F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
-    found = docs.select(*columns).mapInArrow(_count, _COUNTS)
-    return found.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _read(docs, lang=lang_col, source=source_col, text=text_col).mapInArrow(lambda batches: _count(batches, buckets), _COUNTS)
 
 
 def vocabulary(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """lang, term, total, cells: the kept terms of each language, with the count of each source that has the term.
 
-    A row holds at most one cell for each source of the language, after all documents are summed.
+    A row holds at most one cell for each source of the language, in byte order, after all documents are summed.
     """
-    cells = F.array_sort(F.collect_list(F.struct("source", "n")))
-    found = counts.where(F.col("term").isNotNull()).groupBy("lang", "term")
-    return found.agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), cells.alias("cells")).where(F.col("docs") >= min_docs).drop("docs")
+    ship(counts.sparkSession)
+    return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _merge(batches, min_docs), _TERMS)
 
 
 def _facts(df: DataFrame, label: str) -> DataFrame:
@@ -169,6 +433,11 @@ def joint_histograms(terms: DataFrame, groups: DataFrame) -> DataFrame:
 
     ``groups``: lang, source, kept (terms with a count there), v (kept terms of the language).
     """
+    return signed_cells(terms, groups).groupBy("lang", "one", "two", "a", "b").agg(F.sum("m").alias("m"))
+
+
+def signed_cells(terms: DataFrame, groups: DataFrame) -> DataFrame:
+    """Joint histograms as parts whose sums by cell they are: what is added to a cell, or taken from it, in rows of their own."""
     ship(terms.sparkSession)
     split = terms.select("lang", F.col("cells.source").alias("sources"), F.col("cells.n").alias("counts")).where(F.size("sources") > 1)
     both = split.mapInArrow(_joint, _TALLY).groupBy("lang", "one", "two", "a", "b").agg(F.sum("m").alias("m"))
@@ -184,7 +453,7 @@ def joint_histograms(terms: DataFrame, groups: DataFrame) -> DataFrame:
     cell = lambda a, b, m: F.struct(a.alias("a"), b.alias("b"), m.alias("m"))
     a, b, m = F.col("a"), F.col("b"), F.col("m")
     given = both.select(*key, F.explode(F.array(cell(a, b, m), cell(a, zero, -m), cell(zero, b, -m), cell(zero, zero, m))).alias("c")).select(*key, "c.*")
-    return given.unionByName(left).unionByName(right).unionByName(none).groupBy(*key, "a", "b").agg(F.sum("m").alias("m"))
+    return given.unionByName(left).unionByName(right).unionByName(none)
 
 
 def audit(
@@ -207,17 +476,18 @@ def audit(
     length are cut piece by piece. Rows that repeat count each time. A language that keeps no term gives pairs of value 0. An empty
     table gives no row. Further columns are not read, whatever their names.
     """
-    counts = store(counted(docs, lang_col, source_col, text_col), "term-counts")
-    terms = store(vocabulary(counts, min_docs), "terms")
+    terms = store(vocabulary(counted(docs, lang_col, source_col, text_col), min_docs), "terms")
     langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("all"))
     sums = terms.select("lang", F.explode("cells").alias("c")).groupBy("lang", F.col("c.source").alias("source"))
     sums = sums.agg(F.sum("c.n").alias("n"), F.count(F.lit(1)).alias("kept"))
-    known = counts.where(F.col("term").isNull()).select("lang", "source")
+    known = _read(docs, lang=lang_col, source=source_col).distinct()
     filled = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("n", "kept", "v", "all")]
     groups = known.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", *filled)
     groups = _facts(groups, "groups")
 
-    cells = joint_histograms(terms, groups).where(F.col("m") != 0)
+    # values are sums over cells, so parts of cells need not meet first: the squares of a group's shares sum to about SCALE squared at
+    # most, and so do the values of each kind of part, far below 2^63
+    cells = signed_cells(terms, groups).where(F.col("m") != 0)
     for name, total in (("one", "n1"), ("two", "n2")):
         cells = cells.join(groups.select("lang", F.col("source").alias(name), F.col("n").alias(total), F.col("v").alias(f"v{total}")), ["lang", name])
     p, q = _share("a", "n1", "vn1"), _share("b", "n2", "vn2")

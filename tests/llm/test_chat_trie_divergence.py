@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -332,6 +333,54 @@ def test_joint_histograms_cover_the_vocabulary(spark):
     assert sums and all(m == v[lang] for (lang, _, _), m in sums.items())
 
 
+def test_tallies_pass_in_blocks(spark):
+    """A task sends a row for each bucket of terms, not for each term of each group."""
+    df = spark.createDataFrame(audit_rows(4, 300, 6), DOCS).repartition(3)
+    assert 0 < divergence.counted(df).count() <= 3 * 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("entries, piece, buckets", [(400_000, 1 << 19, 1), (400_000, 1 << 19, 7), (30, 40, 5), (3, 1, 3)])
+def test_blocks_by_force(monkeypatch, entries, piece, buckets):
+    """Counts flushed early, texts cut in pieces, and several flushes of a term meet in its bucket."""
+    monkeypatch.setattr(divergence, "ENTRIES", entries)
+    monkeypatch.setattr(divergence, "PIECE", piece)
+    rows = [(lang or "", source or "", text or "") for _, text, lang, source in audit_rows(5, 120, 4)]
+    rows += [("en", "s1", "x" * 200 + " " * 90 + "Ant,bee"), ("en", "s1", "ant"), ("en", "s2", "bee")]  # neighbours don't run together
+    kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("text", pa.string())])
+    tasks = [pa.Table.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], schema=kind).to_batches(max_chunksize=17) for part in (rows[:50], rows[50:])]
+    blocks = pa.Table.from_batches([b for task in tasks for b in divergence._count(task, buckets)]).sort_by("bucket").combine_chunks()
+    found = [r for b in divergence._merge(blocks.to_batches(max_chunksize=2), 3) for r in b.to_pylist()]
+    words = [(lang, source, re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))) for lang, source, text in rows]
+    docs = Counter((lang, x) for lang, _, w in words for x in set(w))
+    n = Counter((lang, source, x) for lang, source, w in words for x in w)
+    want = defaultdict(list)
+    for (lang, source, x), m in sorted(n.items(), key=lambda e: e[0][1].encode()):
+        if docs[lang, x] >= 3:
+            want[lang, x].append({"source": source, "n": m})
+    assert {(r["lang"], r["term"]): r["cells"] for r in found} == want
+    assert len(found) == len(want) and all(r["total"] == sum(c["n"] for c in r["cells"]) for r in found)
+
+
+@pytest.mark.parametrize("pairs, top, keys", [(1_000_000, 5, 1 << 63), (7, 5, 1 << 63), (40, 10**7, 1 << 63), (40, 5, 0)])
+def test_joint_by_force(monkeypatch, pairs, top, keys):
+    """Tallies of pairs, also folded and sent early, of terms with more pairs than are held, and of counts too many for one number."""
+    monkeypatch.setattr(divergence, "PAIRS", pairs)
+    monkeypatch.setattr(divergence, "KEYS", keys)
+    rng = random.Random(6)
+    rows = []
+    for _ in range(60):
+        at = sorted(rng.sample(range(10, 40), rng.choice([2, 3, 3, 12])))
+        rows.append((rng.choice(["de", "en"]), [f"s{k}" for k in at], [rng.randint(1, top) for _ in at]))
+    arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)]
+    batches = pa.Table.from_arrays(arrays, names=["lang", "sources", "counts"]).to_batches(max_chunksize=13)
+    found = Counter()
+    for b in divergence._joint(batches):
+        for r in b.to_pylist():
+            found[r["lang"], r["one"], r["two"], r["a"], r["b"]] += r["m"]
+    want = Counter((lang, s[i], s[j], n[i], n[j]) for lang, s, n in rows for i in range(len(s)) for j in range(i + 1, len(s)))
+    assert found == want
+
+
 # Bounds and recall of the other operators.
 
 
