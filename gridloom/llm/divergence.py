@@ -410,7 +410,8 @@ def vocabulary(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     A row holds at most one cell for each source of the language, in byte order, after all documents are summed.
     """
     ship(counts.sparkSession)
-    return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _merge(batches, min_docs), _TERMS)
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, as a hash would give some parts many buckets
+    return counts.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _merge(batches, min_docs), _TERMS)
 
 
 def _facts(df: DataFrame, label: str) -> DataFrame:
